@@ -305,7 +305,7 @@ def display_series(curves: DataFrame, max_points: int = 5000) -> DataFrame:
     return c.withColumn("axis_mode", mode.otherwise("loaded_axis")).withColumn("decimated", F.size("two_theta") < F.col("source_points"))
 
 
-def detector(curves: DataFrame, window: int = 11, order: int = 3, half: int = 25, min_snr: float = 5.0, distance: float = 0.10,
+def detector(curves: DataFrame, window: int = 11, order: int = 3, half: int = 10, min_snr: float = 5.0, distance: float = 0.10,
              keep: tuple[str, ...] = ("curve_id",)) -> DataFrame:
     """Peaks above a noise gate: refined position, width, local area, signal-to-noise."""
     x = F.col("two_theta")

@@ -13,6 +13,11 @@ from xrdlake.plans.views import curves, table
 r = lambda c, n=6: F.round(c, n)
 
 
+def half_up(c):
+    """Round at 8 digits; exact halves are nudged so that both engines round them alike."""
+    return F.round(c + 1e-11, 8)
+
+
 def found(spark, d):
     return C.find_peaks(C.process(curves(spark, d)))
 
@@ -90,10 +95,10 @@ f AS (SELECT curve_id, reference_id, CAST(0 AS BIGINT) AS k, CAST([] AS INTEGER[
   FROM f JOIN pr ON pr.curve_id = f.curve_id AND pr.reference_id = f.reference_id AND pr.k = f.k + 1),
 l AS (SELECT curve_id, reference_id, arg_max(len(ur), k) AS n, arg_max(w, k) AS w FROM f GROUP BY ALL),
 t AS (SELECT reference_id, count(*) AS m, sum(ri) AS tw FROM rl GROUP BY 1)
-SELECT curve_id, reference_id, n AS matched_lines, round(n / CAST(m AS DOUBLE), 8) AS coverage, round(w / tw, 8) AS weighted_coverage, round(0.45e0 * n / m + 0.55e0 * w / tw, 8) AS score FROM l JOIN t USING (reference_id)""")
+SELECT curve_id, reference_id, n AS matched_lines, round(n / CAST(m AS DOUBLE) + 1e-11, 8) AS coverage, round(w / tw + 1e-11, 8) AS weighted_coverage, round(0.45e0 * n / m + 0.55e0 * w / tw + 1e-11, 8) AS score FROM l JOIN t USING (reference_id)""")
 def d4(spark, d):
     m = M.match_reference_lines(peaks(spark, d), reference_lines(spark, d))
-    return m.select("curve_id", "reference_id", F.col("matched_lines").cast("long").alias("matched_lines"), *[r(F.col(k), 8).alias(k) for k in ("coverage", "weighted_coverage", "score")])
+    return m.select("curve_id", "reference_id", F.col("matched_lines").cast("long").alias("matched_lines"), *[half_up(F.col(k)).alias(k) for k in ("coverage", "weighted_coverage", "score")])
 
 
 @query("d5_peak_set_similarity", None)

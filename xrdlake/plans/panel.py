@@ -14,6 +14,7 @@ from xrdlake.plans.sqlbits import CANDS, GEO, PEAKS, bragg_d
 from xrdlake.plans.views import candidates, curves, geo_rows, table
 
 c = F.col
+half5 = lambda x: F.round(x + 1e-9, 5)  # noqa: E731  exact halves are nudged alike in both engines
 _PREP_SQL = "CASE o_orderkey % 7 WHEN 0 THEN 'indeterminado' WHEN 1 THEN 'natural' WHEN 2 THEN 'glicolado' WHEN 3 THEN 'calcinado' WHEN 4 THEN 'natural' WHEN 5 THEN 'glicolado' ELSE 'natural' END"
 ITEMS_SQL = f"it AS (SELECT o_orderkey AS item_id, o_custkey AS sample_base, {_PREP_SQL} AS preparation, o_orderpriority AS mineral, o_totalprice AS price, o_orderstatus AS st FROM orders)"
 
@@ -94,7 +95,7 @@ def e6(spark, d):
 
 @query("e7_empirical_windows", """
 WITH v AS (SELECT p_brand AS mineral_id, CAST(l_linenumber AS VARCHAR) AS peak_id, l_returnflag AS preparation, round(7 + l_discount * 4 + l_tax, 4) AS d, l_linestatus = 'F' AS ok, l_suppkey AS src FROM lineitem JOIN part ON l_partkey = p_partkey)
-SELECT mineral_id, peak_id, preparation, count(*) AS n, round(avg(d), 5) AS mean, round(stddev_pop(d), 5) AS std, round(min(d), 5) AS min, round(max(d), 5) AS max, round(quantile_cont(d, 0.05), 5) AS p05, round(quantile_cont(d, 0.95), 5) AS p95,
+SELECT mineral_id, peak_id, preparation, count(*) AS n, round(avg(d) + 1e-9, 5) AS mean, round(stddev_pop(d) + 1e-9, 5) AS std, round(min(d) + 1e-9, 5) AS min, round(max(d) + 1e-9, 5) AS max, round(quantile_cont(d, 0.05) + 1e-9, 5) AS p05, round(quantile_cont(d, 0.95) + 1e-9, 5) AS p95,
   CASE WHEN count(*) >= 5 THEN 'p05_p95' ELSE 'min_max' END AS strategy, CASE WHEN count(*) >= 20 THEN 'high' WHEN count(*) >= 5 THEN 'medium' ELSE 'low' END AS confidence,
   sha256(mineral_id || '|' || peak_id || '|' || preparation || '|' || count(*) || '|' || min(src) || '|' || max(src)) AS provenance_hash FROM v WHERE ok GROUP BY mineral_id, peak_id, preparation""")
 def e7(spark, d):
@@ -103,7 +104,7 @@ def e7(spark, d):
                   F.round(c("l_discount") * 4 + c("l_tax") + 7, 4).alias("d_spacing"), F.when(c("l_linestatus") == "F", "accepted").otherwise("pending").alias("validation_status"),
                   c("l_suppkey").alias("source_record_id"))
     e = P.empirical_windows(v)
-    return e.select("mineral_id", "peak_id", "preparation", "n", *[r(c(k), 5).alias(k) for k in ("mean", "std", "min", "max", "p05", "p95")], "strategy", "confidence", "provenance_hash")
+    return e.select("mineral_id", "peak_id", "preparation", "n", *[half5(c(k)).alias(k) for k in ("mean", "std", "min", "max", "p05", "p95")], "strategy", "confidence", "provenance_hash")
 
 
 @query("e8_vocabulary_coverage", """

@@ -206,25 +206,31 @@ def group_candidates(t: DataFrame) -> DataFrame:
 def clay_interpretation(t: DataFrame) -> DataFrame:
     """Six hypotheses per sample with additive and subtractive evidence, caps and status."""
     p = has
-    n7, g7, c7 = (intensity(k, w) for k, w in (("n", "kaolinite_7a_n"), ("g", "kaolinite_7a_g"), ("c", "kaolinite_7a_c_check")))
-    k357 = p("rep", "kaolinite_3_57a")
-    lost = F.col("has_c") & (n7 > 0) & (c7 < n7 * 0.25)
-    ch7, ch472, ch353 = p("rep", "chlorite_7a"), p("rep", "chlorite_4_72a"), p("rep", "chlorite_3_53a")
-    n14, g14, c14 = p("n", "chlorite_14a_n"), p("g", "chlorite_14a_g"), p("c", "chlorite_14a_c")
-    full = n14 & ch7 & ch472 & ch353
-    ka = (pts(n7 > 0, 0.25) + pts(g7 > 0, 0.20)
-          + pts((n7 > 0) & (g7 > 0) & (F.abs(spacing("n", "kaolinite_7a_n") - spacing("g", "kaolinite_7a_g")) <= 0.25), 0.20)
+    t = t.select(
+        "sample_base", "has_c", "broad_basal", intensity("n", "kaolinite_7a_n").alias("n7"), intensity("g", "kaolinite_7a_g").alias("g7"),
+        intensity("c", "kaolinite_7a_c_check").alias("c7"), F.abs(spacing("n", "kaolinite_7a_n") - spacing("g", "kaolinite_7a_g")).alias("k_gap"),
+        (spacing("g", "smectite_g") - spacing("n", "smectite_n")).alias("s_gap"), p("rep", "kaolinite_3_57a").alias("k357"),
+        p("rep", "chlorite_7a").alias("ch7"), p("rep", "chlorite_4_72a").alias("ch472"), p("rep", "chlorite_3_53a").alias("ch353"),
+        p("n", "chlorite_14a_n").alias("n14"), p("g", "chlorite_14a_g").alias("g14"), p("c", "chlorite_14a_c").alias("c14"),
+        p("n", "smectite_n").alias("sn"), p("g", "smectite_g").alias("sg"), p("c", "smectite_c").alias("sc"),
+        p("n", "illite_10a_n").alias("in10"), p("g", "illite_10a_g").alias("ig10"), p("c", "illite_10a_c").alias("ic10"),
+        p("rep", "illite_3_33a").alias("i333"), p("rep", "illite_5a").alias("i5"), p("rep", "quartz_101").alias("q101"))
+    n7, g7, c7, k357, ch7, ch472, ch353, n14, g14, c14, sn, sg, sc, i333 = (
+        F.col(k) for k in ("n7", "g7", "c7", "k357", "ch7", "ch472", "ch353", "n14", "g14", "c14", "sn", "sg", "sc", "i333"))
+    t = t.withColumn("lost", F.col("has_c") & (n7 > 0) & (c7 < n7 * 0.25)).withColumn("full", n14 & ch7 & ch472 & ch353)
+    t = t.withColumn("disc", (n14 | g14 | c14) & (ch472 | ch353 | c14)).withColumn(
+        "i_hits", F.col("in10").cast("int") + F.col("ig10").cast("int") + F.col("ic10").cast("int"))
+    lost, full, cl_disc, i_hits = F.col("lost"), F.col("full"), F.col("disc"), F.col("i_hits")
+    ka = (pts(n7 > 0, 0.25) + pts(g7 > 0, 0.20) + pts((n7 > 0) & (g7 > 0) & (F.col("k_gap") <= 0.25), 0.20)
           + pts(lost, 0.25) + pts(k357, 0.10) + pts((n7 > 0) & (c7 >= n7 * 0.5), -0.25) + pts(full, -0.20))
-    ka = F.when(((n7 > 0) | (g7 > 0)) & ~lost, F.least(ka, F.when(k357, 0.38).otherwise(0.32))).otherwise(ka)
-    sn, sg, sc = p("n", "smectite_n"), p("g", "smectite_g"), p("c", "smectite_c")
     cl = (pts(n14 | g14 | c14, 0.30) + pts(ch7, 0.20) + pts(ch472, 0.15) + pts(ch353, 0.15) + pts(n14 & ~sg, 0.20) + pts(n14 & c14, 0.20) + pts(sg, -0.30))
-    cl_disc = (n14 | g14 | c14) & (ch472 | ch353 | c14)
-    cl = F.when(ch7 & ~cl_disc, F.least(cl, F.lit(0.34))).otherwise(cl)
-    sm = (pts(sn, 0.30) + pts(sg, 0.40) + pts(sc, 0.25) + pts(sn & sg & (spacing("g", "smectite_g") - spacing("n", "smectite_n") > 1.2), 0.15) + pts(~sg & full, -0.25))
-    i_hits = sum((p(k, f"illite_10a_{k}").cast("int") for k in "ngc"), F.lit(0))
-    i333 = p("rep", "illite_3_33a")
-    il = (F.when(i_hits == 3, 0.35).when(i_hits > 0, 0.18).otherwise(0.0) + pts(p("n", "illite_10a_n") & ~sg, 0.20) + pts(p("c", "illite_10a_c"), 0.15)
-          + pts(p("rep", "illite_5a"), 0.15) + pts(i333, 0.10) + pts(i333 & p("rep", "quartz_101") & (i_hits < 2), -0.15))
+    t = t.withColumn("ka", ka).withColumn("cl", cl)
+    t = t.withColumn("ka", F.when(((n7 > 0) | (g7 > 0)) & ~lost, F.least("ka", F.when(k357, 0.38).otherwise(0.32))).otherwise(F.col("ka")))
+    t = t.withColumn("cl", F.when(ch7 & ~cl_disc, F.least("cl", F.lit(0.34))).otherwise(F.col("cl")))
+    ka, cl = F.col("ka"), F.col("cl")
+    sm = pts(sn, 0.30) + pts(sg, 0.40) + pts(sc, 0.25) + pts(sn & sg & (F.col("s_gap") > 1.2), 0.15) + pts(~sg & full, -0.25)
+    il = (F.when(i_hits == 3, 0.35).when(i_hits > 0, 0.18).otherwise(0.0) + pts(F.col("in10") & ~sg, 0.20) + pts(F.col("ic10"), 0.15)
+          + pts(F.col("i5"), 0.15) + pts(i333, 0.10) + pts(i333 & F.col("q101") & (i_hits < 2), -0.15))
     ve = pts(n14 & ~sg, 0.30) + pts(n14 & ~c14, 0.20) + pts(full, -0.20)
     s_hits = sn.cast("int") + sg.cast("int") + sc.cast("int")
     mx = pts((s_hits > 0) & (s_hits < 3), 0.30) + pts((i_hits > 0) & sg, 0.30) + pts(F.col("broad_basal"), 0.20)

@@ -311,7 +311,7 @@ n AS (SELECT curve_id, peak_index, count(t) FILTER (abs(two_theta - t) <= 0.2) A
 SELECT curve_id, peak_index, round(two_theta / 2, 6) AS theta, round(d, 5) AS d, 1.5406e0 < 2 * d AS observable, lines > 0 AS has_lattice_line FROM pk JOIN n USING (curve_id, peak_index)""")
 def h19(spark, d):
     p = peaks(spark, d)
-    cells = p.select(F.lit(1).alias("cell_id"), F.lit("cubic").alias("crystal_system"), F.lit(9.0).alias("a"), F.lit(9.0).alias("c")).limit(1)
+    cells = R.literal_table(spark, [(1, "cubic", 9.0, 9.0)], ("cell_id", "crystal_system", "a", "c"))
     idx = M.index_peaks(p, cells).select("curve_id", "peak_index").distinct().withColumn("hit", F.lit(True))
     return p.join(idx, ["curve_id", "peak_index"], "left").select("curve_id", "peak_index", r(c("two_theta") / 2).alias("theta"), r(c("d"), 5).alias("d"),
                                                                   (F.lit(1.5406) < c("d") * 2).alias("observable"), F.coalesce("hit", F.lit(False)).alias("has_lattice_line"))

@@ -9,6 +9,7 @@ from xrdlake.operators import geochem as X
 from xrdlake.plans.match import r
 from xrdlake.plans.registry import query
 from xrdlake.plans.views import oxide_vectors, table
+from xrdlake.session import written
 
 c = F.col
 THRESHOLD = 0.76
@@ -80,7 +81,8 @@ eg AS (SELECT * FROM a2 WHERE score_total >= {THRESHOLD})
 
 
 def scored_pairs(spark, d):
-    p = X.prepare(X.scaled_vectors(records(spark, d)))
+    # read three times below, so it is written once
+    p = written(X.prepare(X.scaled_vectors(records(spark, d))), "records")
     keep = p.drop(*OXIDES, "minerals", "groups", "subjects", "uses", "environment", "rock", "formation", "result_text", "label", "n_oxides")
     return X.analogy(X.dimension_scores(X.with_records(X.candidate_pairs(p, THRESHOLD), keep)))
 
@@ -129,12 +131,18 @@ def i6(spark, d):
     return X.components(nodes, e)
 
 
-@query("i6_cluster_summary", f"""
-WITH {REC} SELECT label_class, count(*) AS clusters, CAST(sum(size) AS BIGINT) AS members FROM (SELECT class AS label_class, 1 AS size FROM rc) GROUP BY 1""")
+_CC = """
+WITH RECURSIVE e0 AS (SELECT DISTINCT o_custkey * 2 AS u, (o_orderkey // 40) * 2 + 1 AS v FROM orders WHERE o_orderstatus = 'P'), e AS (SELECT u, v FROM e0 UNION SELECT v, u FROM e0),
+n AS (SELECT DISTINCT u AS node FROM e), rch AS (SELECT node, node AS r FROM n WHERE node IN (SELECT min(u) FROM e GROUP BY v) OR node NOT IN (SELECT v FROM e WHERE u < v) UNION SELECT e.v, rch.r FROM rch JOIN e ON e.u = rch.node),
+cc AS (SELECT node, min(r) AS component FROM rch GROUP BY 1)
+"""
+
+
+@query("i6_cluster_summary", _CC + """, m AS (SELECT component, c_mktsegment AS class FROM cc LEFT JOIN customer ON c_custkey * 2 = node), p AS (SELECT component, class, count(*) AS n FROM m GROUP BY ALL)
+SELECT component, CAST(sum(n) AS BIGINT) AS size, arg_max(class, (n, class)) FILTER (class IS NOT NULL) AS label_class FROM p GROUP BY 1""")
 def i6b(spark, d):
-    n = records(spark, d)
-    members = n.select(c("record_id").alias("component"), "class")
-    return X.cluster_summary(members).groupBy("label_class").agg(F.count("*").alias("clusters"), F.sum("size").alias("members"))
+    seg = table(spark, d, "customer").select((c("c_custkey") * 2).alias("node"), c("c_mktsegment").alias("class"))
+    return X.cluster_summary(i6(spark, d).join(seg, "node", "left"))
 
 
 @query("i7_node_degrees", f"""

@@ -187,10 +187,12 @@ def pattern_match_score(df: DataFrame) -> DataFrame:
     external_family, category, has_measured_xrd, has_dif, has_cif, has_error.
     A partial name adds and takes away the same amount, so it counts nothing.
     """
-    a, b = F.coalesce(mineral_name_key("mineral"), F.lit("")), F.coalesce(mineral_name_key("matched_name"), F.lit(""))
+    # keys and formula comparison are computed once, as columns of their own
+    df = df.withColumn("_a", F.coalesce(mineral_name_key("mineral"), F.lit(""))).withColumn("_b", F.coalesce(mineral_name_key("matched_name"), F.lit("")))
+    df = df.withColumn("_comp", formula_compatible("formula", "external_formula"))
+    a, b, comp = F.col("_a"), F.col("_b"), F.col("_comp")
     exact = (a != "") & (a == b)
     partial = (a != "") & (b != "") & (a != b) & (b.contains(a) | a.contains(b))
-    comp = formula_compatible("formula", "external_formula")
     fam = F.coalesce((F.col("family") != "") & (F.col("family") == F.col("external_family")), F.lit(False))
     pts = lambda cond, v: F.when(cond, F.lit(v)).otherwise(F.lit(0.0))
     score = (pts(exact, 0.50) + pts(comp, 0.20) + pts(~comp, -0.40) + pts(fam, 0.15) + pts(F.col("has_measured_xrd"), 0.10)
@@ -200,7 +202,7 @@ def pattern_match_score(df: DataFrame) -> DataFrame:
         F.when(exact, "exact_name").when(partial, "partial_name"), F.when(comp, "formula_compatible"), F.when(fam, "family_compatible"),
         F.when(F.col("has_measured_xrd"), "has_powder_xrd"), F.when(F.col("has_dif"), "has_dif"), F.when(F.col("has_cif"), "has_cif")))
     out = df.withColumn("match_score", F.round(F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0)), 4)).withColumn("match_basis", basis)
-    return out.withColumn("curation_status", curation_status("match_score"))
+    return out.withColumn("curation_status", curation_status("match_score")).drop("_a", "_b", "_comp")
 
 
 def load_difference(left: DataFrame, right: DataFrame, key: str = "curve_id") -> DataFrame:

@@ -117,12 +117,12 @@ def i5(spark, d):
 
 def links(spark, d):
     """A sparse graph over customers: consecutive orders of a priority group point to their customers."""
-    o = table(spark, d, "orders").select((c("o_custkey") * 2).alias("source"), (F.floor(c("o_orderkey") / 40) * 2 + 1).cast("long").alias("target"), "o_orderstatus")
-    return o.where("o_orderstatus = 'P'").select("source", "target")
+    o = table(spark, d, "orders").select((c("o_custkey") * 2).alias("source"), (F.floor(c("o_orderkey") / 40) * 2 + 1).cast("long").alias("target"), "o_orderstatus", "o_totalprice")
+    return o.where("o_orderstatus = 'P' AND o_totalprice > 450000").select("source", "target")
 
 
 @query("i6_connected_components", """
-WITH RECURSIVE e0 AS (SELECT DISTINCT o_custkey * 2 AS u, (o_orderkey // 40) * 2 + 1 AS v FROM orders WHERE o_orderstatus = 'P'), e AS (SELECT u, v FROM e0 UNION SELECT v, u FROM e0),
+WITH RECURSIVE e0 AS (SELECT DISTINCT o_custkey * 2 AS u, (o_orderkey // 40) * 2 + 1 AS v FROM orders WHERE o_orderstatus = 'P' AND o_totalprice > 450000), e AS (SELECT u, v FROM e0 UNION SELECT v, u FROM e0),
 n AS (SELECT DISTINCT u AS node FROM e), rch AS (SELECT node, node AS r FROM n WHERE node IN (SELECT min(u) FROM e GROUP BY v) OR node NOT IN (SELECT v FROM e WHERE u < v) UNION SELECT e.v, rch.r FROM rch JOIN e ON e.u = rch.node)
 SELECT node, min(r) AS component FROM rch GROUP BY 1""")
 def i6(spark, d):
@@ -132,7 +132,7 @@ def i6(spark, d):
 
 
 _CC = """
-WITH RECURSIVE e0 AS (SELECT DISTINCT o_custkey * 2 AS u, (o_orderkey // 40) * 2 + 1 AS v FROM orders WHERE o_orderstatus = 'P'), e AS (SELECT u, v FROM e0 UNION SELECT v, u FROM e0),
+WITH RECURSIVE e0 AS (SELECT DISTINCT o_custkey * 2 AS u, (o_orderkey // 40) * 2 + 1 AS v FROM orders WHERE o_orderstatus = 'P' AND o_totalprice > 450000), e AS (SELECT u, v FROM e0 UNION SELECT v, u FROM e0),
 n AS (SELECT DISTINCT u AS node FROM e), rch AS (SELECT node, node AS r FROM n WHERE node IN (SELECT min(u) FROM e GROUP BY v) OR node NOT IN (SELECT v FROM e WHERE u < v) UNION SELECT e.v, rch.r FROM rch JOIN e ON e.u = rch.node),
 cc AS (SELECT node, min(r) AS component FROM rch GROUP BY 1)
 """

@@ -21,6 +21,14 @@ EXTRA_WINDOWS = {
     "amb_7a": (6.95, 7.45), "amb_10a": (9.3, 10.6), "amb_12a": (11.8, 12.6), "amb_14a": (13.4, 14.9), "amb_3_33a": (3.30, 3.38), "amb_1_54a": (1.535, 1.550),
     "mix_14a": (13.7, 14.8), "mix_17a": (16.0, 17.8), "mix_9_10a": (9.3, 10.0), "mix_9_4a": (9.3, 9.5),
     "set_29_32a": (28.50, 32.20), "set_14_15a": (14.00, 15.00),
+    # heat-ratio rules: centre and tolerance written as bounds
+    "ool_14": (13.65, 14.75), "ool_14c": (13.55, 14.85), "ool_7": (6.85, 7.35), "ool_4_74": (4.60, 4.88), "ool_3_55": (3.47, 3.63),
+    "heat_7": (6.90, 7.40), "heat_3_57": (3.51, 3.63), "exp_n": (12.0, 15.6), "exp_g": (16.1, 17.8), "exp_c": (9.6, 10.4),
+    "mica_10": (9.65, 10.35), "mica_10c": (9.60, 10.40), "mica_5": (4.88, 5.12), "mica_3_33": (3.27, 3.39),
+    "op_14_5": (13.7, 15.3), "op_10_12": (10.0, 12.2), "fib_12": (12.0, 12.6), "fib_10_4": (10.3, 10.6),
+    # mixed-layer features
+    "ml_17": (15.7, 17.9), "ml_10": (9.4, 10.6), "ml_14n": (13.6, 14.8), "ml_14g": (13.5, 14.9), "ml_14c": (13.4, 15.0), "ml_24": (21.5, 26.5), "ml_29": (26.5, 31.5),
+    "ss_24": (22.8, 25.2), "ss_29": (27.8, 30.2), "ss_31": (29.8, 32.2), "ss_12": (10.8, 13.2),
 }
 WINDOWS = {**R.NAMED_RANGES, **EXTRA_WINDOWS}
 LETTER = {"natural": "n", "glicolado": "g", "calcinado": "c"}
@@ -421,6 +429,86 @@ def interpret(t: DataFrame, context: DataFrame) -> DataFrame:
     return rank_within(s, ["sample_base"], [F.desc("score"), F.col("label")], 8)
 
 
+def heat_ratio_rules(t: DataFrame) -> DataFrame:
+    """Rules that weigh companion reflections and the heat ratio; needs ``behaviours``."""
+    b = lambda name: F.array_contains("behaviours", name)
+    n14, g14, c14 = has("n", "ool_14"), has("g", "ool_14"), has("c", "ool_14c")
+    extra = anywhere("ool_7").cast("int") + anywhere("ool_4_74").cast("int") + anywhere("ool_3_55").cast("int")
+    ratio = F.try_divide(hit("c", "ool_14c")["i"], hit("n", "ool_14")["i"])
+    chl = F.lit(0.82) + F.least(F.lit(0.12), (extra - 1) * 0.03) + pts(ratio >= 0.75, 0.04)
+    n7, g7 = has("n", "heat_7"), has("g", "heat_7")
+    loss = F.coalesce((n7 & g7 & ~has("c", "heat_7")) | (F.try_divide(intensity("c", "heat_7"), hit("n", "heat_7")["i"]) <= 0.25) | b("strongly_reduced_after_heating"), F.lit(False))
+    s357 = has("n", "heat_3_57") | has("g", "heat_3_57")
+    gsm = has("g", "exp_g")
+    mica = has("n", "mica_10") & has("g", "mica_10") & has("c", "mica_10c")
+    p5 = anywhere("mica_5")
+
+    def row(cond, label, score, level):
+        lit = lambda v: v if isinstance(v, Column) else F.lit(v)
+        return F.when(cond, F.struct(F.lit(label).alias("label"), F.round(lit(score).cast("double") + 1e-9, 3).alias("score"), lit(level).alias("level")))
+    conf, prob, poss = "confirmed_by_rules", "probable_by_rules", "possible_by_rules"
+    return rows_of(t, ("sample_base",), F.array_compact(F.array(
+        row(n14 & g14 & c14 & (extra >= 1) & ~b("expands_with_glycol"), "chlorite", F.least(chl, F.lit(0.98)), conf),
+        row(n7 & g7 & loss & ~n14, "kaolin_group", F.lit(0.84) + pts(s357, 0.08), conf),
+        row(has("n", "exp_n") & gsm & has("c", "exp_c"), "smectite_group", 0.95, conf),
+        row(mica, "illite_mica", F.least(F.lit(0.76) + pts(p5, 0.08) + pts(anywhere("mica_3_33"), 0.04), F.lit(0.92)), F.when(p5, conf).otherwise(prob)),
+        row(has("n", "op_14_5") & has("g", "op_14_5") & has("c", "op_10_12") & ~gsm & ~c14, "vermiculite", 0.78, prob),
+        row(has("n", "fib_12") & has("g", "fib_12") & ~gsm, "sepiolite", 0.68, poss),
+        row(has("n", "fib_10_4") & has("g", "fib_10_4") & ~mica, "palygorskite", 0.66, poss))))
+
+
+def mixed_layer_features(t: DataFrame) -> DataFrame:
+    """Features, superstructures, ordering and mixture reading of a sample."""
+    f = listed(collapses_or_returns_to_10a=has("c", "ml_10"), expands_with_eg_to_17a=has("g", "ml_17"),
+               long_period_candidate=has("n", "ml_24") | has("g", "ml_29") | has("c", "ml_24"),
+               persistent_14a_component=has("n", "ml_14n") & has("g", "ml_14g") & has("c", "ml_14c"))
+    ss = listed(**{w: anywhere(w) for w in ("ss_24", "ss_29", "ss_31", "ss_12")})
+    t = t.withColumn("features", f).withColumn("superstructures", ss)
+    any_ss = F.size("superstructures") > 0
+    moves = F.array_contains("features", "expands_with_eg_to_17a") | F.array_contains("features", "collapses_or_returns_to_10a")
+    return t.withColumn("ordering", F.when(any_ss, "R1").otherwise("unknown")).withColumn(
+        "mixture", F.when(any_ss & moves, "supports_interstratification").otherwise("ambiguous"))
+
+
+def mixed_layer_candidates(t: DataFrame) -> DataFrame:
+    """Ranked mixed-layer hypotheses; needs the columns of :func:`mixed_layer_features`."""
+    from xrdlake.functions.values import mixed_layer_status
+    from xrdlake.operators.panels import rank_within
+
+    f = lambda name: F.array_contains("features", name)
+    row = lambda cond, name, score: F.when(cond, F.struct(F.lit(name).alias("candidate"), F.lit(score).alias("confidence")))
+    a = f("expands_with_eg_to_17a") & f("collapses_or_returns_to_10a")
+    c2 = f("persistent_14a_component") & f("expands_with_eg_to_17a")
+    l2 = (F.size("superstructures") > 0) & f("long_period_candidate")
+    out = rows_of(t, ("sample_base", "ordering"), F.array_compact(F.array(
+        row(a, "illite/smectite_or_smectitic_mixed_layer", 0.68), row(c2, "chlorite/smectite", 0.70), row(l2, "corrensite_or_ordered_mixed_layer", 0.78),
+        row(~a & ~c2 & ~l2, "mixed_layer_evidence_insufficient", 0.25))))
+    return rank_within(out, ["sample_base"], [F.desc("confidence"), F.col("candidate")]).withColumn("status", mixed_layer_status("confidence"))
+
+
+def panel_diagnosis(t: DataFrame) -> DataFrame:
+    """Panel reading of a sample: as the interval rules, with partial chlorite and confidence words."""
+    n, g, c = has("n", "chlorite_14a_n"), has("g", "chlorite_14a_g"), has("c", "chlorite_14a_c")
+    kao = has("n", "kaolinite_7a_n") & has("g", "kaolinite_7a_g") & (
+        ~has("c", "kaolinite_7a_c_check") | (intensity("c", "kaolinite_7a_c_check") < intensity("n", "kaolinite_7a_n") * 0.1))
+    chl = c | (n & g)
+    chl_conf = F.when(c & n, "alta").when(c & g, "média/alta").otherwise("média")
+    none = ~(illite_stable() | smectite_response() | kao | chl | quartz_stable())
+    row = lambda cond, m, conf: F.when(cond, F.struct(F.lit(m).alias("mineral"), (conf if isinstance(conf, Column) else F.lit(conf)).alias("confidence")))
+    return rows_of(t, ("sample_base",), F.array_compact(F.array(
+        row(illite_stable(), "Ilita", "alta"), row(smectite_response(), "Esmectita", "alta"), row(kao, "Caulinita", "alta"), row(chl, "Clorita", chl_conf),
+        row(quartz_stable(), "Quartzo", F.when(has("n", "quartz_100"), "alta").otherwise("média/alta")), row(none, "Inconclusivo", "baixa"))))
+
+
+def explanations(scored: DataFrame) -> DataFrame:
+    """Evidence for, evidence missing and follow-up of scored candidates."""
+    part = {"behaviour": 40, "peak_set": 25, "d060": 15, "thermal": 10, "proximity": 5}
+    good = F.array_compact(F.array(*[F.when(F.col(k) >= 0.5, F.lit(k)) for k in part]))
+    poor = F.array_compact(F.array(*[F.when(F.col(k) < 0.5, F.lit(k)) for k in part]))
+    return scored.withColumn("evidence_for", good).withColumn("missing", poor).withColumn(
+        "follow_up", F.when(F.col("score") >= 70, F.array().cast("array<string>")).otherwise(F.array(F.lit("full_pattern_all_treatments"))))
+
+
 # --- trajectories -----------------------------------------------------------
 
 def basal_trajectory(t: DataFrame) -> DataFrame:

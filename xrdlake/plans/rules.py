@@ -379,3 +379,67 @@ SELECT sample_base, mineral, observed, absent, CASE WHEN mineral LIKE 'Esmectita
   WHEN observed >= 2 THEN 'compatível' WHEN observed = 1 THEN 'parcial' ELSE 'não conclusivo' END AS status FROM g""")
 def e19b(spark, d):
     return N.confirmatory_minerals(N.confirmatory_reflections(peaks(spark, d)))
+
+
+_b = lambda x: f"contains(b, '{x}')"
+_EXTRA = f"({anyw('ool_7')}::INT + {anyw('ool_4_74')}::INT + {anyw('ool_3_55')}::INT)"
+_MICA = f"{has('n', 'mica_10')} AND {has('g', 'mica_10')} AND {has('c', 'mica_10c')}"
+_LOSS = f"coalesce(({has('n', 'heat_7')} AND {has('g', 'heat_7')} AND NOT {has('c', 'heat_7')}) OR coalesce(coalesce(c_heat_7_i, 0) / n_heat_7_i <= 0.25, false) OR contains(b, 'strongly_reduced_after_heating'), false)"
+
+
+@query("h13_heat_ratio_rules", f"""
+WITH {_LAYERS} u AS (
+SELECT sample_base, 'chlorite' AS label, least(0.82e0 + least(0.12e0, 0.03e0 * ({_EXTRA} - 1)) + CASE WHEN c_ool_14c_i / n_ool_14_i >= 0.75 THEN 0.04e0 ELSE 0 END, 0.98e0) AS score, 'confirmed_by_rules' AS level FROM l2
+  WHERE {has('n', 'ool_14')} AND {has('g', 'ool_14')} AND {has('c', 'ool_14c')} AND {_EXTRA} >= 1 AND NOT {_EXP}
+UNION ALL SELECT sample_base, 'kaolin_group', 0.84e0 + CASE WHEN {has('n', 'heat_3_57')} OR {has('g', 'heat_3_57')} THEN 0.08e0 ELSE 0 END, 'confirmed_by_rules' FROM l2 WHERE {has('n', 'heat_7')} AND {has('g', 'heat_7')} AND {_LOSS} AND NOT {has('n', 'ool_14')}
+UNION ALL SELECT sample_base, 'smectite_group', 0.95e0, 'confirmed_by_rules' FROM l2 WHERE {has('n', 'exp_n')} AND {has('g', 'exp_g')} AND {has('c', 'exp_c')}
+UNION ALL SELECT sample_base, 'illite_mica', least(0.76e0 + {num(anyw('mica_5'), 0.08)} + {num(anyw('mica_3_33'), 0.04)}, 0.92e0), CASE WHEN {anyw('mica_5')} THEN 'confirmed_by_rules' ELSE 'probable_by_rules' END FROM l2 WHERE {_MICA}
+UNION ALL SELECT sample_base, 'vermiculite', 0.78e0, 'probable_by_rules' FROM l2 WHERE {has('n', 'op_14_5')} AND {has('g', 'op_14_5')} AND {has('c', 'op_10_12')} AND NOT {has('g', 'exp_g')} AND NOT {has('c', 'ool_14c')}
+UNION ALL SELECT sample_base, 'sepiolite', 0.68e0, 'possible_by_rules' FROM l2 WHERE {has('n', 'fib_12')} AND {has('g', 'fib_12')} AND NOT {has('g', 'exp_g')}
+UNION ALL SELECT sample_base, 'palygorskite', 0.66e0, 'possible_by_rules' FROM l2 WHERE {has('n', 'fib_10_4')} AND {has('g', 'fib_10_4')} AND NOT ({_MICA}))
+SELECT sample_base, label, round(score + 1e-9, 3) AS score, level FROM u""")
+def h13(spark, d):
+    return N.heat_ratio_rules(N.behaviours(trios(spark, d)))
+
+
+_ML = f"""
+, mf AS (SELECT sample_base, {has('c', 'ml_10')} AS f1, {has('g', 'ml_17')} AS f2, {has('n', 'ml_24')} OR {has('g', 'ml_29')} OR {has('c', 'ml_24')} AS f3, {has('n', 'ml_14n')} AND {has('g', 'ml_14g')} AND {has('c', 'ml_14c')} AS f4,
+  {lst(**{w: anyw(w) for w in ('ss_24', 'ss_29', 'ss_31', 'ss_12')})} AS ss FROM wd)
+"""
+
+
+@query("h14_mixed_layer_features", f"""
+WITH {WIDE} {_ML} SELECT sample_base, concat_ws(',', CASE WHEN f1 THEN 'collapses_or_returns_to_10a' END, CASE WHEN f2 THEN 'expands_with_eg_to_17a' END, CASE WHEN f3 THEN 'long_period_candidate' END, CASE WHEN f4 THEN 'persistent_14a_component' END) AS features,
+  ss AS superstructures, CASE WHEN ss <> '' THEN 'R1' ELSE 'unknown' END AS ordering, CASE WHEN ss <> '' AND (f1 OR f2) THEN 'supports_interstratification' ELSE 'ambiguous' END AS mixture FROM mf""")
+def h14(spark, d):
+    m = N.mixed_layer_features(trios(spark, d))
+    return m.select("sample_base", F.array_join("features", ",").alias("features"), F.array_join("superstructures", ",").alias("superstructures"), "ordering", "mixture")
+
+
+@query("h14_mixed_layer_candidates", f"""
+WITH {WIDE} {_ML}, u AS (SELECT sample_base, ss, 'illite/smectite_or_smectitic_mixed_layer' AS candidate, 0.68e0 AS confidence FROM mf WHERE f1 AND f2 UNION ALL SELECT sample_base, ss, 'chlorite/smectite', 0.7e0 FROM mf WHERE f4 AND f2
+  UNION ALL SELECT sample_base, ss, 'corrensite_or_ordered_mixed_layer', 0.78e0 FROM mf WHERE ss <> '' AND f3 UNION ALL SELECT sample_base, ss, 'mixed_layer_evidence_insufficient', 0.25e0 FROM mf WHERE NOT (f1 AND f2) AND NOT (f4 AND f2) AND NOT (ss <> '' AND f3))
+SELECT sample_base, candidate, confidence, row_number() OVER (PARTITION BY sample_base ORDER BY confidence DESC, candidate) AS rank, CASE WHEN confidence >= 0.6 THEN 'possible' ELSE 'ambiguous' END AS status, CASE WHEN ss <> '' THEN 'R1' ELSE 'unknown' END AS ordering FROM u""")
+def h14b(spark, d):
+    return N.mixed_layer_candidates(N.mixed_layer_features(trios(spark, d)))
+
+
+_PK = f"({has('n', 'kaolinite_7a_n')} AND {has('g', 'kaolinite_7a_g')} AND (NOT {has('c', 'kaolinite_7a_c_check')} OR {inten('c', 'kaolinite_7a_c_check')} < 0.1e0 * {inten('n', 'kaolinite_7a_n')}))"
+_CN, _CG, _CC = has("n", "chlorite_14a_n"), has("g", "chlorite_14a_g"), has("c", "chlorite_14a_c")
+
+
+@query("h17_panel_diagnosis", f"""
+WITH {WIDE}, z AS (SELECT *, {ILL} AS i, {SME} AS s, {_PK} AS k, ({_CC} OR ({_CN} AND {_CG})) AS ch, {QTZ} AS q FROM wd)
+SELECT sample_base, 'Ilita' AS mineral, 'alta' AS confidence FROM z WHERE i UNION ALL SELECT sample_base, 'Esmectita', 'alta' FROM z WHERE s UNION ALL SELECT sample_base, 'Caulinita', 'alta' FROM z WHERE k
+UNION ALL SELECT sample_base, 'Clorita', CASE WHEN {_CC} AND {_CN} THEN 'alta' WHEN {_CC} AND {_CG} THEN 'média/alta' ELSE 'média' END FROM z WHERE ch
+UNION ALL SELECT sample_base, 'Quartzo', CASE WHEN {has('n', 'quartz_100')} THEN 'alta' ELSE 'média/alta' END FROM z WHERE q UNION ALL SELECT sample_base, 'Inconclusivo', 'baixa' FROM z WHERE NOT (i OR s OR k OR ch OR q)""")
+def h17(spark, d):
+    return N.panel_diagnosis(trios(spark, d))
+
+
+@query("e27_explanations", f"""
+WITH {SCORE_SQL} SELECT sample_base, label, score, {lst(**{k: f'{k} >= 0.5' for k in ('behaviour', 'peak_set', 'd060', 'thermal', 'proximity')})} AS evidence_for, {lst(**{k: f'{k} < 0.5' for k in ('behaviour', 'peak_set', 'd060', 'thermal', 'proximity')})} AS missing,
+  CASE WHEN score >= 70 THEN '' ELSE 'full_pattern_all_treatments' END AS follow_up FROM r1""")
+def e27(spark, d):
+    e = N.explanations(N.score_candidates(N.candidates(layered(spark, d))))
+    return e.select("sample_base", "label", "score", *[F.array_join(k, ",").alias(k) for k in ("evidence_for", "missing", "follow_up")])

@@ -41,11 +41,11 @@ _CUT = PTS + ", cu AS (SELECT * FROM pts WHERE curve_id % 50 <> 7 OR idx < 6)"
 
 
 @query("a1_text_curves", f"""
-WITH {_CUT} SELECT curve_id, count(*) AS points, CAST(1 AS INTEGER) AS skipped_rows, round(min(tt), 1) AS two_theta_start, round(max(tt), 1) AS two_theta_end, 0.4e0 AS step, round(sum(round(y, 3)), 2) AS total, CASE WHEN count(*) < 10 THEN 'erro' ELSE 'importado' END AS status FROM cu GROUP BY 1""")
+WITH {_CUT} SELECT curve_id, count(*) AS points, CAST(1 AS INTEGER) AS skipped_rows, round(min(tt), 1) AS two_theta_start, round(max(tt), 1) AS two_theta_end, 0.4e0 AS step, round(sum(round(y, 3)), 3) AS total, CASE WHEN count(*) < 10 THEN 'erro' ELSE 'importado' END AS status FROM cu GROUP BY 1""")
 def a1(spark, d):
     p = A.read_text_curves(spark, write_curves(spark, d))
     return p.select(_id_of().alias("curve_id"), c("points").cast("long").alias("points"), "skipped_rows", "two_theta_start", "two_theta_end", r(c("step"), 4).alias("step"),
-                    F.round(F.aggregate("intensity", F.lit(0.0), lambda a, v: a + v), 2).alias("total"), "status")
+                    F.round(F.aggregate("intensity", F.lit(0.0), lambda a, v: a + v), 3).alias("total"), "status")
 
 
 @query("a2_file_inventory", f"""

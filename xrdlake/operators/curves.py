@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from xrdlake.functions import series as S
 from xrdlake.functions.geometry import bragg_d, bragg_two_theta, scherrer_nm
@@ -250,7 +251,7 @@ def common_grid(left_x: Column, right_x: Column, max_points: int = 1200) -> Colu
     return S.let(F.struct(lo.alias("lo"), hi.alias("hi"), step.alias("step")), build)
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def resample(x: pd.Series, y: pd.Series, grid: pd.Series) -> pd.Series:
     """Linear interpolation of a sorted curve onto a grid, constant outside."""
     return pd.Series([

@@ -34,11 +34,21 @@ WINDOWS = {**R.NAMED_RANGES, **EXTRA_WINDOWS}
 LETTER = {"natural": "n", "glicolado": "g", "calcinado": "c"}
 
 
-def window_map(found: DataFrame, keep: tuple[str, ...] = ("curve_id", "sample_base", "preparation")) -> DataFrame:
-    """Per curve: strongest peak of each window, number of peaks, broad-peak flags."""
+# Windows read by the interval rules alone.
+INTERVAL_WINDOWS = ("kaolinite_7a_n", "kaolinite_7a_g", "kaolinite_7a_c_check", "chlorite_14a_n", "chlorite_14a_c", "smectite_n", "smectite_g", "smectite_c",
+                    "illite_10a_n", "illite_10a_g", "illite_10a_c", "quartz_101_n", "quartz_101_g", "quartz_101_c", "quartz_100")
+
+
+def window_map(found: DataFrame, keep: tuple[str, ...] = ("curve_id", "sample_base", "preparation"), windows: tuple[str, ...] | None = None,
+               widths: bool = True) -> DataFrame:
+    """Per curve: strongest peak of each window, number of peaks, broad-peak flags.
+
+    ``windows`` limits the map to the windows the rules at hand read, ``widths``
+    leaves out the peak widths when no rule asks for broad peaks.
+    """
     x, y = F.col("two_theta"), F.col("corrected")
-    rows = R.literal_rows([(k, lo, hi) for k, (lo, hi) in WINDOWS.items()], ("k", "lo", "hi"))
-    pk = F.transform("peak_idx", lambda i: F.struct(S.at(y, i).alias("i"), bragg_d(S.at(x, i)).alias("d"), S.half_width(x, y, i)["fwhm"].alias("w")))
+    rows = R.literal_rows([(k, lo, hi) for k, (lo, hi) in WINDOWS.items() if windows is None or k in windows], ("k", "lo", "hi"))
+    pk = F.transform("peak_idx", lambda i: F.struct(S.at(y, i).alias("i"), bragg_d(S.at(x, i)).alias("d"), (S.half_width(x, y, i)["fwhm"] if widths else F.lit(None).cast("double")).alias("w")))
 
     def best(pks):
         def one(w):

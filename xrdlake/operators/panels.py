@@ -69,11 +69,12 @@ def mineral_panel(candidates: DataFrame) -> DataFrame:
     key = F.lower("mineral")
     part = candidates.groupBy(key.alias("key"), "curve_id").agg(
         F.count("*").alias("n"), F.max("score").alias("best"), F.max_by("group", F.struct("score", "group")).alias("grp"),
-        F.collect_set("treatment").alias("tr"), F.min("mineral").alias("mineral"))
+        *[F.max((F.col("treatment") == t).cast("int")).alias(f"t_{t}") for t in ALL_PREPARATIONS], F.min("mineral").alias("mineral"))
+    seen = F.array_sort(F.array_compact(F.array(*[F.when(F.max(f"t_{t}") == 1, F.lit(t)) for t in ALL_PREPARATIONS])))
     return part.groupBy("key").agg(
         F.min("mineral").alias("mineral"), F.sum("n").alias("count"), F.max("best").alias("best_score"),
         F.max_by("grp", F.struct("best", "grp")).alias("best_group"), F.count("*").alias("samples"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("tr")))).alias("treatments"))
+        seen.alias("treatments"))
 
 
 # Rank of a confidence label.

@@ -18,6 +18,10 @@ def trios(spark, d):
     return N.trios(N.window_map(found(spark, d)))
 
 
+def interval_trios(spark, d):
+    return N.trios(N.window_map(found(spark, d), windows=N.INTERVAL_WINDOWS, widths=False))
+
+
 def context(spark, d):
     """Laboratory context per sample: d060 and flags, from parts."""
     k = c("p_partkey")
@@ -94,7 +98,7 @@ SELECT sample_base, minerals, CASE WHEN minerals <> '' THEN 'diagnosed' ELSE 'in
   CASE WHEN {CHL} THEN CASE WHEN {inten('c', 'chlorite_14a_c')} > {inten('n', 'chlorite_14a_n')} THEN 'intensificado' ELSE 'preservado' END END AS chlorite_state,
   {QTZ} AND {has('n', 'quartz_100')} AS quartz_100 FROM m""")
 def h1(spark, d):
-    return N.interval_diagnosis(trios(spark, d)).select("sample_base", F.array_join("minerals", ",").alias("minerals"), "status", "chlorite_state", "quartz_100")
+    return N.interval_diagnosis(interval_trios(spark, d)).select("sample_base", F.array_join("minerals", ",").alias("minerals"), "status", "chlorite_state", "quartz_100")
 
 
 @query("h2_group_classification", f"""
@@ -102,7 +106,7 @@ WITH {WIDE}, m AS (SELECT sample_base, has_n AND has_g AND has_c AS complete, un
 SELECT sample_base, mineral, CASE mineral WHEN 'Clorita' THEN 0.9e0 WHEN 'Esmectita' THEN 0.88e0 WHEN 'Quartzo' THEN 0.65e0 ELSE 0.82e0 END AS score,
   CASE WHEN mineral = 'Quartzo' THEN 'possible_by_rules' ELSE 'confirmed_by_rules' END AS role, CASE WHEN complete THEN 'complete' ELSE 'incomplete' END AS trio_status FROM m WHERE mineral <> ''""")
 def h2(spark, d):
-    return N.group_classification(N.interval_diagnosis(trios(spark, d))).select("sample_base", "mineral", "score", "role", "trio_status")
+    return N.group_classification(N.interval_diagnosis(interval_trios(spark, d))).select("sample_base", "mineral", "score", "role", "trio_status")
 
 
 @query("h3_companion_behaviour", f"""

@@ -131,12 +131,29 @@ def declared_curves(curves: DataFrame, declared: DataFrame) -> DataFrame:
 
 
 def blocked_pairs(records: DataFrame, key: str, block: str) -> DataFrame:
-    """Pairs ``a < b`` of records of one block, as an equi join."""
+    """Pairs ``a < b`` of records of one block, as an equi join.
+
+    For blocks whose size is bounded by their meaning, such as the curves of a
+    sample. Larger blocks go through :func:`near_pairs`.
+    """
     a = records.select(*[F.col(c).alias(f"{c}_a") for c in records.columns])
     b = records.select(*[F.col(c).alias(f"{c}_b") for c in records.columns])
     return a.join(b, (F.col(f"{block}_a") == F.col(f"{block}_b")) & (F.col(f"{key}_a") < F.col(f"{key}_b")))
 
 
+def near_pairs(records: DataFrame, key: str, block: str, value: str, tolerance: float) -> DataFrame:
+    """Pairs ``a < b`` of one block whose values lie within ``tolerance``.
+
+    A pair further apart has no numeric similarity at that scale. Only
+    neighbouring buckets of the value meet, so a large block is not squared.
+    """
+    from xrdlake.operators.matching import near_join
+
+    a = records.select(F.col(key).alias("a"), block, F.col(value).alias("value_a"))
+    b = records.select(F.col(key).alias("b"), block, F.col(value).alias("value_b"))
+    return near_join(a, b, "value_a", "value_b", tolerance, salts=1, salt_by=("a",), on=(block,)).where("a < b")
+
+
 def resolve_alias(records: DataFrame, aliases: DataFrame, manifests: DataFrame) -> DataFrame:
     """Package id of a record: its alias when a manifest exists under it, else the id itself."""
     a = aliases.join(manifests.select(F.col("record_id").alias("package_id")).distinct(), "package_id", "left_semi")

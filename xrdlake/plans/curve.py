@@ -337,7 +337,11 @@ def c25(spark, d):
     return e.select("curve_id", "peak_id", "n_peaks", *[r(F.col(k), 5).alias(k) for k in ("position", "fwhm", "snr", "area", "window_low", "window_high", "snr_median", "fwhm_median")])
 
 
-@query("c26_broad_peaks", None)
+@query("c26_broad_peaks", _ENDS.replace("FRAC", "0.5e0") + f"""
+, x AS (SELECT e.*, a.tt AS x0, a.yc AS y0, b.tt AS x1, b.yc AS y1, c.tt AS x2, c.yc AS y2, z.tt AS x3, z.yc AS y3 FROM ends e
+  JOIN nrm a ON a.curve_id = e.curve_id AND a.idx = e.l JOIN nrm b ON b.curve_id = e.curve_id AND b.idx = e.l + 1 JOIN nrm c ON c.curve_id = e.curve_id AND c.idx = e.r - 1 JOIN nrm z ON z.curve_id = e.curve_id AND z.idx = e.r),
+y AS (SELECT curve_id, {bragg_d('tt')} AS d, (CASE WHEN abs(y3 - y2) < 1e-12 THEN x2 ELSE x2 + (x3 - x2) * (yc / 2 - y2) / (y3 - y2) END) - (CASE WHEN abs(y1 - y0) < 1e-12 THEN x0 ELSE x0 + (x1 - x0) * (yc / 2 - y0) / (y1 - y0) END) AS w FROM x)
+SELECT curve_id, CASE curve_id % 3 WHEN 0 THEN 'natural' WHEN 1 THEN 'glicolado' ELSE 'calcinado' END AS preparation, count(*) FILTER (w > 0.5) AS over_0_5, count(*) FILTER (w >= 0.6) AS over_0_6, count(*) FILTER (w >= 0.8 AND d BETWEEN 9 AND 18.6) AS over_0_8_basal FROM y GROUP BY 1, 2""")
 def c26(spark, d):
     return C.broad_flags(C.peaks(curves(spark, d), keep=("curve_id", "preparation")), by=("curve_id", "preparation"))
 

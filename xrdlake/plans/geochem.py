@@ -16,8 +16,8 @@ THRESHOLD = 0.76
 
 
 def records(spark, d):
-    """Records with oxides, minerals, context and uses."""
-    o = oxide_vectors(spark, d)
+    """Records with standardised oxides, minerals, context and uses."""
+    o = X.scaled_vectors(oxide_vectors(spark, d))
     p = table(spark, d, "part")
     words = F.split("p_name", " ")
     p = p.select(
@@ -82,7 +82,7 @@ eg AS (SELECT * FROM a2 WHERE score_total >= {THRESHOLD})
 
 def scored_pairs(spark, d):
     # read three times below, so it is written once
-    p = written(X.prepare(X.scaled_vectors(records(spark, d))), "records")
+    p = written(X.prepare(records(spark, d)), "records")
     keep = p.drop(*OXIDES, "minerals", "groups", "subjects", "uses", "environment", "rock", "formation", "result_text", "label", "n_oxides")
     return X.analogy(X.dimension_scores(X.with_records(X.candidate_pairs(p, THRESHOLD), keep)))
 
@@ -176,5 +176,5 @@ def e11b(spark, d):
 @query("g9_record_projection", f"""
 WITH {VEC}, p AS (SELECT id, p_name, p_type, p_brand, n FROM ok JOIN part ON p_partkey = id) SELECT id AS record_id, n AS n_oxides, n >= 3 AS has_geo, lower(p_type) AS group_key, len({_TK('p_name')}) AS n_tokens FROM p""")
 def g9(spark, d):
-    p = X.prepare(X.scaled_vectors(records(spark, d)))
+    p = X.prepare(records(spark, d))
     return p.select("record_id", "n_oxides", c("vector").isNotNull().alias("has_geo"), F.get("t_groups", 0).alias("group_key"), F.size("t_environment").cast("long").alias("n_tokens"))

@@ -168,11 +168,11 @@ def d20(spark, d):
 
 
 @query("d21_blocked_pairs", """
-SELECT a.s_suppkey AS a, b.s_suppkey AS b, a.s_nationkey AS block, round(abs(a.s_acctbal - b.s_acctbal), 4) AS delta FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey""")
+SELECT a.s_suppkey AS a, b.s_suppkey AS b, a.s_nationkey AS block, round(1 - abs(a.s_acctbal - b.s_acctbal) / 1000, 4) AS similarity FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey AND abs(a.s_acctbal - b.s_acctbal) <= 1000""")
 def d21(spark, d):
     s = table(spark, d, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
-    p = K.blocked_pairs(s, "s_suppkey", "s_nationkey")
-    return p.select(c("s_suppkey_a").alias("a"), c("s_suppkey_b").alias("b"), c("s_nationkey_a").alias("block"), F.round(F.abs(c("s_acctbal_a") - c("s_acctbal_b")), 4).alias("delta"))
+    p = K.near_pairs(s, "s_suppkey", "s_nationkey", "s_acctbal", 1000.0)
+    return p.select("a", "b", c("s_nationkey").alias("block"), F.round(1 - F.abs(c("value_a") - c("value_b")) / 1000, 4).alias("similarity"))
 
 
 @query("d25_record_alias", """

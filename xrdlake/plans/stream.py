@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from xrdlake.operators import curves as C, matching as M
-from xrdlake.plans.match import r
+from xrdlake.operators import curves as C, matching as M, rule_tables as R
+from xrdlake.plans.match import r, values_sql
 from xrdlake.plans.registry import query
 from xrdlake.plans.source import write_curves
 from xrdlake.plans.sqlbits import PEAKS
@@ -20,7 +20,13 @@ def event_stream(spark, d):
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d).withColumn("ts", c("ts").cast("timestamp"))
 
 
-@query("l1_incoming_curve_triage", None)
+_READ_BACK = PEAKS.replace("3.0e0 + 0.4e0 * CAST(pos - 1 AS DOUBLE) AS tt", "round(3.0e0 + 0.4e0 * CAST(pos - 1 AS DOUBLE), 1) AS tt").replace(
+    "greatest(0e0, (CAST(v AS DOUBLE) + 0.6e0) * 1000e0) AS y", "round(greatest(0e0, (CAST(v AS DOUBLE) + 0.6e0) * 1000e0), 3) AS y")
+
+
+@query("l1_incoming_curve_triage", f"""
+WITH {_READ_BACK}, rw(rule_id, mineral, need, lo, hi) AS (VALUES {values_sql(R.diagnostic_rows())})
+SELECT curve_id, peak_index, rule_id, round(d, 5) AS d FROM pk JOIN rw ON d BETWEEN lo AND hi WHERE curve_id % 50 <> 7""")
 def l1(spark, d):
     """Each new file is parsed, its peaks found and set against the diagnostic windows."""
     def interpret(df):

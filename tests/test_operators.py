@@ -139,14 +139,14 @@ def test_candidate_pairs_lose_no_edge(spark):
     df = X.prepare(spark.createDataFrame(rows, (
         "record_id long, minerals array<string>, groups array<string>, subjects array<string>, uses array<string>, environment string, rock string, formation string, result_text string,"
         "era string, period string, epoch string, class string, si_al double, clay_fraction double, vector array<double>")))
-    t = 0.76
-    pruned = X.analogy(X.dimension_scores(X.with_records(X.candidate_pairs(df, t), df))).where(F.col("score_total") >= t)
     ids = df.select(F.col("record_id").alias("source")).join(df.select(F.col("record_id").alias("target")), F.col("source") < F.col("target"))
-    full = X.analogy(X.dimension_scores(X.with_records(ids, df))).where(F.col("score_total") >= t)
-    pairs = lambda d: {(r["source"], r["target"], r["score_total"]) for r in d.collect()}
-    assert pairs(full) and pairs(pruned) == pairs(full)
+    full = X.analogy(X.dimension_scores(X.with_records(ids, df))).select("source", "target", "score_total").collect()
+    for t in (0.55, 0.70, 0.76):
+        pruned = X.analogy(X.dimension_scores(X.with_records(X.candidate_pairs(df, t), df))).where(F.col("score_total") >= t)
+        want = {(r["source"], r["target"], r["score_total"]) for r in full if r["score_total"] >= t}
+        assert want and {(r["source"], r["target"], r["score_total"]) for r in pruned.collect()} == want
     with pytest.raises(ValueError):
-        X.candidate_pairs(df, 0.5)
+        X.candidate_pairs(df, 0.4)
 
 
 def test_range_null_rule(spark):

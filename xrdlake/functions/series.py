@@ -11,8 +11,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 Fn = Callable[[Column], Column]
 
@@ -125,21 +127,27 @@ def asymmetric_background(y: Column, half: int = 5, p: float = 0.01, passes: int
     """Iterated weighted moving mean; points above the estimate weigh ``p``, others ``1 - p``.
 
     This is a windowed definition of its own, not a penalised least-squares fit.
+    Window sums are differences of running sums, so a pass costs one step per
+    point whatever the window; batches of curves go through Arrow.
     """
-    start = moving_average(y, 2 * half + 1)
-
-    def step(z, _):
-        weights = F.zip_with(y, z, lambda v, b: F.when(v > b, F.lit(p)).otherwise(F.lit(1.0 - p)))
-
-        def smooth(w):
-            def one(v, i):
-                lo = F.greatest(i - half, F.lit(0))
-                n = F.least(i + half, F.size(y) - 1) - lo + 1
-                ws, ys = F.slice(w, lo + 1, n), F.slice(y, lo + 1, n)
-                return total(F.zip_with(ws, ys, lambda a, b: a * b)) / total(ws)
-            return F.transform(y, one)
-        return let(weights, smooth)
-    return F.aggregate(F.sequence(F.lit(1), F.lit(passes)), start, step)
+    def window_sums(v: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        run = np.concatenate(([0.0], np.cumsum(v)))
+        return run[high] - run[low]
+
+    def background(curve):
+        if curve is None or not len(curve):
+            return curve
+        v, i = np.asarray(curve, dtype=float), np.arange(len(curve))
+        low, high = np.maximum(i - half, 0), np.minimum(i + half, len(v) - 1) + 1
+        z = window_sums(v, low, high) / (high - low) if len(v) > 2 else v
+        for _ in range(passes):
+            w = np.where(v > z, p, 1.0 - p)
+            z = window_sums(w * v, low, high) / window_sums(w, low, high)
+        return z
+
+    def batch(curves: pd.Series) -> pd.Series:
+        return curves.map(background)
+    return F.pandas_udf(batch, T.ArrayType(T.DoubleType()))(y)
 
 
 def subtract_background(y: Column, background: Column) -> Column:

@@ -70,30 +70,47 @@ def prepare(records: DataFrame) -> DataFrame:
     return r
 
 
+def field_weights(profile: str) -> dict[str, float]:
+    """Largest share of the total score that agreement in each field can bring."""
+    _wg, wm, wc, wu = WEIGHT_PROFILES[profile]
+    return {"minerals": wm * 0.5, "groups": wm * 0.35, "subjects": wm * 0.15, "environment": wc * 0.30, "rock": wc * 0.20, "formation": wc * 0.25,
+            "era": wc * 0.25 * 0.45, "period": wc * 0.25 * 0.35, "epoch": wc * 0.25 * 0.20, "uses": wu * 0.65, "result_text": wu * 0.35}
+
+
 def candidate_pairs(prepared: DataFrame, threshold: float, profile: str = "composite") -> DataFrame:
     """Pairs that can reach a total score of ``threshold``; none that can is left out.
 
-    A pair that shares no mineral, group or subject loses the whole mineral
-    weight; one that shares no context or use text and no era loses those two.
-    When the remaining weights stay under the threshold the pair needs not be
-    looked at, so pairs come from an equi join on shared tokens: on a mineral
-    token alone, or on a mineral token together with a context or use token.
+    Even with full chemical agreement a pair must bring ``threshold`` minus the
+    chemical weight from shared tokens. Tokens are ordered by how many records
+    hold them; a record leaves out its commonest tokens as long as their fields
+    together weigh less than that. The rarest token two such records share is
+    then kept by both, so an equi join on the kept tokens finds every pair, and
+    tokens that many records share are hardly ever joined on.
     """
-    wg, wm, wc, wu = WEIGHT_PROFILES[profile]
-    need_mineral, need_side = threshold > 1.0 - wm, threshold > wg + wm
-    if not need_mineral:
-        raise ValueError(f"threshold {threshold} lets pairs without a shared mineral pass; use one above {1.0 - wm:.2f}")
-    tag = lambda p, c: F.transform(F.col(c), lambda x: F.concat(F.lit(p), x))
-    mineral = F.array_union(F.array_union(tag("m:", "t_minerals"), tag("g:", "t_groups")), tag("s:", "t_subjects"))
-    keyed = prepared.withColumn("_k", F.explode(mineral))
-    on = ["_k"]
-    if need_side:
-        era = F.array_compact(F.array(*[F.when(F.col(k).isNotNull(), F.concat(F.lit(f"{k}:"), F.col(k).cast("string"))) for k in ("era", "period", "epoch")]))
-        side = F.array_union(F.array_union(F.array_union(tag("e:", "t_environment"), tag("r:", "t_rock")), F.array_union(tag("f:", "t_formation"), era)),
-                             F.array_union(tag("u:", "t_uses"), tag("t:", "t_result_text")))
-        keyed, on = keyed.withColumn("_c", F.explode(side)), ["_k", "_c"]
-    ids = keyed.select("record_id", *on)
-    pairs = ids.alias("a").join(ids.withColumnRenamed("record_id", "record_b").alias("b"), on).where("record_id < record_b")
+    weights = field_weights(profile)
+    need = threshold - WEIGHT_PROFILES[profile][0] - 0.001  # margin for rounded scores
+    if need <= 0:
+        raise ValueError(f"threshold {threshold} can be reached by chemistry alone; use one above {WEIGHT_PROFILES[profile][0]}")
+    names = list(weights)
+
+    def tagged(k):
+        text = F.array_compact(F.array(F.col(k).cast("string"))) if k in ("era", "period", "epoch") else F.col(f"t_{k}")
+        return F.transform(text, lambda x: F.struct(F.lit(names.index(k)).alias("f"), F.concat(F.lit(f"{k}:"), x).alias("k")))
+    tok = prepared.select("record_id", F.explode_outer(F.flatten(F.array(*[tagged(k) for k in names]))).alias("t")).where("t IS NOT NULL").select("record_id", "t.f", "t.k")
+    freq = tok.groupBy("k").agg(F.count("*").alias("n"))
+    w = F.array(*[F.lit(float(v)) for v in weights.values()])
+    per = tok.join(freq, "k").groupBy("record_id").agg(F.reverse(F.array_sort(F.collect_list(F.struct("n", "k", "f")))).alias("ts"))
+
+    def step(acc, t):
+        more = F.when(F.array_contains(acc["fields"], t["f"]), F.lit(0.0)).otherwise(F.get(w, t["f"]))
+        drop = acc["open"] & (acc["total"] + more < need)
+        return F.struct(
+            drop.alias("open"), F.when(drop, acc["total"] + more).otherwise(acc["total"]).alias("total"),
+            F.when(drop, F.array_union(acc["fields"], F.array(t["f"]))).otherwise(acc["fields"]).alias("fields"),
+            F.when(drop, acc["keep"]).otherwise(F.array_append(acc["keep"], t["k"])).alias("keep"))
+    start = F.struct(F.lit(True).alias("open"), F.lit(0.0).alias("total"), F.expr("cast(array() as array<int>)").alias("fields"), F.expr("cast(array() as array<string>)").alias("keep"))
+    ids = S.unnest(per, ("record_id",), F.aggregate("ts", start, step)["keep"], "k")
+    pairs = ids.join(ids.withColumnRenamed("record_id", "record_b"), "k").where("record_id < record_b")
     return pairs.select(F.col("record_id").alias("source"), F.col("record_b").alias("target")).distinct()
 
 

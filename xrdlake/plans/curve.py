@@ -198,7 +198,19 @@ def c14(spark, d):
                     r(F.col("d"), 5).alias("d"), r(F.col("relative_intensity"), 4).alias("relative_intensity"))
 
 
-@query("c15_merge_targeted", None)
+_WINDOW_ORDER = ", ".join(f"('{rid}', {n})" for n, (rid, *_rest) in enumerate(R.TARGETED_WINDOWS))
+
+
+@query("c15_merge_targeted", f"""
+WITH RECURSIVE {PEAKS} {TARGETED_SQL[len(PROCESSED):]}, wo(range_id, o) AS (VALUES {_WINDOW_ORDER}),
+tt0 AS (SELECT curve_id, range_id, o, {bragg_d('tt')} AS d, tt AS x, yc FROM tg JOIN wo USING (range_id) WHERE quality <> 'not_found'),
+fr AS (SELECT *, row_number() OVER (PARTITION BY curve_id ORDER BY o) AS k FROM tt0 WHERE NOT EXISTS (SELECT 1 FROM pk WHERE pk.curve_id = tt0.curve_id AND abs(pk.d - tt0.d) <= 0.04)),
+f AS (SELECT curve_id, CAST(0 AS BIGINT) AS k, CAST([] AS DOUBLE[]) AS kd, CAST([] AS BIGINT[]) AS ks FROM (SELECT DISTINCT curve_id FROM fr)
+  UNION ALL SELECT f.curve_id, r.k, CASE WHEN len(list_filter(f.kd, lambda x: abs(x - r.d) <= 0.04)) > 0 THEN f.kd ELSE list_append(f.kd, r.d) END, CASE WHEN len(list_filter(f.kd, lambda x: abs(x - r.d) <= 0.04)) > 0 THEN f.ks ELSE list_append(f.ks, r.k) END
+  FROM f JOIN fr r ON r.curve_id = f.curve_id AND r.k = f.k + 1),
+kp AS (SELECT curve_id, unnest(ks) AS k FROM (SELECT curve_id, arg_max(ks, k) AS ks FROM f GROUP BY 1))
+SELECT curve_id, 'detected' AS source, round(d, 5) AS d, round(two_theta, 5) AS two_theta, round(intensity, 5) AS intensity FROM pk
+UNION ALL SELECT fr.curve_id, 'targeted:' || range_id, round(d, 5), round(x, 5), round(yc, 5) FROM kp JOIN fr ON fr.curve_id = kp.curve_id AND fr.k = kp.k""")
 def c15(spark, d):
     p = C.process(curves(spark, d))
     listed = C.light_peaks(C.find_peaks(p))

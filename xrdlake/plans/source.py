@@ -29,7 +29,8 @@ def curve_texts(spark, d):
 
 def write_curves(spark, d):
     path = new_path(spark, "curves")
-    curve_texts(spark, d).write.partitionBy("curve_id").text(path)
+    # one file per curve: spread the curves over the tasks first
+    curve_texts(spark, d).repartition(spark.sparkContext.defaultParallelism, "curve_id").write.partitionBy("curve_id").text(path)
     return path
 
 

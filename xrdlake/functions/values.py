@@ -27,7 +27,8 @@ def relative_delta(left, right) -> Column:
 
 
 def clamp01(value) -> Column:
-    return F.least(F.greatest(_c(value).cast("double"), F.lit(0.0)), F.lit(1.0))
+    v = _c(value).cast("double")
+    return F.when(v.isNotNull(), F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0)))
 
 
 def to_percent_of(value, maximum) -> Column:

@@ -116,8 +116,11 @@ def _pair_score(a, b) -> Column:
 
     def rel(u, v):
         return F.abs(u - v) / F.greatest(F.abs(u), F.abs(v), F.lit(1.0))
-    si = F.greatest(F.lit(0.0), 1 - rel(a["i"], b["i"]) / 0.50)
-    sw = F.greatest(F.lit(0.0), 1 - rel(a["w"], b["w"]) / 0.75)
+
+    def closeness(u, v, span):
+        r = rel(u, v)
+        return F.when(r.isNotNull(), F.greatest(F.lit(0.0), 1 - r / span))
+    si, sw = closeness(a["i"], b["i"], 0.50), closeness(a["w"], b["w"], 0.75)
     num = pos * WEIGHT_POSITION + F.coalesce(si * WEIGHT_INTENSITY, F.lit(0.0)) + F.coalesce(sw * WEIGHT_WIDTH, F.lit(0.0))
     den = F.lit(WEIGHT_POSITION) + F.when(si.isNotNull(), F.lit(WEIGHT_INTENSITY)).otherwise(F.lit(0.0)) + F.when(
         sw.isNotNull(), F.lit(WEIGHT_WIDTH)).otherwise(F.lit(0.0))

@@ -101,15 +101,6 @@ def d4(spark, d):
     return m.select("curve_id", "reference_id", F.col("matched_lines").cast("long").alias("matched_lines"), *[half_up(F.col(k)).alias(k) for k in ("coverage", "weighted_coverage", "score")])
 
 
-@query("d5_peak_set_similarity", None)
-def d5(spark, d):
-    f = found(spark, d)
-    a = f.where("preparation = 'natural'").select("sample_base", M.peak_set(f, 8).alias("l"))
-    b = f.where("preparation = 'glicolado'").select("sample_base", M.peak_set(f, 12).alias("r"))
-    j = a.join(b, "sample_base").withColumn("s", M.peak_set_similarity(F.col("l"), F.col("r")))
-    return j.select("sample_base", F.size("l").alias("left_peaks"), F.size("r").alias("right_peaks"), "s.matched", "s.score")
-
-
 @query("d6_library_classifier", f"""
 WITH {PEAKS}, {LINES_SQL}, b AS (SELECT curve_id, reference_id, line_index, any_value(ri) AS ri, min(abs(two_theta - rt)) AS delta FROM pk JOIN rl ON abs(two_theta - rt) <= 0.25 GROUP BY ALL),
 t AS (SELECT reference_id, count(*) AS m, sum(ri) AS tw FROM rl GROUP BY 1),

@@ -449,7 +449,7 @@ def e27(spark, d):
     return e.select("sample_base", "label", "score", *[F.array_join(k, ",").alias(k) for k in ("evidence_for", "missing", "follow_up")])
 
 
-_GREEDY = """
+GREEDY = """
 f AS (SELECT g, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS ue, CAST([] AS BIGINT[]) AS uo, 0e0 AS s FROM (SELECT DISTINCT g FROM od)
   UNION ALL SELECT f.g, od.k, CASE WHEN list_contains(ue, e) OR list_contains(uo, o) THEN ue ELSE list_append(ue, e) END, CASE WHEN list_contains(ue, e) OR list_contains(uo, o) THEN uo ELSE list_append(uo, o) END,
     CASE WHEN list_contains(ue, e) OR list_contains(uo, o) THEN s ELSE s + score END FROM f JOIN od ON od.g = f.g AND od.k = f.k + 1),
@@ -463,7 +463,7 @@ q AS (SELECT a.sample_base AS g, a.peak_index AS e, b.peak_index AS o, abs(a.t -
   FROM p a JOIN p b ON a.sample_base = b.sample_base AND a.preparation = 'natural' AND b.preparation = 'glicolado' AND a.peak_index <= 8 AND b.peak_index <= 12 WHERE abs(a.t - b.t) <= 0.15 OR abs(a.d - b.d) <= 0.1),
 sc AS (SELECT g, e, o, (0.6e0 * greatest(CASE WHEN dt <= 0.15 THEN 1 - dt / 0.15e0 ELSE -1 END, CASE WHEN dd <= 0.1 THEN 1 - dd / 0.1e0 ELSE -1 END) + 0.25e0 * greatest(0, 1 - ri / 0.5e0) + CASE WHEN rw IS NULL THEN 0 ELSE 0.1e0 * greatest(0, 1 - rw / 0.75e0) END)
    / (0.85e0 + CASE WHEN rw IS NULL THEN 0 ELSE 0.1e0 END) AS score FROM q),
-od AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY e, score DESC, o) AS k FROM sc), {_GREEDY},
+od AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY e, score DESC, o) AS k FROM sc), {GREEDY},
 n AS (SELECT sample_base AS g, count(*) FILTER (preparation = 'natural' AND peak_index <= 8) AS l, count(*) FILTER (preparation = 'glicolado' AND peak_index <= 12) AS r FROM pk GROUP BY 1)
 SELECT n.g AS sample_base, l AS left_peaks, r AS right_peaks, coalesce(matched, 0) AS matched, coalesce(round(matched / CAST(l AS DOUBLE) * (total / matched), 4), 0) AS score FROM n LEFT JOIN gm USING (g) WHERE l > 0 AND r > 0""")
 def d5(spark, d):

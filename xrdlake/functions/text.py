@@ -104,17 +104,14 @@ TREATMENT_PATTERNS = (
 def infer_treatment(*names) -> Column:
     """Struct(treatment, confidence, evidence) from file names and sample codes."""
     text = F.upper(F.concat_ws(" ", *[F.trim(_c(n)) for n in names]))
-    kind = evidence = None
+
+    def answer(treatment, confidence, why):
+        return F.struct(F.lit(treatment).alias("treatment"), F.lit(confidence).alias("confidence"), F.lit(why).alias("evidence"))
+    out = None
     for pattern, treatment, why in TREATMENT_PATTERNS:
-        hit = text.rlike(pattern)
-        kind = F.when(hit, treatment) if kind is None else kind.when(hit, treatment)
-        evidence = F.when(hit, why) if evidence is None else evidence.when(hit, why)
-    kind = kind.otherwise("indeterminado")
-    return F.struct(
-        kind.alias("treatment"),
-        F.when(kind == "indeterminado", "baixa").otherwise("alta").alias("confidence"),
-        evidence.otherwise("no marker").alias("evidence"),
-    )
+        row = answer(treatment, "alta", why)
+        out = F.when(text.rlike(pattern), row) if out is None else out.when(text.rlike(pattern), row)
+    return out.otherwise(answer("indeterminado", "baixa", "no marker"))
 
 
 # Treatment words that may end a sample name.

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from xrdlake.llm.common import NO_ID, ids_back, ids_of, mix, pick, ragged, squeeze, text_bytes, unsqueeze
 
 SEED_BYTES = 16
-CHUNK_BYTES = 3_000_000
+CHUNK_BYTES = 1_500_000
 PART_BYTES = 8_000_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
 BYTE_HASH = mix(np.arange(1, 257, dtype=np.uint64) * ODD)
@@ -29,21 +29,27 @@ BYTE_HASH = mix(np.arange(1, 257, dtype=np.uint64) * ODD)
 
 def window_hashes(buf: np.ndarray, size: int) -> np.ndarray:
     """A polynomial hash of every ``size``-byte window, by doubling."""
-    width, h, power = 1, BYTE_HASH[buf], ODD
-    powers = {1: power}
-    hashes = {1: h}
-    while width * 2 <= size:
-        h = h[:-width] * power + h[width:]
+    width, h, power, at, out = 1, BYTE_HASH[buf], ODD, 0, None
+    n = len(buf) - size + 1
+    while True:
+        if size & width:  # this width is one of the blocks that make up a window, the small ones first
+            block = h[at:at + n]
+            out = block.copy() if out is None else out + block * np.uint64(pow(int(ODD), at, 2**64))
+            at += width
+        if width * 2 > size:
+            return mix(out)
+        h = h[:-width] + h[width:] * power
         width *= 2
         power = np.uint64(int(power) ** 2 % 2**64)
-        hashes[width], powers[width] = h, power
-    n, at, out = len(buf) - size + 1, 0, None
-    for w in sorted(hashes, reverse=True):
-        if size - at >= w:
-            part = hashes[w][at:at + n]
-            out = part if out is None else out * powers[w] + part
-            at += w
-    return mix(out)
+
+
+def row_hashes(rows: np.ndarray) -> np.ndarray:
+    """The same hash for every row of a byte matrix."""
+    h, power = np.zeros(len(rows), np.uint64), 1
+    for i in range(rows.shape[1]):
+        h += BYTE_HASH[rows[:, i]] * np.uint64(power)
+        power = power * int(ODD) % 2**64
+    return mix(h)
 
 
 def segments(buf: np.ndarray, starts: np.ndarray, lengths: np.ndarray, size: int):
@@ -150,15 +156,18 @@ def find_in_part(blobs: list[bytes], size: int):
             c.append(v)
     data, length, lead, start, doc, key = (np.concatenate(c) for c in cols[:6])
     length, lead, start = length.astype(np.int64), lead.astype(np.int64), start.astype(np.int64)
-    first = np.cumsum(length) - length
-    seed = window_hashes(data, SEED_BYTES)[first + lead]
+    table = np.zeros((len(length), 2 * size - SEED_BYTES), np.uint8)
+    table[np.arange(table.shape[1]) < length[:, None]] = data
+    del data, cols
+    seed = row_hashes(table[np.arange(len(table))[:, None], lead[:, None] + np.arange(SEED_BYTES)])
     # equal segments: all but those of the smallest document repeat as a whole; content decides, the hash only sorts
-    prefix = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(mix(data.astype(np.uint64) * ODD + position_in(length)), out=prefix[1:])
-    whole = mix(prefix[first + length] - prefix[first] + length.astype(np.uint64) * ODD)
+    whole = row_hashes(table) + length.astype(np.uint64)
     order = np.lexsort((doc, whole, seed))
-    same = (seed[order][1:] == seed[order][:-1]) & (length[order][1:] == length[order][:-1]) & (whole[order][1:] == whole[order][:-1])
-    same[same] = equal_runs(data, first[order], length[order], np.flatnonzero(same))
+    same = (length[order][1:] == length[order][:-1]) & (whole[order][1:] == whole[order][:-1])
+    near = np.flatnonzero(same)
+    for a in range(0, len(near), 100_000):
+        left = near[a:a + 100_000]
+        same[left] = (table[order[left]] == table[order[left + 1]]).all(axis=1)
     group = np.cumsum(np.concatenate(([0], ~same)))
     lead_of = np.flatnonzero(np.concatenate(([True], ~same)))
     rep = order[lead_of][group]  # of each segment in order, the one of the smallest document
@@ -171,6 +180,9 @@ def find_in_part(blobs: list[bytes], size: int):
     alone[:-1] &= s[:-1] != s[1:]
     reps = reps[~alone]
     if len(reps):
+        data = table[reps][np.arange(table.shape[1]) < length[reps][:, None]]
+        first = np.zeros(len(doc), np.int64)
+        first[reps] = np.cumsum(length[reps]) - length[reps]
         windows = length[reps] - size + 1
         at, owner = ragged(first[reps], windows), np.repeat(reps, windows)
         h = window_hashes(data, size)[at]
@@ -200,22 +212,6 @@ def find_in_part(blobs: list[bytes], size: int):
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
-def position_in(length: np.ndarray) -> np.ndarray:
-    """For every byte of the segments a value that depends on its place in its segment."""
-    first = np.cumsum(length) - length
-    place = (np.arange(int(length.sum())) - np.repeat(first, length)).astype(np.uint64)
-    return mix(place + np.uint64(1))
-
-
-def equal_runs(data: np.ndarray, first: np.ndarray, length: np.ndarray, left: np.ndarray) -> np.ndarray:
-    """Whether segments ``left`` and ``left + 1`` hold the same bytes."""
-    n = length[left]
-    if not len(n):
-        return np.zeros(0, bool)
-    differ = data[ragged(first[left], n)] != data[ragged(first[left + 1], n)]
-    return np.add.reduceat(differ, np.cumsum(n) - n) == 0
-
-
 def doc_part(ids: np.ndarray, parts: int) -> np.ndarray:
     return (mix(ids.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
 
@@ -253,12 +249,14 @@ def remove_repeats(docs: DataFrame, min_bytes: int = 50) -> DataFrame:
     def chunks(batches):
         held, size = [], 0
         for b in batches:
-            for row in zip(ids_of(b.column(0)).tolist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                held.append(row)
-                size += len(row[2])
-                if size >= CHUNK_BYTES:
-                    yield held
-                    held, size = [], 0
+            for a in range(0, b.num_rows, 500):
+                part = b.slice(a, 500)
+                for row in zip(ids_of(part.column(0)).tolist(), part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+                    held.append(row)
+                    size += len(row[2])
+                    if size >= CHUNK_BYTES:
+                        yield held
+                        held, size = [], 0
         if held:
             yield held
 

@@ -4,13 +4,64 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from xrdlake.llm import suffix_dedup
+from xrdlake.llm import chat_format, pack, suffix_dedup, url_filter
 from xrdlake.llm.registry import query, table
 
 
+def tokenizer_path() -> str:
+    """The vocabulary file that op7 names; installed with the interpreter on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 @query("op1_suffix_dedup")
 def op1(spark, sf_dir):
     out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), 50)
     return out.select(
         "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op2_chat_format", rf"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '{chat_format.PROBE}' FROM range(2) AS r(i)),
+e AS (
+  SELECT *, regexp_replace(role, '(\\|###|: |</turn>)', '\\\1', 'g') AS r2, regexp_replace(text, '(\\|###|: |</turn>)', '\\\1', 'g') AS t2,
+    lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS before FROM t)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length('### ' || r2 || ': ' || t2 || '</turn>' || chr(10))) AS BIGINT) AS formatted_chars,
+  bool_and(CASE WHEN before IS NULL THEN role IN ('system', 'user') WHEN before IN ('system') THEN role = 'user' WHEN before = 'user' THEN role = 'assistant'
+    WHEN before = 'assistant' THEN role IN ('user', 'tool') WHEN before = 'tool' THEN role = 'assistant' ELSE false END) AS in_order
+FROM e GROUP BY conv_id
+""")
+def op2(spark, sf_dir):
+    turns = chat_format.with_probe(table(spark, sf_dir, "conversations"))
+    return chat_format.read_back(chat_format.format_conversations(turns))
+
+
+@query("op4_url_filter", r"""
+WITH p AS (
+  SELECT page_id, coalesce(url, '') AS u FROM pages),
+s AS (
+  SELECT page_id, translate(regexp_extract(u, '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(u, '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path FROM p),
+r AS (
+  SELECT *, CASE WHEN '.' || host LIKE '%.www.example.com' AND path LIKE '/en/%' THEN 'www.example.com/en/'
+    WHEN '.' || host LIKE '%.example.com' AND path LIKE '/en/%' THEN 'example.com/en/'
+    WHEN '.' || host LIKE '%.com' AND path LIKE '/%' THEN 'com/'
+    WHEN '.' || host LIKE '%.net' AND path LIKE '/es/%' THEN 'net/es/'
+    WHEN '.' || host LIKE '%.net' AND path LIKE '/fr/%' THEN 'net/fr/' END AS rule FROM s)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.com/en/', 'net/es/', 'net/fr/') THEN 'block' ELSE 'allow' END AS verdict FROM r
+""")
+def op4(spark, sf_dir):
+    return url_filter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op7_best_fit_packing")
+def op7(spark, sf_dir):
+    return pack.pack(table(spark, sf_dir, "documents"), tokenizer_path())

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from xrdlake.llm import chat_format, pack, suffix_dedup, url_filter
+from xrdlake.llm import boosted, chat_format, decision_list, pack, suffix_dedup, url_filter
 from xrdlake.llm.registry import query, table
 
 
@@ -44,6 +44,12 @@ def op2(spark, sf_dir):
     return chat_format.read_back(chat_format.format_conversations(turns))
 
 
+@query("op3_quality_rules")
+def op3(spark, sf_dir):
+    out = decision_list.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
 @query("op4_url_filter", r"""
 WITH p AS (
   SELECT page_id, coalesce(url, '') AS u FROM pages),
@@ -65,3 +71,8 @@ def op4(spark, sf_dir):
 @query("op7_best_fit_packing")
 def op7(spark, sf_dir):
     return pack.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query("op9_quality_classifier")
+def op9(spark, sf_dir):
+    return boosted.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from xrdlake.llm.common import ids_back, ids_of, pick
+from xrdlake.llm.common import NO_ID, ids_back, ids_of, pick
 from xrdlake.session import written
 
 CAPACITY = 2048
@@ -179,7 +179,8 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Data
     lengths are shuffled. Null and empty texts are one piece of one token; repeated rows are packed once each; an
     empty table gives no rows; other columns are not read.
     """
-    rest = written(pieces_of(docs, tokenizer_path, capacity), "pieces")
+    # pandas has no missing integers: a missing id goes through the shards as NO_ID
+    rest = written(pieces_of(docs, tokenizer_path, capacity).withColumn("doc_id", F.coalesce("doc_id", F.lit(int(NO_ID)))), "pieces")
     done, base, seal, left = None, 0, 0.995, rest.count()
     while True:
         shards = max(1, round(left / SHARD_PIECES))
@@ -187,13 +188,15 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Data
         dealt = rest.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(base)), F.lit(shards)))
         placed = dealt.groupBy("shard").applyInPandas(placer(base, capacity, 0.0 if last else seal), PLACED)
         if last:
-            return placed if done is None else done.unionByName(placed)
+            done = placed if done is None else done.unionByName(placed)
+            break
         placed = written(placed, "packed")
         closed = placed.where("sequence_id >= 0")
         done = closed if done is None else done.unionByName(closed)
         rest = placed.where("sequence_id < 0").drop("sequence_id", "offset")
         base, before, left = base + shards, left, rest.count()
         if not left:
-            return done
+            break
         if left > 0.5 * before:  # hardly any bin is full enough: settle for less, so that the rounds end
             seal *= 0.9
+    return done.withColumn("doc_id", F.nullif("doc_id", F.lit(int(NO_ID))))

@@ -7,13 +7,13 @@ from __future__ import annotations
 
 import dataclasses
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from xrdlake.llm.common import pick
 
 MAX_ENTRIES = 1_000_000
+NAMES = ("page_id", "url", "host", "path", "rule", "verdict")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -108,12 +108,9 @@ def judge(pages: DataFrame, rules=RULES, default: str = "allow") -> DataFrame:
     def look(batches):
         for b in batches:
             found = []
-            for url in b["url"]:
-                host, path = split_url(url if isinstance(url, str) else None)
-                rule, verdict = match(trie.value, host, path) or (None, default)
-                found.append((host, path, rule, verdict))
-            out = pd.DataFrame(found, columns=["host", "path", "rule", "verdict"], index=b.index, dtype=object)
-            yield pd.concat([b, out], axis=1)
-
-    return rows.mapInPandas(look, "page_id long, url string, host string, path string, rule string, verdict string").select(
-        F.col("page_id"), "url", "host", "path", "rule", "verdict")
+            for url in b.column(1).to_pylist():
+                host, path = split_url(url)
+                found.append((host, path, *(match(trie.value, host, path) or (None, default))))
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c, pa.string()) for c in zip(*found, strict=True))], names=[*NAMES])
+
+    return rows.mapInArrow(look, "page_id long, url string, host string, path string, rule string, verdict string")

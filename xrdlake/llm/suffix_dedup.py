@@ -18,10 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from xrdlake.llm.common import NO_ID, ids_back, ids_of, mix, pick, ragged, squeeze, text_bytes, unsqueeze
+from xrdlake.llm.common import NO_ID, ids_back, ids_of, mix, pick, ragged, squeeze, steps, unsqueeze
 
 SEED_BYTES = 16
-CHUNK_BYTES = 1_500_000
+CHUNK_BYTES = 6_000_000
+STEP_BYTES = 1_000_000
 PART_BYTES = 8_000_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
 BYTE_HASH = mix(np.arange(1, 257, dtype=np.uint64) * ODD)
@@ -84,23 +85,29 @@ def segments(buf: np.ndarray, starts: np.ndarray, lengths: np.ndarray, size: int
 
 
 def pack_segments(docs: list[tuple[int, int, bytes]], size: int, parts: int):
-    """One compressed row per part from ``(doc_id, key, text)`` rows."""
-    buf = np.frombuffer(b"".join(t for _, _, t in docs), np.uint8)
+    """One compressed row per part from ``(doc_id, key, text)`` rows: segments by document and place."""
     lengths = np.array([len(t) for _, _, t in docs], np.int64)
     starts = np.cumsum(lengths) - lengths
-    seed, owner, first, end, lead = segments(buf, starts, lengths, size)
-    if not len(seed):
+    buf = np.frombuffer(b"".join(t for _, _, t in docs), np.uint8)
+    found, a = [], 0
+    while a < len(docs):  # a few documents at a time, for the memory of the hashes
+        b = max(a + 1, int(np.searchsorted(starts, starts[a] + STEP_BYTES)))
+        base, end = starts[a], starts[b - 1] + lengths[b - 1]
+        seed, owner, first, last, lead = segments(buf[base:end], starts[a:b] - base, lengths[a:b], size)
+        found.append(((mix(seed) % np.uint64(parts)).astype(np.int64), owner + a, first + base, (last - first).astype(np.uint8), (lead - first).astype(np.uint8)))
+        a = b
+    part, owner, first, length, lead = (np.concatenate(c) for c in zip(*found, strict=True))
+    if not len(part):
         return
-    part = (mix(seed) % np.uint64(parts)).astype(np.int64)
-    order = np.lexsort((seed, part))
+    order = np.argsort(part, kind="stable")
     ids, keys = np.array([d for d, _, _ in docs], np.int64), np.array([k for _, k, _ in docs], np.int64)
     edge = np.flatnonzero(np.diff(part[order], prepend=-1))
     for a, b in zip(edge, np.append(edge[1:], len(order)), strict=True):
         own = order[a:b]
         used, number = np.unique(owner[own], return_inverse=True)
         yield int(part[own[0]]), squeeze(
-            buf[ragged(first[own], end[own] - first[own])], (end - first)[own].astype(np.uint8), (lead - first)[own].astype(np.uint8),
-            number.astype(np.uint32), (first[own] - starts[owner[own]]).astype(np.uint32), ids[used], keys[used])
+            buf[ragged(first[own], length[own].astype(np.int64))], length[own], lead[own],
+            steps(number.astype(np.uint32)), steps(first[own].astype(np.uint32)), steps(ids[used]), keys[used], steps(starts[used]))
 
 
 def earlier_match(doc: np.ndarray, lcp: np.ndarray, size: int) -> np.ndarray:
@@ -148,14 +155,16 @@ def repeats(data: np.ndarray, at: np.ndarray, doc: np.ndarray, size: int) -> np.
 
 def find_in_part(blobs: list[bytes], size: int):
     """``(doc_id, key, start, end)`` arrays of the repeated stretches of one part."""
-    kinds = (np.uint8, np.uint8, np.uint8, np.uint32, np.uint32, np.int64, np.int64)
-    cols: list[list[np.ndarray]] = [[] for _ in range(7)]
+    kinds = (np.uint8, np.uint8, np.uint8, np.uint32, np.uint32, np.int64, np.int64, np.int64)
+    cols: list[list[np.ndarray]] = [[] for _ in range(6)]
     for blob in blobs:
-        data, length, lead, number, start, ids, keys = unsqueeze(blob, *kinds)
-        for c, v in zip(cols, (data, length, lead, start, ids[number], keys[number]), strict=False):
+        data, length, lead, number, first, ids, keys, starts = unsqueeze(blob, *kinds)
+        number = np.cumsum(number, dtype=np.uint32)
+        place = np.cumsum(first, dtype=np.uint32).astype(np.int64) - np.cumsum(starts)[number]
+        for c, v in zip(cols, (data, length, lead, place, np.cumsum(ids)[number], keys[number]), strict=True):
             c.append(v)
-    data, length, lead, start, doc, key = (np.concatenate(c) for c in cols[:6])
-    length, lead, start = length.astype(np.int64), lead.astype(np.int64), start.astype(np.int64)
+    data, length, lead, start, doc, key = (np.concatenate(c) for c in cols)
+    length, lead = length.astype(np.int64), lead.astype(np.int64)
     table = np.zeros((len(length), 2 * size - SEED_BYTES), np.uint8)
     table[np.arange(table.shape[1]) < length[:, None]] = data
     del data, cols
@@ -235,10 +244,12 @@ def remove_repeats(docs: DataFrame, min_bytes: int = 50) -> DataFrame:
     """
     if not SEED_BYTES <= min_bytes <= 128:
         raise ValueError("min_bytes must be from 16 to 128")
-    rows = pick(docs, doc_id="long", text="string").select(
-        "doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("raw"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("row_key"))
-    total = text_bytes(pick(docs, text="string"))
-    parts = max(1, -(-total // PART_BYTES))
+    rows = pick(docs, doc_id="long", text="string").fillna("", ["text"])
+    total, ids, kinds = rows.agg(F.sum(F.octet_length("text")), F.count(F.lit(1)), F.count_distinct(F.coalesce("doc_id", F.lit(int(NO_ID))))).first()
+    # rows are told apart by their ids; only where ids repeat, by their texts as well
+    row_key = F.lit(0).cast("long") if ids == kinds else F.xxhash64("text")
+    rows = rows.select("doc_id", row_key.alias("row_key"), F.col("text").cast("binary").alias("raw"))
+    parts = max(1, -(-(total or 0) // PART_BYTES))
     out_schema = "part long, kind int, blob binary"
     names = ["part", "kind", "blob"]
 
@@ -272,7 +283,7 @@ def remove_repeats(docs: DataFrame, min_bytes: int = 50) -> DataFrame:
         order = np.lexsort((lo, doc, to))
         doc, key, lo, hi, to = doc[order], key[order], lo[order], hi[order], to[order]
         edge = np.flatnonzero(np.diff(to, prepend=-1))
-        made = [(int(to[a]), 1, squeeze(doc[a:b], key[a:b], lo[a:b].astype(np.uint32), hi[a:b].astype(np.uint32)))
+        made = [(int(to[a]), 1, squeeze(steps(doc[a:b]), key[a:b], steps(lo[a:b].astype(np.uint32)), (hi - lo)[a:b].astype(np.uint32)))
                 for a, b in zip(edge, np.append(edge[1:], len(to)), strict=True)]
         return pa.Table.from_batches([batch_of(made)] if made else [], schema=pa.schema([("part", pa.int64()), ("kind", pa.int32()), ("blob", pa.binary())]))
 
@@ -289,9 +300,10 @@ def remove_repeats(docs: DataFrame, min_bytes: int = 50) -> DataFrame:
     def apply_spans(table: pa.Table) -> pa.Table:
         kinds, blobs = table.column("kind").to_pylist(), table.column("blob").to_pylist()
         found = [unsqueeze(b, np.int64, np.int64, np.uint32, np.uint32) for k, b in zip(kinds, blobs, strict=True) if k == 1]
+        found = [(np.cumsum(d), k, lo := np.cumsum(s, dtype=np.uint32).astype(np.int64), lo + n) for d, k, s, n in found]
         doc, key, lo, hi = (np.concatenate(c) for c in zip(*found, strict=True)) if found else [np.empty(0, np.int64)] * 4
         order = np.lexsort((key, doc))
-        doc, key, lo, hi = doc[order], key[order], lo[order].astype(np.int64), hi[order].astype(np.int64)
+        doc, key, lo, hi = doc[order], key[order], lo[order], hi[order]
         edge = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])))) if len(doc) else np.empty(0, np.int64)
         at = {(int(doc[a]), int(key[a])): (a, b) for a, b in zip(edge, np.append(edge[1:], len(doc)), strict=False)}
         ids_out, size_out, kept_out, span_out = [], [], [], []

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from xrdlake.llm import boosted, chat_format, decision_list, pack, suffix_dedup, url_filter
+from xrdlake.llm import boosted, chat_format, decision_list, pack, secrets, suffix_dedup, url_filter
 from xrdlake.llm.registry import query, table
 
 
@@ -73,6 +73,15 @@ def op7(spark, sf_dir):
     return pack.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+@query("op8_secret_scan")
+def op8(spark, sf_dir):
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id", of("assign").alias("n_assign"), of("access").alias("n_access"), of("hex").alias("n_hex"),
+        F.sha2(secrets.spelled(F.filter("spans", lambda s: s["kind"] != "literal")), 256).alias("base_sha256"), secrets.spelled("spans").alias("spans"))
+
+
 @query("op9_quality_classifier")
 def op9(spark, sf_dir):
     return boosted.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

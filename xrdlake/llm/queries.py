@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from xrdlake.llm import boosted, chat_format, decision_list, pack, secrets, suffix_dedup, url_filter
+from xrdlake.llm import boosted, chat_format, decision_list, decontaminate, pack, secrets, simhash, suffix_dedup, url_filter
 from xrdlake.llm.registry import query, table
 
 
@@ -68,6 +68,11 @@ def op4(spark, sf_dir):
     return url_filter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+@query("op5_simhash_near_dedup")
+def op5(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
 @query("op7_best_fit_packing")
 def op7(spark, sf_dir):
     return pack.pack(table(spark, sf_dir, "documents"), tokenizer_path())
@@ -85,3 +90,9 @@ def op8(spark, sf_dir):
 @query("op9_quality_classifier")
 def op9(spark, sf_dir):
     return boosted.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op10_benchmark_decontamination")
+def op10(spark, sf_dir):
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select(
+        "doc_id", "item_id", "start_word", "matched", "window")

@@ -121,17 +121,18 @@ def train(x: np.ndarray, y: np.ndarray, settings: Settings = Settings()) -> Mode
 
 
 def counted(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and the statistics of every whole text; the text itself is read once and goes no further."""
-    names = ["doc_id", *text_stats.COUNTS]
+    """``doc_id``, ``row_key`` (a hash of the text) and the statistics of every whole text; the text goes no further."""
+    names = ["doc_id", "row_key", *text_stats.COUNTS]
 
     def count(batches):
         for b in batches:
             for a in range(0, b.num_rows, 1000):
                 part = b.slice(a, 1000)
-                rows = [text_stats.statistics(t) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([ids_back(ids_of(part.column(0))), *(pa.array(c, pa.int64()) for c in zip(*rows, strict=True))], names=names)
+                rows = [text_stats.statistics(t) for t in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([ids_back(ids_of(part.column(0))), part.column(1), *(pa.array(c, pa.int64()) for c in zip(*rows, strict=True))], names=names)
 
-    return pick(docs, doc_id="long", text="string").mapInArrow(count, "doc_id long, " + ", ".join(f"{c} long" for c in text_stats.COUNTS))
+    rows = pick(docs, doc_id="long", text="string").select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("row_key"), "text")
+    return rows.mapInArrow(count, "doc_id long, row_key long, " + ", ".join(f"{c} long" for c in text_stats.COUNTS))
 
 
 def held_out(doc_id):
@@ -144,28 +145,58 @@ def matrix(counts) -> np.ndarray:
     return np.stack(text_stats.features({c: np.asarray(counts[c], float) for c in text_stats.COUNTS}), axis=1)
 
 
+def marks_of(labels: DataFrame) -> DataFrame:
+    """One quality per labelled document, the largest where several are given."""
+    return pick(labels, doc_id="long", quality="int").where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+
+
 def sample(stats: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> pd.DataFrame:
     """At most ``limit`` labelled rows of statistics, those with the least hash of their id; rows without a label are not taken."""
-    marks = pick(labels, doc_id="long", quality="int").where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    return stats.join(marks, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", *text_stats.COUNTS).limit(limit).toPandas()
+    return stats.join(marks_of(labels), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", *text_stats.COUNTS).limit(limit).toPandas()
+
+
+def trained(stats: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED, settings: Settings = Settings()) -> Model:
+    rows = sample(stats.where(~held_out(F.col("doc_id"))), labels, limit)
+    return train(matrix(rows), rows["quality"].to_numpy(float), settings)
+
+
+def scored(stats: DataFrame, model: Model, cut: float) -> DataFrame:
+    shared = stats.sparkSession.sparkContext.broadcast(model)
+
+    def apply(batches):
+        for b in batches:
+            x = matrix({c: b.column(c).to_numpy() for c in text_stats.COUNTS})
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "row_key", "held_out")), pa.array(shared.value.score(x))], names=["doc_id", "row_key", "held_out", "score"])
+
+    return stats.withColumn("held_out", held_out(F.col("doc_id"))).mapInArrow(apply, "doc_id long, row_key long, held_out boolean, score double").withColumn(
+        "predicted", (F.col("score") >= cut).cast("int"))
 
 
 def score(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED, cut: float = 0.7, settings: Settings = Settings()) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` of every row: the likelihood of label 1 from the text's statistics alone.
+    """``doc_id, row_key, held_out, score, predicted`` of every row: the likelihood of label 1 from the text's statistics alone.
 
     Null and empty texts have the statistics of an empty text and are scored like any other; repeated rows get equal
     scores. Without labelled rows, or with one label only, every score is the (smoothed) share of label 1. Labels whose quality or id
     is null are not used; of several labels of a document the largest counts. An empty table gives no rows; other columns are not read.
     """
     stats = written(counted(docs), "text-stats")
-    rows = sample(stats.where(~held_out(F.col("doc_id"))), labels, limit)
-    model = train(matrix(rows), rows["quality"].to_numpy(float), settings)
+    return scored(stats, trained(stats, labels, limit, settings), cut)
+
+
+def filtered(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED, cut: float = 0.7, settings: Settings = Settings()) -> DataFrame:
+    """The rows of ``docs``, all columns, that a classifier like that of ``score`` predicts to be good.
+
+    The sample is drawn from the labels (at most ``limit`` of them, so their ids may be broadcast), of which those that
+    ``docs`` holds are learned from. Texts are scored where they stand: neither rows nor texts are shuffled.
+    """
+    marks = marks_of(labels).where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    plain = pick(docs, doc_id="long", text="string")
+    model = trained(counted(plain.join(F.broadcast(marks), "doc_id", "left_semi")), labels, limit, settings)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def apply(batches):
-        for b in batches:
-            x = matrix({c: b.column(c).to_numpy() for c in text_stats.COUNTS})
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(shared.value.score(x))], names=["doc_id", "held_out", "score"])
+    @F.pandas_udf("double")
+    def of(texts: pd.Series) -> pd.Series:
+        rows = [text_stats.statistics(t) for t in texts]
+        return pd.Series(shared.value.score(matrix(dict(zip(text_stats.COUNTS, np.array(rows).reshape(-1, len(text_stats.COUNTS)).T, strict=True)))))
 
-    return stats.withColumn("held_out", held_out(F.col("doc_id"))).mapInArrow(apply, "doc_id long, held_out boolean, score double").withColumn(
-        "predicted", (F.col("score") >= cut).cast("int"))
+    return docs.where(of("text") >= cut)

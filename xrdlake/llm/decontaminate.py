@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from xrdlake.llm.common import ids_back, ids_of, mix, pick, ragged
+from xrdlake.session import written
 
 #: Word positions that a mask looks at.
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 3, 4, 5))
@@ -134,3 +135,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         part = rows.mapInArrow(look, "doc_id long, row_key long, item_id long, start_word long, matched long, window long")
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, that hold no item. Only ids and text hashes of leaks are joined, and only equal texts share a verdict."""
+    bad = written(leaks(docs, benchmark).select(F.col("row_key").alias("leaked_key")).distinct(), "leaks")  # written: Spark then knows its size
+    return docs.join(bad, F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("leaked_key"), "left_anti")

@@ -89,7 +89,7 @@ def op8(spark, sf_dir):
 
 @query("op9_quality_classifier")
 def op9(spark, sf_dir):
-    return boosted.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return boosted.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
 @query("op10_benchmark_decontamination")

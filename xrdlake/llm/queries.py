@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from xrdlake.llm import boosted, chat_format, decision_list, decontaminate, pack, secrets, simhash, suffix_dedup, url_filter
+from xrdlake.llm import boosted, chat_format, decision_list, decontaminate, pack, secrets, simhash, suffix_dedup, url_filter, wrappers
 from xrdlake.llm.registry import query, table
 
 
@@ -73,6 +73,11 @@ def op5(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+@query("op6_html_extraction")
+def op6(spark, sf_dir):
+    return wrappers.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 @query("op7_best_fit_packing")
 def op7(spark, sf_dir):
     return pack.pack(table(spark, sf_dir, "documents"), tokenizer_path())

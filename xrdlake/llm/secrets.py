@@ -62,8 +62,8 @@ def assignments(text: str):
     """``(name, literals, references)`` of every assignment: literals as ``(start, end, quoted)``, references as names."""
     for m in _OPERATOR.finditer(text):
         at = m.start()
-        if text[at - 1:at] in ("=", "!", "<", ">", ":") or text[at + 1:at + 3] == "//":
-            continue
+        if text[at - 1:at] in ("=", "!", "<", ">", ":") or text[at + 1:at + 3] == "//" or text[at] == text[at + 1:at + 2]:
+            continue  # a comparison, a scope, a web address, or the second sign of an operator
         end = at - (1 if text[at - 1:at] in ("+", "?") else 0)
         while end and text[end - 1] in " \t":
             end -= 1
@@ -77,7 +77,7 @@ def assignments(text: str):
         if not name or not name[0].isalpha() and name[0] != "_":
             continue
         pos = at + 1
-        if text[pos:pos + 1] in ("=", ">") or text[at] == ":" and text[pos:pos + 1] == ":":
+        if text[pos:pos + 1] in ("=", ">"):
             pos += 1
         literals, refs = [], []
         while True:

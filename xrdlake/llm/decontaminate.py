@@ -22,7 +22,7 @@ WINDOW = 13
 SIMILARITY = 0.8
 #: Words of benchmark that one pass over the documents takes to every task; more are dealt to more passes.
 PASS_WORDS = 1_000_000
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 400_000
 EDGE = b".,;:!?\"'()[]{}<>*#&%$|-_"
 
 _KNOWN: dict[bytes, int] = {}

@@ -15,7 +15,7 @@ from xrdlake.session import written
 
 CAPACITY = 2048
 SHARD_PIECES = 40_000
-CACHE_WORDS = 1_500_000
+CACHE_WORDS = 700_000
 SEPARATOR = "<|endoftext|>"
 
 _STATE: dict = {}

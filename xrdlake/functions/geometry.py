@@ -105,6 +105,16 @@ def scherrer_nm(fwhm, two_theta, wavelength=CU_K_ALPHA, shape=SHAPE_FACTOR) -> C
     return F.when((_c(fwhm) > 0) & (cos > 0), size)
 
 
+# The 060 window and its centres (dioctahedral, intermediate, trioctahedral).
+D060_WINDOW = (1.485, 1.555)
+D060_CENTRES = (1.50, 1.52, 1.54)
+
+
+def d060_distance(d) -> Column:
+    """Distance of a spacing to the nearest 060 centre."""
+    return F.least(*[F.abs(_c(d) - k) for k in D060_CENTRES])
+
+
 def octahedral_class(d060, tolerance=0.015) -> Column:
     """Octahedral type suggested by the 060 spacing."""
     v = _c(d060)

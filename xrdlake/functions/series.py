@@ -180,7 +180,7 @@ def local_maxima(x: Column, y: Column, threshold: float = 0.02, start: float = 4
     return F.filter(indices(y), hit)
 
 
-def strongest_apart(x: Column, y: Column, candidates: Column, distance: float, limit: int) -> Column:
+def strongest_apart(x: Column, y: Column, candidates: Column, distance: float, limit: int | None = None) -> Column:
     """Strongest first, dropping a candidate nearer than ``distance`` to a kept one.
 
     Equal heights are taken in axis order. The result lists indices by strength.
@@ -191,7 +191,8 @@ def strongest_apart(x: Column, y: Column, candidates: Column, distance: float, l
 
     def fold(kept, i):
         near = F.exists(kept, lambda k: F.abs(at(x, k) - at(x, i)) < distance)
-        return F.when(near | (F.size(kept) >= limit), kept).otherwise(F.array_append(kept, i))
+        full = near if limit is None else near | (F.size(kept) >= limit)
+        return F.when(full, kept).otherwise(F.array_append(kept, i))
     return F.aggregate(ranked, F.expr("cast(array() as array<int>)"), fold)
 
 

@@ -52,8 +52,9 @@ def default_relation(status) -> Column:
 
 
 def evidence_id(*parts) -> Column:
-    """Deterministic id: folded parts joined by hyphens, at most 96 characters."""
-    return F.substring(F.replace(lookup_key(F.concat_ws("-", *[_c(p) for p in parts])), F.lit(" "), F.lit("-")), 1, 96)
+    """Deterministic id: folded parts joined by hyphens, readable to 79 characters, with a hash of the whole."""
+    whole = F.replace(lookup_key(F.concat_ws("-", *[_c(p) for p in parts])), F.lit(" "), F.lit("-"))
+    return F.concat(F.substring(whole, 1, 79), F.lit("-"), F.substring(F.sha2(whole, 256), 1, 16))
 
 
 def violation(df: DataFrame, record: str, item, rule: str, cond: Column) -> DataFrame:

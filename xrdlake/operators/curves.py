@@ -72,8 +72,8 @@ def process(curves: DataFrame, fraction: float = 0.10) -> DataFrame:
     return c.withColumn("normalized", S.normalize_max(F.col("corrected")))
 
 
-def find_peaks(processed: DataFrame, threshold: float = 0.02, start: float = 4.0, distance: float = 0.18, limit: int = 40) -> DataFrame:
-    """Adds ``peak_idx``: indices of the selected maxima, strongest first."""
+def find_peaks(processed: DataFrame, threshold: float = 0.02, start: float = 4.0, distance: float = 0.18, limit: int | None = None) -> DataFrame:
+    """Adds ``peak_idx``: indices of all maxima that stand apart (or the first ``limit``), strongest first."""
     x, y = F.col("two_theta"), F.col("normalized")
     return processed.withColumn("peak_idx", S.let(
         S.local_maxima(x, y, threshold, start), lambda c: S.strongest_apart(x, y, c, distance, limit)))
@@ -106,11 +106,11 @@ def light_peaks(found: DataFrame, keep: tuple[str, ...] = ("curve_id",)) -> Data
     return p.withColumn("d", bragg_d("two_theta"))
 
 
-def compact_points(curves: DataFrame, limit: int = 20) -> DataFrame:
-    """Adds ``compact``: the strongest points of a curve."""
+def compact_points(curves: DataFrame, limit: int | None = None) -> DataFrame:
+    """Adds ``compact``: the points of a curve by height, all or the first ``limit``."""
     ranked = F.array_sort(F.transform(F.arrays_zip("two_theta", "intensity"), lambda p: F.struct(
         (-p["intensity"]).alias("h"), p["two_theta"].alias("two_theta"), p["intensity"].alias("intensity"))))
-    return curves.withColumn("compact", F.slice(ranked, 1, limit))
+    return curves.withColumn("compact", ranked if limit is None else F.slice(ranked, 1, limit))
 
 
 def targeted_quality(relative_height: Column, contrast: Column, is_max: Column) -> Column:
@@ -316,7 +316,7 @@ def detector(curves: DataFrame, window: int = 11, order: int = 3, half: int = 10
     c = c.withColumn("step", S.median_step(x))
     c = c.withColumn("peak_idx", S.let(
         F.filter(S.local_maxima(x, F.col("smoothed"), 0.0, -1e9), lambda i: F.greatest(S.at(F.col("smoothed"), i), S.at(F.col("corrected"), i)) / F.col("noise") >= min_snr),
-        lambda k: S.strongest_apart(x, F.col("smoothed"), k, distance, 10_000)))
+        lambda k: S.strongest_apart(x, F.col("smoothed"), k, distance)))
 
     def row(i, k):
         y = F.col("smoothed")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from xrdlake.functions.text import url_slug
+from xrdlake.session import written
 
 
 def best_per_key(entries: DataFrame, keys: list[str], payload: list[str], order: list[Column]) -> DataFrame:
@@ -79,17 +80,18 @@ def contains_join(items: DataFrame, text: str, patterns: DataFrame, pattern: str
     return a.join(b, "_g").where(F.col(text).contains(F.col(pattern))).drop("_g")
 
 
-def apply_overrides(candidates: DataFrame, overrides: DataFrame, limit: int = 6) -> DataFrame:
-    """Curated candidates first, then the existing ones, one per mineral, at most ``limit``.
+def apply_overrides(candidates: DataFrame, overrides: DataFrame, limit: int | None = None) -> DataFrame:
+    """Curated candidates first, then the existing ones, one per mineral, with their position; all or the first ``limit``.
 
-    Both frames: item, rank, mineral. The cut to ``limit`` is what a curve reports.
+    Both frames: item, rank, mineral.
     """
     o = overrides.select("item", F.lit(0).alias("tier"), "rank", "mineral")
     c = candidates.select("item", F.lit(1).alias("tier"), "rank", "mineral")
     u = o.unionByName(c).withColumn("slug", url_slug("mineral"))
     first = u.groupBy("item", "slug").agg(F.min(F.struct("tier", "rank", "mineral")).alias("m"))
     w = W.partitionBy("item").orderBy("m")
-    ranked = first.withColumn("position", F.row_number().over(w)).where(F.col("position") <= limit)
+    ranked = first.withColumn("position", F.row_number().over(w))
+    ranked = ranked if limit is None else ranked.where(F.col("position") <= limit)
     return ranked.select("item", "position", "m.mineral", (F.col("m.tier") == 0).alias("override"))
 
 
@@ -99,18 +101,25 @@ def link_terms(mentions: DataFrame, aliases: DataFrame, groups: DataFrame) -> Da
     return mentions.join(first, "key", "left").join(groups, "term_id", "left")
 
 
-def resolve_hierarchy(items: DataFrame, terms: DataFrame, levels: tuple[str, ...], depth: int = 4) -> DataFrame:
-    """Walk up the broader links (at most ``depth``) and give the label found at each level."""
-    chain = items.select("item", F.col("term_id").alias("t"))
-    steps = None
-    node = terms.select(F.col("term_id").alias("t"), "label", "level", "broader")
-    for _ in range(depth):
-        hop = chain.join(node, "t")
-        part = hop.select("item", "level", "label")
-        steps = part if steps is None else steps.unionByName(part)
-        chain = hop.where("broader IS NOT NULL").select("item", F.col("broader").alias("t"))
-    found = steps.groupBy("item").agg(*[F.min(F.when(F.col("level") == lv, F.col("label"))).alias(lv) for lv in levels])
-    return items.select("item").join(found, "item", "left")
+def resolve_hierarchy(items: DataFrame, terms: DataFrame, levels: tuple[str, ...], most_hops: int = 100) -> DataFrame:
+    """The label found at each level on the way up the broader links of an item's term.
+
+    The terms are resolved once: every round moves all of them one link up and writes what it found, until none is left;
+    a longer way than ``most_hops`` (a cycle) is an error. The items then need a single join.
+    """
+    node = written(terms.select(F.col("term_id").alias("at"), "label", "level", "broader"), "terms")
+    at, found = node.select(F.col("at").alias("term_id"), "at"), None
+    for _ in range(most_hops):
+        hop = written(at.join(node, "at"), "hop")
+        part = hop.select("term_id", "level", "label")
+        found = part if found is None else found.unionByName(part)
+        at = hop.where("broader IS NOT NULL").select("term_id", F.col("broader").alias("at"))
+        if at.isEmpty():
+            break
+    else:
+        raise RuntimeError("broader links do not end")
+    resolved = written(found.groupBy("term_id").agg(*[F.min(F.when(F.col("level") == lv, F.col("label"))).alias(lv) for lv in levels]), "levels")
+    return items.select("item", "term_id").join(resolved, "term_id", "left").select("item", *levels)
 
 
 def duplicate_of(incoming: DataFrame, stored: DataFrame) -> DataFrame:

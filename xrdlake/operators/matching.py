@@ -59,13 +59,13 @@ def one_to_one(pairs: Column) -> Column:
         F.exists(acc, lambda k: (k["ref"] == p["ref"]) | (k["obs"] == p["obs"])), acc).otherwise(F.array_append(acc, p)))
 
 
-def match_reference_lines(peaks: DataFrame, lines: DataFrame, tolerance: float = 0.25, line_limit: int = 80) -> DataFrame:
+def match_reference_lines(peaks: DataFrame, lines: DataFrame, tolerance: float = 0.25, line_limit: int | None = None) -> DataFrame:
     """Score every curve against every reference that shares a line position.
 
     ``lines``: reference_id, line_index, ref_two_theta, ref_intensity. The pairs
-    of one (curve, reference) are bounded by the line limit of a pattern.
+    of one (curve, reference) are bounded by the lines of a pattern.
     """
-    lib = lines.where(F.col("line_index") < line_limit)
+    lib = lines if line_limit is None else lines.where(F.col("line_index") < line_limit)
     totals = lib.groupBy("reference_id").agg(F.count("*").alias("reference_lines"), F.sum(F.coalesce("ref_intensity", F.lit(1.0))).alias("total_weight"))
     near = near_join(peaks.select("curve_id", "peak_index", "two_theta"), lib, "two_theta", "ref_two_theta", tolerance)
     g = near.groupBy("curve_id", "reference_id").agg(F.collect_list(F.struct(
@@ -94,12 +94,12 @@ def classify_by_library(peaks: DataFrame, lines: DataFrame, tolerance: float = 0
     return a.select("curve_id", "reference_id", "matched_lines", "reference_lines", "coverage", "score", conf.alias("confidence"))
 
 
-def peak_set(found: DataFrame, limit: int) -> Column:
-    """The strongest ``limit`` peaks of a processed curve as an array of structs."""
+def peak_set(found: DataFrame, limit: int | None = None) -> Column:
+    """The peaks of a processed curve, all or the strongest ``limit``, as an array of structs."""
     from xrdlake.functions.geometry import bragg_d
 
     x = F.col("two_theta")
-    return F.transform(F.slice("peak_idx", 1, limit), lambda i: F.struct(
+    return F.transform("peak_idx" if limit is None else F.slice("peak_idx", 1, limit), lambda i: F.struct(
         S.at(x, i).alias("t"), bragg_d(S.at(x, i)).alias("d"), (S.at(F.col("normalized"), i) * 100).alias("i"),
         S.half_width(x, F.col("corrected"), i)["fwhm"].alias("w")))
 
@@ -177,10 +177,16 @@ def hkl_lines(cells: DataFrame, max_index: int = 6, wavelength: float = 1.5406)
 
 
 def index_peaks(peaks: DataFrame, cells: DataFrame, tolerance: float = 0.2, max_index: int = 6) -> DataFrame:
-    """Reflections within ``tolerance`` degrees of each peak, nearest first."""
+    """The nearest reflection within ``tolerance`` degrees of each peak, and how many there are.
+
+    Minima are taken before the shuffle, so the output grows with the peaks and not with the cells; of equally near
+    reflections the first by cell and indices stands.
+    """
     lines = hkl_lines(cells, max_index).select("cell_id", "h", "k", "l", "line_two_theta")
     j = near_join(peaks.select("curve_id", "peak_index", "two_theta"), lines, "two_theta", "line_two_theta", tolerance)
-    return j.withColumn("delta", F.abs(F.col("two_theta") - F.col("line_two_theta")))
+    delta = F.round(F.abs(F.col("two_theta") - F.col("line_two_theta")), 9)
+    best = j.groupBy("curve_id", "peak_index").agg(F.count("*").alias("matches"), F.min(F.struct(delta.alias("delta"), "cell_id", "h", "k", "l")).alias("b"))
+    return best.select("curve_id", "peak_index", "matches", "b.*")
 
 
 def pattern_match_score(df: DataFrame) -> DataFrame:

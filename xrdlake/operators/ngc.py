@@ -432,11 +432,11 @@ def with_context(t: DataFrame, context: DataFrame) -> DataFrame:
 
 
 def interpret(t: DataFrame, context: DataFrame) -> DataFrame:
-    """All layers of a sample: the eight best candidates with score, level and rank."""
+    """All layers of a sample: every candidate with score, level and rank."""
     from xrdlake.operators.panels import rank_within
 
     s = score_candidates(candidates(ambiguities(behaviours(with_context(t, context)))))
-    return rank_within(s, ["sample_base"], [F.desc("score"), F.col("label")], 8)
+    return rank_within(s, ["sample_base"], [F.desc("score"), F.col("label")])
 
 
 def heat_ratio_rules(t: DataFrame) -> DataFrame:

@@ -31,11 +31,11 @@ def best_by_preparation(items: DataFrame, base: str = "sample_base", item: str =
 
 
 def comparison_suggestions(items: DataFrame, minerals: DataFrame) -> DataFrame:
-    """Sets of curves worth comparing: type, priority, group and up to six items.
+    """Sets of curves worth comparing, one row per member: group, type, priority, item.
 
     ``items``: item_id, sample_base, preparation. ``minerals``: item_id, mineral.
-    The six items shown are the first by id, found by a ranked window whose
-    limit is pushed below the shuffle, so a common treatment is not gathered.
+    Sets of a common treatment or mineral may hold a large share of all curves, so
+    they are given as membership rows; nothing is gathered.
     """
     g = best_by_preparation(items)
     has = lambda p: F.col(p).isNotNull()
@@ -49,19 +49,16 @@ def comparison_suggestions(items: DataFrame, minerals: DataFrame) -> DataFrame:
     per_sample = g.select(F.col("sample_base").cast("string").alias("group"), F.explode(F.array_compact(F.array(pair, unknown))).alias("s")).select(
         "group", F.col("s.t").alias("type"), F.col("s.p").alias("priority"), F.col("s.i").alias("items"))
 
-    def first_six(df: DataFrame, key: str, kind: str, priority: int) -> DataFrame:
-        w = W.partitionBy(key).orderBy("item_id")
-        top = df.withColumn("_r", F.row_number().over(w)).where("_r <= 6")
-        return top.groupBy(key).agg(F.array_sort(F.collect_list("item_id")).alias("items")).select(
-            F.col(key).cast("string").alias("group"), F.lit(kind).alias("type"), F.lit(priority).alias("priority"), "items")
-    replicas = first_six(items.join(g.where("n_items >= 3").select("sample_base"), "sample_base", "left_semi"), "sample_base", "replicatas", 8)
+    def members(df: DataFrame, key: str, kind: str, priority: int) -> DataFrame:
+        return df.select(F.col(key).cast("string").alias("group"), F.lit(kind).alias("type"), F.lit(priority).alias("priority"), F.col("item_id").alias("item"))
+    replicas = members(items.join(g.where("n_items >= 3").select("sample_base"), "sample_base", "left_semi"), "sample_base", "replicatas", 8)
     big = items.groupBy("preparation").agg(F.count("*").alias("n")).where("n >= 3").select("preparation")
-    same_prep = first_six(items.join(big, "preparation", "left_semi"), "preparation", "preparo", 7)
+    same_prep = members(items.join(big, "preparation", "left_semi"), "preparation", "preparo", 7)
     m = minerals.join(items, "item_id").select("mineral", "item_id", "sample_base").distinct()
     wide = m.groupBy("mineral").agg(F.min("sample_base").alias("a"), F.max("sample_base").alias("b")).where("a < b").select("mineral")
-    same_mineral = first_six(m.join(wide, "mineral", "left_semi").select("mineral", "item_id").distinct(), "mineral", "mineral", 6)
-    out = per_sample.unionByName(replicas).unionByName(same_prep).unionByName(same_mineral)
-    return out.where(F.size("items") >= 2)
+    same_mineral = members(m.join(wide, "mineral", "left_semi").select("mineral", "item_id").distinct(), "mineral", "mineral", 6)
+    pairs = per_sample.where(F.size("items") >= 2).select("group", "type", "priority", F.explode("items").alias("item"))
+    return pairs.unionByName(replicas).unionByName(same_prep).unionByName(same_mineral)
 
 
 def mineral_panel(candidates: DataFrame) -> DataFrame:
@@ -119,29 +116,31 @@ def value_statistics(rows: DataFrame, values: list[str], name: str = "oxide") ->
     return long.groupBy(F.col("x.k").alias(name)).agg(F.count("*").alias("count"), F.avg("x.v").alias("mean"), F.min("x.v").alias("min"), F.max("x.v").alias("max"))
 
 
-def empirical_windows(validated: DataFrame, min_samples: int = 5) -> DataFrame:
+# What bounds an empirical window.
+WINDOW_STRATEGIES = {"p05_p95": ("p05", "p95"), "min_max": ("min", "max")}
+
+
+def empirical_windows(validated: DataFrame, min_samples: int = 5, strategy: str = "p05_p95") -> DataFrame:
     """Windows learnt from accepted patterns, with their strategy, confidence and provenance.
 
-    Spacings are first counted per value: measured spacings repeat, and exact
-    percentiles then work on weighted values.
+    The strategy is the one asked for, whatever the number of samples; few samples show in ``confidence``.
+    ``ignored`` counts the rows of a key that were not accepted or have no spacing. Spacings are first counted per value:
+    measured spacings repeat, and exact percentiles then work on weighted values. The provenance hash covers every
+    accepted (source, spacing) row through a sum of row digests, so that it needs no gathered list.
     """
-    ok = validated.where((F.col("validation_status") == "accepted") & F.col("d_spacing").isNotNull())
     keys = ["mineral_id", "peak_id", "preparation"]
-    per = ok.groupBy(*keys, "d_spacing").agg(F.count("*").alias("w"))
-    ids = ok.select(*keys, "source_record_id").distinct().groupBy(*keys).agg(
-        F.count("*").alias("n_sources"), F.min("source_record_id").alias("first_source"), F.max("source_record_id").alias("last_source"))
+    good = F.coalesce((F.col("validation_status") == "accepted") & F.col("d_spacing").isNotNull(), F.lit(False))
+    ignored = validated.groupBy(*keys).agg(F.count_if(~good).alias("ignored"))
+    ok = validated.where(good)
+    digest = F.conv(F.substring(F.md5(F.concat_ws("|", F.col("source_record_id").cast("string"), F.format_string("%.4f", "d_spacing")).cast("binary")), 1, 12), 16, 10).cast("decimal(38,0)")
+    rows = ok.groupBy(*keys).agg(F.sum(digest).cast("string").alias("rows_digest"), F.avg("d_spacing").alias("mean"), F.stddev_pop("d_spacing").alias("std"))
     pct = lambda q: F.expr(f"percentile(d_spacing, {q}, w)")
-    mean = F.sum(F.col("d_spacing") * F.col("w")) / F.sum("w")
-    g = per.groupBy(*keys).agg(
-        F.sum("w").alias("n"), mean.alias("mean"),
-        F.sqrt(F.greatest(F.sum(F.col("d_spacing") * F.col("d_spacing") * F.col("w")) / F.sum("w") - mean * mean, F.lit(0.0))).alias("std"),
-        F.min("d_spacing").alias("min"), F.max("d_spacing").alias("max"), pct(0.05).alias("p05"), pct(0.95).alias("p95"))
-    g = g.join(ids, keys)
-    enough = F.col("n") >= min_samples
-    g = g.withColumn("strategy", F.when(enough, "p05_p95").otherwise("min_max"))
-    g = g.withColumn("d_min", F.when(enough, F.col("p05")).otherwise(F.col("min"))).withColumn("d_max", F.when(enough, F.col("p95")).otherwise(F.col("max")))
-    g = g.withColumn("confidence", F.when(F.col("n") >= 20, "high").when(enough, "medium").otherwise("low"))
-    return g.withColumn("provenance_hash", stable_hash(*keys, "n", "first_source", "last_source"))
+    g = ok.groupBy(*keys, "d_spacing").agg(F.count("*").alias("w")).groupBy(*keys).agg(
+        F.sum("w").alias("n"), F.min("d_spacing").alias("min"), F.max("d_spacing").alias("max"), pct(0.05).alias("p05"), pct(0.95).alias("p95"))
+    low, high = WINDOW_STRATEGIES[strategy]
+    g = g.join(rows, keys).join(ignored, keys).withColumn("strategy", F.lit(strategy)).withColumn("d_min", F.col(low)).withColumn("d_max", F.col(high))
+    g = g.withColumn("confidence", F.when(F.col("n") < min_samples, "low").otherwise("reference_empirical"))
+    return g.withColumn("provenance_hash", stable_hash(*keys, "n", "rows_digest"))
 
 
 def vocabulary_coverage(terms: DataFrame, records: DataFrame, kinds: dict[str, Column]) -> DataFrame:

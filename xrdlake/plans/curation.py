@@ -31,7 +31,7 @@ def j1(spark, d):
 
 
 @query("j2_evidence_rows", f"""
-SELECT page_id, left(replace({_LK("page_id || '-' || url || '-xrd'")}, ' ', '-'), 96) AS evidence_id FROM pages""")
+SELECT page_id, left(w, 79) || '-' || left(sha256(w), 16) AS evidence_id FROM (SELECT page_id, replace({_LK("page_id || '-' || url || '-xrd'")}, ' ', '-') AS w FROM pages)""")
 def j2(spark, d):
     return table(spark, d, "pages").select("page_id", J.evidence_id(c("page_id").cast("string"), "url", F.lit("xrd")).alias("evidence_id"))
 

@@ -97,13 +97,13 @@ WITH RECURSIVE {MAXIMA}, ranked AS (SELECT curve_id, idx, tt, row_number() OVER
 fold AS (
   SELECT curve_id, CAST(0 AS BIGINT) AS k, CAST([] AS DOUBLE[]) AS kept, CAST([] AS INTEGER[]) AS ids FROM (SELECT DISTINCT curve_id FROM ranked)
   UNION ALL
-  SELECT f.curve_id, r.k, CASE WHEN len(f.kept) >= 10 OR len(list_filter(f.kept, lambda x: abs(x - r.tt) < 2.0)) > 0 THEN f.kept ELSE list_append(f.kept, r.tt) END,
-    CASE WHEN len(f.kept) >= 10 OR len(list_filter(f.kept, lambda x: abs(x - r.tt) < 2.0)) > 0 THEN f.ids ELSE list_append(f.ids, r.idx) END
+  SELECT f.curve_id, r.k, CASE WHEN len(list_filter(f.kept, lambda x: abs(x - r.tt) < 2.0)) > 0 THEN f.kept ELSE list_append(f.kept, r.tt) END,
+    CASE WHEN len(list_filter(f.kept, lambda x: abs(x - r.tt) < 2.0)) > 0 THEN f.ids ELSE list_append(f.ids, r.idx) END
   FROM fold f JOIN ranked r ON r.curve_id = f.curve_id AND r.k = f.k + 1),
 last AS (SELECT curve_id, arg_max(ids, k) AS ids FROM fold GROUP BY 1)
 SELECT curve_id, unnest(ids) AS idx, generate_subscripts(ids, 1) AS rank FROM last""")
 def c8(spark, d):
-    f = C.find_peaks(C.process(curves(spark, d)), distance=2.0, limit=10)
+    f = C.find_peaks(C.process(curves(spark, d)), distance=2.0)
     return S.unnest_pos(f, ("curve_id",), F.col("peak_idx"), "k", "idx").select("curve_id", "idx", (F.col("k") + 1).cast("long").alias("rank"))
 
 

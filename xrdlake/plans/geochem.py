@@ -118,26 +118,24 @@ def i5(spark, d):
 def links(spark, d):
     """A sparse graph over customers: consecutive orders of a priority group point to their customers."""
     o = table(spark, d, "orders").select((c("o_custkey") * 2).alias("source"), (F.floor(c("o_orderkey") / 40) * 2 + 1).cast("long").alias("target"), "o_orderstatus", "o_totalprice")
-    return o.where("o_orderstatus = 'P' AND o_totalprice > 450000").select("source", "target")
+    return o.select("source", "target")
 
 
-@query("i6_connected_components", """
-WITH RECURSIVE e0 AS (SELECT DISTINCT o_custkey * 2 AS u, (o_orderkey // 40) * 2 + 1 AS v FROM orders WHERE o_orderstatus = 'P' AND o_totalprice > 450000), e AS (SELECT u, v FROM e0 UNION SELECT v, u FROM e0),
-n AS (SELECT DISTINCT u AS node FROM e), rch AS (SELECT node, node AS r FROM n WHERE node IN (SELECT min(u) FROM e GROUP BY v) OR node NOT IN (SELECT v FROM e WHERE u < v) UNION SELECT e.v, rch.r FROM rch JOIN e ON e.u = rch.node)
-SELECT node, min(r) AS component FROM rch GROUP BY 1""")
+_CC = """
+WITH RECURSIVE e0 AS (SELECT DISTINCT o_custkey * 2 AS u, (o_orderkey // 40) * 2 + 1 AS v FROM orders), e AS (SELECT u, v FROM e0 UNION SELECT v, u FROM e0),
+l(node, component) USING KEY (node) AS (SELECT u, min(v) AS c FROM (SELECT u, v FROM e UNION ALL SELECT u, u FROM e) GROUP BY u
+  UNION SELECT e.v, min(l.component) FROM l JOIN e ON e.u = l.node JOIN recurring.l AS r ON r.node = e.v WHERE l.component < r.component GROUP BY e.v),
+cc AS (SELECT node, component FROM l)
+"""
+
+
+@query("i6_connected_components", _CC + "SELECT node, component FROM cc")
 def i6(spark, d):
     e = links(spark, d)
     nodes = e.select(c("source").alias("node")).union(e.select(c("target").alias("node"))).distinct()
     return X.components(nodes, e)
 
 
-_CC = """
-WITH RECURSIVE e0 AS (SELECT DISTINCT o_custkey * 2 AS u, (o_orderkey // 40) * 2 + 1 AS v FROM orders WHERE o_orderstatus = 'P' AND o_totalprice > 450000), e AS (SELECT u, v FROM e0 UNION SELECT v, u FROM e0),
-n AS (SELECT DISTINCT u AS node FROM e), rch AS (SELECT node, node AS r FROM n WHERE node IN (SELECT min(u) FROM e GROUP BY v) OR node NOT IN (SELECT v FROM e WHERE u < v) UNION SELECT e.v, rch.r FROM rch JOIN e ON e.u = rch.node),
-cc AS (SELECT node, min(r) AS component FROM rch GROUP BY 1)
-"""
-
-
 @query("i6_cluster_summary", _CC + """, m AS (SELECT component, c_mktsegment AS class FROM cc LEFT JOIN customer ON c_custkey * 2 = node), p AS (SELECT component, class, count(*) AS n FROM m GROUP BY ALL)
 SELECT component, CAST(sum(n) AS BIGINT) AS size, arg_max(class, (n, class)) FILTER (class IS NOT NULL) AS label_class FROM p GROUP BY 1""")
 def i6b(spark, d):

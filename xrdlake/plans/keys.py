@@ -72,7 +72,7 @@ hit AS (SELECT c_custkey AS item, rank, mineral FROM customer JOIN ov ON contain
 u AS (SELECT item, 0 AS tier, rank, mineral FROM hit UNION ALL SELECT item, 1, rank, mineral FROM cand),
 f AS (SELECT item, trim(regexp_replace(lower(mineral), '[^a-z0-9]+', '-', 'g'), '-') AS slug, min((tier, rank, mineral)) AS m FROM u GROUP BY ALL),
 r AS (SELECT item, m, row_number() OVER (PARTITION BY item ORDER BY m) AS position FROM f)
-SELECT item, CAST(position AS INTEGER) AS position, m[3] AS mineral, m[1] = 0 AS override FROM r WHERE position <= 6""")
+SELECT item, CAST(position AS INTEGER) AS position, m[3] AS mineral, m[1] = 0 AS override FROM r""")
 def d12(spark, d):
     from pyspark.sql import Window as W
 

@@ -122,16 +122,17 @@ def d7(spark, d):
 
 @query("d16_index_peaks", f"""
 WITH {PEAKS}, cells AS (SELECT s_suppkey AS cell_id, CASE s_nationkey % 2 WHEN 0 THEN 'cubic' ELSE 'tetragonal' END AS sys, 3e0 + s_nationkey / 5e0 AS a, 5e0 + s_suppkey % 7 AS c FROM supplier),
-ax AS (SELECT CAST(i AS BIGINT) AS i FROM range(0, 3) t(i)),
+ax AS (SELECT CAST(i AS BIGINT) AS i FROM range(0, 7) t(i)),
 ln AS (SELECT cell_id, h.i AS h, k.i AS k, l.i AS l, CASE sys WHEN 'cubic' THEN a / sqrt(h.i*h.i + k.i*k.i + l.i*l.i) ELSE 1 / sqrt((h.i*h.i + k.i*k.i) / (a*a) + l.i*l.i / (c*c)) END AS ld
   FROM cells, ax h, ax k, ax l WHERE h.i + k.i + l.i > 0),
 lt AS (SELECT *, {bragg_tt('ld')} AS lt FROM ln)
-SELECT curve_id, peak_index, cell_id, h, k, l, round(abs(two_theta - lt), 6) AS delta FROM pk JOIN lt ON abs(two_theta - lt) <= 0.2""")
+SELECT curve_id, peak_index, count(*) AS matches, arg_min(cell_id, (dl, cell_id, h, k, l)) AS cell_id, arg_min(h, (dl, cell_id, h, k, l)) AS h, arg_min(k, (dl, cell_id, h, k, l)) AS k, arg_min(l, (dl, cell_id, h, k, l)) AS l, round(min(dl), 6) AS delta
+FROM (SELECT *, round(abs(two_theta - lt), 9) AS dl FROM pk JOIN lt ON abs(two_theta - lt) <= 0.2) GROUP BY 1, 2""")
 def d16(spark, d):
     s = table(spark, d, "supplier").select(
         F.col("s_suppkey").alias("cell_id"), F.when(F.col("s_nationkey") % 2 == 0, "cubic").otherwise("tetragonal").alias("crystal_system"),
         (F.col("s_nationkey") / 5 + 3.0).alias("a"), (F.col("s_suppkey") % 7 + 5.0).alias("c"))
-    return M.index_peaks(peaks(spark, d), s, max_index=2).select("curve_id", "peak_index", "cell_id", "h", "k", "l", r(F.col("delta")).alias("delta"))
+    return M.index_peaks(peaks(spark, d), s).select("curve_id", "peak_index", "matches", "cell_id", *[F.col(i).cast("long").alias(i) for i in "hkl"], r(F.col("delta")).alias("delta"))
 
 
 @query("d17_pattern_match_score", r"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from xrdlake.functions.geometry import D060_WINDOW, d060_distance
 from xrdlake.functions.text import lookup_key
 from xrdlake.functions.values import stable_hash
 from xrdlake.operators import curves as C, panels as P, sets as X
@@ -40,17 +41,16 @@ def e1(spark, d):
 @query("e2_comparison_suggestions", f"""
 WITH {ITEMS_SQL}, {_TRIO_SQL},
 p AS (SELECT CAST(sample_base AS VARCHAR) AS "group", CASE WHEN "natural" IS NOT NULL AND glicolado IS NOT NULL AND calcinado IS NOT NULL THEN 'trio' WHEN "natural" IS NOT NULL AND glicolado IS NOT NULL THEN 'ng'
-   WHEN "natural" IS NOT NULL AND calcinado IS NOT NULL THEN 'nc' WHEN glicolado IS NOT NULL AND calcinado IS NOT NULL THEN 'gc' END AS type, concat_ws(',', "natural", glicolado, calcinado) AS items FROM g),
-u AS (SELECT "group", type, CASE type WHEN 'trio' THEN 1 WHEN 'ng' THEN 2 WHEN 'nc' THEN 3 ELSE 4 END AS priority, items FROM p WHERE type IS NOT NULL
-  UNION ALL SELECT CAST(sample_base AS VARCHAR), 'indeterminado', 5, concat_ws(',', indeterminado, "natural", glicolado, calcinado) FROM g WHERE indeterminado IS NOT NULL AND coalesce("natural", glicolado, calcinado) IS NOT NULL
-  UNION ALL SELECT CAST(sample_base AS VARCHAR), 'replicatas', 8, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id) FROM (SELECT *, row_number() OVER (PARTITION BY sample_base ORDER BY item_id) AS k, count(*) OVER (PARTITION BY sample_base) AS n FROM it) WHERE n >= 3 AND k <= 6 GROUP BY sample_base
-  UNION ALL SELECT preparation, 'preparo', 7, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id) FROM (SELECT *, row_number() OVER (PARTITION BY preparation ORDER BY item_id) AS k FROM it) WHERE k <= 6 GROUP BY preparation
-  UNION ALL SELECT mineral, 'mineral', 6, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id) FROM (SELECT *, row_number() OVER (PARTITION BY mineral ORDER BY item_id) AS k FROM it) WHERE k <= 6 GROUP BY mineral)
-SELECT * FROM u""")
+   WHEN "natural" IS NOT NULL AND calcinado IS NOT NULL THEN 'nc' WHEN glicolado IS NOT NULL AND calcinado IS NOT NULL THEN 'gc' END AS type, ["natural", glicolado, calcinado] AS items FROM g),
+u AS (SELECT "group", type, CASE type WHEN 'trio' THEN 1 WHEN 'ng' THEN 2 WHEN 'nc' THEN 3 ELSE 4 END AS priority, unnest(items) AS item FROM p WHERE type IS NOT NULL
+  UNION ALL SELECT CAST(sample_base AS VARCHAR), 'indeterminado', 5, unnest([indeterminado, "natural", glicolado, calcinado]) FROM g WHERE indeterminado IS NOT NULL AND coalesce("natural", glicolado, calcinado) IS NOT NULL
+  UNION ALL SELECT CAST(sample_base AS VARCHAR), 'replicatas', 8, item_id FROM (SELECT *, count(*) OVER (PARTITION BY sample_base) AS n FROM it) WHERE n >= 3
+  UNION ALL SELECT preparation, 'preparo', 7, item_id FROM it
+  UNION ALL SELECT mineral, 'mineral', 6, item_id FROM it)
+SELECT * FROM u WHERE item IS NOT NULL""")
 def e2(spark, d):
     it = items(spark, d)
-    s = P.comparison_suggestions(it.select("item_id", "sample_base", "preparation"), it.select("item_id", "mineral"))
-    return s.select("group", "type", "priority", F.array_join(F.transform("items", lambda x: x.cast("string")), ",").alias("items"))
+    return P.comparison_suggestions(it.select("item_id", "sample_base", "preparation"), it.select("item_id", "mineral"))
 
 
 @query("e3_mineral_panel", f"""
@@ -96,23 +96,24 @@ def e6(spark, d):
 @query("e7_empirical_windows", """
 WITH v AS (SELECT p_brand AS mineral_id, CAST(l_linenumber AS VARCHAR) AS peak_id, l_returnflag AS preparation, round(7 + l_discount * 4 + l_tax, 4) AS d, l_linestatus = 'F' AS ok, l_suppkey AS src FROM lineitem JOIN part ON l_partkey = p_partkey)
 SELECT mineral_id, peak_id, preparation, count(*) AS n, round(avg(d) + 1e-9, 5) AS mean, round(stddev_pop(d) + 1e-9, 5) AS std, round(min(d) + 1e-9, 5) AS min, round(max(d) + 1e-9, 5) AS max, round(quantile_cont(d, 0.05) + 1e-9, 5) AS p05, round(quantile_cont(d, 0.95) + 1e-9, 5) AS p95,
-  CASE WHEN count(*) >= 5 THEN 'p05_p95' ELSE 'min_max' END AS strategy, CASE WHEN count(*) >= 20 THEN 'high' WHEN count(*) >= 5 THEN 'medium' ELSE 'low' END AS confidence,
-  sha256(mineral_id || '|' || peak_id || '|' || preparation || '|' || count(*) || '|' || min(src) || '|' || max(src)) AS provenance_hash FROM v WHERE ok GROUP BY mineral_id, peak_id, preparation""")
+  'p05_p95' AS strategy, CASE WHEN count(*) >= 5 THEN 'reference_empirical' ELSE 'low' END AS confidence, any_value(ig) AS ignored,
+  sha256(mineral_id || '|' || peak_id || '|' || preparation || '|' || count(*) || '|' || sum(('0x' || substr(md5(src || '|' || printf('%.4f', d)), 1, 12))::BIGINT)) AS provenance_hash
+FROM (SELECT *, count(*) FILTER (NOT ok) OVER (PARTITION BY mineral_id, peak_id, preparation) AS ig FROM v) WHERE ok GROUP BY mineral_id, peak_id, preparation""")
 def e7(spark, d):
     li = table(spark, d, "lineitem").join(table(spark, d, "part").select("p_partkey", "p_brand"), c("l_partkey") == c("p_partkey"))
     v = li.select(c("p_brand").alias("mineral_id"), c("l_linenumber").cast("string").alias("peak_id"), c("l_returnflag").alias("preparation"),
                   F.round(c("l_discount") * 4 + c("l_tax") + 7, 4).alias("d_spacing"), F.when(c("l_linestatus") == "F", "accepted").otherwise("pending").alias("validation_status"),
                   c("l_suppkey").alias("source_record_id"))
     e = P.empirical_windows(v)
-    return e.select("mineral_id", "peak_id", "preparation", "n", *[half5(c(k)).alias(k) for k in ("mean", "std", "min", "max", "p05", "p95")], "strategy", "confidence", "provenance_hash")
+    return e.select("mineral_id", "peak_id", "preparation", "n", *[half5(c(k)).alias(k) for k in ("mean", "std", "min", "max", "p05", "p95")], "strategy", "confidence", "ignored", "provenance_hash")
 
 
 @query("e8_vocabulary_coverage", """
-WITH rec AS (SELECT l_partkey AS term_id, l_returnflag AS kind, CASE WHEN l_tax < 0.02 THEN 'accepted' ELSE 'provisional' END AS cs FROM lineitem WHERE l_quantity > 45),
+WITH rec AS (SELECT l_partkey AS term_id, l_returnflag AS kind, CASE WHEN l_tax < 0.02 THEN 'accepted' ELSE 'provisional' END AS cs FROM lineitem),
 p AS (SELECT term_id, count(*) AS n, count(*) FILTER (cs <> 'accepted') AS rv, count(*) FILTER (kind = 'A') AS a, count(*) FILTER (kind = 'N') AS b FROM rec GROUP BY 1)
 SELECT p_type AS family, count(*) AS total_terms, count(n) AS with_match, count(*) - count(n) AS without_match, count(*) FILTER (rv > 0) AS needs_review, count(*) FILTER (a > 0) AS with_powder, count(*) FILTER (b > 0) AS with_cif FROM part LEFT JOIN p ON term_id = p_partkey GROUP BY 1""")
 def e8(spark, d):
-    rec = table(spark, d, "lineitem").where("l_quantity > 45").select(c("l_partkey").alias("term_id"), c("l_returnflag").alias("kind"), F.when(c("l_tax") < 0.02, "accepted").otherwise("provisional").alias("curation_status"))
+    rec = table(spark, d, "lineitem").select(c("l_partkey").alias("term_id"), c("l_returnflag").alias("kind"), F.when(c("l_tax") < 0.02, "accepted").otherwise("provisional").alias("curation_status"))
     terms = table(spark, d, "part").select(c("p_partkey").alias("term_id"), c("p_type").alias("family"))
     return P.vocabulary_coverage(terms, rec, {"powder": c("kind") == "A", "cif": c("kind") == "N"})
 
@@ -134,8 +135,9 @@ def e10(spark, d):
 @query("e11_mineral_network_map", f"""
 WITH {GEO} SELECT mineral, array_to_string(list_sort(list(DISTINCT grp)), ',') AS groups, count(DISTINCT record_id) AS count_records FROM geo GROUP BY 1""")
 def e11(spark, d):
-    g = geo_rows(spark, d).groupBy("mineral", "record_id").agg(F.collect_set("group").alias("gs"))
-    return g.groupBy("mineral").agg(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("gs")))), ",").alias("groups"), F.count("*").alias("count_records"))
+    g = geo_rows(spark, d).groupBy("mineral", "record_id").agg(F.count("*").alias("n"))
+    groups = geo_rows(spark, d).select("mineral", "group").distinct().groupBy("mineral").agg(F.array_join(F.array_sort(F.collect_list("group")), ",").alias("groups"))
+    return g.groupBy("mineral").agg(F.count("*").alias("count_records")).join(groups, "mineral")
 
 
 @query("e12_collapse_map_points", """
@@ -147,10 +149,10 @@ def e12(spark, d):
 
 
 @query("e13_point_extraction", """
-WITH s AS (SELECT o_orderkey, l_linenumber, l_partkey, l_quantity AS lat, l_discount * 100 AS lon FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_quantity > 40)
+WITH s AS (SELECT o_orderkey, l_linenumber, l_partkey, l_quantity AS lat, l_discount * 100 AS lon FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey)
 SELECT o_orderkey AS record_id, 'sample' AS kind, lat, round(lon, 4) AS lon FROM s WHERE l_partkey IS NOT NULL UNION ALL SELECT o_orderkey, 'legacy', NULL, NULL FROM s WHERE l_partkey IS NULL""")
 def e13(spark, d):
-    li = table(spark, d, "lineitem").where("l_quantity > 40").groupBy("l_orderkey").agg(F.collect_list(F.struct(c("l_quantity").alias("lat"), (c("l_discount") * 100).alias("lon"))).alias("samples"))
+    li = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(c("l_quantity").alias("lat"), (c("l_discount") * 100).alias("lon"))).alias("samples"))
     o = table(spark, d, "orders").join(li, c("o_orderkey") == c("l_orderkey"), "left")
     p = o.select(c("o_orderkey").alias("record_id"), F.explode_outer("samples").alias("s"))
     return p.select("record_id", F.when(c("s").isNotNull(), "sample").otherwise("legacy").alias("kind"), "s.lat", r(c("s.lon"), 4).alias("lon"))
@@ -202,9 +204,9 @@ def e23(spark, d):
 
 
 @query("e24_report_peaks", f"""
-WITH {PEAKS}, rk AS (SELECT *, row_number() OVER (PARTITION BY curve_id ORDER BY relative_intensity DESC, two_theta) AS k FROM pk) SELECT curve_id, k AS rank, round(d, 5) AS d, CASE WHEN relative_intensity >= 60 THEN 'strong' WHEN relative_intensity >= 25 THEN 'medium' ELSE 'weak' END AS remark FROM rk WHERE k <= 8""")
+WITH {PEAKS}, rk AS (SELECT *, row_number() OVER (PARTITION BY curve_id ORDER BY relative_intensity DESC, two_theta) AS k FROM pk) SELECT curve_id, k AS rank, round(d, 5) AS d, CASE WHEN relative_intensity >= 60 THEN 'strong' WHEN relative_intensity >= 25 THEN 'medium' ELSE 'weak' END AS remark FROM rk""")
 def e24(spark, d):
-    p = P.rank_within(peaks(spark, d), ["curve_id"], [F.desc("relative_intensity"), c("two_theta")], 8)
+    p = P.rank_within(peaks(spark, d), ["curve_id"], [F.desc("relative_intensity"), c("two_theta")])
     return p.select("curve_id", "rank", r(c("d"), 5).alias("d"), F.when(c("relative_intensity") >= 60, "strong").when(c("relative_intensity") >= 25, "medium").otherwise("weak").alias("remark"))
 
 
@@ -216,10 +218,9 @@ def e25(spark, d):
 
 @query("e26_report_peak_tables", f"""
 WITH {PEAKS}, k AS (SELECT *, row_number() OVER (PARTITION BY sample_base, preparation ORDER BY intensity DESC, two_theta) AS rk FROM pk)
-SELECT sample_base, preparation, row_number() OVER (PARTITION BY sample_base, preparation ORDER BY two_theta) AS position, round(two_theta, 5) AS two_theta, round(d, 5) AS d FROM k WHERE rk <= 15""")
+SELECT sample_base, preparation, row_number() OVER (PARTITION BY sample_base, preparation ORDER BY two_theta) AS position, round(two_theta, 5) AS two_theta, round(d, 5) AS d FROM k""")
 def e26(spark, d):
-    top = P.rank_within(peaks(spark, d), ["sample_base", "preparation"], [F.desc("intensity"), c("two_theta")], 15, "rk")
-    t = P.rank_within(top, ["sample_base", "preparation"], [c("two_theta")], None, "position")
+    t = P.rank_within(peaks(spark, d), ["sample_base", "preparation"], [c("two_theta")], None, "position")
     return t.select("sample_base", "preparation", "position", r(c("two_theta"), 5).alias("two_theta"), r(c("d"), 5).alias("d"))
 
 
@@ -231,9 +232,9 @@ def f1(spark, d):
     return P.top_match_per_record(m)
 
 
-@query("f2_top_peaks_per_curve", f"WITH {PEAKS} SELECT curve_id, peak_index AS rank, round(two_theta, 5) AS two_theta, round(relative_intensity, 4) AS relative_intensity FROM pk WHERE peak_index <= 12")
+@query("f2_top_peaks_per_curve", f"WITH {PEAKS} SELECT curve_id, peak_index AS rank, round(two_theta, 5) AS two_theta, round(relative_intensity, 4) AS relative_intensity FROM pk")
 def f2(spark, d):
-    p = P.rank_within(peaks(spark, d), ["curve_id"], [F.desc("relative_intensity"), c("two_theta")], 12)
+    p = P.rank_within(peaks(spark, d), ["curve_id"], [F.desc("relative_intensity"), c("two_theta")])
     return p.select("curve_id", "rank", r(c("two_theta"), 5).alias("two_theta"), r(c("relative_intensity"), 4).alias("relative_intensity"))
 
 
@@ -245,10 +246,10 @@ def f3(spark, d):
 
 
 @query("f4_rank_candidates", f"""
-WITH {CANDS}, m AS (SELECT curve_id, mineral, max(score) AS score FROM cand GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY curve_id ORDER BY score DESC, mineral) AS rank FROM m) SELECT * FROM k WHERE rank <= 8""")
+WITH {CANDS}, m AS (SELECT curve_id, mineral, max(score) AS score FROM cand GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY curve_id ORDER BY score DESC, mineral) AS rank FROM m) SELECT * FROM k""")
 def f4(spark, d):
     m = candidates(spark, d).groupBy("curve_id", "mineral").agg(F.max("score").alias("score"))
-    return P.rank_within(m, ["curve_id"], [F.desc("score"), c("mineral")], 8)
+    return P.rank_within(m, ["curve_id"], [F.desc("score"), c("mineral")])
 
 
 @query("f5_page_with_total", "SELECT o_orderkey, o_totalprice, (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') AS total FROM orders WHERE o_orderstatus = 'F' ORDER BY o_totalprice DESC, o_orderkey LIMIT 80 OFFSET 160")
@@ -259,18 +260,18 @@ def f5(spark, d):
 
 @query("f6_explain_bins", """
 WITH b AS (SELECT event_type, user_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS bin, sum(value) AS importance FROM events GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY event_type, user_id ORDER BY round(importance, 6) DESC, bin) AS rank FROM b)
-SELECT event_type, user_id, bin, round(importance, 6) AS importance, rank FROM k WHERE rank <= 5""")
+SELECT event_type, user_id, bin, round(importance, 6) AS importance, rank FROM k""")
 def f6(spark, d):
     b = table(spark, d, "events").groupBy("event_type", "user_id", F.get_json_object("props", "$.k").cast("int").alias("bin")).agg(r(F.sum("value")).alias("importance"))
-    return P.rank_within(b, ["event_type", "user_id"], [F.desc("importance"), c("bin")], 5)
+    return P.rank_within(b, ["event_type", "user_id"], [F.desc("importance"), c("bin")])
 
 
 @query("f7_nearest_d060", """
-WITH p AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(1.46e0 + l_discount, 6) AS d, l_quantity AS i, least(abs(1.46e0 + l_discount - 1.495e0), abs(1.46e0 + l_discount - 1.52e0), abs(1.46e0 + l_discount - 1.54e0)) AS dist FROM lineitem)
+WITH p AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(1.46e0 + l_discount, 6) AS d, l_quantity AS i, least(abs(1.46e0 + l_discount - 1.50e0), abs(1.46e0 + l_discount - 1.52e0), abs(1.46e0 + l_discount - 1.54e0)) AS dist FROM lineitem WHERE round(1.46e0 + l_discount, 6) BETWEEN 1.485 AND 1.555)
 SELECT l_orderkey, arg_min(d, (round(dist, 6), -i, d)) AS d060, arg_min(i, (round(dist, 6), -i, d)) AS intensity FROM p GROUP BY 1""")
 def f7(spark, d):
     dv = c("l_discount") + 1.46
-    p = table(spark, d, "lineitem").select("l_orderkey", F.round(dv, 6).alias("d"), c("l_quantity").alias("i"), F.round(F.least(F.abs(dv - 1.495), F.abs(dv - 1.52), F.abs(dv - 1.54)), 6).alias("dist"))
+    p = table(spark, d, "lineitem").select("l_orderkey", F.round(dv, 6).alias("d"), c("l_quantity").alias("i"), F.round(d060_distance(dv), 6).alias("dist")).where(c("d").between(*D060_WINDOW))
     return p.groupBy("l_orderkey").agg(F.min_by(F.struct("d", "i"), F.struct("dist", -c("i"), "d")).alias("b")).select("l_orderkey", c("b.d").alias("d060"), c("b.i").alias("intensity"))
 
 
@@ -317,9 +318,9 @@ def g7(spark, d):
 
 
 @query("g8_flatten_records", """
-SELECT o_orderkey AS record_id, coalesce(p_brand, 'Não informado') AS mineral, l_quantity IS NOT NULL AS has_sample FROM orders LEFT JOIN (SELECT * FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_tax > 0.06) ON l_orderkey = o_orderkey""")
+SELECT o_orderkey AS record_id, coalesce(p_brand, 'Não informado') AS mineral, l_quantity IS NOT NULL AS has_sample FROM orders LEFT JOIN (SELECT * FROM lineitem JOIN part ON l_partkey = p_partkey) ON l_orderkey = o_orderkey""")
 def g8(spark, d):
-    li = table(spark, d, "lineitem").where("l_tax > 0.06").join(table(spark, d, "part").select("p_partkey", "p_brand"), c("l_partkey") == c("p_partkey")).select("l_orderkey", c("p_brand").alias("m"))
+    li = table(spark, d, "lineitem").join(table(spark, d, "part").select("p_partkey", "p_brand"), c("l_partkey") == c("p_partkey")).select("l_orderkey", c("p_brand").alias("m"))
     nested = li.groupBy("l_orderkey").agg(F.collect_list("m").alias("minerals"))
     o = table(spark, d, "orders").join(nested, c("o_orderkey") == c("l_orderkey"), "left").select(c("o_orderkey").alias("record_id"), F.explode_outer("minerals").alias("m"))
     return o.select("record_id", F.coalesce("m", F.lit("Não informado")).alias("mineral"), c("m").isNotNull().alias("has_sample"))

@@ -291,7 +291,7 @@ def h15(spark, d):
 
 @query("h16_full_interpretation", f"""
 WITH {SCORE_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY sample_base ORDER BY score DESC, label) AS rank FROM r1)
-SELECT sample_base, rank, label, score, amb AS ambiguities FROM k WHERE rank <= 8""")
+SELECT sample_base, rank, label, score, amb AS ambiguities FROM k""")
 def h16(spark, d):
     return N.interpret(trios(spark, d), context(spark, d)).select("sample_base", "rank", "label", "score", F.array_join("ambiguities", ",").alias("ambiguities"))
 
@@ -301,11 +301,11 @@ WITH p AS (SELECT l_orderkey, round(1.46e0 + l_discount, 6) AS d, l_quantity AS
 b AS (SELECT l_orderkey, arg_min(d, (dist, -i, d)) AS d060 FROM p WHERE d BETWEEN 1.485 AND 1.555 GROUP BY 1)
 SELECT l_orderkey, d060, CASE WHEN d060 BETWEEN 1.475 AND 1.515 THEN 'dioctahedral' WHEN d060 BETWEEN 1.505 AND 1.535 THEN 'intermediate' ELSE 'trioctahedral' END AS octahedral FROM b""")
 def h18(spark, d):
-    from xrdlake.functions.geometry import octahedral_class
+    from xrdlake.functions.geometry import D060_WINDOW, d060_distance, octahedral_class
 
     dv = c("l_discount") + 1.46
-    p = table(spark, d, "lineitem").select("l_orderkey", F.round(dv, 6).alias("d"), c("l_quantity").alias("i"), F.round(F.least(F.abs(dv - 1.5), F.abs(dv - 1.52), F.abs(dv - 1.54)), 6).alias("dist"))
-    b = p.where(c("d").between(1.485, 1.555)).groupBy("l_orderkey").agg(F.min_by("d", F.struct("dist", -c("i"), "d")).alias("d060"))
+    p = table(spark, d, "lineitem").select("l_orderkey", F.round(dv, 6).alias("d"), c("l_quantity").alias("i"), F.round(d060_distance(dv), 6).alias("dist"))
+    b = p.where(c("d").between(*D060_WINDOW)).groupBy("l_orderkey").agg(F.min_by("d", F.struct("dist", -c("i"), "d")).alias("d060"))
     return b.withColumn("octahedral", octahedral_class("d060"))
 
 
@@ -460,15 +460,15 @@ gm AS (SELECT g, arg_max(len(ue), k) AS matched, arg_max(s, k) AS total FROM f G
 @query("d5_peak_set_similarity", "WITH RECURSIVE " + WIDE.split(",\nwd AS")[0] + f"""
 , p AS (SELECT sample_base, preparation, peak_index, two_theta AS t, d, relative_intensity AS i, fwhm AS w FROM pk LEFT JOIN fw USING (curve_id, idx)),
 q AS (SELECT a.sample_base AS g, a.peak_index AS e, b.peak_index AS o, abs(a.t - b.t) AS dt, abs(a.d - b.d) AS dd, abs(a.i - b.i) / greatest(a.i, b.i, 1) AS ri, abs(a.w - b.w) / CASE WHEN a.w IS NOT NULL AND b.w IS NOT NULL THEN greatest(a.w, b.w, 1) END AS rw
-  FROM p a JOIN p b ON a.sample_base = b.sample_base AND a.preparation = 'natural' AND b.preparation = 'glicolado' AND a.peak_index <= 8 AND b.peak_index <= 12 WHERE abs(a.t - b.t) <= 0.15 OR abs(a.d - b.d) <= 0.1),
+  FROM p a JOIN p b ON a.sample_base = b.sample_base AND a.preparation = 'natural' AND b.preparation = 'glicolado' WHERE abs(a.t - b.t) <= 0.15 OR abs(a.d - b.d) <= 0.1),
 sc AS (SELECT g, e, o, (0.6e0 * greatest(CASE WHEN dt <= 0.15 THEN 1 - dt / 0.15e0 ELSE -1 END, CASE WHEN dd <= 0.1 THEN 1 - dd / 0.1e0 ELSE -1 END) + 0.25e0 * greatest(0, 1 - ri / 0.5e0) + CASE WHEN rw IS NULL THEN 0 ELSE 0.1e0 * greatest(0, 1 - rw / 0.75e0) END)
    / (0.85e0 + CASE WHEN rw IS NULL THEN 0 ELSE 0.1e0 END) AS score FROM q),
 od AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY e, score DESC, o) AS k FROM sc), {GREEDY},
-n AS (SELECT sample_base AS g, count(*) FILTER (preparation = 'natural' AND peak_index <= 8) AS l, count(*) FILTER (preparation = 'glicolado' AND peak_index <= 12) AS r FROM pk GROUP BY 1)
+n AS (SELECT sample_base AS g, count(*) FILTER (preparation = 'natural') AS l, count(*) FILTER (preparation = 'glicolado') AS r FROM pk GROUP BY 1)
 SELECT n.g AS sample_base, l AS left_peaks, r AS right_peaks, coalesce(matched, 0) AS matched, coalesce(round(matched / CAST(l AS DOUBLE) * (total / matched), 4), 0) AS score FROM n LEFT JOIN gm USING (g) WHERE l > 0 AND r > 0""")
 def d5(spark, d):
     f = found(spark, d)
-    a = f.where("preparation = 'natural'").select("sample_base", M.peak_set(f, 8).alias("l"))
-    b = f.where("preparation = 'glicolado'").select("sample_base", M.peak_set(f, 12).alias("r"))
+    a = f.where("preparation = 'natural'").select("sample_base", M.peak_set(f).alias("l"))
+    b = f.where("preparation = 'glicolado'").select("sample_base", M.peak_set(f).alias("r"))
     j = a.join(b, "sample_base").withColumn("s", M.peak_set_similarity(F.col("l"), F.col("r")))
     return j.select("sample_base", F.size("l").alias("left_peaks"), F.size("r").alias("right_peaks"), "s.matched", "s.score")

@@ -416,12 +416,12 @@ def b27(spark, d):
 @query("b28_compact_payload", f"""
 WITH {PTS}, t AS (SELECT curve_id, y, tt, row_number() OVER (PARTITION BY curve_id ORDER BY y DESC, tt) AS rk FROM pts)
 SELECT curve_id, string_agg(CAST(CAST(round(tt, 1) * 10 AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(round(y) AS BIGINT) AS VARCHAR), ' ' ORDER BY rk) AS payload,
-  count(*) AS kept FROM t WHERE rk <= 20 GROUP BY 1""")
+  count(*) AS kept FROM t GROUP BY 1""")
 def b28(spark, d):
     from xrdlake.operators.curves import compact_points
     from xrdlake.plans.views import curves
 
-    c = compact_points(curves(spark, d), limit=20)
+    c = compact_points(curves(spark, d))
     txt = F.transform("compact", lambda p: F.concat((F.round(p["two_theta"], 1) * 10).cast("long").cast("string"), F.lit(":"),
                                                     F.round(p["intensity"]).cast("long").cast("string")))
     return c.select("curve_id", F.array_join(txt, " ").alias("payload"), F.size("compact").cast("long").alias("kept"))

@@ -51,5 +51,5 @@ SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*)
 def l3(spark, d):
     out = new_path(spark, "metrics")
     m = L.rolling_metrics(event_stream(spark, d), "ts", "event_type", "1 day", "1 hour")
-    L.run_to_table(m, out, new_path(spark, "chk"), "complete").awaitTermination()
-    return spark.read.parquet(out).select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "event_type", "rows", "strong", r(c("total"), 4).alias("total"))
+    L.run_to_table(m, out, new_path(spark, "chk"), "update").awaitTermination()
+    return L.newest(spark.read.parquet(out), ["w", "event_type"]).select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "event_type", "rows", "strong", r(c("total"), 4).alias("total"))

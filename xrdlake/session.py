@@ -13,14 +13,18 @@ _FALLBACK: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach (``spark.checkpoint.dir``).
 
-    Only where the cluster names none (tests, laptops) a temporary folder is
-    made, and it is also handed to Spark as its checkpoint folder.
+    A cluster must name it. Only in local mode, where driver and tasks are one
+    process, a temporary folder stands in for a missing setting; it is also
+    handed to Spark as its checkpoint folder.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(named)
         return named
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _FALLBACK:
         _FALLBACK[app] = tempfile.mkdtemp(prefix="xrdlake-")

@@ -78,12 +78,13 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
     return raw.where("_corrupt_record IS NULL").drop("_corrupt_record")
 
 
-def reference_lines(texts: DataFrame, key: str, text: str, limit: int = 200, wavelength: float = 1.5406) -> DataFrame:
+def reference_lines(texts: DataFrame, key: str, text: str, limit: int | None = None, wavelength: float = 1.5406) -> DataFrame:
     """Lines of reference patterns: a first number of 20 or more is an angle, else a spacing."""
     rows = F.transform(F.split(F.col(text), "\r\n|\n"), lambda ln: S.let(
         F.filter(F.transform(F.split(F.trim(ln), "[;\t, ]+"), curve_number), lambda v: v.isNotNull()), lambda n: F.struct(
             F.get(n, 0).alias("v"), F.get(n, 1).alias("i"), F.trim(ln).rlike("^(#|//|;)").alias("skip"))))
-    rows = F.slice(F.filter(rows, lambda p: p["v"].isNotNull() & (p["v"] > 0) & p["i"].isNotNull() & ~p["skip"]), 1, limit)
+    rows = F.filter(rows, lambda p: p["v"].isNotNull() & (p["v"] > 0) & p["i"].isNotNull() & ~p["skip"])
+    rows = rows if limit is None else F.slice(rows, 1, limit)
     p = S.unnest_pos(texts, (key,), rows, "line_index", "p")
     angle = F.col("p.v") >= 20
     return p.select(
@@ -122,21 +123,21 @@ def structure_metadata(files: DataFrame, text: str = "value") -> DataFrame:
     return out.drop(text)
 
 
-def reference_index(manifests: dict[str, DataFrame], caps: dict[str, int]) -> DataFrame:
-    """Reference lines of several manifests, rescaled to 0-100 per pattern, capped per source, with a search key.
+def reference_index(manifests: dict[str, DataFrame], caps: dict[str, int] | None = None) -> DataFrame:
+    """Reference lines of several manifests, rescaled to 0-100 and ranked per pattern, with a search key.
 
-    The cap is the number of lines the index keeps per pattern; patterns are
-    small, so the window runs inside one pattern.
+    ``caps`` may name a number of lines per pattern and source; all stay without it.
+    Patterns are small, so the window runs inside one pattern.
     """
     from pyspark.sql import Window as W
 
     u = None
     for name, df in manifests.items():
-        one = df.select("reference_id", "mineral", "line_index", "two_theta", "intensity", F.lit(name).alias("source"), F.lit(caps[name]).alias("cap"))
+        one = df.select("reference_id", "mineral", "line_index", "two_theta", "intensity", F.lit(name).alias("source"), F.lit((caps or {}).get(name)).cast("int").alias("cap"))
         u = one if u is None else u.unionByName(one)
     w = W.partitionBy("source", "reference_id")
     u = u.withColumn("top", F.max("intensity").over(w)).withColumn("rank", F.row_number().over(w.orderBy(F.desc("intensity"), "line_index")))
-    u = u.where("rank <= cap").withColumn("relative_intensity", F.when(F.col("top") > 0, F.col("intensity") / F.col("top") * 100).otherwise(F.lit(0.0)))
+    u = u.where("cap IS NULL OR rank <= cap").withColumn("relative_intensity", F.when(F.col("top") > 0, F.col("intensity") / F.col("top") * 100).otherwise(F.lit(0.0)))
     return u.withColumn("search_key", lookup_key(F.concat_ws(" ", "source", "mineral"))).drop("top", "cap")
 
 

@@ -41,7 +41,14 @@ def rolling_metrics(stream: DataFrame, time: str, by: str, width: str, delay: st
 
 
 def run_to_table(df: DataFrame, out: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
-    """Drain a stream into Parquet, one folder per batch."""
+    """Drain a stream into Parquet, one folder per batch; with mode ``update`` a row may come in several, see ``newest``."""
     def batch(b: DataFrame, number: int) -> None:
-        b.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/batch={number}")
+        b.write.mode("overwrite").parquet(f"{out}/batch={number}")
     return df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(batch).start()
+
+
+def newest(written: DataFrame, keys: list[str]) -> DataFrame:
+    """The last version of every key among the batches of an updating stream."""
+    values = [c for c in written.columns if c not in (*keys, "batch")]
+    last = written.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("v"))
+    return last.select(*keys, "v.*")

@@ -79,8 +79,8 @@ def test_width_against_brute_force(spark):
     rng = np.random.default_rng(5)
     x, y = np.arange(0.0, 12.0, 0.1), np.abs(rng.normal(1, 1, 120))
     peaks = list(range(0, 120, 7))
-    df = frame(spark, (1, x, y)).withColumn("i", F.explode(F.array(*[F.lit(p) for p in peaks])))
-    got = {r["i"]: r["w"] for r in df.select("i", S.half_width(F.col("two_theta"), F.col("intensity"), F.col("i"))["fwhm"].alias("w")).collect()}
+    df = S.with_shapes(frame(spark, (1, x, y)).withColumn("peak_idx", F.array(*[F.lit(p) for p in peaks])), "intensity")
+    got = dict(zip(peaks, df.first()["shape"]["fwhm"], strict=True))
     for p in peaks:
         want = brute_width(x, y, p)
         assert got[p] == (pytest.approx(want) if want is not None else None)
@@ -147,3 +147,24 @@ def test_incomplete_data_blocks_high_confidence(spark):
     assert rows and all(r["level"] != "confirmed_by_rules" for r in rows if r["treatments"] < 2)
     one = ngc(spark, None, [(17.0, 10)], None)
     assert all(r["score"] <= 40 for r in N.interpret(one, ctx).collect())
+
+
+def test_feet_against_a_full_scan():
+    rng = np.random.default_rng(8)
+    y = rng.random(5000)
+    y[1000:1600] = 2
+    for peak in [0, 4999, 1300, *rng.integers(0, 5000, 200).tolist()]:
+        for level in (y[peak] / 2, y[peak] * 0.005, -1.0):
+            left = [i for i in range(peak) if y[i] <= level]
+            right = [i for i in range(peak + 1, 5000) if y[i] <= level]
+            assert S.nearest_low(y, peak, level, -1) == (left[-1] if left else 0)
+            assert S.nearest_low(y, peak, level, 1) == (right[0] if right else 4999)
+
+
+def test_shapes_of_long_curves_and_none(spark):
+    x = np.arange(5000) * 0.02
+    df = S.with_shapes(frame(spark, (1, x, 100 * np.exp(-((x - 40) / 2) ** 2)), (2, [], [])).withColumn("peak_idx", F.when(F.col("curve_id") == 1, F.array(F.lit(2000))).otherwise(F.array().cast("array<int>"))), "intensity")
+    got = {r["curve_id"]: r["shape"] for r in df.collect()}
+    assert got[1]["fwhm"][0] == pytest.approx(4 * np.sqrt(np.log(2)), abs=1e-3)
+    assert got[1]["area"][0] == pytest.approx(200 * np.sqrt(np.pi), rel=2e-3)
+    assert got[2]["fwhm"] == []

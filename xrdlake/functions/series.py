@@ -196,45 +196,62 @@ def strongest_apart(x: Column, y: Column, candidates: Column, distance: float, l
     return F.aggregate(ranked, F.expr("cast(array() as array<int>)"), fold)
 
 
-def crossing(x: Column, y: Column, left, right, level: Column) -> Column:
-    """Axis value at which the segment between two indices reaches ``level``."""
-    xl, yl, xr, yr = at(x, left), at(y, left), at(x, right), at(y, right)
-    return F.when(F.abs(yr - yl) < 1e-12, xl).otherwise(xl + (xr - xl) * F.try_divide(level - yl, yr - yl))
-
-
-def foot(y: Column, peak: Column, level: Column, side: str) -> Column:
-    """Index of the nearest point at or under ``level`` on one side, else the end of the curve."""
-    if side == "left":
-        hits = F.filter(F.sequence(F.lit(0), peak), lambda j: (j < peak) & (at(y, j) <= level))
-        return F.coalesce(F.array_max(hits), F.lit(0))
-    hits = F.filter(F.sequence(peak, F.size(y) - 1), lambda j: (j > peak) & (at(y, j) <= level))
-    return F.coalesce(F.array_min(hits), F.size(y) - 1)
-
-
-def half_width(x: Column, y: Column, peak: Column) -> Column:
-    """Struct(fwhm, left, right): width between the half-height crossings."""
-    level = at(y, peak) / 2
-    none = F.lit(None).cast("double")
-
-    def build(ends):
-        left, right = ends["l"], ends["r"]
-        ok = (at(y, peak) > 0) & (left != peak) & (right != peak)
-        xl = F.when(ok, crossing(x, y, left, left + 1, level))
-        xr = F.when(ok, crossing(x, y, right - 1, right, level))
-        width = F.greatest(F.lit(0.0), xr - xl)
-        return F.struct(F.when(ok & (width > 0), width).otherwise(none).alias("fwhm"), xl.alias("left"), xr.alias("right"))
-    return let(F.struct(foot(y, peak, level, "left").alias("l"), foot(y, peak, level, "right").alias("r")), build)
-
-
-def peak_area(x: Column, y: Column, peak: Column, fraction: float = 0.005) -> Column:
-    """Struct(area, left, right): trapezoids between the feet of a peak."""
-    level = at(y, peak) * fraction
-
-    def build(ends):
-        segs = F.filter(F.sequence(ends["l"], ends["r"]), lambda j: j < ends["r"])
-        s = total(F.transform(segs, lambda j: (at(y, j) + at(y, j + 1)) / 2 * F.abs(at(x, j + 1) - at(x, j))))
-        return F.struct(F.when(at(y, peak) > 0, s).otherwise(F.lit(0.0)).alias("area"), ends["l"].alias("left"), ends["r"].alias("right"))
-    return let(F.struct(foot(y, peak, level, "left").alias("l"), foot(y, peak, level, "right").alias("r")), build)
+def nearest_low(y: np.ndarray, peak: int, level: float, step: int) -> int:
+    """Index of the nearest point at or under ``level`` on one side of a peak, else the end of the curve.
+
+    Looks at stretches that double in length, so a peak costs about as many points as its foot is away.
+    """
+    end = len(y) if step > 0 else -1
+    at, width = peak + step, 16
+    while at != end and (end - at) * step > 0:
+        stop = at + step * min(width, (end - at) * step)
+        part = y[at:stop] if step > 0 else y[stop + 1:at + 1][::-1]
+        low = np.flatnonzero(part <= level)
+        if len(low):
+            return at + step * int(low[0])
+        at, width = stop, width * 2
+    return len(y) - 1 if step > 0 else 0
+
+
+def shape_of(x: np.ndarray, y: np.ndarray, run: np.ndarray, peak: int, fraction: float):
+    """(fwhm, left, right, area) of a peak; ``run`` is the running trapezoid sum of ``y``."""
+    top = y[peak]
+    fwhm = left = right = None
+    level = top / 2
+    lo, hi = nearest_low(y, peak, level, -1), nearest_low(y, peak, level, 1)
+    if top > 0 and lo != peak and hi != peak:
+        def cross(i, j, flat):
+            return flat if abs(y[j] - y[i]) < 1e-12 else x[i] + (x[j] - x[i]) * ((level - y[i]) / (y[j] - y[i]))
+        left, right = float(cross(lo, lo + 1, x[lo])), float(cross(hi - 1, hi, x[hi - 1]))
+        fwhm = right - left if right > left else None
+    level = top * fraction
+    lo, hi = nearest_low(y, peak, level, -1), nearest_low(y, peak, level, 1)
+    return fwhm, left, right, float(run[hi] - run[lo]) if top > 0 else 0.0
+
+
+SHAPES = T.StructType([T.StructField(n, T.ArrayType(T.DoubleType())) for n in ("fwhm", "left", "right", "area")])
+
+
+@F.pandas_udf(SHAPES)
+def shapes(x: pd.Series, y: pd.Series, peaks: pd.Series, fraction: pd.Series) -> pd.DataFrame:
+    """Arrays of width at half height, its ends, and area down to ``fraction`` of the height, one value per peak index.
+
+    One pass per curve; Arrow batches of curves in numpy, for long axes are too slow in interpreted array functions.
+    """
+    out = []
+    for a, b, found, f in zip(x, y, peaks, fraction, strict=True):
+        if a is None or b is None or found is None or not len(found):
+            out.append(([], [], [], []))
+            continue
+        a, b = np.asarray(a, float), np.asarray(b, float)
+        run = np.concatenate(([0.0], np.cumsum((b[1:] + b[:-1]) / 2 * np.abs(np.diff(a)))))
+        out.append(tuple(map(list, zip(*(shape_of(a, b, run, int(i), f) for i in found), strict=True))))
+    return pd.DataFrame(out, columns=["fwhm", "left", "right", "area"])
+
+
+def with_shapes(found, y: str = "corrected", fraction: float = 0.005, out: str = "shape"):
+    """Adds the ``shapes`` of ``peak_idx`` on a curve column."""
+    return found.withColumn(out, shapes(F.col("two_theta"), F.col(y), F.col("peak_idx"), F.lit(float(fraction))))
 
 
 def median_step(x: Column) -> Column:

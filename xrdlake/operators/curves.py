@@ -87,8 +87,8 @@ def peak_rows(found: DataFrame, keep: tuple[str, ...] = ("curve_id",), wavelengt
         return F.struct(
             (k + 1).alias("peak_index"), i.alias("source_index"), S.at(x, i).alias("two_theta"), S.at(y, i).alias("intensity"),
             (S.at(F.col("normalized"), i) * 100).alias("relative_intensity"),
-            S.half_width(x, y, i)["fwhm"].alias("fwhm"), S.peak_area(x, y, i)["area"].alias("area"))
-    p = S.unnest(found, keep, F.transform("peak_idx", row)).select(*keep, "p.*")
+            F.get("shape.fwhm", k).alias("fwhm"), F.get("shape.area", k).alias("area"))
+    p = S.unnest(S.with_shapes(found), keep, F.transform("peak_idx", row)).select(*keep, "p.*")
     return p.withColumn("d", bragg_d("two_theta", wavelength)).withColumn("tau_nm", scherrer_nm("fwhm", "two_theta", wavelength))
 
 
@@ -318,11 +318,16 @@ def detector(curves: DataFrame, window: int = 11, order: int = 3, half: int = 10
         F.filter(S.local_maxima(x, F.col("smoothed"), 0.0, -1e9), lambda i: F.greatest(S.at(F.col("smoothed"), i), S.at(F.col("corrected"), i)) / F.col("noise") >= min_snr),
         lambda k: S.strongest_apart(x, F.col("smoothed"), k, distance)))
 
+    # a generator in between: kernels can't be planned when one's input is nested in another's lambdas
+    worked = ("corrected", "smoothed", "noise", "step", "peak_idx")
+    c = c.select(*dict.fromkeys((*keep, "two_theta")), F.explode(F.array(F.struct(*worked))).alias("w")).select(*dict.fromkeys((*keep, "two_theta")), *[F.col(f"w.{k}").alias(k) for k in worked])
+    c = S.with_shapes(S.with_shapes(c, "smoothed", out="wide"), "corrected", 0.5, "local")
+
     def row(i, k):
         y = F.col("smoothed")
         return F.struct(
-            (k + 1).alias("peak_id"), S.refined_position(x, y, i, F.col("step")).alias("position"), S.half_width(x, y, i)["fwhm"].alias("fwhm"),
-            S.peak_area(x, F.col("corrected"), i, 0.5)["area"].alias("area"),
+            (k + 1).alias("peak_id"), S.refined_position(x, y, i, F.col("step")).alias("position"), F.get("wide.fwhm", k).alias("fwhm"),
+            F.get("local.area", k).alias("area"),
             (F.greatest(S.at(y, i), S.at(F.col("corrected"), i)) / F.col("noise")).alias("snr"))
     return S.unnest(c, (*keep, "noise", "step"), F.transform("peak_idx", row)).select(*keep, "noise", "step", "p.*")
 

@@ -95,13 +95,13 @@ def classify_by_library(peaks: DataFrame, lines: DataFrame, tolerance: float = 0
 
 
 def peak_set(found: DataFrame, limit: int | None = None) -> Column:
-    """The peaks of a processed curve, all or the strongest ``limit``, as an array of structs."""
+    """The peaks of a processed curve with ``shape`` (``series.with_shapes``), all or the strongest ``limit``, as an array of structs."""
     from xrdlake.functions.geometry import bragg_d
 
     x = F.col("two_theta")
-    return F.transform("peak_idx" if limit is None else F.slice("peak_idx", 1, limit), lambda i: F.struct(
+    return F.transform("peak_idx" if limit is None else F.slice("peak_idx", 1, limit), lambda i, k: F.struct(
         S.at(x, i).alias("t"), bragg_d(S.at(x, i)).alias("d"), (S.at(F.col("normalized"), i) * 100).alias("i"),
-        S.half_width(x, F.col("corrected"), i)["fwhm"].alias("w")))
+        F.get("shape.fwhm", k).alias("w")))
 
 
 # Tolerances and weights of the peak-set similarity.

@@ -46,9 +46,10 @@ def window_map(found: DataFrame, keep: tuple[str, ...] = ("curve_id", "sample_ba
     ``windows`` limits the map to the windows the rules at hand read, ``widths``
     leaves out the peak widths when no rule asks for broad peaks.
     """
+    found = S.with_shapes(found) if widths else found
     x, y = F.col("two_theta"), F.col("corrected")
     rows = R.literal_rows([(k, lo, hi) for k, (lo, hi) in WINDOWS.items() if windows is None or k in windows], ("k", "lo", "hi"))
-    pk = F.transform("peak_idx", lambda i: F.struct(S.at(y, i).alias("i"), bragg_d(S.at(x, i)).alias("d"), (S.half_width(x, y, i)["fwhm"] if widths else F.lit(None).cast("double")).alias("w")))
+    pk = F.transform("peak_idx", lambda i, k: F.struct(S.at(y, i).alias("i"), bragg_d(S.at(x, i)).alias("d"), (F.get("shape.fwhm", k) if widths else F.lit(None).cast("double")).alias("w")))
 
     def best(pks):
         def one(w):

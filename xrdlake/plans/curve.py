@@ -123,10 +123,10 @@ y AS (SELECT *, CASE WHEN abs(y1 - y0) < 1e-12 THEN x0 ELSE x0 + (x1 - x0) * (yc
   CASE WHEN abs(y3 - y2) < 1e-12 THEN x2 ELSE x2 + (x3 - x2) * (yc / 2 - y2) / (y3 - y2) END AS rx FROM x)
 SELECT curve_id, idx, round(lx, 5) AS left_x, round(rx, 5) AS right_x, CASE WHEN rx - lx > 0 THEN round(rx - lx, 5) END AS fwhm FROM y""")
 def c9(spark, d):
-    f = C.find_peaks(C.process(curves(spark, d)))
-    w = S.unnest(f, ("curve_id",), F.transform("peak_idx", lambda i: F.struct(
-        i.alias("idx"), S.half_width(F.col("two_theta"), F.col("corrected"), i).alias("w"))))
-    return w.select("curve_id", "p.idx", r(F.col("p.w.left"), 5).alias("left_x"), r(F.col("p.w.right"), 5).alias("right_x"), r(F.col("p.w.fwhm"), 5).alias("fwhm"))
+    f = S.with_shapes(C.find_peaks(C.process(curves(spark, d))))
+    w = S.unnest(f, ("curve_id",), F.transform("peak_idx", lambda i, k: F.struct(
+        i.alias("idx"), *[F.get(f"shape.{n}", k).alias(n) for n in ("left", "right", "fwhm")])))
+    return w.select("curve_id", "p.idx", r(F.col("p.left"), 5).alias("left_x"), r(F.col("p.right"), 5).alias("right_x"), r(F.col("p.fwhm"), 5).alias("fwhm"))
 
 
 @query("c10_peak_area", _ENDS.replace('FRAC', '0.005e0') + """
@@ -134,9 +134,8 @@ def c9(spark, d):
 SELECT e.curve_id, e.idx, round(sum((s.yc + s.ny) / 2 * (s.nt - s.tt)), 5) AS area FROM ends e
 JOIN s ON s.curve_id = e.curve_id AND s.idx >= e.l AND s.idx < e.r GROUP BY ALL""")
 def c10(spark, d):
-    f = C.find_peaks(C.process(curves(spark, d)))
-    w = S.unnest(f, ("curve_id",), F.transform("peak_idx", lambda i: F.struct(
-        i.alias("idx"), S.peak_area(F.col("two_theta"), F.col("corrected"), i)["area"].alias("a"))))
+    f = S.with_shapes(C.find_peaks(C.process(curves(spark, d))))
+    w = S.unnest(f, ("curve_id",), F.transform("peak_idx", lambda i, k: F.struct(i.alias("idx"), F.get("shape.area", k).alias("a"))))
     return w.select("curve_id", "p.idx", r(F.col("p.a"), 5).alias("area"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from xrdlake.functions import series as S
 from xrdlake.functions.geometry import bragg_d as bragg
 from xrdlake.operators import curves as C, matching as M, ngc as N, rule_tables as R
 from xrdlake.plans.match import found, peaks, r
@@ -467,7 +468,7 @@ od AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY e, score DESC, o) AS
 n AS (SELECT sample_base AS g, count(*) FILTER (preparation = 'natural') AS l, count(*) FILTER (preparation = 'glicolado') AS r FROM pk GROUP BY 1)
 SELECT n.g AS sample_base, l AS left_peaks, r AS right_peaks, coalesce(matched, 0) AS matched, coalesce(round(matched / CAST(l AS DOUBLE) * (total / matched), 4), 0) AS score FROM n LEFT JOIN gm USING (g) WHERE l > 0 AND r > 0""")
 def d5(spark, d):
-    f = found(spark, d)
+    f = S.with_shapes(found(spark, d))
     a = f.where("preparation = 'natural'").select("sample_base", M.peak_set(f).alias("l"))
     b = f.where("preparation = 'glicolado'").select("sample_base", M.peak_set(f).alias("r"))
     j = a.join(b, "sample_base").withColumn("s", M.peak_set_similarity(F.col("l"), F.col("r")))

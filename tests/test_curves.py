@@ -168,3 +168,18 @@ def test_shapes_of_long_curves_and_none(spark):
     assert got[1]["fwhm"][0] == pytest.approx(4 * np.sqrt(np.log(2)), abs=1e-3)
     assert got[1]["area"][0] == pytest.approx(200 * np.sqrt(np.pi), rel=2e-3)
     assert got[2]["fwhm"] == []
+
+
+def test_batch_alignment_of_a_trio(spark):
+    x = np.arange(5.0, 45.0, 0.02)
+    quartz = 2 * np.degrees(np.arcsin(1.5406 / (2 * 3.34)))
+    line = lambda shift: 10 + 1000 * np.exp(-((x - (quartz - shift)) / 0.1) ** 2)
+    rows = [(0, "natural", x, line(0.1)), (1, "glicolado", x + 0.3, line(0)), (2, "calcinado", x - 0.01, line(0)), (3, "glicolado", x + 0.2, line(0)), (4, "calcinado", x, line(0))]
+    df = spark.createDataFrame([(i, i // 3, p, [float(v) for v in a], [float(v) for v in b]) for i, p, a, b in rows], "curve_id long, sample_base long, preparation string, two_theta array<double>, intensity array<double>")
+    got = {r["curve_id"]: r for r in C.align_batch(df).collect()}
+    moved = got[0]["offset"]
+    assert moved == pytest.approx(0.1, abs=0.011)
+    assert [got[i]["two_theta"][0] for i in (0, 1, 2)] == [pytest.approx(5.0 + moved, abs=1e-6)] * 3
+    assert got[4]["offset"] == 0 and got[3]["two_theta"][0] == pytest.approx(5.0)
+    by_hand = C.align_batch(df, spark.createDataFrame([(1, 0.5)], "curve_id long, offset double"))
+    assert by_hand.where("curve_id = 1").first()["offset"] == 0.5

@@ -43,44 +43,51 @@ def test_reference_match_against_brute_force(spark):
 
 def brute_peak_score(ext, pkg):
     used, scores = set(), []
-    for _, t, d, i in ext[:8]:
+    for _, t, d, i, w in ext:
         best = None
-        for j, (_, t2, d2, i2) in enumerate(pkg[:12]):
+        for j, (_, t2, d2, i2, w2) in enumerate(pkg):
             if j in used:
                 continue
             pos = [1 - abs(t - t2) / 0.15] if abs(t - t2) <= 0.15 else []
             pos += [1 - abs(d - d2) / 0.10] if abs(d - d2) <= 0.10 else []
             if pos:
                 si = max(0.0, 1 - abs(i - i2) / max(i, i2, 1.0) / 0.5)
-                s = (max(pos) * 0.60 + si * 0.25) / 0.85
+                top, weight = max(pos) * 0.60 + si * 0.25, 0.85
+                if w is not None and w2 is not None:
+                    top, weight = top + 0.10 * max(0.0, 1 - abs(w - w2) / max(w, w2, 1.0) / 0.75), 0.95
+                s = top / weight
                 if best is None or s > best[0]:
                     best = (s, j)
         if best:
             used.add(best[1])
             scores.append(best[0])
-    return round(len(scores) / max(len(ext[:8]), 1) * (sum(scores) / len(scores)) + 1e-9, 4) if scores else 0.0
+    return round(len(scores) / max(len(ext), 1) * (sum(scores) / len(scores)) + 1e-9, 4) if scores else 0.0
 
 
 def test_corpus_score_against_brute_force(spark):
     rnd = random.Random(7)
 
     def peaks():
-        return [(k + 1, round(rnd.uniform(5, 9), 3), round(rnd.uniform(9, 11), 3), round(rnd.uniform(5, 100), 1)) for k in range(14)]
+        return [(k + 1, round(rnd.uniform(5, 9), 3), round(rnd.uniform(9, 11), 3), round(rnd.uniform(5, 100), 1), rnd.choice([None, round(rnd.uniform(0.1, 3), 2)])) for k in range(14)]
     new, old = {i: peaks() for i in range(3)}, {i: peaks() for i in range(10, 15)}
-    schema = "id long, peak_index int, two_theta double, d double, intensity double"
+    schema = "id long, peak_index int, two_theta double, d double, intensity double, fwhm double"
     df = lambda m: spark.createDataFrame([(i, *p) for i, v in m.items() for p in v], schema)
     facts = F.struct(F.lit(5.0).alias("start"), F.lit(60.0).alias("end"), F.lit(0.02).alias("step"), F.lit(100).alias("points"))
-    meta = lambda m: spark.createDataFrame([(i, f"s{i}") for i in m], "id long, sha string").withColumn("facts", facts).withColumn("record_id", F.col("id"))
+    meta = lambda m: spark.createDataFrame([(i, f"s{i}", f"Stem{i}", "STEM2" if i == 12 else None) for i in m], "id long, sha string, stem string, sample_code string").withColumn("facts", facts).withColumn("record_id", F.col("id"))
     names = lambda m: spark.createDataFrame([(i, f"m{i % 2}") for i in m], "id long, mineral string")
     got = {(r["in_id"], r["st_id"]): r for r in K.score_pairs(meta(new), meta(old), df(new), df(old), names(new), names(old)).collect()}
     for a, b in itertools.product(new, old):
         peak = brute_peak_score(new[a], old[b])
         cand = 1.0 if a % 2 == b % 2 else 0.0
+        want = 1.0 if (a, b) == (2, 12) else 0.25 + 0.55 * peak + 0.20 * cand
         if (a, b) not in got:
-            assert peak == 0 and cand == 0
+            assert want < K.MIN_SCORE + 2e-4
             continue
         assert got[(a, b)]["peak_score"] == pytest.approx(peak, abs=1e-4)
-        assert got[(a, b)]["score"] == pytest.approx(0.25 + 0.55 * peak + 0.20 * cand, abs=2e-4)
+        assert got[(a, b)]["score"] == pytest.approx(want, abs=2e-4)
+    assert got[(2, 12)]["exact"] and not got[(0, 10)]["exact"]
+    ranked = K.search(K.score_pairs(meta(new), meta(old), df(new), df(old), names(new), names(old)), None).where("in_id = 2").orderBy("rank").collect()
+    assert [r["rank"] for r in ranked] == list(range(1, len(ranked) + 1)) and ranked[0]["st_id"] == 12 and ranked[0]["status"] == "igual"
 
 
 def test_peak_set_similarity_of_itself(spark):

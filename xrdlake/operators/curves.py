@@ -221,6 +221,26 @@ def align_axis(curves: DataFrame, manual: DataFrame | None = None) -> DataFrame:
     return c.withColumn("original_start", F.array_min("two_theta")).withColumn("two_theta", moved).drop("quartz", "manual", "target_start")
 
 
+def align_batch(curves: DataFrame, manual: DataFrame | None = None) -> DataFrame:
+    """Axes of a batch of treatment series, one anchor per sample.
+
+    The natural curve moves by its quartz offset, whatever its size (0 where no quartz is seen); the others move so that they start
+    where it then starts. A sample without a natural curve is anchored to the start of the first of calcined
+    and glycolated. A manual correction of a curve (``curve_id, offset``) goes before all that.
+    """
+    q = quartz_offset(curves.where("preparation = 'natural'").select("curve_id", "two_theta", "intensity")).select("curve_id", F.coalesce("offset", F.lit(0.0)).alias("moved"))
+    order = F.when(F.col("preparation") == "natural", 0).when(F.col("preparation") == "calcinado", 1).otherwise(2)
+    starts = curves.join(q, "curve_id", "left").groupBy("sample_base").agg(
+        F.min(F.struct(order.alias("o"), "curve_id", F.array_min("two_theta").alias("start"), F.coalesce("moved", F.lit(0.0)).alias("moved"))).alias("anchor"))
+    c = curves.join(starts, "sample_base")
+    shift = F.col("anchor.start") + F.col("anchor.moved") - F.array_min("two_theta")
+    if manual is not None:
+        c = c.join(manual.select("curve_id", F.col("offset").alias("by_hand")), "curve_id", "left")
+        shift = F.coalesce("by_hand", shift)
+    c = c.withColumn("offset", F.round(shift, 6))
+    return c.withColumn("two_theta", F.transform("two_theta", lambda v: F.round(v + F.col("offset"), 6))).drop("anchor", "by_hand")
+
+
 def shift_peaks(peak_table: DataFrame, offset: str = "offset") -> DataFrame:
     """Move the angles of a peak table and recompute the spacing."""
     tt = F.round(F.col("two_theta") + F.coalesce(F.col(offset), F.lit(0.0)), 6)

@@ -36,29 +36,29 @@ def fold_accents(text) -> Column:
     return F.regexp_replace(F.translate(_c(text), ACCENTED, PLAIN), COMBINING_MARKS, "")
 
 
-def lookup_key(text) -> Column:
-    """Accent-free lower-case words separated by one space; null when empty."""
-    t = F.lower(fold_accents(_c(text)))
+def lookup_key(text, folded: bool = False) -> Column:
+    """Accent-free lower-case words separated by one space; null when empty. ``folded``: accents are gone already."""
+    t = F.lower(_c(text) if folded else fold_accents(text))
     t = F.replace(t, F.lit("ß"), F.lit("ss"))
     return blank_to_null(F.regexp_replace(t, "[^a-z0-9]+", " "))
 
 
-def ascii_key(text) -> Column:
+def ascii_key(text, folded: bool = False) -> Column:
     """Like :func:`lookup_key`, but letters outside ASCII vanish instead of splitting words."""
-    t = F.regexp_replace(fold_accents(_c(text)), r"[^\x00-\x7F]", "")
+    t = F.regexp_replace(_c(text) if folded else fold_accents(text), r"[^\x00-\x7F]", "")
     return blank_to_null(F.regexp_replace(F.lower(t), "[^a-z0-9]+", " "))
 
 
-def mineral_name_key(text) -> Column:
+def mineral_name_key(text, folded: bool = False) -> Column:
     """Name key that keeps ``+`` and drops apostrophes without splitting."""
-    t = F.regexp_replace(fold_accents(_c(text)), r"[^\x00-\x7F]", "")
+    t = F.regexp_replace(_c(text) if folded else fold_accents(text), r"[^\x00-\x7F]", "")
     t = F.regexp_replace(t, "['`]", "")
     t = F.regexp_replace(t, "[^A-Za-z0-9+]+", " ")
     return blank_to_null(F.lower(t))
 
 
-def mineral_slug(text) -> Column:
-    return F.replace(mineral_name_key(text), F.lit(" "), F.lit("_"))
+def mineral_slug(text, folded: bool = False) -> Column:
+    return F.replace(mineral_name_key(text, folded), F.lit(" "), F.lit("_"))
 
 
 def url_slug(text) -> Column:

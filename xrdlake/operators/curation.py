@@ -62,6 +62,12 @@ def violation(df: DataFrame, record: str, item, rule: str, cond: Column) -> Data
     return df.where(cond).select(F.col(record).alias("record_id"), _c(item).cast("string").alias("item"), F.lit(rule).alias("rule"))
 
 
+def violations(df: DataFrame, record: str, item, rules: dict[str, Column]) -> DataFrame:
+    """Rows that break any of several rules of one table, in one scan: (record_id, item, rule) per broken rule."""
+    broken = F.array_compact(F.array(*[F.when(cond, F.lit(rule)) for rule, cond in rules.items()]))
+    return df.select(F.col(record).alias("record_id"), _c(item).cast("string").alias("item"), F.explode(broken).alias("rule"))
+
+
 def required(df: DataFrame, record: str, item, column: str, rule: str) -> DataFrame:
     return violation(df, record, item, rule, blank_to_null(F.col(column).cast("string")).isNull())
 
@@ -86,9 +92,8 @@ def date_errors(df: DataFrame, record: str, item, column: str, rule: str) -> Dat
 def publication_errors(p: DataFrame, record: str, item) -> DataFrame:
     """Year, DOI, URL and at-least-one-identifier rules of publications."""
     given = lambda k: blank_to_null(k).isNotNull()
-    return union_all(
-        violation(p, record, item, "year_format", ~is_year("year")), violation(p, record, item, "doi_format", given("doi") & ~is_doi("doi")),
-        violation(p, record, item, "url_format", given("url") & ~is_url("url")), violation(p, record, item, "no_identifier", ~given("doi") & ~given("url")))
+    return violations(p, record, item, {
+        "year_format": ~is_year("year"), "doi_format": given("doi") & ~is_doi("doi"), "url_format": given("url") & ~is_url("url"), "no_identifier": ~given("doi") & ~given("url")})
 
 
 def fill_single(df: DataFrame, record: str, column: str) -> DataFrame:

@@ -329,22 +329,31 @@ def ambiguities(t: DataFrame) -> DataFrame:
     return t.withColumn("ambiguities", listed(**{w: anywhere(w) for w in AMBIGUITY_WINDOWS}))
 
 
-def mixed_layers(t: DataFrame) -> DataFrame:
-    """Interstratification hypotheses; needs ``behaviours`` and ``mg_context``."""
+def mixed_layer_rows() -> list:
+    """Conditions of the interstratification hypotheses: (condition, name, ordering, confidence)."""
     b = lambda name: F.array_contains("behaviours", name)
-    row = lambda cond, name, order, conf: F.when(cond, F.struct(F.lit(name).alias("hypothesis"), F.lit(order).alias("ordering"),
-                                                                (conf if isinstance(conf, Column) else F.lit(conf)).alias("confidence")))
     g17 = has("g", "mix_17a")
-    return rows_of(t, ("sample_base",), F.array_compact(F.array(
-        row(has("n", "corrensite_n_29a") & has("g", "corrensite_g_31a"), "corrensite", "R1", F.when(has("c", "corrensite_c_24a"), "high").otherwise("medium")),
-        row(b("partial_expansion_with_glycol") | b("broad_or_shoulder"), "illite_smectite_or_random_mixed_layer", "R0|unknown", "medium"),
-        row(has("n", "mix_14a") & g17, "chlorite_smectite", "R0|unknown", "medium"),
-        row(has("n", "mix_9_10a") & (g17 | F.col("mg_context")), "kerolite_stevensite_mixed_layer", "unknown", "medium"),
-        row(has("n", "mix_9_4a") & g17, "talc_smectite", "unknown", "medium"))))
+    return [
+        (has("n", "corrensite_n_29a") & has("g", "corrensite_g_31a"), "corrensite", "R1", F.when(has("c", "corrensite_c_24a"), "high").otherwise("medium")),
+        (b("partial_expansion_with_glycol") | b("broad_or_shoulder"), "illite_smectite_or_random_mixed_layer", "R0|unknown", F.lit("medium")),
+        (has("n", "mix_14a") & g17, "chlorite_smectite", "R0|unknown", F.lit("medium")),
+        (has("n", "mix_9_10a") & (g17 | F.col("mg_context")), "kerolite_stevensite_mixed_layer", "unknown", F.lit("medium")),
+        (has("n", "mix_9_4a") & g17, "talc_smectite", "unknown", F.lit("medium"))]
+
+
+def mixed_layers(t: DataFrame) -> DataFrame:
+    """Interstratification hypotheses; needs ``behaviours`` and ``mg_context``."""
+    return rows_of(t, ("sample_base",), F.array_compact(F.array(*[
+        F.when(cond, F.struct(F.lit(name).alias("hypothesis"), F.lit(order).alias("ordering"), conf.alias("confidence"))) for cond, name, order, conf in mixed_layer_rows()])))
+
+
+# Partial scores of a mixed-layer hypothesis among the candidates; its behaviour by confidence.
+MIXED_BEHAVIOUR = {"high": 0.8, "medium": 0.6}
+MIXED_PARTS = {"peak_set": 0.5, "d060": 0.4, "thermal": 0.5, "proximity": 0.6}
 
 
-def candidates(t: DataFrame) -> DataFrame:
-    """Candidate minerals with their partial scores.
+def candidates(t: DataFrame, mixed: bool = False) -> DataFrame:
+    """Candidate minerals with their partial scores; with ``mixed`` also the mixed-layer hypotheses.
 
     Needs ``behaviours``, ``octahedral`` (type from d060), ``mg_context`` and
     ``evaporitic_context``.
@@ -366,7 +375,9 @@ def candidates(t: DataFrame) -> DataFrame:
             lit(thermal).cast("double").alias("thermal"), lit(proximity).cast("double").alias("proximity"), F.lit(companions).alias("companions")))
     pick = lambda cond, a, z: F.when(cond, float(a)).otherwise(float(z))
     keep = ("sample_base", "treatments", "has_n", "has_g", "n_peaks", "ambiguities")
+    blends = [row(cond, name, pick(conf == "high", MIXED_BEHAVIOUR["high"], MIXED_BEHAVIOUR["medium"]), *MIXED_PARTS.values()) for cond, name, _, conf in mixed_layer_rows()] if mixed else []
     return rows_of(t, keep, F.array_compact(F.array(
+        *blends,
         row(smectite, "smectite_group", 1.0, "smectite_group", pick(known, 0.5, 0.0), 1.0, 0.8),
         row(smectite & mg, F.when(F.col("evaporitic_context"), "stevensite").otherwise("saponite"), 0.9, "smectite_group", pick(tri, 1.0, 0.5), 0.8, 0.7),
         row(smectite & ~mg & di, "montmorillonite_or_nontronite", 0.85, "smectite_group", 1.0, 0.8, 0.6),
@@ -433,10 +444,10 @@ def with_context(t: DataFrame, context: DataFrame) -> DataFrame:
 
 
 def interpret(t: DataFrame, context: DataFrame) -> DataFrame:
-    """All layers of a sample: every candidate with score, level and rank."""
+    """All layers of a sample: every mineral and mixed-layer candidate with score, level and rank."""
     from xrdlake.operators.panels import rank_within
 
-    s = score_candidates(candidates(ambiguities(behaviours(with_context(t, context)))))
+    s = score_candidates(candidates(ambiguities(behaviours(with_context(t, context))), mixed=True))
     return rank_within(s, ["sample_base"], [F.desc("score"), F.col("label")])
 
 
@@ -574,10 +585,12 @@ def completeness(t: DataFrame) -> DataFrame:
 def confirmatory_reflections(peaks: DataFrame) -> DataFrame:
     """Per sample and reflection rule: treatments that show it and its status; rules without a hit are listed too."""
     rules = R.literal_rows(R.CONFIRMATORY_REFLECTIONS, ("mineral", "reflection", "target", "d_min", "d_max", "required"))
-    per = peaks.select("sample_base", "preparation", "d", F.explode(rules).alias("w"))
-    ok = F.col("d").between(F.col("w.d_min"), F.col("w.d_max")) & ((F.col("w.required") == "") | (F.col("w.required") == F.col("preparation")))
-    one = per.groupBy("sample_base", F.col("w.mineral").alias("mineral"), F.col("w.reflection").alias("reflection"), "preparation").agg(F.max(ok.cast("int")).alias("seen"))
-    g = one.groupBy("sample_base", "mineral", "reflection").agg(F.sum("seen").alias("matches"))
+    hits = F.filter(rules, lambda w: F.col("d").between(w["d_min"], w["d_max"]) & ((w["required"] == "") | (w["required"] == F.col("preparation"))))
+    seen = peaks.select("sample_base", "preparation", F.explode_outer(hits).alias("w")).groupBy("sample_base").agg(
+        F.collect_set(F.when(F.col("w").isNotNull(), F.struct("w.mineral", "w.reflection", "preparation"))).alias("seen"))  # at most one per rule and treatment
+    g = seen.select("sample_base", "seen", F.explode(rules).alias("w")).select(
+        "sample_base", "w.mineral", "w.reflection",
+        F.size(F.filter("seen", lambda s: (s["mineral"] == F.col("w.mineral")) & (s["reflection"] == F.col("w.reflection")))).cast("long").alias("matches"))
     return g.withColumn("status", F.when(F.col("matches") >= 2, "evidência de suporte").when(F.col("matches") == 1, "observação isolada").otherwise("não observado"))
 
 

@@ -68,9 +68,10 @@ def j4(spark, d):
     pub = p.select("page_id", F.when(k % 5 == 0, "98").otherwise("1998").alias("year"), F.when(k % 2 == 0, "10.1").otherwise("10.1000/a").alias("doi"), F.when(k % 3 == 0, "ftp://x").otherwise(c("url")).alias("url"))
     return union_all(
         J.unique_within(li, "l_orderkey", "l_linenumber", "line_unique"),
-        J.required(o2.where("o_orderstatus = 'P'"), "o_custkey", "o_orderkey", "third", "priority_required"),
+        J.violations(o2, "o_custkey", "o_orderkey", {
+            "priority_required": (c("o_orderstatus") == "P") & J.blank_to_null(c("third")).isNull(), "date_format": ~J.is_iso_date("dt")}),
         J.declared(li, "l_orderkey", "l_suppkey", parents, "supplier_declared"),
-        J.date_errors(o2, "o_custkey", "o_orderkey", "dt", "date_format"), J.publication_errors(pub, "page_id", "page_id"))
+        J.publication_errors(pub, "page_id", "page_id"))
 
 
 @query("j5_default_filling", """

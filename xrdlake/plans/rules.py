@@ -290,8 +290,14 @@ def h15(spark, d):
     return N.relation_edges(trios(spark, d)).withColumn("delta_d", r(c("delta_d"), 5))
 
 
+_MIXED = [(_N29, "corrensite", f"CASE WHEN {has('c', 'corrensite_c_24a')} THEN 0.8e0 ELSE 0.6e0 END"),
+          ("contains(b, 'partial_expansion_with_glycol') OR contains(b, 'broad_or_shoulder')", "illite_smectite_or_random_mixed_layer", 0.6), (f"{has('n', 'mix_14a')} AND {has('g', 'mix_17a')}", "chlorite_smectite", 0.6),
+          (f"{has('n', 'mix_9_10a')} AND ({has('g', 'mix_17a')} OR mgc)", "kerolite_stevensite_mixed_layer", 0.6), (f"{has('n', 'mix_9_4a')} AND {has('g', 'mix_17a')}", "talc_smectite", 0.6)]
+MIXED_SCORE_SQL = SCORE_SQL.replace(CANDIDATE_SQL, CANDIDATE_SQL.rstrip()[:-1] + "\nUNION ALL " + "\nUNION ALL ".join(_cand(k, n, beh, 0.5, 0.4, 0.5, 0.6) for k, n, beh in _MIXED) + ")\n")
+
+
 @query("h16_full_interpretation", f"""
-WITH {SCORE_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY sample_base ORDER BY score DESC, label) AS rank FROM r1)
+WITH {MIXED_SCORE_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY sample_base ORDER BY score DESC, label) AS rank FROM r1)
 SELECT sample_base, rank, label, score, amb AS ambiguities FROM k""")
 def h16(spark, d):
     return N.interpret(trios(spark, d), context(spark, d)).select("sample_base", "rank", "label", "score", F.array_join("ambiguities", ",").alias("ambiguities"))

@@ -97,9 +97,8 @@ SELECT doc_id,
   replace(nullif(lower(trim(regexp_replace(regexp_replace(regexp_replace(strip_accents(text), '[^\x00-\x7F]', '', 'g'), '[''`]', '', 'g'), '[^A-Za-z0-9+]+', ' ', 'g'))), ''), ' ', '_') AS slug
 FROM documents""")
 def b8(spark, d):
-    return table(spark, d, "documents").select(
-        "doc_id", T.lookup_key("text").alias("lookup_key"), T.ascii_key("text").alias("ascii_key"),
-        T.mineral_slug("text").alias("slug"))
+    t = table(spark, d, "documents").select("doc_id", T.fold_accents("text").alias("plain"))
+    return t.select("doc_id", *[key("plain", folded=True).alias(name) for name, key in (("lookup_key", T.lookup_key), ("ascii_key", T.ascii_key), ("slug", T.mineral_slug))])
 
 
 NAMES_SQL = """

@@ -130,7 +130,7 @@ def names(spark, d):
 def _treatment_sql(col, out):
     i = {"treatment": 1, "evidence": 2}[out]
     arms = " ".join(f"WHEN regexp_matches({col}, '{p[0]}') THEN '{p[i]}'" for p in T.TREATMENT_PATTERNS)
-    return f"CASE {arms} ELSE '{'indeterminado' if i == 1 else 'no marker'}' END"
+    return f"CASE {arms} ELSE '{'indeterminado' if i == 1 else 'none'}' END"
 
 
 @query("b9_treatment_from_name", f"""

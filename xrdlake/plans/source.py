@@ -148,6 +148,24 @@ def a11(spark, d):
     return A.page_facts(table(spark, d, "pages"))
 
 
+_VALUE_OF = r"\s*(?:[:\-]|</[^>]+>)[\s:\-]*(?:<[^>]+>\s*)*([^<\r\n]+)"
+
+
+@query("a11_label_facts", rf"""
+WITH p AS (SELECT p_partkey, '<div><b>Formula:</b> <i>SiO' || p_size || '</i></div><p>Hardness - ' || p_size % 10 || '</p><span>Colour</span> ' || lower(p_brand) || '<br>Synonyms: ' || replace(p_name, ' ', ', ') || ';' || p_type || ', ' || p_type || '<br>Formula: second' AS html FROM part)
+SELECT p_partkey, trim(regexp_extract(html, 'Formula{_VALUE_OF}', 1)) AS formula, trim(regexp_extract(html, 'Hardness{_VALUE_OF}', 1)) AS hardness, trim(regexp_extract(html, 'Colour{_VALUE_OF}', 1)) AS colour,
+  nullif(trim(regexp_extract(html, 'Lustre{_VALUE_OF}', 1)), '') AS lustre,
+  (SELECT string_agg(s, '|' ORDER BY s) FROM (SELECT DISTINCT trim(u) AS s FROM (SELECT unnest(regexp_split_to_array(regexp_extract(html, 'Synonyms{_VALUE_OF}', 1), '[;,]')) AS u)) WHERE s <> '') AS synonyms FROM p""")
+def a11b(spark, d):
+    p = table(spark, d, "part")
+    size = c("p_size").cast("string")
+    page = p.select("p_partkey", F.concat(
+        F.lit("<div><b>Formula:</b> <i>SiO"), size, F.lit("</i></div><p>Hardness - "), (c("p_size") % 10).cast("string"), F.lit("</p><span>Colour</span> "), F.lower("p_brand"),
+        F.lit("<br>Synonyms: "), F.replace("p_name", F.lit(" "), F.lit(", ")), F.lit(";"), c("p_type"), F.lit(", "), c("p_type"), F.lit("<br>Formula: second")).alias("html"))
+    names = {"formula": "Formula", "hardness": "Hardness", "colour": "Colour", "lustre": "Lustre", "synonyms": "Synonyms"}
+    return A.label_facts(page, names, ("synonyms",), key="p_partkey").withColumn("synonyms", F.array_join(F.array_sort("synonyms"), "|"))
+
+
 @query("a12_area_features", """
 WITH f AS (SELECT l_suppkey % 50 AS process, lower(p_type) AS mineral_key FROM lineitem JOIN part ON l_partkey = p_partkey) SELECT DISTINCT CAST(process AS VARCHAR) AS process, mineral_key, n_name AS area FROM f JOIN nation ON process = n_nationkey""")
 def a12(spark, d):

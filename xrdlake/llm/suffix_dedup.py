@@ -24,6 +24,7 @@ SEED_BYTES = 16
 CHUNK_BYTES = 6_000_000
 STEP_BYTES = 1_000_000
 PART_BYTES = 8_000_000
+MOST_TASKS = 100_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
 BYTE_HASH = mix(np.arange(1, 257, dtype=np.uint64) * ODD)
 
@@ -327,7 +328,9 @@ def remove_repeats(docs: DataFrame, min_bytes: int = 50) -> DataFrame:
             "doc_id": ids_back(np.array(ids_out, np.int64)), "n_bytes": pa.array(size_out, pa.int64()), "kept": pa.array(kept_out, pa.binary()),
             "spans": pa.array(span_out, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))})
 
-    found = rows.select("doc_id", "row_key", "raw").mapInArrow(to_segments, out_schema).groupBy("part").applyInArrow(match, out_schema)
-    texts = rows.select("doc_id", "row_key", "raw").mapInArrow(to_texts, out_schema)
-    return texts.unionByName(found).groupBy("part").applyInArrow(
+    # as many tasks as parts, whatever the session's default: what a task reads does not grow with the input
+    tasks = max(1, min(parts, MOST_TASKS))
+    found = rows.mapInArrow(to_segments, out_schema).repartition(tasks, "part").groupBy("part").applyInArrow(match, out_schema)
+    texts = rows.mapInArrow(to_texts, out_schema)
+    return texts.unionByName(found).repartition(tasks, "part").groupBy("part").applyInArrow(
         apply_spans, "doc_id long, n_bytes long, kept binary, spans array<struct<start: long, end: long>>")

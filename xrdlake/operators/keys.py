@@ -65,21 +65,36 @@ def path_or_unique_name(items: DataFrame, results: DataFrame, payload: str) -> D
         payload, F.coalesce("_p", "_q")).drop("_p", "_q")
 
 
-def contains_join(items: DataFrame, text: str, patterns: DataFrame, pattern: str, gram: int = 3) -> DataFrame:
+def contains_join(items: DataFrame, text: str, patterns: DataFrame, pattern: str, gram: int = 3, least: int = 1) -> DataFrame:
     """Items whose text contains a pattern, as an equi join on leading characters.
 
     Each pattern is keyed by its first ``gram`` characters (all of them when it
     is shorter), each text by all its pieces of those lengths; survivors are
-    verified, so the result is that of the plain ``contains`` join.
+    verified, so the result is that of the plain ``contains`` join. Where no pattern has fewer
+    than ``least`` characters, shorter pieces need not be made.
     """
     t = F.col(text)
-    grams = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(gram)), lambda n: F.filter(
+    grams = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(least), F.lit(gram)), lambda n: F.filter(
         F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.substring(t, i, n)), lambda g: F.length(g) == n))))
     a = items.withColumn("_g", F.explode(F.when(F.length(t) > 0, grams)))
     b = patterns.where(F.length(pattern) > 0).withColumn("_g", F.substring(F.col(pattern), 1, gram))
     return a.join(b, "_g").where(F.col(text).contains(F.col(pattern))).drop("_g")
 
 
+# Terms shorter than this must be equal to match.
+CONTAINED_LENGTH = 8
+
+
+def matching_terms(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs of terms (``left_term, right_term``) that are equal, or long and one inside the other. Both frames: term."""
+    a, b = left.select(F.col("term").alias("left_term")).distinct(), right.select(F.col("term").alias("right_term")).distinct()
+    same = a.join(b, F.col("left_term") == F.col("right_term"))
+    long_a, long_b = a.where(F.length("left_term") >= CONTAINED_LENGTH), b.where(F.length("right_term") >= CONTAINED_LENGTH)
+    inside = contains_join(long_a, "left_term", long_b, "right_term", CONTAINED_LENGTH, CONTAINED_LENGTH)
+    around = contains_join(long_b, "right_term", long_a, "left_term", CONTAINED_LENGTH, CONTAINED_LENGTH)
+    return same.unionByName(inside).unionByName(around).distinct()
+
+
 def apply_overrides(candidates: DataFrame, overrides: DataFrame, limit: int | None = None) -> DataFrame:
     """Curated candidates first, then the existing ones, one per mineral, with their position; all or the first ``limit``.
 

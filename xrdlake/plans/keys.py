@@ -203,13 +203,18 @@ def d26(spark, d):
 
 
 @query("d27_prediction_row_match", """
-WITH p AS (SELECT event_id, lower(event_type) || ' ' || user_id AS term FROM events), b AS (SELECT term, max(event_id) AS prediction FROM p GROUP BY 1)
-SELECT o_orderkey, prediction FROM orders LEFT JOIN b ON term = CASE o_orderstatus WHEN 'F' THEN 'error ' WHEN 'O' THEN 'click ' ELSE 'none ' END || o_custkey""")
+WITH p AS (SELECT event_id, lower(event_type) || ' ' || user_id AS term FROM events), b AS (SELECT term, max(event_id) AS prediction FROM p GROUP BY 1),
+o AS (SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'error ' WHEN 'O' THEN 'click ' ELSE 'none ' END || o_custkey AS t FROM orders),
+m AS (SELECT t, max(prediction) AS prediction FROM (SELECT DISTINCT t FROM o) JOIN b ON t = term OR (length(t) >= 8 AND length(term) >= 8 AND (contains(t, term) OR contains(term, t))) GROUP BY 1)
+SELECT o_orderkey, prediction FROM o LEFT JOIN m USING (t)""")
 def d27(spark, d):
     p = table(spark, d, "events").select(lookup_key(F.concat_ws("_", "event_type", "user_id")).alias("key"), c("event_id").alias("prediction"))
     st = c("o_orderstatus")
     o = table(spark, d, "orders").select("o_orderkey", F.concat(F.when(st == "F", "Error/").when(st == "O", "CLICK-").otherwise("none "), _s("o_custkey")).alias("t"))
-    return K.alias_join(o, "o_orderkey", {"term": lookup_key("t")}, p, ["prediction"], [-c("prediction")]).select("o_orderkey", "prediction")
+    o = o.select("o_orderkey", lookup_key("t").alias("term"))
+    best = p.groupBy(c("key").alias("term")).agg(F.max("prediction").alias("prediction"))
+    hit = K.matching_terms(o, best).join(best.withColumnRenamed("term", "right_term"), "right_term").groupBy(c("left_term").alias("term")).agg(F.max("prediction").alias("prediction"))
+    return o.join(hit, "term", "left").select("o_orderkey", "prediction")
 
 
 @query("d28_fetch_by_priority", """

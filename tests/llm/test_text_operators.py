@@ -179,6 +179,15 @@ def test_classifier_on_held_out_rows(spark, real, sf_dir):
     assert len(own) > 50 and sum(own) >= 0.97 * len(own)
 
 
+def test_bounded_sample(spark):
+    rows = spark.range(5000).withColumnRenamed("id", "doc_id")
+    assert boosted.bounded(rows, 5000).count() == 5000
+    got = {r[0] for r in boosted.bounded(rows, 640).collect()}
+    assert 560 <= len(got) <= 640 and {r[0] for r in boosted.bounded(rows.repartition(7), 640).collect()} == got
+    hot = rows.unionByName(spark.range(3000).select(F.lit(7).cast("long").alias("doc_id")))
+    assert 0 < boosted.bounded(hot, 640).count() <= 640
+
+
 def test_trees_match_a_plain_walk():
     r = np.random.default_rng(5)
     x = r.random((400, len(text_stats.FEATURES)))

@@ -18,7 +18,7 @@ from xrdlake.llm import text_stats
 from xrdlake.llm.common import ids_back, ids_of, pick
 from xrdlake.session import written
 
-#: Labelled rows that training takes at most, by least hash of the id.
+#: Labelled rows that training takes at most, by hashes of their ids.
 MAX_LABELLED = 20_000
 
 
@@ -150,9 +150,29 @@ def marks_of(labels: DataFrame) -> DataFrame:
     return pick(labels, doc_id="long", quality="int").where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
 
 
+def bounded(rows: DataFrame, limit: int, slices: int = 64) -> DataFrame:
+    """At most ``limit`` of the rows: all of them, or those of whole hash slices of ``doc_id`` that fit.
+
+    The slices are fine enough that about ``slices`` of them make up the limit, and twice as many are counted; nothing is
+    sorted and no task or driver sees more than the limit. A slice too large for what is left is passed over.
+    """
+    total = rows.count()
+    if total <= limit:
+        return rows
+    slice_ = F.pmod(F.xxhash64("doc_id"), F.lit(-(-total * slices // max(limit, 1))))
+    counts = dict(rows.select(slice_.alias("s")).where(F.col("s") < 2 * slices).groupBy("s").count().collect())
+    taken, left = [], limit
+    for s in sorted(counts):
+        if counts[s] <= left:
+            taken.append(s)
+            left -= counts[s]
+    return rows.where(slice_.isin(taken)) if taken else rows.where(F.lit(False))
+
+
 def sample(stats: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> pd.DataFrame:
-    """At most ``limit`` labelled rows of statistics, those with the least hash of their id; rows without a label are not taken."""
-    return stats.join(marks_of(labels), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", *text_stats.COUNTS).limit(limit).toPandas()
+    """At most ``limit`` labelled rows of statistics, chosen by hashes of their ids; rows without a label are not taken."""
+    rows = bounded(stats.join(marks_of(labels), "doc_id"), limit).toPandas()
+    return rows.sort_values(["doc_id", *text_stats.COUNTS], ignore_index=True)
 
 
 def trained(stats: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED, settings: Settings = Settings()) -> Model:
@@ -189,7 +209,7 @@ def filtered(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED, cut:
     The sample is drawn from the labels (at most ``limit`` of them, so their ids may be broadcast), of which those that
     ``docs`` holds are learned from. Texts are scored where they stand: neither rows nor texts are shuffled.
     """
-    marks = marks_of(labels).where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    marks = bounded(marks_of(labels).where(~held_out(F.col("doc_id"))), limit)
     plain = pick(docs, doc_id="long", text="string")
     model = trained(counted(plain.join(F.broadcast(marks), "doc_id", "left_semi")), labels, limit, settings)
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -64,7 +64,7 @@ def prepare(records: DataFrame) -> DataFrame:
     """
     r = records
     for k in ("minerals", "groups", "subjects", "uses"):
-        r = r.withColumn(f"t_{k}", F.array_distinct(F.array_compact(F.transform(F.coalesce(k, F.array().cast("array<string>")), ascii_key))))
+        r = r.withColumn(f"t_{k}", F.array_distinct(F.array_compact(F.transform(F.coalesce(k, F.array().cast("array<string>")), lambda v: ascii_key(v)))))
     for k in ("environment", "rock", "formation", "result_text"):
         r = r.withColumn(f"t_{k}", tokens(F.coalesce(k, F.lit(""))))
     return r

@@ -156,7 +156,7 @@ def label_facts(pages: DataFrame, labels: dict[str, str], lists: tuple[str, ...]
     All labels are found in one pass over the page. Columns in ``lists`` are cut at commas and semicolons.
     """
     pattern = F.lit(r"(?i)\b(" + "|".join(labels.values()) + r")\s*(?:[:\-]|</[^>]+>)[\s:\-]*(?:<[^>]+>\s*)*([^<\r\n]+)")
-    found = pages.select(key, F.arrays_zip(F.transform(F.regexp_extract_all(html, pattern, 1), F.lower).alias("label"), F.regexp_extract_all(html, pattern, 2).alias("value")).alias("f"))
+    found = pages.select(key, F.arrays_zip(F.transform(F.regexp_extract_all(html, pattern, 1), lambda x: F.lower(x)).alias("label"), F.regexp_extract_all(html, pattern, 2).alias("value")).alias("f"))
 
     def value(label):
         return blank_to_null(F.get(F.filter("f", lambda p: p["label"] == label.lower()), 0)["value"])

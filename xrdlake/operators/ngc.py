@@ -222,11 +222,25 @@ def group_candidates(t: DataFrame) -> DataFrame:
     return out.withColumn("confidence", group_confidence("score", "complete")).drop("complete")
 
 
+# What each observation adds to a hypothesis, or takes from it.
+CLAY_WEIGHTS = {
+    "kaolin_group": {"natural_7a": 0.25, "glycolated_7a": 0.20, "stable_7a": 0.20, "lost_by_heating": 0.25, "line_3_57a": 0.10, "kept_by_heating": -0.25, "full_chlorite_series": -0.20},
+    "chlorite_group": {"line_14a": 0.30, "line_7a": 0.20, "line_4_72a": 0.15, "line_3_53a": 0.15, "no_expansion": 0.20, "heat_resistant_14a": 0.20, "expanded_17a": -0.30},
+    "smectite_group": {"natural_basal": 0.30, "glycolated_basal": 0.40, "calcined_basal": 0.25, "shift_over_1_2a": 0.15, "chlorite_without_expansion": -0.25},
+    "illite_mica": {"line_10a_everywhere": 0.35, "line_10a_somewhere": 0.18, "no_expansion": 0.20, "calcined_10a": 0.15, "line_5a": 0.15, "line_3_33a": 0.10, "quartz_at_3_33a": -0.15},
+    "vermiculite_group": {"no_expansion": 0.30, "collapse_of_14a": 0.20, "full_chlorite_series": -0.20},
+    "mixed": {"partial_smectite_series": 0.30, "illite_with_expansion": 0.30, "broad_basal": 0.20},
+}
+
+
 def clay_interpretation(t: DataFrame) -> DataFrame:
-    """Six hypotheses per sample with additive and subtractive evidence, caps and status."""
+    """Six hypotheses per sample: score, status, evidence for and against by name, missing treatments.
+
+    Every observation adds or takes its weight of ``CLAY_WEIGHTS``; caps and the overlap rule follow.
+    """
     p = has
     t = t.select(
-        "sample_base", "has_c", "broad_basal", intensity("n", "kaolinite_7a_n").alias("n7"), intensity("g", "kaolinite_7a_g").alias("g7"),
+        "sample_base", "has_n", "has_g", "has_c", "broad_basal", intensity("n", "kaolinite_7a_n").alias("n7"), intensity("g", "kaolinite_7a_g").alias("g7"),
         intensity("c", "kaolinite_7a_c_check").alias("c7"), F.abs(spacing("n", "kaolinite_7a_n") - spacing("g", "kaolinite_7a_g")).alias("k_gap"),
         (spacing("g", "smectite_g") - spacing("n", "smectite_n")).alias("s_gap"), p("rep", "kaolinite_3_57a").alias("k357"),
         p("rep", "chlorite_7a").alias("ch7"), p("rep", "chlorite_4_72a").alias("ch472"), p("rep", "chlorite_3_53a").alias("ch353"),
@@ -240,29 +254,40 @@ def clay_interpretation(t: DataFrame) -> DataFrame:
     t = t.withColumn("disc", (n14 | g14 | c14) & (ch472 | ch353 | c14)).withColumn(
         "i_hits", F.col("in10").cast("int") + F.col("ig10").cast("int") + F.col("ic10").cast("int"))
     lost, full, cl_disc, i_hits = F.col("lost"), F.col("full"), F.col("disc"), F.col("i_hits")
-    ka = (pts(n7 > 0, 0.25) + pts(g7 > 0, 0.20) + pts((n7 > 0) & (g7 > 0) & (F.col("k_gap") <= 0.25), 0.20)
-          + pts(lost, 0.25) + pts(k357, 0.10) + pts((n7 > 0) & (c7 >= n7 * 0.5), -0.25) + pts(full, -0.20))
-    cl = (pts(n14 | g14 | c14, 0.30) + pts(ch7, 0.20) + pts(ch472, 0.15) + pts(ch353, 0.15) + pts(n14 & ~sg, 0.20) + pts(n14 & c14, 0.20) + pts(sg, -0.30))
+    s_hits = sn.cast("int") + sg.cast("int") + sc.cast("int")
+    in10, ic10 = F.col("in10"), F.col("ic10")
+    seen = {
+        "kaolin_group": {"natural_7a": n7 > 0, "glycolated_7a": g7 > 0, "stable_7a": (n7 > 0) & (g7 > 0) & (F.col("k_gap") <= 0.25), "lost_by_heating": lost, "line_3_57a": k357,
+                         "kept_by_heating": (n7 > 0) & (c7 >= n7 * 0.5), "full_chlorite_series": full},
+        "chlorite_group": {"line_14a": n14 | g14 | c14, "line_7a": ch7, "line_4_72a": ch472, "line_3_53a": ch353, "no_expansion": n14 & ~sg, "heat_resistant_14a": n14 & c14, "expanded_17a": sg},
+        "smectite_group": {"natural_basal": sn, "glycolated_basal": sg, "calcined_basal": sc, "shift_over_1_2a": sn & sg & (F.col("s_gap") > 1.2), "chlorite_without_expansion": ~sg & full},
+        "illite_mica": {"line_10a_everywhere": i_hits == 3, "line_10a_somewhere": (i_hits > 0) & (i_hits < 3), "no_expansion": in10 & ~sg, "calcined_10a": ic10, "line_5a": F.col("i5"), "line_3_33a": i333,
+                        "quartz_at_3_33a": i333 & F.col("q101") & (i_hits < 2)},
+        "vermiculite_group": {"no_expansion": n14 & ~sg, "collapse_of_14a": n14 & ~c14, "full_chlorite_series": full},
+        "mixed": {"partial_smectite_series": (s_hits > 0) & (s_hits < 3), "illite_with_expansion": (i_hits > 0) & sg, "broad_basal": F.col("broad_basal")},
+    }
+
+    def total(name):
+        return sum((pts(seen[name][k], w) for k, w in CLAY_WEIGHTS[name].items()), F.lit(0.0))
+
+    def named(name, sign):
+        return F.array_join(F.array_compact(F.array(F.lit(None).cast("string"), *[F.when(seen[name][k], F.lit(k)) for k, w in CLAY_WEIGHTS[name].items() if w * sign > 0])), ",")
+    ka, cl, sm, il, ve, mx = (total(k) for k in CLAY_WEIGHTS)
     t = t.withColumn("ka", ka).withColumn("cl", cl)
     t = t.withColumn("ka", F.when(((n7 > 0) | (g7 > 0)) & ~lost, F.least("ka", F.when(k357, 0.38).otherwise(0.32))).otherwise(F.col("ka")))
     t = t.withColumn("cl", F.when(ch7 & ~cl_disc, F.least("cl", F.lit(0.34))).otherwise(F.col("cl")))
     ka, cl = F.col("ka"), F.col("cl")
-    sm = pts(sn, 0.30) + pts(sg, 0.40) + pts(sc, 0.25) + pts(sn & sg & (F.col("s_gap") > 1.2), 0.15) + pts(~sg & full, -0.25)
-    il = (F.when(i_hits == 3, 0.35).when(i_hits > 0, 0.18).otherwise(0.0) + pts(F.col("in10") & ~sg, 0.20) + pts(F.col("ic10"), 0.15)
-          + pts(F.col("i5"), 0.15) + pts(i333, 0.10) + pts(i333 & F.col("q101") & (i_hits < 2), -0.15))
-    ve = pts(n14 & ~sg, 0.30) + pts(n14 & ~c14, 0.20) + pts(full, -0.20)
-    s_hits = sn.cast("int") + sg.cast("int") + sc.cast("int")
-    mx = pts((s_hits > 0) & (s_hits < 3), 0.30) + pts((i_hits > 0) & sg, 0.30) + pts(F.col("broad_basal"), 0.20)
     mx = F.when((cl >= 0.6) & (ka >= 0.4) & (c7 > 0), F.greatest(mx, F.lit(0.55))).otherwise(mx)
     unresolved = ((n7 > 0) | (g7 > 0) | ch7) & ~lost & ~cl_disc
     mx = F.when(unresolved, F.greatest(mx, F.lit(0.52))).otherwise(mx)
     clip = lambda s: F.round(F.least(F.greatest(s, F.lit(0.0)), F.lit(1.0)) + 1e-9, 4)
-    row = lambda name, s, kind: F.struct(F.lit(name).alias("candidate_id") if isinstance(name, str) else name.alias("candidate_id"),
-                                         clip(s).alias("score"), F.lit(kind).alias("kind"))
-    out = rows_of(t, ("sample_base",), F.array(
+    row = lambda name, s, kind, label=None: F.struct((F.lit(name) if label is None else label).alias("candidate_id"), clip(s).alias("score"), F.lit(kind).alias("kind"),
+                                                     named(name, 1).alias("evidence_for"), named(name, -1).alias("evidence_against"))
+    t = t.withColumn("missing", F.array_join(F.array_compact(F.array(*[F.when(~F.col(f"has_{k}"), F.lit(prep)) for k, prep in zip("ngc", ("natural", "glicolado", "calcinado"))])), ","))
+    out = rows_of(t, ("sample_base", "missing"), F.array(
         row("kaolin_group", ka, "plain"), row("chlorite_group", cl, "plain"), row("smectite_group", sm, "plain"), row("illite_mica", il, "plain"),
         row("vermiculite_group", ve, "provisional"),
-        row(F.when(unresolved, "kaolin_chlorite_overlap_7a").otherwise("mixed_layer"), mx, "mixed")))
+        row("mixed", mx, "mixed", F.when(unresolved, "kaolin_chlorite_overlap_7a").otherwise("mixed_layer"))))
     k = F.col("kind")
     ambiguous = (F.col("candidate_id") == "kaolin_chlorite_overlap_7a") | ((k == "mixed") & (F.col("score") >= 0.4))
     return out.withColumn("status", candidate_status("score", k == "provisional", ambiguous)).drop("kind")

@@ -8,7 +8,8 @@ from xrdlake.functions.geometry import D060_WINDOW, d060_distance
 from xrdlake.functions.text import lookup_key
 from xrdlake.functions.values import stable_hash
 from xrdlake.operators import curves as C, panels as P, sets as X
-from xrdlake.plans.match import peaks, r
+from xrdlake.operators.matching import nearest_window
+from xrdlake.plans.match import NAMED_VALUES, peaks, r
 from xrdlake.plans.curve import TARGETED_SQL
 from xrdlake.plans.registry import query
 from xrdlake.plans.sqlbits import CANDS, GEO, PEAKS, bragg_d
@@ -204,10 +205,13 @@ def e23(spark, d):
 
 
 @query("e24_report_peaks", f"""
-WITH {PEAKS}, rk AS (SELECT *, row_number() OVER (PARTITION BY curve_id ORDER BY relative_intensity DESC, two_theta) AS k FROM pk) SELECT curve_id, k AS rank, round(d, 5) AS d, CASE WHEN relative_intensity >= 60 THEN 'strong' WHEN relative_intensity >= 25 THEN 'medium' ELSE 'weak' END AS remark FROM rk""")
+WITH {PEAKS}, rk AS (SELECT *, row_number() OVER (PARTITION BY curve_id ORDER BY relative_intensity DESC, two_theta) AS k FROM pk), w(range_id, lo, hi) AS (VALUES {NAMED_VALUES}),
+n AS (SELECT curve_id, k, arg_min(range_id, (abs(d - (lo + hi) / 2), range_id)) AS candidate, min(abs(d - (lo + hi) / 2)) AS delta FROM rk CROSS JOIN w GROUP BY ALL)
+SELECT curve_id, k AS rank, round(d, 5) AS d, CASE WHEN relative_intensity >= 60 THEN 'strong' WHEN relative_intensity >= 25 THEN 'medium' ELSE 'weak' END AS remark, candidate, round(delta, 5) AS delta FROM rk JOIN n USING (curve_id, k)""")
 def e24(spark, d):
-    p = P.rank_within(peaks(spark, d), ["curve_id"], [F.desc("relative_intensity"), c("two_theta")])
-    return p.select("curve_id", "rank", r(c("d"), 5).alias("d"), F.when(c("relative_intensity") >= 60, "strong").when(c("relative_intensity") >= 25, "medium").otherwise("weak").alias("remark"))
+    p = P.rank_within(peaks(spark, d), ["curve_id"], [F.desc("relative_intensity"), c("two_theta")]).withColumn("n", nearest_window(c("d")))
+    return p.select("curve_id", "rank", r(c("d"), 5).alias("d"), F.when(c("relative_intensity") >= 60, "strong").when(c("relative_intensity") >= 25, "medium").otherwise("weak").alias("remark"),
+                    c("n.range_id").alias("candidate"), r(c("n.delta"), 5).alias("delta"))
 
 
 @query("e25_rows_by_record", f"""

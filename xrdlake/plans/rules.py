@@ -147,6 +147,22 @@ def h5(spark, d):
     return N.group_candidates(trios(spark, d))
 
 
+def _hypothesis(name, score, plus, minus):
+    return f"SELECT sample_base, {name} AS candidate_id, {score} AS v, missing, {plus} AS evidence_for, {minus} AS evidence_against FROM mi"
+
+
+_HYPOTHESES = "\nUNION ALL ".join([
+    _hypothesis("'kaolin_group'", "ka", lst(natural_7a="n7 > 0", glycolated_7a="g7 > 0", stable_7a="n7 > 0 AND g7 > 0 AND kst", lost_by_heating="lost", line_3_57a="k357"),
+                lst(kept_by_heating="n7 > 0 AND c7 >= 0.5e0 * n7", full_chlorite_series="fullset")),
+    _hypothesis("'chlorite_group'", "cl", lst(line_14a="n14 OR g14 OR c14", line_7a="ch7", line_4_72a="ch472", line_3_53a="ch353", no_expansion="n14 AND NOT sg", heat_resistant_14a="n14 AND c14"), lst(expanded_17a="sg")),
+    _hypothesis("'smectite_group'", "sm", lst(natural_basal="sn", glycolated_basal="sg", calcined_basal="sc", shift_over_1_2a="sn AND sg AND ex"), lst(chlorite_without_expansion="NOT sg AND fullset")),
+    _hypothesis("'illite_mica'", "il", lst(line_10a_everywhere="ih = 3", line_10a_somewhere="ih BETWEEN 1 AND 2", no_expansion=f"{has('n', 'illite_10a_n')} AND NOT sg", calcined_10a=has('c', 'illite_10a_c'), line_5a="i5", line_3_33a="i333"),
+                lst(quartz_at_3_33a="i333 AND q101 AND ih < 2")),
+    _hypothesis("'vermiculite_group'", "ve", lst(no_expansion="n14 AND NOT sg", collapse_of_14a="n14 AND NOT c14"), lst(full_chlorite_series="fullset")),
+    _hypothesis("CASE WHEN unres THEN 'kaolin_chlorite_overlap_7a' ELSE 'mixed_layer' END", "CASE WHEN unres THEN greatest(mx1, 0.52e0) ELSE mx1 END",
+                lst(partial_smectite_series="sn::INT + sg::INT + sc::INT BETWEEN 1 AND 2", illite_with_expansion="ih > 0 AND sg", broad_basal="broad_basal"), "''")])
+
+
 @query("h6_clay_interpretation", f"""
 WITH {WIDE}, o AS (SELECT *, {inten('n', 'kaolinite_7a_n')} AS n7, {inten('g', 'kaolinite_7a_g')} AS g7, {inten('c', 'kaolinite_7a_c_check')} AS c7, {has('rep', 'kaolinite_3_57a')} AS k357, {has('rep', 'chlorite_7a')} AS ch7, {has('rep', 'chlorite_4_72a')} AS ch472,
   {has('rep', 'chlorite_3_53a')} AS ch353, {has('n', 'chlorite_14a_n')} AS n14, {has('g', 'chlorite_14a_g')} AS g14, {has('c', 'chlorite_14a_c')} AS c14, {has('n', 'smectite_n')} AS sn, {has('g', 'smectite_g')} AS sg, {has('c', 'smectite_c')} AS sc,
@@ -161,9 +177,9 @@ s AS (SELECT *, {num('n7 > 0', 0.25)} + {num('g7 > 0', 0.2)} + {num('n7 > 0 AND
   {num('sn::INT + sg::INT + sc::INT BETWEEN 1 AND 2', 0.3)} + {num('ih > 0 AND sg', 0.3)} + {num('broad_basal', 0.2)} AS mx0, (n7 > 0 OR g7 > 0 OR ch7) AND NOT lost AND NOT disc AS unres FROM f),
 z AS (SELECT *, CASE WHEN (n7 > 0 OR g7 > 0) AND NOT lost THEN least(ka0, CASE WHEN k357 THEN 0.38e0 ELSE 0.32e0 END) ELSE ka0 END AS ka, CASE WHEN ch7 AND NOT disc THEN least(cl0, 0.34e0) ELSE cl0 END AS cl FROM s),
 y AS (SELECT *, CASE WHEN cl >= 0.6 AND ka >= 0.4 AND c7 > 0 THEN greatest(mx0, 0.55e0) ELSE mx0 END AS mx1 FROM z),
-u AS (SELECT sample_base, 'kaolin_group' AS candidate_id, ka AS v FROM y UNION ALL SELECT sample_base, 'chlorite_group', cl FROM y UNION ALL SELECT sample_base, 'smectite_group', sm FROM y UNION ALL SELECT sample_base, 'illite_mica', il FROM y
-  UNION ALL SELECT sample_base, 'vermiculite_group', ve FROM y UNION ALL SELECT sample_base, CASE WHEN unres THEN 'kaolin_chlorite_overlap_7a' ELSE 'mixed_layer' END, CASE WHEN unres THEN greatest(mx1, 0.52e0) ELSE mx1 END FROM y),
-q AS (SELECT sample_base, candidate_id, round(least(greatest(v, 0), 1) + 1e-9, 4) AS score FROM u)
+mi AS (SELECT *, concat_ws(',', CASE WHEN NOT has_n THEN 'natural' END, CASE WHEN NOT has_g THEN 'glicolado' END, CASE WHEN NOT has_c THEN 'calcinado' END) AS missing FROM y),
+u AS ({_HYPOTHESES}),
+q AS (SELECT sample_base, candidate_id, round(least(greatest(v, 0), 1) + 1e-9, 4) AS score, missing, evidence_for, evidence_against FROM u)
 SELECT *, CASE WHEN candidate_id = 'kaolin_chlorite_overlap_7a' OR (candidate_id = 'mixed_layer' AND score >= 0.4) THEN 'ambíguo' WHEN candidate_id = 'vermiculite_group' AND score >= 0.4 THEN 'provisório' WHEN candidate_id = 'vermiculite_group' THEN 'possível'
   WHEN score >= 0.6 THEN 'provável' WHEN score >= 0.4 THEN 'possível' ELSE 'descartado' END AS status FROM q""")
 def h6(spark, d):

@@ -342,7 +342,34 @@ def c24(spark, d):
     return _pts(curves(spark, d).withColumn("d", F.transform("two_theta", lambda t: bd(t))), d="d")
 
 
-@query("c25_detector_explanation", None)
+_K11 = S.smoothing_kernel(11, 3)
+_DETECTOR_SQL = _asym_sql(10, 10).rsplit(" SELECT curve_id, idx, round(z", 1)[0] + f"""
+, bc AS (SELECT p.curve_id, p.idx, p.tt, greatest(p.y - b.z, 0) AS c, count(*) OVER (PARTITION BY p.curve_id) AS n,
+    avg(greatest(p.y - b.z, 0)) OVER (PARTITION BY p.curve_id ORDER BY p.idx ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS ma FROM pts p JOIN z10 b USING (curve_id, idx)),
+k11(k, wt) AS (VALUES {', '.join(f'({i - 5}, {w!r}::DOUBLE)' for i, w in enumerate(_K11))}),
+sv AS (SELECT a.curve_id, a.idx, greatest(sum(b.c * wt), 0) AS s FROM bc a JOIN k11 ON true JOIN bc b ON b.curve_id = a.curve_id AND b.idx = a.idx + k WHERE a.idx >= 5 AND a.idx < a.n - 5 GROUP BY ALL),
+sm AS (SELECT bc.*, coalesce(s, ma) AS s FROM bc LEFT JOIN sv ON sv.curve_id = bc.curve_id AND sv.idx = bc.idx),
+df AS (SELECT curve_id, ((c - s) - lag(c - s) OVER (PARTITION BY curve_id ORDER BY idx)) / sqrt(2) AS e FROM sm),
+md AS (SELECT curve_id, median(e) AS m, stddev_pop(e) AS sd FROM df WHERE e IS NOT NULL GROUP BY 1),
+ns AS (SELECT curve_id, any_value(sd) AS sd, 1.4826e0 * median(abs(e - m)) AS sg FROM df JOIN md USING (curve_id) WHERE e IS NOT NULL GROUP BY 1),
+nz AS (SELECT curve_id, greatest(CASE WHEN sg > 0 THEN sg ELSE sd END, 1e-12) AS noise FROM ns),
+nb AS (SELECT *, lag(s) OVER w AS pl, lead(s) OVER w AS pr FROM sm WINDOW w AS (PARTITION BY curve_id ORDER BY idx)),
+pk AS (SELECT nb.*, greatest(s, c) / noise AS snr, row_number() OVER (PARTITION BY curve_id ORDER BY s DESC, tt) AS k FROM nb JOIN nz USING (curve_id) WHERE pl IS NOT NULL AND pr IS NOT NULL AND s >= 0 AND s >= pl AND s >= pr AND greatest(s, c) / noise >= 5),
+en AS (SELECT p.curve_id, p.idx, p.k, p.tt, p.s, p.c, p.snr, p.pl, p.pr, coalesce(max(CASE WHEN n.idx < p.idx AND n.s <= p.s / 2 THEN n.idx END), 0) AS l, coalesce(min(CASE WHEN n.idx > p.idx AND n.s <= p.s / 2 THEN n.idx END), max(n.idx)) AS r,
+    coalesce(max(CASE WHEN n.idx < p.idx AND n.c <= p.c / 2 THEN n.idx END), 0) AS al, coalesce(min(CASE WHEN n.idx > p.idx AND n.c <= p.c / 2 THEN n.idx END), max(n.idx)) AS ar FROM pk p JOIN sm n USING (curve_id) GROUP BY ALL),
+sg AS (SELECT curve_id, idx, tt, c, lead(tt) OVER w AS nt, lead(c) OVER w AS nc FROM sm WINDOW w AS (PARTITION BY curve_id ORDER BY idx)),
+aa AS (SELECT e.curve_id, e.idx, CASE WHEN any_value(e.c) > 0 THEN sum((sg.c + nc) / 2 * (nt - sg.tt)) ELSE 0 END AS area FROM en e JOIN sg ON sg.curve_id = e.curve_id AND sg.idx >= e.al AND sg.idx < e.ar GROUP BY ALL),
+cr AS (SELECT e.*, a.tt AS x0, a.s AS y0, b.tt AS x1, b.s AS y1, q.tt AS x2, q.s AS y2, z.tt AS x3, z.s AS y3 FROM en e JOIN sm a ON a.curve_id = e.curve_id AND a.idx = e.l JOIN sm b ON b.curve_id = e.curve_id AND b.idx = e.l + 1
+   JOIN sm q ON q.curve_id = e.curve_id AND q.idx = e.r - 1 JOIN sm z ON z.curve_id = e.curve_id AND z.idx = e.r),
+st AS (SELECT curve_id, median(dx) AS step FROM (SELECT curve_id, tt - lag(tt) OVER (PARTITION BY curve_id ORDER BY idx) AS dx FROM sm) WHERE dx IS NOT NULL GROUP BY 1),
+ro AS (SELECT cr.curve_id, cr.k AS peak_id, CASE WHEN abs(pl - 2 * cr.s + pr) < 1e-12 THEN cr.tt ELSE cr.tt + least(greatest(0.5e0 * (pl - pr) / (pl - 2 * cr.s + pr), -1), 1) * step END AS position,
+   nullif(greatest(0, (CASE WHEN abs(y3 - y2) < 1e-12 THEN x2 ELSE x2 + (x3 - x2) * (cr.s / 2 - y2) / (y3 - y2) END) - (CASE WHEN abs(y1 - y0) < 1e-12 THEN x0 ELSE x0 + (x1 - x0) * (cr.s / 2 - y0) / (y1 - y0) END)), 0) AS fwhm, snr, area
+   FROM cr JOIN st USING (curve_id) JOIN aa ON aa.curve_id = cr.curve_id AND aa.idx = cr.idx)
+SELECT curve_id, peak_id, count(*) OVER c AS n_peaks, round(position, 5) AS position, round(fwhm, 5) AS fwhm, round(snr, 5) AS snr, round(area, 5) AS area, round(position - 2 * fwhm, 5) AS window_low, round(position + 2 * fwhm, 5) AS window_high,
+  round(median(snr) OVER c, 5) AS snr_median, round(median(fwhm) OVER c, 5) AS fwhm_median FROM ro WINDOW c AS (PARTITION BY curve_id)"""
+
+
+@query("c25_detector_explanation", _DETECTOR_SQL)
 def c25(spark, d):
     e = C.explain_peaks(C.detector(curves(spark, d)))
     return e.select("curve_id", "peak_id", "n_peaks", *[r(F.col(k), 5).alias(k) for k in ("position", "fwhm", "snr", "area", "window_low", "window_high", "snr_median", "fwhm_median")])

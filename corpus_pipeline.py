@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from xrdlake.llm import boosted, decontaminate, pack, queries, registry, secrets, simhash
+from xrdlake.llm import boosted, decontaminate, near_copies, pack, queries, registry, secrets
 from xrdlake.session import written
 
 
@@ -22,8 +22,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one with the smallest id."""
-    return simhash.one_of_each(docs)
+    """One document of each near-duplicate group (five-word shingles, similarity 0.8 or more): the one with the smallest id."""
+    return near_copies.one_of_each(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,11 +28,11 @@ BLOCKS = tuple((sum((11, 11, 11, 11, 10, 10)[:i]), (11, 11, 11, 11, 10, 10)[i])
 KEYS = tuple(itertools.combinations(range(6), 3))
 
 
-def fingerprint(text: str | None, words: int = 3) -> int:
-    """A bit is set if it is set in over half of the shingle hashes (XXH64, seed 42; repeats count)."""
+def shingles(text: str | None, words: int = 3) -> np.ndarray:
+    """Hashes (XXH64, seed 42) of all runs of ``words`` words, repeats included; a shorter text is one run, an empty one none."""
     parts = (text or "").encode().lower().split()
     if not parts:
-        return 0
+        return np.empty(0, np.uint64)
     if len(parts) <= words:
         hashes = [xxhash.xxh64_intdigest(b" ".join(parts), 42)]
     else:
@@ -42,11 +42,19 @@ def fingerprint(text: str | None, words: int = 3) -> int:
             ends.append(at)
         starts, digest = [0, *(e + 1 for e in ends)], xxhash.xxh64_intdigest
         hashes = [digest(line[a:b], 42) for a, b in zip(starts, ends[words - 1:], strict=False)]
-    h = np.array(hashes, "<u8")
+    return np.array(hashes, "<u8")
+
+
+def fingerprint_of(h: np.ndarray) -> int:
     ones = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.bitwise_or.reduce(BITS[2 * ones > len(h)], initial=np.uint64(0)))
 
 
+def fingerprint(text: str | None, words: int = 3) -> int:
+    """A bit is set if it is set in over half of the shingle hashes (XXH64, seed 42; repeats count)."""
+    return fingerprint_of(shingles(text, words))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """``doc_id, row_key, fp`` of every row; ``row_key`` is ``xxhash64(text)``, ``fp`` the fingerprint as a signed number."""
     rows = pick(docs, doc_id="long", text="string").select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("row_key"), "text")
@@ -179,10 +187,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stand for their group: the smallest id (null last), of equal ids the smallest text hash; repeats once."""
     prints = written(fingerprints(docs), "fingerprints")
-    roots = rooted(prints.select("fp").distinct())
+    return firsts(docs, prints.select("doc_id", "row_key", F.col("fp").alias("node")), rooted(prints.select("fp").distinct()).withColumnRenamed("fp", "node"))
+
+
+def firsts(docs: DataFrame, rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each root, given ``doc_id, row_key, node`` of every row and ``node, root``."""
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")
-    firsts = prints.groupBy("fp").agg(F.min(rank).alias("first")).join(roots, "fp").groupBy("root").agg(F.min("first").alias("first"))
-    keep = firsts.select(F.col("first.doc_id").alias("kept_id"), F.col("first.row_key").alias("kept_key")).distinct()
+    first = rows.groupBy("node").agg(F.min(rank).alias("first")).join(roots, "node").groupBy("root").agg(F.min("first").alias("first"))
+    keep = first.select(F.col("first.doc_id").alias("kept_id"), F.col("first.row_key").alias("kept_key")).distinct()
     keyed = docs.withColumn("text_key_of_row", F.xxhash64(F.coalesce("text", F.lit(""))))
     met = keyed.join(keep, keyed["doc_id"].eqNullSafe(keep["kept_id"]) & (keyed["text_key_of_row"] == keep["kept_key"]), "left_semi")
     return met.dropDuplicates(["doc_id", "text_key_of_row"]).select(*docs.columns)

@@ -37,6 +37,8 @@ ASIDE = frozenset("nav header footer aside form script style noscript template i
 ASIDE_WORDS = frozenset("""ad ads advert adverts advertisement advertising sponsor sponsored promo banner cookie cookies consent gdpr notice alert popup modal overlay sidebar side menu nav
 navbar navigation breadcrumb breadcrumbs footer header masthead comment comments reply replies respond disqus share sharing social related recommended newsletter subscribe signup login widget
 pagination pager toolbar skip search complementary contentinfo navigation banner""".split())
+#: In longer names (page-with-sidebar, sidebar-right) these may as well describe a frame around the main text.
+FRAME_WORDS = frozenset("sidebar side header masthead banner notice alert overlay popup modal toolbar skip widget".split())
 LAYOUT = frozenset(("has", "with", "no", "without", "is", "layout"))
 MAIN_WORDS = frozenset(("main", "article", "articlebody"))
 
@@ -73,9 +75,9 @@ def tokens(page: str):
             at = stop
 
 
-def signature(name: str, attributes: str) -> tuple[str, bool, bool]:
-    """The element's name in wrappers, and whether it is set aside or main text by what it is called."""
-    aside, main, label = name in ASIDE, name in MAIN, name
+def signature(name: str, attributes: str) -> tuple[str, int, bool]:
+    """The element's name in wrappers, and whether it is set aside (2; 1 if an article or main element below it is not) or main text by what it is called."""
+    aside, main, label = 2 * (name in ASIDE), name in MAIN, name
     if attributes:
         found = []
         for m in _ATTRIBUTE.finditer(attributes):
@@ -83,7 +85,8 @@ def signature(name: str, attributes: str) -> tuple[str, bool, bool]:
             for word in value.split():
                 parts = _WORDS.findall(word)
                 parts = set(parts) if parts and parts[0] not in LAYOUT else set()  # has-sidebar is not a sidebar
-                aside |= bool(parts & ASIDE_WORDS) and name not in ("html", "body")
+                if parts & ASIDE_WORDS and name not in ("html", "body"):
+                    aside = max(aside, 2 if word in ASIDE_WORDS or parts & ASIDE_WORDS - FRAME_WORDS else 1)
                 main |= word in MAIN_WORDS and m[1].lower() in ("role", "itemprop", "id")
                 found.append(_DIGITS.sub("0", word))
         if found:
@@ -97,7 +100,7 @@ class Reader:
     def walk(self, page: str):
         """Yields ``("in", label)``, ``("out",)`` for wrapper levels and ``("text", path, aside, main, link, text)``, ``("break",)`` for content."""
         # label, path, aside, main, in a link, counts as a level
-        stack = [("", 0, False, False, False, False)]
+        stack = [("", 0, 0, False, False, False)]
         names = [""]
         levels = 0
 
@@ -114,7 +117,7 @@ class Reader:
             if kind == "text":
                 if rest:
                     _, path, aside, main, link, _ = stack[-1]
-                    yield "text", path, aside, main, link, rest
+                    yield "text", path, aside > 0, main, link, rest
                 continue
             if kind == "open":
                 if name in CLOSES_P and "p" in names:
@@ -134,14 +137,14 @@ class Reader:
                 if name not in INLINE:
                     yield ("break",)
                 if name == "br":
-                    yield "text", stack[-1][1], stack[-1][2], stack[-1][3], stack[-1][4], " "
+                    yield "text", stack[-1][1], stack[-1][2] > 0, stack[-1][3], stack[-1][4], " "
                 if name in VOID or rest.endswith("/") and name not in RAW:
                     continue
                 label, aside, main = signature(name, rest)
                 up = stack[-1]
                 level = levels < DEPTH
                 path = xxhash.xxh64_intdigest(f"{up[1]}/{label}") >> 1 if level else up[1]
-                stack.append((label, path, up[2] or aside, up[3] or main, up[4] or name == "a", level))
+                stack.append((label, path, max(0 if main and up[2] == 1 else up[2], aside), up[3] or main, up[4] or name == "a", level))
                 names.append(name)
                 if level:
                     levels += 1
@@ -232,35 +235,42 @@ def paths_of(nodes: list, up: int = 0):
             yield from paths_of(children, xxhash.xxh64_intdigest(f"{up}/{name}") >> 1)
 
 
-def marked(wrapper: list, slots: dict[int, tuple]) -> list[int]:
-    """The slots of a wrapper that hold main text.
+def marked(wrapper: list, slots: dict[int, tuple]) -> tuple[list[int], list[int]]:
+    """The slots of a wrapper that hold main text: for pages with text in an article or main element, and for the other pages.
 
-    Where the host has an article or main element, those below it that are not set aside. Elsewhere those not set aside whose text
+    The former are those below such an element that are not set aside. The latter are those not set aside whose text
     is not mostly links, without texts that are the same on three pages or more while others differ.
     """
     own = [(p, slots[p]) for p in dict.fromkeys(paths_of(wrapper)) if p in slots]
     free = [(p, s) for p, s in own if not s[0]]
-    if any(s[1] for _, s in free):
-        return [p for p, s in free if s[1]]
-    free = [(p, s) for p, s in free if 2 * s[3] <= s[2]]
-    vary = any(s[4] != s[5] for _, s in free)
-    return [p for p, s in free if not vary or s[4] != s[5] or s[6] < 3]
+    rest = [(p, s) for p, s in free if not s[1] and 2 * s[3] <= s[2]]
+    vary = any(s[4] != s[5] for _, s in rest)
+    return [p for p, s in free if s[1]], [p for p, s in rest if not vary or s[4] != s[5] or s[6] < 3]
 
 
-def main_text(page: str | None, keep: set[int] | frozenset[int]) -> str:
-    """The text of the kept slots: references decoded, a line per block, one space for white space."""
-    blocks, now = [], []
-    for event in Reader().walk(page or ""):
-        if event[0] == "break":
-            if now:
-                line = " ".join(html.unescape("".join(now)).split())
+def main_text(page: str | None, keep: set[int] | frozenset[int], other: set[int] | frozenset[int]) -> str:
+    """The text of the slots in ``keep``, or in ``other`` if those have none: references decoded, a line per block, one space for white space."""
+    texts: tuple[list, list] = ([], [])
+    now: tuple[list, list] = ([], [])
+
+    def close():
+        for blocks, part in zip(texts, now, strict=True):
+            if part:
+                line = " ".join(html.unescape("".join(part)).split())
                 if line:
                     blocks.append(line)
-                now = []
-        elif event[0] == "text" and event[1] in keep and not event[2]:
-            now.append(event[5])
-    line = " ".join(html.unescape("".join(now)).split())
-    return "\n".join([*blocks, line] if line else blocks)
+                part.clear()
+
+    for event in Reader().walk(page or ""):
+        if event[0] == "break":
+            close()
+        elif event[0] == "text" and not event[2]:
+            if event[1] in keep:
+                now[0].append(event[5])
+            elif event[1] in other:
+                now[1].append(event[5])
+    close()
+    return "\n".join(texts[0] or texts[1])
 
 
 SEEN = "host string, kind int, stream string, path long, aside boolean, main boolean, chars long, link_chars long, low long, high long, pages long"
@@ -301,7 +311,7 @@ def join_streams(texts) -> list:
 
 
 def infer(pages: DataFrame) -> DataFrame:
-    """``host, wrapper (JSON), slots``: the wrapper of every host and the paths of its main-text slots."""
+    """``host, wrapper (JSON), slots, others``: the wrapper of every host and the paths of its main-text slots, for pages with and without an article or main element."""
     found = written(seen(pages), "streams")
 
     def share(table: pa.Table) -> pa.Table:
@@ -316,9 +326,9 @@ def infer(pages: DataFrame) -> DataFrame:
     def whole(table: pa.Table) -> pa.Table:
         wrapper = join_streams(sorted(x for x in table.column("stream").to_pylist() if x is not None))
         slots = {s["path"]: (s["aside"], s["main"], s["chars"], s["link_chars"], s["low"], s["high"], s["pages"]) for s in table.column("slot").to_pylist() if s is not None}
-        return pa.table({"host": table.column("host")[:1], "wrapper": pa.array([json.dumps(wrapper, separators=(",", ":"))]), "slots": pa.array([marked(wrapper, slots)], pa.list_(pa.int64()))})
+        return pa.table({"host": table.column("host")[:1], "wrapper": pa.array([json.dumps(wrapper, separators=(",", ":"))]), **{n: pa.array([x], pa.list_(pa.int64())) for n, x in zip(("slots", "others"), marked(wrapper, slots), strict=True)}})
 
-    return rows.groupBy("host").applyInArrow(whole, "host string, wrapper string, slots array<long>")
+    return rows.groupBy("host").applyInArrow(whole, "host string, wrapper string, slots array<long>, others array<long>")
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -328,7 +338,7 @@ def extract(pages: DataFrame) -> DataFrame:
     are not read. Wrappers are written before they are joined, so Spark knows their size when it chooses the join.
     """
     rows = pick(pages, page_id="long", url="string", html="string")
-    wrappers = written(infer(rows).select("host", "slots"), "wrappers")
+    wrappers = written(infer(rows).select("host", "slots", "others"), "wrappers")
 
     @F.pandas_udf("string")
     def host_of(urls):
@@ -338,12 +348,12 @@ def extract(pages: DataFrame) -> DataFrame:
         for b in batches:
             sets: dict = {}
             texts = []
-            for page, slots in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                key = tuple(slots or ())
+            for page, *slots in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
+                key = tuple(tuple(x or ()) for x in slots)
                 if key not in sets:
-                    sets[key] = frozenset(key)
-                texts.append(main_text(page, sets[key]))
+                    sets[key] = tuple(map(frozenset, key))
+                texts.append(main_text(page, *sets[key]))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    met = rows.withColumn("host", host_of("url")).join(wrappers, "host", "left").select("page_id", "url", "html", "slots")
+    met = rows.withColumn("host", host_of("url")).join(wrappers, "host", "left").select("page_id", "url", "html", "slots", "others")
     return met.mapInArrow(read, "page_id long, url string, text string")

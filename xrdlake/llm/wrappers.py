@@ -4,7 +4,8 @@ A page is read as a token stream (tags by name, class and role; text slots). Str
 match stay, tags that only some pages have become optional groups, neighbours alike become one repeated group, texts become
 slots. The result is a union-free regular expression, kept as nested ``[name, optional, repeated, children]``. Alignment runs on distinct
 streams only, first in shares of a host, then over the shares, so that a host with most of the pages is no single task's work.
-Each slot of a wrapper is marked as main text or not; a second pass reads every page's text out of the marked slots.
+A second pass matches every page with its host's expression and gathers what each slot of the expression holds; slots are marked as main text
+or not, and a third pass matches again and reads the text out of the marked slots.
 """
 
 from __future__ import annotations
@@ -198,11 +199,11 @@ def folded(nodes: list) -> list:
     return out
 
 
-def stream(page: str) -> tuple[list, dict]:
-    """A page's own wrapper, and for every slot ``path -> [aside, main, characters, characters in links, least text hash, greatest]``."""
+def stream(page: str) -> tuple[list, int]:
+    """A page's own wrapper, and the number of its texts."""
     root: list = []
     open_ = [root]
-    slots: dict[int, list] = {}
+    texts = 0
     for event in Reader().walk(page):
         if event[0] == "in":
             node = [event[1], False, False, []]
@@ -215,40 +216,99 @@ def stream(page: str) -> tuple[list, dict]:
             if len(open_[-1]) > 1 and open_[-1][-2][0] == own[0]:  # fold at once: long lists of alike blocks stay short
                 open_[-1][-2:] = folded(open_[-1][-2:])
         elif event[0] == "text" and not event[5].isspace():
-            _, path, aside, main, link, text = event
+            texts += 1
             if not open_[-1] or open_[-1][-1][0] != "#":
                 open_[-1].append(["#", False, False, []])
-            h = xxhash.xxh64_intdigest(text.strip()) >> 1
-            s = slots.setdefault(path, [aside, main, 0, 0, h, h])
-            s[2] += len(text)
-            s[3] += len(text) if link else 0
-            s[4], s[5] = min(s[4], h), max(s[5], h)
-    return folded(root), slots
-
-
-def paths_of(nodes: list, up: int = 0):
-    """The slot paths of a wrapper."""
-    for name, _, _, children in nodes:
-        if name == "#":
-            yield up
-        else:
-            yield from paths_of(children, xxhash.xxh64_intdigest(f"{up}/{name}") >> 1)
-
-
-def marked(wrapper: list, slots: dict[int, tuple]) -> tuple[list[int], list[int]]:
-    """The slots of a wrapper that hold main text: for pages with text in an article or main element, and for the other pages.
+    return folded(root), texts
+
+
+class Expression:
+    """A host's wrapper with its nodes numbered, to be matched with pages."""
+
+    def __init__(self, wrapper: list):
+        self.nodes = 0
+        self.top = self.numbered(wrapper)
+
+    def numbered(self, nodes: list) -> list:
+        out = []
+        for name, _, repeated, children in nodes:
+            self.nodes += 1
+            out.append((name, self.nodes, repeated, self.numbered(children)))
+        return out
+
+    def match(self, page: str | None):
+        """``Reader``'s breaks and texts, with slots in place of paths: the text's node in the expression, and whether it is set aside or main.
+
+        Children are met from left to right, each by the first node that its own children match: a repeated node stays, others
+        are passed over. The expression holds every page it was inferred from in this way; all texts of another page have slot -1.
+        White space has none.
+        """
+        root: list = []
+        open_, events, owner = [root], [], []
+        for event in Reader().walk(page or ""):
+            if event[0] == "in":
+                open_[-1].append([event[1], [], -1])
+                open_.append(open_[-1][-1][1])
+            elif event[0] == "out":
+                open_.pop()
+            else:
+                node = None
+                if event[0] == "text" and not event[5].isspace():
+                    if not open_[-1] or open_[-1][-1][0] != "#":
+                        open_[-1].append(["#", [], -1])
+                    node = open_[-1][-1]
+                events.append(event)
+                owner.append(node)
+        known: dict = {}
+
+        def along(own, nodes):
+            """The node of each of ``own`` among ``nodes``, or None."""
+            out, last = [], -1
+            for child in own:
+                for k in range(max(last, 0), len(nodes)):
+                    name, number, repeated, below = nodes[k]
+                    if name == child[0] and (k > last or repeated):
+                        key = id(child), number
+                        if key not in known:
+                            known[key] = along(child[1], below)
+                        if known[key] is not None:
+                            break
+                else:
+                    return None
+                last = k
+                out.append(nodes[k])
+            return out
+
+        def place(own, nodes):
+            for child, node in zip(own, nodes, strict=True):
+                child[2] = node[1]
+                place(child[1], known[id(child), node[1]])
+
+        found = along(root, self.top)
+        if found is not None:
+            place(root, found)
+        for event, node in zip(events, owner, strict=True):
+            if event[0] == "text":
+                _, _, aside, main, link, text = event
+                slot = None if node is None else node[2] * 4 + 2 * aside + main if node[2] > 0 else -1
+                yield "text", slot, aside, main, link, text
+            else:
+                yield event
+
+
+def marked(slots: dict[int, tuple]) -> tuple[list[int], list[int]]:
+    """The slots of a wrapper (with aside, main, characters, those in links, least and greatest text hash, pages) that hold main text: for pages with text in an article or main element, and for the other pages.
 
     The former are those below such an element that are not set aside. The latter are those not set aside whose text
     is not mostly links, without texts that are the same on three pages or more while others differ.
     """
-    own = [(p, slots[p]) for p in dict.fromkeys(paths_of(wrapper)) if p in slots]
-    free = [(p, s) for p, s in own if not s[0]]
+    free = [(p, s) for p, s in slots.items() if not s[0]]
     rest = [(p, s) for p, s in free if not s[1] and 2 * s[3] <= s[2]]
     vary = any(s[4] != s[5] for _, s in rest)
     return [p for p, s in free if s[1]], [p for p, s in rest if not vary or s[4] != s[5] or s[6] < 3]
 
 
-def main_text(page: str | None, keep: set[int] | frozenset[int], other: set[int] | frozenset[int]) -> str:
+def main_text(page: str | None, expression: Expression, keep: set[int] | frozenset[int], other: set[int] | frozenset[int]) -> str:
     """The text of the slots in ``keep``, or in ``other`` if those have none: references decoded, a line per block, one space for white space."""
     texts: tuple[list, list] = ([], [])
     now: tuple[list, list] = ([], [])
@@ -261,11 +321,14 @@ def main_text(page: str | None, keep: set[int] | frozenset[int], other: set[int]
                     blocks.append(line)
                 part.clear()
 
-    for event in Reader().walk(page or ""):
+    for event in expression.match(page):
         if event[0] == "break":
             close()
         elif event[0] == "text" and not event[2]:
-            if event[1] in keep:
+            if event[1] is None:  # white space between what is kept
+                for part in now:
+                    part.append(" ")
+            elif event[1] in keep:
                 now[0].append(event[5])
             elif event[1] in other:
                 now[1].append(event[5])
@@ -273,33 +336,29 @@ def main_text(page: str | None, keep: set[int] | frozenset[int], other: set[int]
     return "\n".join(texts[0] or texts[1])
 
 
-SEEN = "host string, kind int, stream string, path long, aside boolean, main boolean, chars long, link_chars long, low long, high long, pages long"
-SEEN_NAMES = [x.split()[0] for x in SEEN.split(", ")]
-SEEN_TYPES = [pa.string(), pa.int32(), pa.string(), pa.int64(), pa.bool_(), pa.bool_(), *[pa.int64()] * 5]
+SLOT = "slot long, aside boolean, main boolean, chars long, link_chars long, low long, high long, pages long"
+SLOT_NAMES = [x.split()[0] for x in SLOT.split(", ")]
+SLOT_TYPES = [pa.int64(), pa.bool_(), pa.bool_(), *[pa.int64()] * 5]
+
+
+def expressions(texts: list):
+    """The expression of each wrapper in JSON; one of a batch's equal ones is built."""
+    known: dict = {}
+    for t in texts:
+        if t not in known:
+            known[t] = Expression(json.loads(t or "[]"))
+        yield known[t]
 
 
 def seen(pages: DataFrame) -> DataFrame:
-    """Distinct streams and slot statistics of every host, over all pages."""
+    """``host, stream``: the distinct streams of every host, over all pages."""
     def read(batches):
         for b in batches:
-            streams: dict = {}
-            slots: dict = {}
-            for url, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                host = split_url(url)[0]
-                wrapper, own = stream(page or "")
-                key = host, json.dumps(wrapper, separators=(",", ":"))
-                streams[key] = streams.get(key, 0) + 1
-                for path, s in own.items():
-                    t = slots.get((host, path))
-                    slots[host, path] = [*s, 1] if t is None else [t[0] or s[0], t[1] or s[1], t[2] + s[2], t[3] + s[3], min(t[4], s[4]), max(t[5], s[5]), t[6] + 1]
-            rows = [(h, 0, w, 0, False, False, 0, 0, 0, 0, n) for (h, w), n in streams.items()] + [(h, 1, "", p, *s) for (h, p), s in slots.items()]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), SEEN_TYPES, strict=True)], names=SEEN_NAMES)
+            found = {(split_url(url)[0], json.dumps(stream(page or "")[0], separators=(",", ":"))) for url, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*found, strict=True)], names=["host", "stream"])
 
-    found = pages.select("url", "html").mapInArrow(read, SEEN)
-    return found.groupBy("host", "kind", "stream", "path").agg(
-        F.max("aside").alias("aside"), F.max("main").alias("main"), F.sum("chars").alias("chars"), F.sum("link_chars").alias("link_chars"),
-        F.min("low").alias("low"), F.max("high").alias("high"), F.sum("pages").alias("pages"))
+    return pages.select("url", "html").mapInArrow(read, "host string, stream string").distinct()
 
 
 def join_streams(texts) -> list:
@@ -311,24 +370,53 @@ def join_streams(texts) -> list:
 
 
 def infer(pages: DataFrame) -> DataFrame:
-    """``host, wrapper (JSON), slots, others``: the wrapper of every host and the paths of its main-text slots, for pages with and without an article or main element."""
+    """``host, wrapper (JSON)`` of every host."""
     found = written(seen(pages), "streams")
 
     def share(table: pa.Table) -> pa.Table:
         wrapper = join_streams(sorted(table.column("stream").to_pylist()))
         return pa.table({"host": table.column("host")[:1], "stream": pa.array([json.dumps(wrapper, separators=(",", ":"))])})
 
-    shares = found.where("kind = 0").select("host", F.pmod(F.xxhash64("stream"), F.lit(SHARES)).alias("share"), "stream").groupBy("host", "share").applyInArrow(
+    shares = found.select("host", F.pmod(F.xxhash64("stream"), F.lit(SHARES)).alias("share"), "stream").groupBy("host", "share").applyInArrow(
         share, "host string, stream string")
-    rows = shares.withColumn("slot", F.lit(None).cast("struct<path: long, aside: boolean, main: boolean, chars: long, link_chars: long, low: long, high: long, pages: long>")).unionByName(
-        found.where("kind = 1").select("host", F.lit(None).cast("string").alias("stream"), F.struct("path", "aside", "main", "chars", "link_chars", "low", "high", "pages").alias("slot")))
+    return shares.groupBy("host").applyInArrow(share, "host string, stream string").withColumnRenamed("stream", "wrapper")
+
 
+def held(pages: DataFrame) -> DataFrame:
+    """``host`` and what each slot of its wrapper holds over all pages, given ``host, html, wrapper``."""
+    def read(batches):
+        for b in batches:
+            slots: dict = {}
+            for host, page, e in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), expressions(b.column(2).to_pylist()), strict=True):
+                on_page = set()
+                for event in e.match(page):
+                    if event[0] != "text" or event[1] is None:
+                        continue
+                    _, slot, aside, main, link, text = event
+                    h = xxhash.xxh64_intdigest(text.strip()) >> 1
+                    s = slots.setdefault((host, slot), [aside, main, 0, 0, h, h, 0])
+                    s[2] += len(text)
+                    s[3] += len(text) if link else 0
+                    s[4], s[5] = min(s[4], h), max(s[5], h)
+                    s[6] += slot not in on_page
+                    on_page.add(slot)
+            rows = [(h, p, *s) for (h, p), s in slots.items()]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.string(), *SLOT_TYPES], strict=True)], names=["host", *SLOT_NAMES])
+
+    found = pages.select("host", "html", "wrapper").mapInArrow(read, f"host string, {SLOT}")
+    return found.groupBy("host", "slot").agg(
+        F.max("aside").alias("aside"), F.max("main").alias("main"), F.sum("chars").alias("chars"), F.sum("link_chars").alias("link_chars"),
+        F.min("low").alias("low"), F.max("high").alias("high"), F.sum("pages").alias("pages"))
+
+
+def marks(slots: DataFrame) -> DataFrame:
+    """``host, slots, others``: the main-text slots of every host, for pages with and without an article or main element."""
     def whole(table: pa.Table) -> pa.Table:
-        wrapper = join_streams(sorted(x for x in table.column("stream").to_pylist() if x is not None))
-        slots = {s["path"]: (s["aside"], s["main"], s["chars"], s["link_chars"], s["low"], s["high"], s["pages"]) for s in table.column("slot").to_pylist() if s is not None}
-        return pa.table({"host": table.column("host")[:1], "wrapper": pa.array([json.dumps(wrapper, separators=(",", ":"))]), **{n: pa.array([x], pa.list_(pa.int64())) for n, x in zip(("slots", "others"), marked(wrapper, slots), strict=True)}})
+        own = {r["slot"]: tuple(r[n] for n in SLOT_NAMES[1:]) for r in table.to_pylist()}
+        return pa.table({"host": table.column("host")[:1], **{n: pa.array([x], pa.list_(pa.int64())) for n, x in zip(("slots", "others"), marked(own), strict=True)}})
 
-    return rows.groupBy("host").applyInArrow(whole, "host string, wrapper string, slots array<long>, others array<long>")
+    return slots.groupBy("host").applyInArrow(whole, "host string, slots array<long>, others array<long>")
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -337,23 +425,25 @@ def extract(pages: DataFrame) -> DataFrame:
     Null pages are empty; null urls belong to the host "". Repeated rows give repeated results, an empty table none; other columns
     are not read. Wrappers are written before they are joined, so Spark knows their size when it chooses the join.
     """
-    rows = pick(pages, page_id="long", url="string", html="string")
-    wrappers = written(infer(rows).select("host", "slots", "others"), "wrappers")
 
     @F.pandas_udf("string")
     def host_of(urls):
         return urls.map(lambda u: split_url(u)[0])
 
+    rows = pick(pages, page_id="long", url="string", html="string").withColumn("host", host_of("url"))
+    wrappers = written(infer(rows), "wrappers")
+    found = written(marks(held(rows.join(wrappers, "host"))), "marks")
+
     def read(batches):
         for b in batches:
             sets: dict = {}
             texts = []
-            for page, *slots in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
+            for page, e, *slots in zip(b.column(2).to_pylist(), expressions(b.column(3).to_pylist()), b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True):
                 key = tuple(tuple(x or ()) for x in slots)
                 if key not in sets:
                     sets[key] = tuple(map(frozenset, key))
-                texts.append(main_text(page, *sets[key]))
+                texts.append(main_text(page, e, *sets[key]))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    met = rows.withColumn("host", host_of("url")).join(wrappers, "host", "left").select("page_id", "url", "html", "slots", "others")
+    met = rows.join(wrappers, "host", "left").join(found, "host", "left").select("page_id", "url", "html", "wrapper", "slots", "others")
     return met.mapInArrow(read, "page_id long, url string, text string")

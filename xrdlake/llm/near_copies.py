@@ -27,20 +27,20 @@ def prefix(h: np.ndarray) -> np.ndarray:
     return h[:len(h) - (4 * len(h) + 4) // 5 + 1] if len(h) else h
 
 
-def sketch(h: np.ndarray) -> bytes:
-    """Parities of the numbers of hashes in ``SKETCH`` classes."""
-    return np.packbits((np.bincount((h & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1).astype(np.uint8)).tobytes()
+def sketch(h: np.ndarray, size: int = SKETCH) -> bytes:
+    """Parities of the numbers of hashes in ``size`` classes, a power of two; the halves of a sketch give that of half the size."""
+    return np.packbits((np.bincount((h & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8)).tobytes()
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """``doc_id, row_key, fp, node, n, keys, bits`` of every row; ``node`` is the hash of its shingle set."""
+    """``doc_id, row_key, fp, node, n, keys, bits, fine`` of every row; ``node`` is the hash of its shingle set, ``fine`` a sketch as large as the set."""
     rows = pick(docs, doc_id="long", text="string").select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("row_key"), "text")
 
     def look(batches):
         for b in batches:
             for a in range(0, b.num_rows, 1000):
                 part = b.slice(a, 1000)
-                fps, nodes, sizes, keys, bits = [], [], [], [], []
+                fps, nodes, sizes, keys, bits, fine = [], [], [], [], [], []
                 for t in part.column(2).to_pylist():
                     all_ = simhash.shingles(t, WORDS)
                     own = np.unique(all_)
@@ -49,11 +49,13 @@ def sketches(docs: DataFrame) -> DataFrame:
                     sizes.append(len(own))
                     keys.append(prefix(own).view(np.int64))
                     bits.append(sketch(own))
+                    fine.append(sketch(own, max(SKETCH, 1 << len(own).bit_length())))
                 yield pa.RecordBatch.from_arrays(
                     [ids_back(ids_of(part.column(0))), part.column(1), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fps, nodes)), pa.array(sizes, pa.int64()),
-                     pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary())], names=["doc_id", "row_key", "fp", "node", "n", "keys", "bits"])
+                     pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary()), pa.array(fine, pa.binary())],
+                    names=["doc_id", "row_key", "fp", "node", "n", "keys", "bits", "fine"])
 
-    return rows.mapInArrow(look, "doc_id long, row_key long, fp long, node long, n long, keys array<long>, bits binary")
+    return rows.mapInArrow(look, "doc_id long, row_key long, fp long, node long, n long, keys array<long>, bits binary, fine binary")
 
 
 def possible(n: np.ndarray, root: np.ndarray, bits: np.ndarray):
@@ -73,8 +75,29 @@ def possible(n: np.ndarray, root: np.ndarray, bits: np.ndarray):
             yield order[i], order[j]
 
 
+def fitting(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The ``u, v`` of ``pairs`` that sizes and fine sketches allow a similarity of 0.8."""
+    v, u = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("fine").alias(f"fine_{x}")) for x in "vu")
+    near = pairs.join(v, "v").join(u, "u").where("5 * least(n_u, n_v) >= 4 * greatest(n_u, n_v)").select("u", "v", F.expr("n_u + n_v").alias("n"), "fine_u", "fine_v")
+
+    def compare(batches):
+        for b in batches:
+            fits = []
+            for n, x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                while len(x) > len(y):
+                    x = x[:len(x) // 2] ^ x[len(x) // 2:]
+                while len(y) > len(x):
+                    y = y[:len(y) // 2] ^ y[len(y) // 2:]
+                fits.append(9 * int(np.bitwise_count(x ^ y).sum(dtype=np.int64)) <= n)
+            yield b.select(["u", "v"]).filter(pa.array(fits, pa.bool_()))
+
+    return near.mapInArrow(compare, "u long, v long")
+
+
 def alike(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The ``u, v`` of ``pairs`` whose shingle sets have a similarity of 0.8 or more."""
+    pairs = written(fitting(pairs, nodes), "fitting")
     asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     texts = pick(docs, text="string").select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("row_key"), "text")
     met = texts.join(nodes.select("node", "row_key").join(asked, "node"), "row_key").dropDuplicates(["node"]).select("node", "text")
@@ -149,7 +172,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     Groups are what links reach. Texts up to five words are one shingle; null and empty texts have none and are one group.
     """
     prints = written(sketches(docs), "sketches")
-    nodes = written(prints.groupBy("node").agg(*(F.min(c).alias(c) for c in ("row_key", "fp", "n", "bits"))), "sets-seen")
+    nodes = written(prints.groupBy("node").agg(*(F.min(c).alias(c) for c in ("row_key", "fp", "n", "bits", "fine"))), "sets-seen")
     keyed = prints.dropDuplicates(["node"]).select("node", F.posexplode("keys").alias("place", "key"))
     keyed = keyed.withColumn("copies", F.count("*").over(Window.partitionBy("key")))
     met = written(keyed.where("copies > 1"), "keys-met")

@@ -194,7 +194,13 @@ def firsts(docs: DataFrame, rows: DataFrame, roots: DataFrame) -> DataFrame:
     """One row of ``docs`` for each root, given ``doc_id, row_key, node`` of every row and ``node, root``."""
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")
     first = rows.groupBy("node").agg(F.min(rank).alias("first")).join(roots, "node").groupBy("root").agg(F.min("first").alias("first"))
-    keep = first.select(F.col("first.doc_id").alias("kept_id"), F.col("first.row_key").alias("kept_key")).distinct()
+    keep = first.select(F.col("first.doc_id").alias("doc_id"), F.col("first.row_key").alias("row_key"), F.lit(1).alias("kept"))
+    seen = rows.groupBy("doc_id", "row_key").agg(F.count("*").alias("copies"))
+    same = seen["doc_id"].eqNullSafe(keep["doc_id"]) & (seen["row_key"] == keep["row_key"])
+    odd = seen.join(keep, same, "left").where("kept IS NULL OR copies > 1").select(seen["doc_id"].alias("odd_id"), seen["row_key"].alias("odd_key"), "kept")
+    odd = written(odd, "odd")  # only these rows are looked up; written, Spark knows their size
     keyed = docs.withColumn("text_key_of_row", F.xxhash64(F.coalesce("text", F.lit(""))))
-    met = keyed.join(keep, keyed["doc_id"].eqNullSafe(keep["kept_id"]) & (keyed["text_key_of_row"] == keep["kept_key"]), "left_semi")
-    return met.dropDuplicates(["doc_id", "text_key_of_row"]).select(*docs.columns)
+    is_odd = keyed["doc_id"].eqNullSafe(odd["odd_id"]) & (keyed["text_key_of_row"] == odd["odd_key"])
+    single = keyed.join(odd, is_odd, "left_anti").select(*docs.columns)
+    repeated = keyed.join(odd.where("kept IS NOT NULL"), is_odd, "left_semi").dropDuplicates(["doc_id", "text_key_of_row"]).select(*docs.columns)
+    return single.unionByName(repeated)

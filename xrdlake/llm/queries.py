@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from xrdlake.llm import boosted, chat_format, decision_list, decontaminate, pack, secrets, simhash, suffix_dedup, url_filter, wrappers
+from xrdlake.llm import boosted, chat_format, decision_list, decontaminate, mixture, pack, periodic, secrets, simhash, suffix_dedup, url_filter, variants, wrappers
 from xrdlake.llm.registry import query, table
 
 
@@ -101,3 +101,60 @@ def op9(spark, sf_dir):
 def op10(spark, sf_dir):
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select(
         "doc_id", "item_id", "start_word", "matched", "window")
+
+
+@query("op11_spelling_variants")
+def op11(spark, sf_dir):
+    return variants.group_variants(table(spark, sf_dir, "documents"), slip_every=199)
+
+
+@query("op12_periodic_runs")
+def op12(spark, sf_dir):
+    return periodic.digests(periodic.find_runs(table(spark, sf_dir, "documents"), trial=True))
+
+
+def _time_sql(share: str, schedule) -> str:
+    """The inverted integral of a schedule, as ``mixture.time_of`` states it."""
+    out = ""
+    for before, t, width, a, b in reversed(mixture.demand(schedule)):
+        need = f"(({share} - {before!r}::DOUBLE) / {width!r}::DOUBLE)"
+        root = f"sqrt({a * a!r}::DOUBLE + {2 * (b - a)!r}::DOUBLE * {need})"
+        out += f"WHEN {share} >= {before!r}::DOUBLE THEN {t!r}::DOUBLE + {width!r}::DOUBLE * (2.0::DOUBLE * {need} / ({a!r}::DOUBLE + {root})) "
+    return f"CASE {out}END"
+
+
+@query("op13_source_mixture", rf"""
+WITH d AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+    md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')) AS h FROM documents),
+s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM d GROUP BY source),
+w AS (
+  SELECT *, CASE rank % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight, sum(source_size) OVER () AS total FROM s),
+b AS (
+  SELECT *, coalesce(sum(2 * source_size) OVER o, 0) AS had, sum(weight) OVER () - coalesce(sum(weight) OVER o, 0) AS left_weight FROM w
+  WINDOW o AS (ORDER BY source_size / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (
+  SELECT had, left_weight FROM b WHERE weight * (3 * total - 2 * had) <= 4 * source_size * left_weight ORDER BY source_size / weight, rank LIMIT 1),
+t AS (
+  SELECT w.source, rank, source_size, CASE WHEN weight * (3 * total - 2 * had) > 4 * source_size * left_weight THEN CAST(2 * source_size AS DOUBLE)
+    ELSE CAST(3 * total - 2 * had AS DOUBLE) * weight / CAST(2 * left_weight AS DOUBLE) END AS target FROM w CROSS JOIN l),
+u AS (
+  SELECT doc_id, h, size, rank, source_size, target, row_number() OVER (PARTITION BY rank, h, doc_id) - 1 AS copy,
+    CAST(coalesce(sum(size) OVER (PARTITION BY rank ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+p AS (
+  SELECT u.*, k, greatest(0, least(size, CAST(floor(target) AS BIGINT) - (start + k * source_size))) AS words FROM u, (SELECT unnest([0, 1]) AS k) AS passes),
+m AS (
+  SELECT *, (CAST(start + k * source_size AS DOUBLE) + CAST(words AS DOUBLE) / 2.0::DOUBLE) / target AS share FROM p WHERE words > 0),
+o AS (
+  SELECT *, CASE rank % 3 WHEN 0 THEN {_time_sql("share", mixture.SCHEDULES[0])} WHEN 1 THEN {_time_sql("share", mixture.SCHEDULES[1])}
+    ELSE {_time_sql("share", mixture.SCHEDULES[2])} END AS position FROM m),
+g AS (
+  SELECT rank, h, doc_id, copy, CAST(sum(words) AS BIGINT) AS taken, count(*) AS n_passes, min(place) AS first_place
+  FROM (SELECT *, row_number() OVER (ORDER BY position, h, doc_id NULLS FIRST, rank, copy, k) - 1 AS place FROM o) GROUP BY ALL)
+SELECT u.doc_id, u.size, u.source_size, u.target, coalesce(taken, 0) AS taken, coalesce(n_passes, 0) AS n_passes, first_place
+FROM u LEFT JOIN g ON u.rank = g.rank AND u.h = g.h AND u.doc_id IS NOT DISTINCT FROM g.doc_id AND u.copy = g.copy
+""")
+def op13(spark, sf_dir):
+    return mixture.by_document(mixture.stream(mixture.mix(table(spark, sf_dir, "documents"))))

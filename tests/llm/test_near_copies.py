@@ -3,7 +3,10 @@
 import itertools
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
+from xrdlake.llm import near_copies
 
 SCHEMA = "doc_id long, text string, blob string, node int"
 
@@ -66,3 +69,18 @@ def test_ids_that_are_missing_or_taken(spark):
     kept = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame([(d, t, "x", 1) for d, t in rows], SCHEMA), "").collect()
     assert sorted(str(r["doc_id"]) for r in kept) == ["2", "4", "None"]
     assert corpus_pipeline.drop_near_copies(spark, spark.createDataFrame([], SCHEMA), "").count() == 0
+
+
+def test_common_passages_sort_last(spark, monkeypatch):
+    r = random.Random(8)
+    passage = [f"p{i}" for i in range(200)]
+    rows = [(i, " ".join([f"u{r.randrange(10**6)}" for _ in range(100)] + passage)) for i in range(60)]
+    rows += [(100 + i, rows[i][1] + " end") for i in range(20)]
+    df = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], SCHEMA)
+    order = near_copies.common(df)
+    assert len(order.hashes) >= 190
+    keys = near_copies.sketches(df).select("node", F.explode("keys").alias("key")).groupBy("key").agg(F.countDistinct("node").alias("n"))
+    assert keys.agg(F.max("n")).first()[0] <= 2  # a document meets its copy and nobody else
+    assert [x["doc_id"] for x in corpus_pipeline.drop_near_copies(spark, df, "").orderBy("doc_id").collect()] == list(range(60))
+    monkeypatch.setattr(near_copies, "MOST_COMMON", 10)  # a list that is too short loses nothing
+    assert corpus_pipeline.drop_near_copies(spark, df, "").count() == 60

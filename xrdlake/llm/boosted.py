@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from xrdlake.llm import text_stats
-from xrdlake.llm.common import ids_back, ids_of, pick
+from xrdlake.llm.common import by_place, ids_back, ids_of, pick, place_of, renamed
 from xrdlake.session import written
 
 #: Labelled rows that training takes at most, by hashes of their ids.
@@ -150,16 +150,16 @@ def marks_of(labels: DataFrame) -> DataFrame:
     return pick(labels, doc_id="long", quality="int").where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
 
 
-def bounded(rows: DataFrame, limit: int, slices: int = 64) -> DataFrame:
-    """At most ``limit`` of the rows: all of them, or those of whole hash slices of ``doc_id`` that fit.
+def bounded(rows: DataFrame, limit: int, slices: int = 64, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """At most ``limit`` of the rows: all of them, or those of whole hash slices of their ``keys`` that fit.
 
     The slices are fine enough that about ``slices`` of them make up the limit, and twice as many are counted; nothing is
-    sorted and no task or driver sees more than the limit. A slice too large for what is left is passed over.
+    sorted and no task or driver sees more than the limit. The keys are distinct, so the slices are of a size.
     """
     total = rows.count()
     if total <= limit:
         return rows
-    slice_ = F.pmod(F.xxhash64("doc_id"), F.lit(-(-total * slices // max(limit, 1))))
+    slice_ = F.pmod(F.xxhash64(*keys), F.lit(-(-total * slices // max(limit, 1))))
     counts = dict(rows.select(slice_.alias("s")).where(F.col("s") < 2 * slices).groupBy("s").count().collect())
     taken, left = [], limit
     for s in sorted(counts):
@@ -170,8 +170,9 @@ def bounded(rows: DataFrame, limit: int, slices: int = 64) -> DataFrame:
 
 
 def sample(stats: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> pd.DataFrame:
-    """At most ``limit`` labelled rows of statistics, chosen by hashes of their ids; rows without a label are not taken."""
-    rows = bounded(stats.join(marks_of(labels), "doc_id"), limit).toPandas()
+    """At most ``limit`` labelled rows of statistics, chosen by hashes of id and text; equal rows are one, rows without a label are not taken."""
+    labelled = stats.join(marks_of(labels), "doc_id").dropDuplicates(["doc_id", "row_key"])
+    rows = bounded(labelled, limit, keys=("doc_id", "row_key")).toPandas()
     return rows.sort_values(["doc_id", *text_stats.COUNTS], ignore_index=True)
 
 
@@ -206,6 +207,9 @@ def score(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED, cut: fl
 def filtered(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED, cut: float = 0.7, settings: Settings = Settings()) -> DataFrame:
     """The rows of ``docs``, all columns, that a classifier like that of ``score`` predicts to be good.
 
+    Null and empty texts are judged by the statistics of an empty text; repeated rows stay or go together; columns of any name pass
+    through; an empty table stays empty.
+
     The sample is drawn from the labels (at most ``limit`` of them, so their ids may be broadcast), of which those that
     ``docs`` holds are learned from. Texts are scored where they stand: neither rows nor texts are shuffled.
     """
@@ -219,4 +223,5 @@ def filtered(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED, cut:
         rows = [text_stats.statistics(t) for t in texts]
         return pd.Series(shared.value.score(matrix(dict(zip(text_stats.COUNTS, np.array(rows).reshape(-1, len(text_stats.COUNTS)).T, strict=True)))))
 
-    return docs.where(of("text") >= cut)
+    plain = by_place(docs)
+    return renamed(plain.where(of(f"c{place_of(docs, 'text')}") >= cut), docs)

@@ -15,14 +15,31 @@ NO_ID = np.iinfo(np.int64).max
 SPACES = " \t\n\x0b\x0c\r"
 
 
+def place_of(df: DataFrame, name: str) -> int | None:
+    """The first column of that name, else the first that differs in case only; nothing where there is none."""
+    if name in df.columns:
+        return df.columns.index(name)
+    return next((i for i, c in enumerate(df.columns) if c.lower() == name.lower()), None)
+
+
+def by_place(df: DataFrame) -> DataFrame:
+    """``df`` with the columns ``c0``, ``c1`` and so on, so that any name can be added; ``renamed`` undoes it."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
+def renamed(plain: DataFrame, df: DataFrame) -> DataFrame:
+    """The columns ``c0``, ``c1`` ... of ``plain`` under their names in ``df``; others go."""
+    return plain.select(*[f"c{i}" for i in range(len(df.columns))]).toDF(*df.columns)
+
+
+def text_key(plain: DataFrame, df: DataFrame):
+    """``xxhash64`` of the text, a missing one as empty, among the columns of ``by_place(df)``."""
+    return F.xxhash64(F.coalesce(plain[f"c{place_of(df, 'text')}"], F.lit("")))
+
+
 def pick(df: DataFrame, **kinds: str) -> DataFrame:
     """Only the named columns, cast; extra columns, whatever they are called, are left behind."""
-    same = {}
-    for i, c in enumerate(df.columns):
-        same.setdefault(c, i)
-    low = {c.lower(): i for i, c in reversed(list(enumerate(df.columns)))}
-    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
-    return plain.select(*[F.col(f"c{same.get(n, low.get(n.lower()))}").cast(k).alias(n) for n, k in kinds.items()])
+    return by_place(df).select(*[F.col(f"c{place_of(df, n)}").cast(k).alias(n) for n, k in kinds.items()])
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -2,7 +2,7 @@
 
 Fixed masks pick some of the words in a stretch and ignore the others, so a substituted word spoils only masks that look at it. The hashes
 of benchmark and documents are joined; around each hit, document and item are compared word by word along one diagonal.
-The masks find every stretch of 13 words with at most two substitutions (see the tests).
+The masks find every stretch of 13 words with at most two substitutions, and every allowed set of substitutions in shorter items (see the tests).
 """
 
 from __future__ import annotations
@@ -13,13 +13,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from xrdlake.llm.common import ids_back, ids_of, mix, pick, ragged
+from xrdlake.llm.common import by_place, ids_back, ids_of, mix, pick, ragged, renamed, text_key
 from xrdlake.session import written
 
 #: Word positions that a mask looks at.
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 3, 4, 5))
+#: The same for items shorter than ``WINDOW``: any two substitutions in ten words or more, any one in six or more, leave three words in a
+#: row; the second mask is for the middle one of five.
+SHORT_MASKS = ((0, 1, 2), (0, 1, 3, 4))
+LEAST = 5
 WINDOW = 13
 SIMILARITY = 0.8
+#: Hits and words that are compared at once.
+BLOCK = 2_000_000
 #: Words of benchmark that one pass over the documents takes to every task; more are dealt to more passes.
 PASS_WORDS = 1_000_000
 CACHE_WORDS = 400_000
@@ -49,6 +55,16 @@ def seeds(h: np.ndarray, mask: tuple[int, ...], salt: int) -> np.ndarray:
     return mix(out)
 
 
+def blocks(sizes: np.ndarray, limit: int = BLOCK):
+    """Neighbours ``a, z`` whose sizes sum up to ``limit`` or so, one at least."""
+    ends = np.cumsum(sizes)
+    a = 0
+    while a < len(sizes):
+        z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + limit, "right")))
+        yield a, z
+        a = z
+
+
 class Items:
     """A bounded share of the benchmark: its words end to end and the sorted seeds with their places."""
 
@@ -59,10 +75,14 @@ class Items:
         self.first = np.cumsum(self.sizes) - self.sizes
         self.words = word_hashes([x for _, w in rows for x in w])
         owner = np.repeat(np.arange(len(rows)), self.sizes)
+        short = (self.sizes >= LEAST) & (self.sizes < WINDOW)
+        self.masks = MASKS + (SHORT_MASKS if short.any() else ())
         hashes, places = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-        for salt, mask in enumerate(MASKS):
+        for salt, mask in enumerate(self.masks):
             h = seeds(self.words, mask, salt)
             fits = np.flatnonzero(owner[:len(h)] == owner[mask[-1]:mask[-1] + len(h)])
+            if mask in SHORT_MASKS:
+                fits = fits[short[owner[fits]]]
             hashes.append(h[fits])
             places.append(fits)
         self.hashes, self.places = np.concatenate(hashes), np.concatenate(places)
@@ -73,30 +93,43 @@ class Items:
 
     def leaks(self, h: np.ndarray, doc: np.ndarray):
         """``(doc, item, start, matched, window)`` of leaked items, given the hashes of many documents' words end to end."""
-        found = []
-        for salt, mask in enumerate(MASKS):
+        out: dict[tuple[int, int], tuple[int, int, int, int]] = {}
+        for salt, mask in enumerate(self.masks):
             s = seeds(h, mask, salt)
             at = np.flatnonzero(self.maybe[(s >> np.uint64(42)).astype(np.int64)])
             at = at[doc[at] == doc[at + mask[-1]]] if len(at) else at
             a, b = np.searchsorted(self.hashes, s[at]), np.searchsorted(self.hashes, s[at], "right")
-            found.append((np.repeat(at, b - a), self.places[ragged(a, b - a)]))
-        at, place = (np.concatenate(c) for c in zip(*found, strict=True))
-        item = self.owner[place]
-        keys = np.unique(np.stack([doc[at], item, at - (place - self.first[item])], axis=1), axis=0)  # one row per diagonal
-        out: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for d, i, begin in keys.tolist():
-            size, f = int(self.sizes[i]), int(self.first[i])
-            lo, hi = max(0, -begin), min(size, len(h) - begin)
-            same = np.zeros(size + 1, np.int64)
-            own = slice(begin + lo, begin + hi)
-            same[1 + lo:1 + hi] = (h[own] == self.words[f + lo:f + hi]) & (doc[own] == d)
-            window = min(WINDOW, size)
-            total = np.cumsum(same)
-            counts = total[window:] - total[:-window]
-            best = int(counts.max())
-            if best >= SIMILARITY * window and best > out.get((d, i), (0, 0, 0))[1]:
-                out[d, i] = begin + int(counts.argmax()), best, window
-        return [(d, i, *v) for (d, i), v in out.items()]
+            at, a, b = at[b > a], a[b > a], b[b > a]
+            for x, z in blocks(b - a):
+                place = self.places[ragged(a[x:z], (b - a)[x:z])]
+                item, where = self.owner[place], np.repeat(at[x:z], (b - a)[x:z])
+                keys = np.unique(np.stack([doc[where], item, where - (place - self.first[item])], axis=1), axis=0)  # one row per diagonal
+                for y, e in blocks(self.sizes[keys[:, 1]]):
+                    self.compare(keys[y:e], h, doc, out)
+        return [(d, i, begin, best, window) for (d, i), (best, _, begin, window) in out.items()]
+
+    def compare(self, keys: np.ndarray, h: np.ndarray, doc: np.ndarray, out: dict) -> None:
+        """Diagonals ``(doc, item, begin)`` word by word; ``out`` keeps the best stretch of a document and item, of equals that of the first diagonal."""
+        d, i, begin = keys.T
+        size = self.sizes[i]
+        first = np.cumsum(size) - size
+        place = ragged(begin, size)
+        inside = (place >= 0) & (place < len(h))
+        place = np.where(inside, place, 0)
+        same = inside & (h[place] == self.words[ragged(self.first[i], size)]) & (doc[place] == np.repeat(d, size))
+        total = np.concatenate(([0], np.cumsum(same)))
+        window = np.minimum(size, WINDOW)
+        n = size - window + 1  # places of a window
+        start = ragged(first, n)
+        counts = total[start + np.repeat(window, n)] - total[start]
+        ends = np.cumsum(n)
+        best = np.maximum.reduceat(counts, ends - n)
+        for k in np.flatnonzero(best >= SIMILARITY * window).tolist():
+            at = int(counts[ends[k] - n[k]:ends[k]].argmax())
+            new = (int(best[k]), -int(begin[k]), int(begin[k]) + at, int(window[k]))
+            key = int(d[k]), int(i[k])
+            if new[:2] > out.get(key, (0, 0))[:2]:
+                out[key] = new
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -104,8 +137,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     An item is held when, along one alignment without insertions, a stretch of ``WINDOW`` of its words (all of them, if it has
     fewer) agrees with the document in at least ``SIMILARITY`` of the words; the best such stretch is reported, the
-    first of equals. Words are cut at ASCII white space and compared without case (A-Z) or punctuation at their ends. Items shorter
-    than a mask, null and empty texts hold nothing; repeated rows and repeated items give repeated results;
+    first of equals. Words are cut at ASCII white space and compared without case (A-Z) or punctuation at their ends. Items under
+    five words, null and empty texts hold nothing; repeated rows and repeated items give repeated results;
     ``row_key`` is ``xxhash64(text)``. Other columns are not read.
     """
     rows = pick(docs, doc_id="long", text="string").fillna("", ["text"]).select("doc_id", F.xxhash64("text").alias("row_key"), "text")
@@ -138,6 +171,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that hold no item. Only ids and text hashes of leaks are joined, and only equal texts share a verdict."""
-    bad = written(leaks(docs, benchmark).select(F.col("row_key").alias("leaked_key")).distinct(), "leaks")  # written: Spark then knows its size
-    return docs.join(bad, F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("leaked_key"), "left_anti")
+    """The rows of ``docs``, all columns, that hold no item. Only text hashes of leaks are joined, and only equal texts share a verdict.
+
+    Null and empty texts hold nothing and stay; repeated rows stay or go together; columns of any name pass through; an empty table stays empty.
+    """
+    bad = written(leaks(docs, benchmark).select("row_key").distinct(), "leaks")  # written: Spark then knows its size
+    plain = by_place(docs)
+    return renamed(plain.join(bad, text_key(plain, docs) == bad["row_key"], "left_anti"), docs)

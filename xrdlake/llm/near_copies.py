@@ -2,8 +2,9 @@
 
 64 bits cannot bound that similarity: at 0.8 two fingerprints differ in about ten bits, and no key of equal blocks is lossless for the
 spread around it. So fingerprints only propose links, as do keys of rare shingles; every link is verified on the shingle sets, and a second
-round finds what is missing without loss: ordered by hash, two sets that alike share one of their first fifth of shingles. There, pairs that
-are not yet in one group are discarded by size and by parity sketches (which differ in no more bits than the sets do in shingles).
+round finds what is missing without loss: in any one order of all shingles, two sets that alike share one of their first fifth. The order
+puts the shingles that many texts hold last, so that texts with a common passage do not meet in it. Of those that meet, pairs
+not yet in one group are discarded by size and by parity sketches (which differ in no more bits than the sets do in shingles).
 """
 
 from __future__ import annotations
@@ -22,9 +23,53 @@ WORDS = 5
 SKETCH = 512
 
 
-def prefix(h: np.ndarray) -> np.ndarray:
-    """The least of a set's sorted hashes: any two sets with similarity 0.8 or more share one of them."""
-    return h[:len(h) - (4 * len(h) + 4) // 5 + 1] if len(h) else h
+#: Shingles that are known to be common, at most; a shorter list makes candidates more, not results fewer.
+MOST_COMMON = 1 << 19
+COMMON = 8
+
+
+class Order:
+    """An order of all shingles: those not known to be common by hash, then the common ones by the logarithm of their count."""
+
+    def __init__(self, hashes: np.ndarray, classes: np.ndarray):
+        order = np.argsort(hashes)
+        self.hashes, self.classes = hashes[order], classes[order]
+
+    def prefix(self, h: np.ndarray) -> np.ndarray:
+        """The first of a set's sorted hashes in this order: any two sets with similarity 0.8 or more share one of them."""
+        n = len(h) - (4 * len(h) + 4) // 5 + 1 if len(h) else 0
+        if n and len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            h = h[np.argsort(np.where(self.hashes[at] == h, self.classes[at], 0), kind="stable")]
+        return h[:n]
+
+
+def common(docs: DataFrame) -> Order:
+    """The shingles that many different texts of some batch hold, by how many; of the commonest, ``MOST_COMMON`` at most.
+
+    Counts are exact for shingles that are held twice in every batch that holds them; others are undercounted, which may
+    make candidates more.
+    """
+    rows = pick(docs, text="string").where("text IS NOT NULL")
+
+    def count(batches):
+        for b in batches:
+            for a in range(0, b.num_rows, 2000):
+                texts = set(b.column(0).slice(a, 2000).to_pylist())
+                hashes, counts = np.unique(np.concatenate([np.unique(simhash.shingles(t, WORDS)) for t in texts] or [np.empty(0, np.uint64)]), return_counts=True)
+                met = counts > 1
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[met].view(np.int64)), pa.array(counts[met], pa.int64())], names=["hash", "n"])
+
+    counts = rows.mapInArrow(count, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON)
+    counts = written(counts.select("hash", F.floor(F.log2("n")).cast("int").alias("class")), "common")
+    least, held = 0, 0
+    for kind, n in sorted(counts.groupBy("class").count().collect(), reverse=True):
+        held += n
+        if held > MOST_COMMON:
+            least = kind + 1
+            break
+    known = counts.where(F.col("class") >= least).toArrow()
+    return Order(known.column("hash").to_numpy().view(np.uint64), known.column("class").to_numpy())
 
 
 def sketch(h: np.ndarray, size: int = SKETCH) -> bytes:
@@ -34,6 +79,7 @@ def sketch(h: np.ndarray, size: int = SKETCH) -> bytes:
 
 def sketches(docs: DataFrame) -> DataFrame:
     """``doc_id, row_key, fp, node, n, keys, bits, fine`` of every row; ``node`` is the hash of its shingle set, ``fine`` a sketch as large as the set."""
+    order = docs.sparkSession.sparkContext.broadcast(common(docs))
     rows = pick(docs, doc_id="long", text="string").select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("row_key"), "text")
 
     def look(batches):
@@ -47,7 +93,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                     fps.append(simhash.fingerprint_of(all_))
                     nodes.append(xxhash.xxh64_intdigest(own.tobytes(), 42))
                     sizes.append(len(own))
-                    keys.append(prefix(own).view(np.int64))
+                    keys.append(order.value.prefix(own).view(np.int64))
                     bits.append(sketch(own))
                     fine.append(sketch(own, max(SKETCH, 1 << len(own).bit_length())))
                 yield pa.RecordBatch.from_arrays(

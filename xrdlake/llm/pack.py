@@ -68,18 +68,18 @@ class Words:
                 out[i] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
             else:
                 split.append((i, t.encode().lower().split()))
-        missing = set().union(*(w for _, w in split)).difference(self.known)
-        if missing:
-            self.learn(missing)
         known, again = self.known, []
         for i, words in split:
             try:
                 out[i] = b"".join(map(known.__getitem__, words))
-            except KeyError:  # the cache was emptied meanwhile
+            except KeyError:  # a word not met before
                 again.append((i, words))
+        if again:
+            self.learn(set().union(*(w for _, w in again)).difference(known))
         for i, words in again:
-            self.learn(set(words).difference(self.known))
-            out[i] = b"".join(map(self.known.__getitem__, words))
+            if not known.keys() >= set(words):  # the cache was emptied meanwhile
+                self.learn(set(words).difference(known))
+            out[i] = b"".join(map(known.__getitem__, words))
         return out
 
 
@@ -145,7 +145,7 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
 
 def place(pdf: pd.DataFrame, shard: int, capacity: int, seal: float) -> pd.DataFrame:
     """The pieces of one shard with bin and offset; bins filled below ``seal`` are open (``sequence_id`` -1)."""
-    pdf = pdf.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
+    pdf = pdf.sort_values(["length", "row"], ascending=[False, True], kind="stable", ignore_index=True)
     own = sum_of_squares(pdf["length"].to_numpy(), capacity)
     fill = np.bincount(own, pdf["length"].to_numpy())
     order = np.argsort(own, kind="stable")
@@ -155,7 +155,7 @@ def place(pdf: pd.DataFrame, shard: int, capacity: int, seal: float) -> pd.DataF
     offset = np.empty(len(pdf), np.int64)
     offset[order] = before - np.repeat(before[first], np.diff(np.append(first, len(pdf))))
     done = fill[own] >= seal * capacity
-    pdf["sequence_id"] = np.where(done, shard * np.int64(2 * SHARD_PIECES) + own, -1)
+    pdf["sequence_id"] = np.where(done, shard * np.int64(1 << 31) + own, -1)  # a shard of any size has fewer bins than that
     pdf["offset"] = np.where(done, offset, -1)
     return pdf
 
@@ -167,7 +167,7 @@ def placer(first: int, capacity: int, seal: float):
     return fill
 
 
-PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, row long, sequence_id long, offset long"
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
@@ -179,13 +179,13 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Data
     lengths are shuffled. Null and empty texts are one piece of one token; repeated rows are packed once each; an
     empty table gives no rows; other columns are not read.
     """
-    # pandas has no missing integers: a missing id goes through the shards as NO_ID
-    rest = written(pieces_of(docs, tokenizer_path, capacity).withColumn("doc_id", F.coalesce("doc_id", F.lit(int(NO_ID)))), "pieces")
+    # pandas has no missing integers: a missing id goes through the shards as NO_ID; rows are numbered, so that equal ones are dealt like any others
+    rest = written(pieces_of(docs, tokenizer_path, capacity).withColumns({"doc_id": F.coalesce("doc_id", F.lit(int(NO_ID))), "row": F.monotonically_increasing_id()}), "pieces")
     done, base, seal, left = None, 0, 0.995, rest.count()
     while True:
         shards = max(1, round(left / SHARD_PIECES))
         last = shards == 1
-        dealt = rest.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(base)), F.lit(shards)))
+        dealt = rest.withColumn("shard", F.pmod(F.xxhash64("row", F.lit(base)), F.lit(shards)))
         placed = dealt.groupBy("shard").applyInPandas(placer(base, capacity, 0.0 if last else seal), PLACED)
         if last:
             done = placed if done is None else done.unionByName(placed)
@@ -199,4 +199,4 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Data
             break
         if left > 0.5 * before:  # hardly any bin is full enough: settle for less, so that the rounds end
             seal *= 0.9
-    return done.withColumn("doc_id", F.nullif("doc_id", F.lit(int(NO_ID))))
+    return done.drop("row").withColumn("doc_id", F.nullif("doc_id", F.lit(int(NO_ID))))

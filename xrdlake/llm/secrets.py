@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
+from itertools import accumulate
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from xrdlake.llm.common import ids_back, ids_of, pick
+from xrdlake.llm.common import by_place, ids_back, ids_of, pick, place_of, renamed
 
 #: Kinds in the order that breaks ties of a start; the last is the lexer's.
 KINDS = ("assign", "access", "hex", "literal")
@@ -107,16 +109,16 @@ def lexed(text: str) -> list[tuple[int, int]]:
         found.append((name, literals, refs))
         for key in {name, name.rpartition(".")[2]}:
             own.setdefault(key, []).append((literals, refs))
+    # the most sensitive names go first, so whatever is reached has its weight: each constant is followed once
     weight: dict[tuple[int, int, bool], float] = {}
-    for name, literals, refs in found:
-        w = sensitive(name)
-        if not w:
-            continue
-        todo, seen = [(literals, refs)], set()
+    rated = {name: sensitive(name) for name, _, _ in found}
+    seen: set[str] = set()
+    for name, literals, refs in sorted((x for x in found if rated[x[0]]), key=lambda x: -rated[x[0]]):
+        w, todo = rated[name], [(literals, refs)]
         while todo:
             literals, refs = todo.pop()
             for lit in literals:
-                weight[lit] = max(weight.get(lit, 0.0), w)
+                weight.setdefault(lit, w)
             for ref, a, b in refs:
                 keys = [k for k in dict.fromkeys((ref, ref.rpartition(".")[2])) if k in own]
                 for key in keys:
@@ -124,7 +126,7 @@ def lexed(text: str) -> list[tuple[int, int]]:
                         seen.add(key)
                         todo += own[key]
                 if not keys:  # no constant of that name: a bare word of a configuration file
-                    weight[a, b, False] = max(weight.get((a, b, False), 0.0), w)
+                    weight.setdefault((a, b, False), w)
     out = []
     for (a, b, quoted), w in weight.items():
         value = text[a:b].rstrip(".") if not quoted else text[a:b]
@@ -142,9 +144,10 @@ def scan(text: str | None) -> list[tuple[int, int, int]]:
     spans = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= LEAST_VALUE]
     spans += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
     spans += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    base = list(spans)
-    spans += [(a, 3, b) for a, b in lexed(text) if not any(s <= a and b <= e for s, _, e in base)]
-    return sorted(spans)
+    spans.sort()
+    starts, far = [s for s, _, _ in spans], list(accumulate((e for _, _, e in spans), max))
+    inside = lambda a, b: (k := bisect_right(starts, a)) and far[k - 1] >= b
+    return sorted(spans + [(a, 3, b) for a, b in lexed(text) if not inside(a, b)])
 
 
 SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
@@ -187,10 +190,14 @@ def hidden(text: str | None, mark: str = "[secret]") -> str | None:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """The same rows and columns, without the secrets in ``text``; ``n_chars``, where there is one, follows."""
+    """The same rows and columns, without the secrets in ``text``; ``n_chars``, where there is one, follows.
+
+    Null and empty texts and repeated rows stay as they are; columns of any name pass through; an empty table stays empty.
+    """
     @F.pandas_udf("string")
     def clean(texts: pd.Series) -> pd.Series:
         return texts.map(hidden, na_action="ignore")
 
-    out = docs.withColumn("text", clean("text"))
-    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+    text, chars = (None if (i := place_of(docs, c)) is None else f"c{i}" for c in ("text", "n_chars"))
+    out = by_place(docs).withColumn(text, clean(text))
+    return renamed(out.withColumn(chars, F.length(text).cast("long")) if chars else out, docs)

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from xrdlake.llm.common import ids_back, ids_of, mix, pick
+from xrdlake.llm.common import by_place, ids_back, ids_of, mix, pick, place_of, renamed, text_key
 from xrdlake.session import cut_lineage, written
 
 MOST_BITS = 3
@@ -199,8 +199,9 @@ def firsts(docs: DataFrame, rows: DataFrame, roots: DataFrame) -> DataFrame:
     same = seen["doc_id"].eqNullSafe(keep["doc_id"]) & (seen["row_key"] == keep["row_key"])
     odd = seen.join(keep, same, "left").where("kept IS NULL OR copies > 1").select(seen["doc_id"].alias("odd_id"), seen["row_key"].alias("odd_key"), "kept")
     odd = written(odd, "odd")  # only these rows are looked up; written, Spark knows their size
-    keyed = docs.withColumn("text_key_of_row", F.xxhash64(F.coalesce("text", F.lit(""))))
-    is_odd = keyed["doc_id"].eqNullSafe(odd["odd_id"]) & (keyed["text_key_of_row"] == odd["odd_key"])
-    single = keyed.join(odd, is_odd, "left_anti").select(*docs.columns)
-    repeated = keyed.join(odd.where("kept IS NOT NULL"), is_odd, "left_semi").dropDuplicates(["doc_id", "text_key_of_row"]).select(*docs.columns)
-    return single.unionByName(repeated)
+    plain = by_place(docs)
+    keyed = plain.withColumns({"row_id": F.col(f"c{place_of(docs, 'doc_id')}").cast("long"), "row_key": text_key(plain, docs)})
+    is_odd = keyed["row_id"].eqNullSafe(odd["odd_id"]) & (keyed["row_key"] == odd["odd_key"])
+    single = keyed.join(odd, is_odd, "left_anti")
+    repeated = keyed.join(odd.where("kept IS NOT NULL"), is_odd, "left_semi").dropDuplicates(["row_id", "row_key"])
+    return renamed(single.unionByName(repeated), docs)

@@ -17,6 +17,7 @@ CAPACITY = 2048
 SHARD_PIECES = 40_000
 CACHE_WORDS = 700_000
 SEPARATOR = "<|endoftext|>"
+MARKS = b".,;:!?#*$%&|<>()[]{}=/\\_@+~`^\"-"
 
 _STATE: dict = {}
 
@@ -36,28 +37,54 @@ class Words:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.end = self.tokenizer.token_to_id(SEPARATOR)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # the last ids of pre-tokens
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
-        self.stops = {c: np.array(self.tokenizer.encode(c.decode(), add_special_tokens=False).ids, "<u4").tobytes() for c in (b".", b",")}
+
+    def lines(self, words: list[bytes], between: str, size: int = 500):
+        """Shares of the words with their encoding as one line."""
+        for a in range(0, len(words), 40 * size):
+            parts = [words[b:b + size] for b in range(a, min(a + 40 * size, len(words)), size)]
+            yield from zip(parts, self.tokenizer.encode_batch_fast([between.join(w.decode() for w in p) for p in parts], add_special_tokens=False), strict=True)
 
     def learn(self, words: set[bytes]) -> None:
         known = self.known
         if len(known) + len(words) > CACHE_WORDS:
             known.clear()
-        words = [w for w in words if w not in known]
-        # a full stop or comma after a letter is a token of its own
-        cores = {w: w[:-1] for w in words if w[-1:] in self.stops and 97 <= w[-2:-1][0:1].ljust(1, b"\0")[0] <= 122}
-        new = list(dict.fromkeys(c for c in (cores.get(w, w) for w in words) if c not in known))
-        for a in range(0, len(new), 20_000):
-            part = new[a:a + 20_000]
-            lines = [SEPARATOR.join(w.decode() for w in part[b:b + 500]) for b in range(0, len(part), 500)]
-            encoded = self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)
-            for b, e in zip(range(0, len(part), 500), encoded, strict=True):
-                ids = np.array(e.ids, "<u4")
-                cut = np.flatnonzero(ids == self.end)
-                for w, x, y in zip(part[b:b + 500], np.append(0, cut + 1).tolist(), np.append(cut, len(ids)).tolist(), strict=True):
-                    known[w] = ids[x:y].tobytes()
+        # punctuation after a letter is a token run of its own
+        cores, plain, rest, shared = {}, [], [], set()
+        for w in words:
+            if w in known:
+                continue
+            core, text = w.rstrip(MARKS), w.decode()
+            if len(core) < len(w) and text[:len(core) - len(w)][-1:].isalpha():
+                cores[w] = core
+                if core not in shared and core not in known:
+                    shared.add(core)
+                    (plain if text[:len(core) - len(w)].isalpha() else rest).append(core)
+                if w[len(core):] not in known and w[len(core):] not in shared:
+                    shared.add(w[len(core):])
+                    rest.append(w[len(core):])
+            elif w not in shared:
+                shared.add(w)
+                (plain if text.isalpha() else rest).append(w)
+        # letters only are one pre-token, whose last id is marked in the vocabulary
+        for part, e in self.lines(plain, " "):
+            ids = np.array(e.ids, "<u4")
+            cut = np.flatnonzero(self.ends[ids]) + 1
+            if len(cut) != len(part):
+                rest += part
+                continue
+            for w, x, y in zip(part, np.append(0, cut[:-1]).tolist(), cut.tolist(), strict=True):
+                known[w] = ids[x:y].tobytes()
+        for part, e in self.lines(rest, SEPARATOR):
+            ids = np.array(e.ids, "<u4")
+            cut = np.flatnonzero(ids == self.end)
+            for w, x, y in zip(part, np.append(0, cut + 1).tolist(), np.append(cut, len(ids)).tolist(), strict=True):
+                known[w] = ids[x:y].tobytes()
         for w, core in cores.items():
-            known[w] = known[core] + self.stops[w[-1:]]
+            known[w] = known[core] + known[w[len(core):]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""

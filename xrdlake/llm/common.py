@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -42,6 +43,31 @@ def pick(df: DataFrame, **kinds: str) -> DataFrame:
     return by_place(df).select(*[F.col(f"c{place_of(df, n)}").cast(k).alias(n) for n, k in kinds.items()])
 
 
+#: Bits of a bitmap of hashes: 4 MB, whatever the number of keys.
+BITMAP = 1 << 25
+
+
+def maybe_among(keys: DataFrame, name: str):
+    """A test for rows: false where the 64-bit hash ``name`` is surely not in ``keys``.
+
+    The bitmap that is sent to the tasks has a fixed size; the fuller it is, the more rows pass. So a join with
+    ``keys`` moves only the rows that pass, however large the table is.
+    """
+    bit = F.pmod(F.col(name), F.lit(BITMAP)) + 1
+    parts = keys.groupBy(F.bitmap_bucket_number(bit).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
+    whole = np.zeros(BITMAP // 8, np.uint8)
+    for part, bits in parts:
+        whole[4096 * (part - 1):4096 * part] = np.frombuffer(bits, np.uint8)
+    shared = keys.sparkSession.sparkContext.broadcast(whole)
+
+    @F.pandas_udf("boolean")
+    def test(hashes: pd.Series) -> pd.Series:
+        at = hashes.to_numpy(np.int64) % BITMAP
+        return pd.Series((shared.value[at >> 3] >> (at & 7) & 1).astype(bool))
+
+    return test
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A well mixed 64-bit value of each 64-bit value."""
     x = x.astype(np.uint64, copy=True)

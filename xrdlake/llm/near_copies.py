@@ -16,10 +16,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from xrdlake.llm import simhash
-from xrdlake.llm.common import ids_back, ids_of, pick
+from xrdlake.llm.common import ids_back, ids_of, maybe_among, pick
 from xrdlake.session import written
 
 WORDS = 5
+#: Rounds of one pair per group, before all pairs of groups that are left are looked at.
+TURNS = 2
 SKETCH = 512
 
 
@@ -145,8 +147,10 @@ def alike(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The ``u, v`` of ``pairs`` whose shingle sets have a similarity of 0.8 or more."""
     pairs = written(fitting(pairs, nodes), "fitting")
     asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    asked = written(nodes.select("node", "row_key").join(asked, "node"), "asked")
     texts = pick(docs, text="string").select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("row_key"), "text")
-    met = texts.join(nodes.select("node", "row_key").join(asked, "node"), "row_key").dropDuplicates(["node"]).select("node", "text")
+    texts = texts.where(maybe_among(asked, "row_key")("row_key"))  # only these are shuffled
+    met = texts.join(asked, "row_key").dropDuplicates(["node"]).select("node", "text")
 
     def read(batches):
         for b in batches:
@@ -179,6 +183,19 @@ def proposed(nodes: DataFrame, met: DataFrame) -> DataFrame:
     return same.unionByName(near.select(F.col("a").alias("u"), F.col("b").alias("v"))).unionByName(star).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct()
 
 
+def across(met: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
+    """``u, v``: one pair for each group that shares a key with another: with the group that most of the key's sets are in.
+
+    Of a group's keys one is taken, another each ``turn``; so pairs are no more than groups.
+    """
+    named = met.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    sides = named.groupBy("key", "root").agg(F.count("*").alias("n"), F.min("node").alias("node"))
+    hubs = sides.groupBy("key").agg(F.max(F.struct("n", "root", "node")).alias("hub"), F.count("*").alias("sides")).where("sides > 1")
+    met_hubs = sides.join(hubs, "key").where("root <> hub.root").select("root", F.struct(F.xxhash64("key", F.lit(turn)), F.col("hub.node").alias("u"), F.col("node").alias("v")).alias("pair"))
+    pairs = met_hubs.groupBy("root").agg(F.min("pair").alias("pair"))
+    return pairs.select(F.least("pair.u", "pair.v").alias("u"), F.greatest("pair.u", "pair.v").alias("v")).distinct()
+
+
 def remaining(met: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
     """``u, v``: all pairs of sets with a common key that are in different groups and can be alike."""
     named = met.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
@@ -224,6 +241,12 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     met = written(keyed.where("copies > 1"), "keys-met")
     links = written(alike(written(proposed(nodes, met), "proposed"), docs, nodes), "links")
     roots = written(simhash.components(links), "roots")
+    for turn in range(TURNS):
+        found = written(alike(written(across(met, roots, turn), "across"), docs, nodes), "links")
+        if found.isEmpty():
+            break
+        links = links.unionByName(found)
+        roots = written(simhash.components(links), "roots")
     more = written(alike(written(remaining(met, roots, nodes), "remaining"), docs, nodes), "links")
     comps = simhash.components(links.unionByName(more))
     roots = nodes.select("node").join(comps, "node", "left").select("node", F.coalesce("root", "node").alias("root"))

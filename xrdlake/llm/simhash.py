@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from xrdlake.llm.common import by_place, ids_back, ids_of, mix, pick, place_of, renamed, text_key
+from xrdlake.llm.common import by_place, ids_back, ids_of, maybe_among, mix, pick, place_of, renamed, text_key
 from xrdlake.session import cut_lineage, written
 
 MOST_BITS = 3
@@ -202,6 +202,8 @@ def firsts(docs: DataFrame, rows: DataFrame, roots: DataFrame) -> DataFrame:
     plain = by_place(docs)
     keyed = plain.withColumns({"row_id": F.col(f"c{place_of(docs, 'doc_id')}").cast("long"), "row_key": text_key(plain, docs)})
     is_odd = keyed["row_id"].eqNullSafe(odd["odd_id"]) & (keyed["row_key"] == odd["odd_key"])
-    single = keyed.join(odd, is_odd, "left_anti")
-    repeated = keyed.join(odd.where("kept IS NOT NULL"), is_odd, "left_semi").dropDuplicates(["row_id", "row_key"])
+    maybe = maybe_among(odd, "odd_key")("row_key")  # most rows are in no join
+    rest = keyed.where(maybe)
+    single = keyed.where(~maybe).unionByName(rest.join(odd, is_odd, "left_anti"))
+    repeated = rest.join(odd.where("kept IS NOT NULL"), is_odd, "left_semi").dropDuplicates(["row_id", "row_key"])
     return renamed(single.unionByName(repeated), docs)

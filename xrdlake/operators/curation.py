@@ -78,13 +78,40 @@ def unique_within(df: DataFrame, record: str, column: str, rule: str) -> DataFra
     return violation(g, record, column, rule, F.col("n") > 1)
 
 
-def declared(df: DataFrame, record: str, column: str, parents: DataFrame, rule: str) -> DataFrame:
-    """References that no parent row of the same record declares (``record_id, key``)."""
+def declared(df: DataFrame, record: str, column: str, parents: DataFrame, rule: str, scopes: DataFrame | None = None) -> DataFrame:
+    """References that no parent row of the same record declares (``record_id, key``).
+
+    Parents that are declared once for many records are given by scope (``scope, key``), with ``scopes`` (``record_id, scope``) naming the
+    scope of each record: lists are looked up, never multiplied out. A record without a scope declares nothing.
+    """
     child = df.where(F.col(column).isNotNull()).select(F.col(record).alias("record_id"), F.col(column).alias("key"))
-    miss = child.join(parents.select("record_id", "key").distinct(), ["record_id", "key"], "left_anti")
+    if scopes is None:
+        miss = child.join(parents.select("record_id", "key"), ["record_id", "key"], "left_anti")
+    else:
+        miss = child.join(scopes.select("record_id", "scope"), "record_id", "left").join(parents.select("scope", "key"), ["scope", "key"], "left_anti")
     return violation(miss, "record_id", "key", rule, F.lit(True))
 
 
+def external_id_errors(df: DataFrame, record: str, item, source: str = "Mindat") -> DataFrame:
+    """Id and address rules of rows (``external_source``, ``external_id``, ``external_uri``) that cite the numbered catalogue ``source``."""
+    id_, uri = (blank_to_null(F.col(k).cast("string")) for k in ("external_id", "external_uri"))
+    named = F.lower(F.trim("external_source")) == source.lower()
+    # fixed value: the address pattern of a numbered entry
+    in_uri = F.nullif(F.regexp_extract(uri, r"^https?://(?:www\.)?mindat\.org/min-([0-9]+)\.html$", 1), F.lit(""))
+    return violations(df, record, item, {
+        "external_id_required": named & id_.isNull(), "external_id_numeric": named & ~id_.rlike("^[0-9]+$"),
+        "external_uri_format": named & uri.isNotNull() & in_uri.isNull(), "external_uri_matches": named & (in_uri != id_)})
+
+
+def needed_references(df: DataFrame, record: str, item, needs: dict[str, Column], present: DataFrame) -> DataFrame:
+    """Rows that lack a reference which their record has something for.
+
+    ``needs``: rule -> condition on a row; ``present``: record_id and a boolean column per rule, true where the record has parents of that kind.
+    """
+    j = df.join(present.select(F.col("record_id").alias(record), *[F.col(k).alias(f"_{k}") for k in needs]), record)
+    return violations(j, record, item, {k: cond & F.col(f"_{k}") for k, cond in needs.items()})
+
+
 def date_errors(df: DataFrame, record: str, item, column: str, rule: str) -> DataFrame:
     return violation(df, record, item, rule, ~is_iso_date(column))
 

@@ -169,13 +169,13 @@ def near_pairs(records: DataFrame, key: str, block: str, value: str, tolerance:
     """Pairs ``a < b`` of one block whose values lie within ``tolerance``.
 
     A pair further apart has no numeric similarity at that scale. Only
-    neighbouring buckets of the value meet, so a large block is not squared.
+    neighbouring buckets of the value meet, and full ones are split, so a large block is neither squared nor one task.
     """
     from xrdlake.operators.matching import near_join
 
     a = records.select(F.col(key).alias("a"), block, F.col(value).alias("value_a"))
     b = records.select(F.col(key).alias("b"), block, F.col(value).alias("value_b"))
-    return near_join(a, b, "value_a", "value_b", tolerance, salts=1, salt_by=("a",), on=(block,)).where("a < b")
+    return near_join(a, b, "value_a", "value_b", tolerance, salt_by=("a",), on=(block,)).where("a < b")
 
 
 def resolve_alias(records: DataFrame, aliases: DataFrame, manifests: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from xrdlake.functions.geometry import bragg_two_theta, cubic_d, tetragonal_d
 from xrdlake.functions.text import formula_compatible, mineral_name_key
 from xrdlake.functions.values import curation_status
 from xrdlake.operators import rule_tables as R
+from xrdlake.session import written
 
 
 def window_hits(peaks: DataFrame, windows: Column, condition=None, value: str = "d") -> DataFrame:
@@ -31,20 +32,29 @@ def diagnostic_matches(peaks: DataFrame) -> DataFrame:
     return hit.select("*", "w.rule_id", "w.mineral", F.abs(F.col("d") - (F.col("w.d_min") + F.col("w.d_max")) / 2).alias("delta_center")).drop("w")
 
 
-def near_join(left: DataFrame, right: DataFrame, value: str, right_value: str, tolerance: float, salts: int = 8, salt_by=("curve_id",),
-              on: tuple[str, ...] = ()) -> DataFrame:
-    """Pairs whose values differ by at most ``tolerance``, as an equi join on buckets.
+#: Left rows of one bucket that one task joins; fuller buckets are split.
+BUCKET_ROWS = 50_000
 
-    The right side (a library of lines) is put into its own and both
-    neighbouring buckets. Buckets of common positions are hot, so the left side
-    is spread over ``salts`` and the right side repeated for each of them.
+
+def near_join(left: DataFrame, right: DataFrame, value: str, right_value: str, tolerance: float, salt_by=("curve_id",), on: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs whose values differ by at most ``tolerance``, as an equi join on buckets of that width.
+
+    The right side (a library of lines) is put into its own and both neighbouring buckets. The left side is written once and its buckets are
+    counted: a bucket of more than ``BUCKET_ROWS`` rows is split by hashes of ``salt_by``, and only there the right side is repeated.
+    The list of full buckets has at most a row per ``BUCKET_ROWS`` left rows, so it may be broadcast.
     """
     width = float(tolerance)
     bucket = lambda c: F.floor(F.col(c) / width)
-    a = left.withColumn("_b", bucket(value)).withColumn("_s", F.pmod(F.hash(*[F.col(c) for c in salt_by]), F.lit(salts)))
+    a = written(left.withColumn("_b", bucket(value)), "near-left")
     b = right.withColumn("_b", F.explode(F.array(*[bucket(right_value) + k for k in (-1, 0, 1)])))
-    b = b.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    j = a.join(b, [*on, "_b", "_s"])
+    key = [*on, "_b"]
+    full = written(a.groupBy(*key).agg(F.ceil(F.count("*") / BUCKET_ROWS).cast("int").alias("_k")).where("_k > 1"), "near-full")
+    if not full.isEmpty():
+        shares = F.coalesce("_k", F.lit(1))
+        a = a.join(F.broadcast(full), key, "left").withColumn("_s", F.pmod(F.hash(*salt_by), shares)).drop("_k")
+        b = b.join(F.broadcast(full), key, "left").withColumn("_s", F.explode(F.sequence(F.lit(0), shares - 1))).drop("_k")
+        key = [*key, "_s"]
+    j = a.join(b, key)
     return j.where(F.abs(F.col(value) - F.col(right_value)) <= tolerance).drop("_b", "_s")
 
 
@@ -82,6 +92,7 @@ def classify_by_library(peaks: DataFrame, lines: DataFrame, tolerance: float = 0
     """Weighted closeness of matched lines, damped by the share of lines found."""
     totals = lines.groupBy("reference_id").agg(F.count("*").alias("reference_lines"), F.sum("ref_intensity").alias("total_weight"))
     near = near_join(peaks.select("curve_id", "two_theta"), lines, "two_theta", "ref_two_theta", tolerance)
+    near = near.repartition("curve_id", "reference_id")  # both groupings need no further shuffle
     best = near.groupBy("curve_id", "reference_id", "line_index").agg(
         F.min(F.abs(F.col("two_theta") - F.col("ref_two_theta"))).alias("delta"), F.first("ref_intensity").alias("w"))
     agg = best.groupBy("curve_id", "reference_id").agg(

@@ -55,22 +55,51 @@ def j3(spark, d):
 
 
 @query("j4_cross_block_checks", """
+WITH camp AS (SELECT o_custkey AS rid, o_orderkey AS k FROM orders WHERE o_orderkey % 4 < 3),
+has AS (SELECT rid, count(*) > 0 AS camps FROM camp GROUP BY 1),
+smp AS (SELECT o_custkey AS rid, l_orderkey * 10 + l_linenumber AS item, CASE WHEN l_linenumber % 6 > 0 THEN l_orderkey END AS camp_id FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+mn AS (SELECT l_orderkey AS rid, l_linenumber AS item, CASE l_linenumber % 5 WHEN 0 THEN '' WHEN 1 THEN 'x' || l_partkey ELSE CAST(l_partkey AS VARCHAR) END AS eid,
+  CASE l_linenumber % 4 WHEN 0 THEN 'http://example.org/' || l_partkey WHEN 1 THEN 'https://www.mindat.org/min-' || (l_partkey + l_suppkey % 2) || '.html' WHEN 2 THEN NULL ELSE 'https://www.mindat.org/min-' || l_partkey || '.html' END AS uri
+  FROM lineitem WHERE l_returnflag = 'A')
 SELECT l_orderkey AS record_id, CAST(l_linenumber AS VARCHAR) AS item, 'line_unique' AS rule FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1
 UNION ALL SELECT o_custkey, CAST(o_orderkey AS VARCHAR), 'priority_required' FROM orders WHERE trim(split_part(o_orderpriority, '-', 3)) = '' AND o_orderstatus = 'P'
 UNION ALL SELECT l_orderkey, CAST(l_suppkey AS VARCHAR), 'supplier_declared' FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders, supplier WHERE o_orderkey = l_orderkey AND s_nationkey = o_custkey % 25 AND s_suppkey = l_suppkey)
 UNION ALL SELECT o_custkey, CAST(o_orderkey AS VARCHAR), 'date_format' FROM orders WHERE o_orderkey % 7 = 0
+UNION ALL SELECT rid, CAST(camp_id AS VARCHAR), 'campaign_declared' FROM smp WHERE camp_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM camp WHERE camp.rid = smp.rid AND k = camp_id)
+UNION ALL SELECT rid, CAST(item AS VARCHAR), 'campaign_required' FROM smp WHERE camp_id IS NULL AND rid IN (SELECT rid FROM has)
+UNION ALL SELECT rid, CAST(item AS VARCHAR), 'external_id_required' FROM mn WHERE eid = ''
+UNION ALL SELECT rid, CAST(item AS VARCHAR), 'external_id_numeric' FROM mn WHERE eid LIKE 'x%'
+UNION ALL SELECT rid, CAST(item AS VARCHAR), 'external_uri_format' FROM mn WHERE uri LIKE 'http://example%'
+UNION ALL SELECT rid, CAST(item AS VARCHAR), 'external_uri_matches' FROM mn WHERE uri LIKE '%mindat%' AND eid <> '' AND regexp_extract(uri, 'min-([0-9]+)', 1) <> eid
+UNION ALL SELECT page_id, CAST(page_id AS VARCHAR), 'analysis_needed' FROM pages WHERE page_id % 11 = 0 AND page_id % 2 = 0
 UNION ALL SELECT page_id, CAST(page_id AS VARCHAR), 'url_format' FROM pages WHERE page_id % 3 = 0 UNION ALL SELECT page_id, CAST(page_id AS VARCHAR), 'doi_format' FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT page_id, CAST(page_id AS VARCHAR), 'year_format' FROM pages WHERE page_id % 5 = 0""")
 def j4(spark, d):
     o, li, s, p = (table(spark, d, t) for t in ("orders", "lineitem", "supplier", "pages"))
     o2 = o.withColumn("third", F.try_element_at(F.split("o_orderpriority", "-"), F.lit(3))).withColumn("dt", F.when(c("o_orderkey") % 7 == 0, "1998-13-01").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")))
-    parents = o.select(c("o_orderkey").alias("record_id"), (c("o_custkey") % 25).cast("int").alias("nk")).join(s.select(c("s_nationkey").alias("nk"), c("s_suppkey").alias("key")), "nk")
+    scopes = o.select(c("o_orderkey").alias("record_id"), (c("o_custkey") % 25).cast("int").alias("scope"))
+    suppliers = s.select(c("s_nationkey").alias("scope"), c("s_suppkey").alias("key"))
     k = c("page_id")
     pub = p.select("page_id", F.when(k % 5 == 0, "98").otherwise("1998").alias("year"), F.when(k % 2 == 0, "10.1").otherwise("10.1000/a").alias("doi"), F.when(k % 3 == 0, "ftp://x").otherwise(c("url")).alias("url"))
+    # samples name a campaign of their record; catalogue references of minerals; publications that discuss an analysis
+    campaigns = o.where("o_orderkey % 4 < 3").select(c("o_custkey").alias("record_id"), c("o_orderkey").alias("key"))
+    line = c("l_linenumber")
+    samples = li.join(o, c("l_orderkey") == c("o_orderkey")).select("o_custkey", (c("l_orderkey") * 10 + line).alias("item"), F.when(line % 6 > 0, c("l_orderkey")).alias("campaign"))
+    entry = F.concat(F.lit("https://www.mindat.org/min-"), F.when(line % 4 == 1, c("l_partkey") + c("l_suppkey") % 2).otherwise(c("l_partkey")).cast("string"), F.lit(".html"))
+    minerals = li.where("l_returnflag = 'A'").select(
+        "l_orderkey", "l_linenumber", F.lit(" mindat").alias("external_source"),
+        F.when(line % 5 == 0, " ").when(line % 5 == 1, F.concat(F.lit("x"), c("l_partkey").cast("string"))).otherwise(c("l_partkey").cast("string")).alias("external_id"),
+        F.when(line % 4 == 0, F.concat(F.lit("http://example.org/"), c("l_partkey").cast("string"))).when(line % 4 != 2, entry).alias("external_uri"))
+    discussed = p.select("page_id", F.when(k % 11 == 0, "discute_analise").otherwise("cita").alias("relation"), F.when(k % 11 != 0, k).alias("analysis"))
+    analysed = p.where(k % 2 == 0).select(k.alias("record_id"), F.lit(True).alias("analysis_needed"))
     return union_all(
         J.unique_within(li, "l_orderkey", "l_linenumber", "line_unique"),
         J.violations(o2, "o_custkey", "o_orderkey", {
             "priority_required": (c("o_orderstatus") == "P") & J.blank_to_null(c("third")).isNull(), "date_format": ~J.is_iso_date("dt")}),
-        J.declared(li, "l_orderkey", "l_suppkey", parents, "supplier_declared"),
+        J.declared(li, "l_orderkey", "l_suppkey", suppliers, "supplier_declared", scopes),
+        J.declared(samples, "o_custkey", "campaign", campaigns, "campaign_declared"),
+        J.needed_references(samples, "o_custkey", "item", {"campaign_required": c("campaign").isNull()}, campaigns.select("record_id", F.lit(True).alias("campaign_required")).distinct()),
+        J.external_id_errors(minerals, "l_orderkey", "l_linenumber"),
+        J.needed_references(discussed, "page_id", "page_id", {"analysis_needed": (c("relation") == "discute_analise") & c("analysis").isNull()}, analysed),
         J.publication_errors(pub, "page_id", "page_id"))
 
 

@@ -94,3 +94,12 @@ def test_description(spark):
     text = one(spark, M.short_description(F.lit("Ilita"), F.lit("2:1"), F.lit("KAl2"), F.lit("Monoclinic"), F.lit("Grupo da mica")))
     assert text == "Ilita. 2:1, fórmula ideal KAl2. Sistema cristalino monoclinico. Pertence ao grupo da mica."
     assert one(spark, M.short_description(F.lit("Ilita"))) is None
+
+
+def test_oxides_of_several_texts(spark):
+    from xrdlake.functions import geochem
+
+    rows = [("SiO2 50; MgO 2", "MgO 3,5 CaO: 1", None), ("SiO2 1 MgO 2 CaO 3", "SiO2 9", None), (None, None, None), ("", "SiO2 -4", None), ("SiO2 5", "SiO2 6", {"MgO": 7.0})]
+    df = spark.createDataFrame(rows, "a string, b string, m map<string,double>")
+    got = [x["o"] for x in df.select(geochem.oxides("m", "a", "b").alias("o")).collect()]
+    assert got == [{"SiO2": 50.0, "MgO": 3.5, "CaO": 1.0}, {"SiO2": 1.0, "MgO": 2.0, "CaO": 3.0}, {}, {}, {"MgO": 7.0}]

@@ -190,3 +190,19 @@ def test_stream_restart_gives_no_duplicates(spark, tmp_path):
     for _ in range(2):
         L.run_to_table(spark.readStream.schema(df.schema).parquet(src), out, chk).awaitTermination()
     assert spark.read.parquet(out).count() == 10
+
+
+def test_hierarchy_by_doubling(spark, monkeypatch):
+    chain = [(f"t{i}", f"label{i:02d}", "eon" if i == 64 else "era" if i in (3, 50) else "none", f"t{i + 1}" if i < 64 else None) for i in range(65)]
+    more = [("x", "leaf", "none", "t60"), ("x", "leaf", "none", "gone"), ("y", "own", "era", "nowhere"), ("z", None, "eon", None)]
+    terms = spark.createDataFrame(chain + more, "term_id string, label string, level string, broader string")
+    items = spark.createDataFrame([(1, "t0"), (2, "t4"), (3, "x"), (4, "y"), (5, "z"), (6, "none"), (7, None)], "item long, term_id string")
+    rounds = []
+    write = keys.written
+    monkeypatch.setattr(keys, "written", lambda df, label: rounds.append(label) or write(df, label))
+    got = {r["item"]: (r["eon"], r["era"]) for r in keys.resolve_hierarchy(items, terms, ("eon", "era")).collect()}
+    assert got == {1: ("label64", "label03"), 2: ("label64", "label50"), 3: ("label64", None), 4: (None, "own"), 5: (None, None), 6: (None, None), 7: (None, None)}
+    assert rounds.count("levels") <= 7
+    circle = spark.createDataFrame([("a", "l", "eon", "b"), ("b", "m", "eon", "a")], "term_id string, label string, level string, broader string")
+    with pytest.raises(RuntimeError):
+        keys.resolve_hierarchy(items, circle, ("eon",), most_hops=10)

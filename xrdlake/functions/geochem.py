@@ -17,6 +17,7 @@ def _c(x) -> Column:
     return x if isinstance(x, Column) else F.col(x)
 
 
+# Fixed value: an oxide label and the number after it.
 NUMBER_AFTER_LABEL = r"(?i)\b(" + "|".join(OXIDES) + r")\b\s*[:=]?\s*(-?\d+(?:[.,]\d+)?)"
 
 
@@ -34,9 +35,22 @@ def oxides_from_text(text) -> Column:
     return let(pairs, build)
 
 
-def oxides(structured, text) -> Column:
-    """Structured percentages if there are any, else those of the text; negatives dropped."""
+def oxides(structured, *texts) -> Column:
+    """Structured percentages if there are any, else those of the texts; negatives dropped.
+
+    The texts are read one after the other until ``MIN_OXIDES`` oxides are known; what a later one says of an oxide stands.
+    """
     structured = _c(structured)
     has = structured.isNotNull() & (F.size(F.map_keys(structured)) > 0)
-    pick = F.when(has, F.map_filter(structured, lambda k, v: k.isin(*OXIDES) & v.isNotNull() & ~F.isnan(v))).otherwise(oxides_from_text(text))
+
+    def merge(first, second):
+        entries = [F.struct(F.lit(ox).alias("key"), F.coalesce(F.try_element_at(second, F.lit(ox)), F.try_element_at(first, F.lit(ox))).alias("value")) for ox in OXIDES]
+        return F.map_from_entries(F.filter(F.array(*entries), lambda e: e["value"].isNotNull()))
+
+    known = lambda text: F.coalesce(oxides_from_text(text), F.expr("cast(map() as map<string,double>)"))
+    read = known(texts[0])
+    for text in texts[1:]:
+        more = known(text)
+        read = let(read, lambda m: F.when(F.size(F.map_keys(m)) >= MIN_OXIDES, m).otherwise(merge(m, more)))  # noqa: B023
+    pick = F.when(has, F.map_filter(structured, lambda k, v: k.isin(*OXIDES) & v.isNotNull() & ~F.isnan(v))).otherwise(read)
     return F.map_filter(pick, lambda k, v: v >= 0)

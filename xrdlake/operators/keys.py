@@ -117,24 +117,27 @@ def link_terms(mentions: DataFrame, aliases: DataFrame, groups: DataFrame) -> Da
 
 
 def resolve_hierarchy(items: DataFrame, terms: DataFrame, levels: tuple[str, ...], most_hops: int = 100) -> DataFrame:
-    """The label found at each level on the way up the broader links of an item's term.
+    """The label found at each level on the way up the broader links of an item's term; of several, the least.
 
-    The terms are resolved once: every round moves all of them one link up and writes what it found, until none is left;
-    a longer way than ``most_hops`` (a cycle) is an error. The items then need a single join.
+    The terms are resolved once, by pointer doubling: after round i a term has a link to its 2^i-th ancestors and the labels of all nearer
+    ones, so a way of n hops takes about log2(n) rounds. Links that are left after the rounds for ``most_hops`` belong to a cycle (or a longer
+    way), which is an error. A term may have several broader ones; links to terms that do not exist end the way. The items then need a single join.
     """
-    node = written(terms.select(F.col("term_id").alias("at"), "label", "level", "broader"), "terms")
-    at, found = node.select(F.col("at").alias("term_id"), "at"), None
-    for _ in range(most_hops):
-        hop = written(at.join(node, "at"), "hop")
-        part = hop.select("term_id", "level", "label")
-        found = part if found is None else found.unionByName(part)
-        at = hop.where("broader IS NOT NULL").select("term_id", F.col("broader").alias("at"))
-        if at.isEmpty():
+    node = written(terms.select("term_id", "label", "level", "broader"), "terms")
+    least = [F.min(lv).alias(lv) for lv in levels]
+    found = node.select("term_id", *[F.when(F.col("level") == lv, F.col("label")).alias(lv) for lv in levels]).groupBy("term_id").agg(*least)
+    up = node.where("broader IS NOT NULL").select("term_id", F.col("broader").alias("up")).distinct()
+    up = written(up.join(node.select(F.col("term_id").alias("up")).distinct(), "up", "left_semi").select("term_id", "up"), "links")
+    for _ in range(max(1, most_hops).bit_length() + 1):
+        if up.isEmpty():
             break
+        above = found.withColumnRenamed("term_id", "up")
+        found = written(found.unionByName(up.join(above, "up").select("term_id", *levels)).groupBy("term_id").agg(*least), "levels")
+        further = up.select(F.col("term_id").alias("up"), F.col("up").alias("next"))
+        up = written(up.join(further, "up").select("term_id", F.col("next").alias("up")).distinct(), "links")
     else:
         raise RuntimeError("broader links do not end")
-    resolved = written(found.groupBy("term_id").agg(*[F.min(F.when(F.col("level") == lv, F.col("label"))).alias(lv) for lv in levels]), "levels")
-    return items.select("item", "term_id").join(resolved, "term_id", "left").select("item", *levels)
+    return items.select("item", "term_id").join(found, "term_id", "left").select("item", *levels)
 
 
 def duplicate_of(incoming: DataFrame, stored: DataFrame) -> DataFrame:

@@ -62,16 +62,29 @@ def comparison_suggestions(items: DataFrame, minerals: DataFrame) -> DataFrame:
 
 
 def mineral_panel(candidates: DataFrame) -> DataFrame:
-    """Per mineral: rows, best score with its group, samples, treatments."""
+    """Per mineral: rows, best score with its group, best confidence by rank, samples, treatments."""
     key = F.lower("mineral")
+    order = F.when(F.col("confidence") == "media", "média").otherwise(F.col("confidence"))
+    rank = F.struct(F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for kv in CONFIDENCE_RANK.items() for v in kv]), order), F.lit(0)).alias("r"), order.alias("label"))
     part = candidates.groupBy(key.alias("key"), "curve_id").agg(
         F.count("*").alias("n"), F.max("score").alias("best"), F.max_by("group", F.struct("score", "group")).alias("grp"),
-        *[F.max((F.col("treatment") == t).cast("int")).alias(f"t_{t}") for t in ALL_PREPARATIONS], F.min("mineral").alias("mineral"))
+        *[F.max((F.col("treatment") == t).cast("int")).alias(f"t_{t}") for t in ALL_PREPARATIONS], F.min("mineral").alias("mineral"),
+        F.max(rank).alias("sure"))
     seen = F.array_sort(F.array_compact(F.array(*[F.when(F.max(f"t_{t}") == 1, F.lit(t)) for t in ALL_PREPARATIONS])))
     return part.groupBy("key").agg(
         F.min("mineral").alias("mineral"), F.sum("n").alias("count"), F.max("best").alias("best_score"),
         F.max_by("grp", F.struct("best", "grp")).alias("best_group"), F.count("*").alias("samples"),
-        seen.alias("treatments"))
+        seen.alias("treatments"), F.max("sure").alias("sure")).withColumn("best_confidence", F.col("sure.label")).drop("sure")
+
+
+def support_peaks(members: DataFrame, peaks: DataFrame) -> DataFrame:
+    """Membership rows ``key, curve_id, peak_index``: the peaks that support a mineral, each once.
+
+    ``members``: mineral, curve_id and the support window d_min, d_max (nulls: any). Rows, not lists, so a common mineral is no large value.
+    """
+    hit = F.coalesce(F.col("d") >= F.col("d_min"), F.lit(True)) & F.coalesce(F.col("d") <= F.col("d_max"), F.lit(True))
+    rows = members.select(F.lower("mineral").alias("key"), "curve_id", "d_min", "d_max").join(peaks.select("curve_id", "peak_index", "d"), "curve_id")
+    return rows.where(hit).groupBy("key", "curve_id", "peak_index").agg(F.min("d").alias("d"))
 
 
 # Rank of a confidence label.

@@ -56,9 +56,18 @@ def e2(spark, d):
 
 @query("e3_mineral_panel", f"""
 WITH {CANDS} SELECT lower(mineral) AS key, min(mineral) AS mineral, count(*) AS count, max(score) AS best_score, max((score, grp))[2] AS best_group, count(DISTINCT curve_id) AS samples,
-  array_to_string(list_sort(list(DISTINCT treatment)), ',') AS treatments FROM cand GROUP BY 1""")
+  array_to_string(list_sort(list(DISTINCT treatment)), ',') AS treatments,
+  CASE max(CASE WHEN score >= 0.72 AND lines >= 10 THEN 3 WHEN score >= 0.45 THEN 2 ELSE 1 END) WHEN 3 THEN 'alta' WHEN 2 THEN 'média' ELSE 'baixa' END AS best_confidence FROM cand GROUP BY 1""")
 def e3(spark, d):
-    return P.mineral_panel(candidates(spark, d)).withColumn("treatments", F.array_join("treatments", ","))
+    return P.mineral_panel(scored(spark, d)).withColumn("treatments", F.array_join("treatments", ","))
+
+
+@query("e3_support_peaks", f"""
+WITH {PEAKS} SELECT 'mineral ' || label AS key, curve_id, peak_index, round(d, 5) AS d FROM pk JOIN embeddings ON vec_id = curve_id WHERE label % 2 <> 0 OR d BETWEEN 3 AND 4""")
+def e3_peaks(spark, d):
+    even = c("label") % 2 == 0
+    m = curves(spark, d).select("curve_id", F.concat(F.lit("Mineral "), c("label").cast("string")).alias("mineral"), F.when(even, 3.0).alias("d_min"), F.when(even, 4.0).alias("d_max"))
+    return P.support_peaks(m, peaks(spark, d)).withColumn("d", r(c("d"), 5))
 
 
 _CONF_SQL = "CASE WHEN score >= 0.72 AND lines >= 10 THEN 'alta' WHEN score >= 0.45 THEN 'media' ELSE 'baixa' END"

@@ -186,6 +186,19 @@ def b12(spark, d):
                     g("LOI").alias("loi"), g("MgO").alias("mgo"))
 
 
+@query("b12_second_text_source", rf"""
+WITH t AS (SELECT l_orderkey, l_linenumber, l_linenumber % 2 = 0 AS few, {_OX_TEXT_SQL} AS txt FROM lineitem)
+SELECT l_orderkey, l_linenumber, CASE WHEN few THEN 77.5e0 ELSE try_cast(replace(regexp_extract(txt, '(?i)\bSiO2\b\s*[:=]?\s*(-?\d+(?:[.,]\d+)?)', 1), ',', '.') AS DOUBLE) END AS sio2,
+  CASE WHEN NOT few THEN try_cast(regexp_extract(txt, '(?i)\bLOI\b\s*[:=]?\s*(-?\d+(?:[.,]\d+)?)', 1) AS DOUBLE) END AS loi, CASE WHEN few THEN CAST(l_linenumber AS DOUBLE) END AS mgo FROM t""")
+def b12_sources(spark, d):
+    """Lines whose first text names fewer than three oxides go on to a second one."""
+    few = F.col("l_linenumber") % 2 == 0
+    t = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.when(few, "SiO2 5 %").otherwise(_ox_text()).alias("a"), F.format_string("SiO2 77,5; MgO: %s", "l_linenumber").alias("b"))
+    t = t.withColumn("m", geochem.oxides(F.lit(None).cast("map<string,double>"), "a", "b"))
+    g = lambda k: F.try_element_at("m", F.lit(k))
+    return t.select("l_orderkey", "l_linenumber", g("SiO2").alias("sio2"), g("LOI").alias("loi"), g("MgO").alias("mgo"))
+
+
 @query("b13_split_terms", r"""
 WITH p AS (SELECT doc_id, trim(v) AS v, pos,
     nullif(trim(regexp_replace(lower(regexp_replace(strip_accents(v), '[^\x00-\x7F]', '', 'g')), '[^a-z0-9]+', ' ', 'g')), '') AS k

@@ -92,7 +92,9 @@ def test_octahedral(spark):
 
 def test_description(spark):
     text = one(spark, M.short_description(F.lit("Ilita"), F.lit("2:1"), F.lit("KAl2"), F.lit("Monoclinic"), F.lit("Grupo da mica")))
-    assert text == "Ilita. 2:1, fórmula ideal KAl2. Sistema cristalino monoclinico. Pertence ao grupo da mica."
+    assert text == "Ilita: classe 2:1; fórmula KAl2; sistema cristalino monoclinico; grupo da mica."
+    long = one(spark, M.long_description(F.lit("Ilita"), {"uses": F.lit("cerâmica"), "formula": F.lit("KAl2"), "origin": F.lit(" ")}, F.lit("Lab")))
+    assert long == "Ilita: fórmula KAl2; usos cerâmica (Lab)."
     assert one(spark, M.short_description(F.lit("Ilita"))) is None
 
 

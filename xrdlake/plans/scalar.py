@@ -411,10 +411,12 @@ def b26(spark, d):
                        V.abundance_class("s", F.col("doc_id") % 3).alias("abundance"))
 
 
-@query("b27_short_description", """
-SELECT p_partkey, p_name || '. ' || p_type || ', fórmula ideal Si' || p_size || '. Sistema cristalino ' ||
-   CASE p_size % 3 WHEN 0 THEN 'triclinico' WHEN 1 THEN 'cubico' ELSE 'amorphous' END || '. Pertence ao ' ||
-   CASE p_size % 2 WHEN 0 THEN 'grupo da ' || p_brand ELSE 'grupo brand' END || '.' || CASE WHEN p_size % 5 = 0 THEN ' Fonte: Lab.' ELSE '' END AS description FROM part""")
+_B27 = """p_name || ': classe ' || p_type || '; fórmula Si' || p_size || '; sistema cristalino ' || CASE p_size % 3 WHEN 0 THEN 'triclinico' WHEN 1 THEN 'cubico' ELSE 'amorphous' END ||
+   '; grupo ' || CASE p_size % 2 WHEN 0 THEN 'da ' || p_brand ELSE 'brand' END"""
+
+
+@query("b27_short_description", f"""
+SELECT p_partkey, {_B27} || CASE WHEN p_size % 5 = 0 THEN ' (Lab)' ELSE '' END || '.' AS description FROM part""")
 def b27(spark, d):
     z = F.col("p_size")
     p = table(spark, d, "part").select(
@@ -425,6 +427,19 @@ def b27(spark, d):
     return p.select("p_partkey", M.short_description("p_name", "p_type", "formula", "system", "grp", None, "src").alias("description"))
 
 
+@query("b27_long_description", f"""
+SELECT p_partkey, {_B27} || '; propriedades ' || p_size || CASE WHEN p_size % 4 = 0 THEN '' ELSE '; ambiente ' || lower(p_type) END || '; usos ' || lower(p_brand) || '.' AS description FROM part""")
+def b27_long(spark, d):
+    z = F.col("p_size")
+    p = table(spark, d, "part")
+    facts = {
+        "structural_class": F.col("p_type"), "formula": F.concat(F.lit("Si"), z.cast("string")), "system": F.when(z % 3 == 0, "triclinic").when(z % 3 == 1, "cubic").otherwise("amorphous"),
+        "group": F.when(z % 2 == 0, F.concat(F.lit("Grupo da "), "p_brand")).otherwise("Brand"), "properties": z.cast("string"), "origin": F.lit(" "),
+        "environment": F.when(z % 4 != 0, F.lower("p_type")), "uses": F.lower("p_brand")}
+    return p.select("p_partkey", M.long_description("p_name", facts).alias("description"))
+
+
+
 @query("b28_compact_payload", f"""
 WITH {PTS}, t AS (SELECT curve_id, y, tt, row_number() OVER (PARTITION BY curve_id ORDER BY y DESC, tt) AS rk FROM pts)
 SELECT curve_id, string_agg(CAST(CAST(round(tt, 1) * 10 AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(round(y) AS BIGINT) AS VARCHAR), ' ' ORDER BY rk) AS payload,

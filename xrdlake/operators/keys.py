@@ -213,8 +213,8 @@ def fetch_by_priority(wanted: DataFrame, stores: list[tuple[str, DataFrame]], pa
 
 
 def attach_rules(candidates: DataFrame, rules: DataFrame, on: str = "rule_id") -> DataFrame:
-    """Source rule of each candidate; ``rules`` is a table of known small size."""
-    return candidates.join(F.broadcast(rules), on, "left")
+    """Source rule of each candidate; Spark picks the join by the size of ``rules``."""
+    return candidates.join(rules, on, "left")
 
 
 def attach_group_result(curves: DataFrame, groups: DataFrame) -> DataFrame:

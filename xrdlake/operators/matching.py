@@ -88,23 +88,6 @@ def match_reference_lines(peaks: DataFrame, lines: DataFrame, tolerance: float =
                     weighted.alias("weighted_coverage"), (coverage * 0.45 + weighted * 0.55).alias("score"))
 
 
-def classify_by_library(peaks: DataFrame, lines: DataFrame, tolerance: float = 0.25) -> DataFrame:
-    """Weighted closeness of matched lines, damped by the share of lines found."""
-    totals = lines.groupBy("reference_id").agg(F.count("*").alias("reference_lines"), F.sum("ref_intensity").alias("total_weight"))
-    near = near_join(peaks.select("curve_id", "two_theta"), lines, "two_theta", "ref_two_theta", tolerance)
-    near = near.repartition("curve_id", "reference_id")  # both groupings need no further shuffle
-    best = near.groupBy("curve_id", "reference_id", "line_index").agg(
-        F.min(F.abs(F.col("two_theta") - F.col("ref_two_theta"))).alias("delta"), F.first("ref_intensity").alias("w"))
-    agg = best.groupBy("curve_id", "reference_id").agg(
-        F.count("*").alias("matched_lines"), F.sum(F.col("w") * (1 - F.col("delta") / tolerance)).alias("weighted"))
-    a = agg.join(totals, "reference_id").withColumn("coverage", F.col("matched_lines") / F.col("reference_lines"))
-    a = a.withColumn("score", F.col("weighted") / F.col("total_weight") * (F.col("coverage") * 0.45 + 0.55))
-    n = F.col("matched_lines")
-    conf = (F.when((F.col("score") >= 0.72) & (F.col("coverage") >= 0.66) & (n >= 2), "alta")
-            .when((F.col("score") >= 0.45) & (n >= 2), "media").otherwise("baixa"))
-    return a.select("curve_id", "reference_id", "matched_lines", "reference_lines", "coverage", "score", conf.alias("confidence"))
-
-
 def peak_set(found: DataFrame, limit: int | None = None) -> Column:
     """The peaks of a processed curve with ``shape`` (``series.with_shapes``), all or the strongest ``limit``, as an array of structs."""
     from xrdlake.functions.geometry import bragg_d

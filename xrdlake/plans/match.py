@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from xrdlake.functions import series as S
-from xrdlake.operators import curves as C, matching as M, rule_tables as R
+from xrdlake.operators import curves as C, library as Y, matching as M, rule_tables as R
 from xrdlake.plans.registry import query
 from xrdlake.plans.sqlbits import PEAKS, PTS, bragg_d, bragg_tt
 from xrdlake.plans.views import curves, table
@@ -101,15 +101,29 @@ def d4(spark, d):
     return m.select("curve_id", "reference_id", F.col("matched_lines").cast("long").alias("matched_lines"), *[half_up(F.col(k)).alias(k) for k in ("coverage", "weighted_coverage", "score")])
 
 
-@query("d6_library_classifier", f"""
+_LIBRARY = f"""
 WITH {PEAKS}, {LINES_SQL}, b AS (SELECT curve_id, reference_id, line_index, any_value(ri) AS ri, min(abs(two_theta - rt)) AS delta FROM pk JOIN rl ON abs(two_theta - rt) <= 0.25 GROUP BY ALL),
 t AS (SELECT reference_id, count(*) AS m, sum(ri) AS tw FROM rl GROUP BY 1),
 s AS (SELECT curve_id, reference_id, count(*) AS n, m, sum(ri * (1 - delta / 0.25)) / tw AS q FROM b JOIN t USING (reference_id) GROUP BY curve_id, reference_id, m, tw),
-z AS (SELECT *, n / CAST(m AS DOUBLE) AS cov, q * (0.55e0 + 0.45e0 * n / m) AS score FROM s)
-SELECT curve_id, reference_id, n AS matched_lines, round(cov, 6) AS coverage, round(score, 8) AS score, CASE WHEN score >= 0.72 AND cov >= 0.66 AND n >= 2 THEN 'alta' WHEN score >= 0.45 AND n >= 2 THEN 'media' ELSE 'baixa' END AS confidence FROM z""")
+z AS (SELECT *, n / CAST(m AS DOUBLE) AS cov, q * (0.55e0 + 0.45e0 * n / m) AS score FROM s),
+a AS (SELECT curve_id, reference_id, n AS matched_lines, round(cov, 6) AS coverage, round(score, 8) AS score, CASE WHEN score >= 0.72 AND cov >= 0.66 AND n >= 2 THEN 'alta' WHEN score >= 0.45 AND n >= 2 THEN 'media' ELSE 'baixa' END AS confidence,
+  row_number() OVER (PARTITION BY curve_id ORDER BY round(score, 9) DESC, reference_id) AS place FROM z)
+"""
+
+
+def classified(spark, d, best=None):
+    found = Y.classify(peaks(spark, d), reference_lines(spark, d), best=best)
+    return found.select("curve_id", "reference_id", "matched_lines", r(F.col("coverage")).alias("coverage"), r(F.col("score"), 8).alias("score"), "confidence")
+
+
+@query("d6_library_classifier", _LIBRARY + "SELECT * EXCLUDE place FROM a")
 def d6(spark, d):
-    c = M.classify_by_library(peaks(spark, d), reference_lines(spark, d))
-    return c.select("curve_id", "reference_id", "matched_lines", r(F.col("coverage")).alias("coverage"), r(F.col("score"), 8).alias("score"), "confidence")
+    return classified(spark, d)
+
+
+@query("d6_best_references", _LIBRARY + "SELECT * EXCLUDE place FROM a WHERE place <= 3")
+def d6b(spark, d):
+    return classified(spark, d, best=3)
 
 
 @query("d7_nearest_row", f"""

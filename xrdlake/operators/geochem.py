@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from xrdlake.functions import series as S
 from xrdlake.functions.geochem import MIN_OXIDES, OXIDES
 from xrdlake.functions.text import ascii_key, jaccard, tokens
 from xrdlake.functions.values import analogy_class, confidence_class, numeric_similarity
-from xrdlake.session import cut_lineage
+from xrdlake.session import written
 
 # Weights of the four dimensions under each profile.
 DIMENSIONS = ("geo", "mineral", "context", "use")
@@ -187,25 +190,105 @@ def edge_filter(relation=None, analogy=None, confidence=None) -> Column:
     return cond
 
 
+#: Edges that one task may finish alone, edges that a task links at a time, and rows of one key that one task joins.
+LAST_EDGES, FOREST_EDGES, HOT_ROWS = 1_000_000, 1_000_000, 100_000
+
+
+def linked(u: np.ndarray, v: np.ndarray):
+    """``(nodes, least)``: the least node that every node is connected with by these edges, itself left out."""
+    ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[:len(u)], at[len(u):]
+    label = np.arange(len(ids))
+    while True:
+        x, y = label[a], label[b]
+        if (x == y).all():
+            break
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label != label[label]).any():
+            label = label[label]
+    moved = label != np.arange(len(ids))
+    return ids[moved], ids[label[moved]]
+
+
+def forest(edges: DataFrame) -> DataFrame:
+    """Edges that connect the same nodes: per task, and per ``FOREST_EDGES``, a star around the least node of what is connected there."""
+    kind = to_arrow_schema(edges.schema)
+
+    def close(held):
+        u, v = (np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in held]) for i in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(x, kind.field(0).type) for x in linked(u, v)], names=["u", "v"])
+
+    def link(batches):
+        held, rows = [], 0
+        for b in batches:
+            held.append(b)
+            rows += b.num_rows
+            if rows >= FOREST_EDGES:
+                yield close(held)
+                held, rows = [], 0
+        if held:
+            yield close(held)
+
+    return edges.mapInArrow(link, edges.schema)
+
+
+def looked_up(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """``left`` with the row of ``right`` for its key (at most one), null where there is none.
+
+    Keys with more than ``HOT_ROWS`` left rows are split, and their row of ``right`` is repeated. The list of such keys has
+    at most a row per ``HOT_ROWS`` left rows, so it may be broadcast.
+    """
+    hot = left.groupBy(key).agg(F.ceil(F.count("*") / HOT_ROWS).cast("int").alias("_k")).where("_k > 1")
+    hot = written(hot, "hot-keys")
+    if hot.isEmpty():
+        return left.join(right, key, "left")
+    shares = F.coalesce("_k", F.lit(1))
+    a = left.join(F.broadcast(hot), key, "left").withColumn("_s", F.pmod(F.hash(*left.columns), shares)).drop("_k")
+    b = right.join(F.broadcast(hot), key, "left").withColumn("_s", F.explode(F.sequence(F.lit(0), shares - 1))).drop("_k")
+    return a.join(b, [key, "_s"], "left").drop("_s")
+
+
+def contracted(edges: DataFrame, turn: int) -> DataFrame:
+    """``id, name``: every node joins the neighbour (or itself) whose hash of this turn is least; a class is named after its least node.
+
+    The node with the greatest hash of a component is joined by none, so classes get fewer every turn, on average by a constant factor.
+    """
+    both = edges.select(F.col("u").alias("id"), F.col("v").alias("other")).unionByName(edges.select(F.col("v").alias("id"), F.col("u").alias("other")))
+    rank = lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("h"), F.col(c).alias("parent"))
+    parents = both.groupBy("id").agg(F.min(rank("other")).alias("p")).select("id", F.least("p", rank("id"))["parent"].alias("parent"))
+    parents = written(parents, "parents")
+    names = parents.groupBy("parent").agg(F.min("id").alias("name"))
+    return looked_up(parents, names, "parent").select("id", "name")
+
+
 def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """Connected components as the least node id, by label propagation with pointer jumping.
+    """Connected components as the least node id, by contraction.
 
-    Each round takes the least label among the neighbours (partially aggregated,
-    so a hub costs one row per map task) and then the label of that label. A
-    reliable checkpoint ends the round; the loop stops when no label changed.
+    Edges are first linked inside their tasks. While more than ``LAST_EDGES`` are left, nodes are merged with a neighbour and the graph is
+    written anew over the merged nodes, so that a giant component shrinks every round; one task links the rest. Names are then
+    followed back through the rounds. A null end or a loop is no edge; an edge may run over a node that ``nodes`` does not list, which then
+    connects without being returned.
     """
-    e = edges.select(F.col("source").alias("u"), F.col("target").alias("v"))
-    both = cut_lineage(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    labels = cut_lineage(nodes.select(F.col("node").alias("id"), F.col("node").alias("label")))
-    for _ in range(max_rounds):
-        near = both.join(labels, both.v == labels.id).groupBy("u").agg(F.min("label").alias("m"))
-        new = labels.join(near, labels.id == near.u, "left").select("id", F.col("label").alias("old"), F.least("label", F.coalesce("m", "label")).alias("l1"))
-        jump = new.select(F.col("id").alias("jid"), F.col("l1").alias("l2"))
-        new = cut_lineage(new.join(jump, new.l1 == jump.jid, "left").select("id", "old", F.least("l1", F.coalesce("l2", "l1")).alias("label")))
-        if new.where("label < old").limit(1).count() == 0:
-            return new.select(F.col("id").alias("node"), F.col("label").alias("component"))
-        labels = new.select("id", "label")
-    raise RuntimeError("components did not settle")
+    e = edges.select(F.col("source").alias("u"), F.col("target").alias("v")).where("u <> v")
+    e = written(forest(e), "edges")
+    levels = []
+    while (left := e.count()) > LAST_EDGES:
+        if len(levels) == max_rounds:
+            raise RuntimeError("components did not settle")
+        names = written(contracted(e, len(levels)), "names")
+        levels.append(names)
+        for end in ("u", "v"):
+            e = written(looked_up(e, names.withColumnRenamed("id", end), end).drop(end).withColumnRenamed("name", end), "edges")
+        e = written(forest(e.select("u", "v").where("u <> v").distinct()), "edges")
+    found = forest(e.coalesce(1)).toDF("name", "component") if left else None
+    if found is not None:
+        found = written(found, "components")
+    for names in reversed(levels):
+        up = names if found is None else looked_up(names, found, "name")
+        found = written(up.select(F.col("id").alias("name"), (F.col("name") if found is None else F.coalesce("component", "name")).alias("component")), "components")
+    if found is None:
+        return nodes.select("node", F.col("node").alias("component"))
+    return nodes.select("node").join(found.withColumnRenamed("name", "node"), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def cluster_summary(members: DataFrame) -> DataFrame:

@@ -80,8 +80,8 @@ def field_weights(profile: str) -> dict[str, float]:
             "era": wc * 0.25 * 0.45, "period": wc * 0.25 * 0.35, "epoch": wc * 0.25 * 0.20, "uses": wu * 0.65, "result_text": wu * 0.35}
 
 
-def candidate_pairs(prepared: DataFrame, threshold: float, profile: str = "composite") -> DataFrame:
-    """Pairs that can reach a total score of ``threshold``; none that can is left out.
+def candidate_pairs(prepared: DataFrame, threshold: float, profile: str = "composite", among: DataFrame | None = None) -> DataFrame:
+    """Pairs that can reach a total score of ``threshold``; none that can is left out. With ``among`` (``record_id``) only pairs with a member there.
 
     Even with full chemical agreement a pair must bring ``threshold`` minus the
     chemical weight from shared tokens. Tokens are ordered by how many records
@@ -113,8 +113,12 @@ def candidate_pairs(prepared: DataFrame, threshold: float, profile: str = "compo
             F.when(drop, acc["keep"]).otherwise(F.array_append(acc["keep"], t["k"])).alias("keep"))
     start = F.struct(F.lit(True).alias("open"), F.lit(0.0).alias("total"), F.expr("cast(array() as array<int>)").alias("fields"), F.expr("cast(array() as array<string>)").alias("keep"))
     ids = S.unnest(per, ("record_id",), F.aggregate("ts", start, step)["keep"], "k")
-    pairs = ids.join(ids.withColumnRenamed("record_id", "record_b"), "k").where("record_id < record_b")
-    return pairs.select(F.col("record_id").alias("source"), F.col("record_b").alias("target")).distinct()
+    if among is None:
+        pairs = ids.join(ids.withColumnRenamed("record_id", "record_b"), "k").where("record_id < record_b")
+        return pairs.select(F.col("record_id").alias("source"), F.col("record_b").alias("target")).distinct()
+    ids = written(ids, "kept-tokens")
+    pairs = ids.join(among.select("record_id"), "record_id", "left_semi").join(ids.withColumnRenamed("record_id", "record_b"), "k").where("record_id <> record_b")
+    return pairs.select(F.least("record_id", "record_b").alias("source"), F.greatest("record_id", "record_b").alias("target")).distinct()
 
 
 def with_records(pairs: DataFrame, prepared: DataFrame) -> DataFrame:
@@ -182,6 +186,51 @@ def nearest_edges(pairs: DataFrame, k: int = 3) -> DataFrame:
     return top.select(F.least("node", "other").alias("source"), F.greatest("node", "other").alias("target"), "score_total").distinct()
 
 
+#: How far the score falls from 1 to what chemistry alone can give, per round of the search for nearest partners.
+ROUNDS = (0.45, 0.27, 0.09, 0.02)
+#: Records of a block that is compared with all others.
+BLOCK = 10_000
+
+
+def nearest_partners(prepared: DataFrame, k: int = 3, profile: str = "composite", metric: str = "cosine") -> DataFrame:
+    """The ``k`` best partners of every record among all others, undirected, each edge once: ``source, target, score_total``.
+
+    The score that candidates must be able to reach falls from round to round. A record with ``k`` partners above it is done: whoever was
+    not looked at scores less. Later rounds form only pairs with a record that is still open, so the radius grows for the few records
+    with no close partner. What chemistry alone could reach has no bound by tokens; records that are open until then are compared with
+    all, in blocks of ``BLOCK``. Of equal scores the smaller id comes first; a record that is alone has no edge.
+    """
+    from xrdlake.operators.panels import rank_within
+
+    chemistry = WEIGHT_PROFILES[profile][0]
+    still, found = prepared.select("record_id"), []
+
+    def best(pairs: DataFrame, least: float) -> DataFrame:
+        scored = written(analogy(dimension_scores(with_records(pairs, prepared), metric), profile).where(F.col("score_total") >= least).select("source", "target", "score_total"), "scored")
+        sides = scored.select(F.col("source").alias("record_id"), F.col("target").alias("other"), "score_total").unionByName(
+            scored.select(F.col("target").alias("record_id"), F.col("source").alias("other"), "score_total"))
+        return written(rank_within(sides.join(still, "record_id", "left_semi"), ["record_id"], [F.desc("score_total"), F.col("other")], k), "best")
+
+    for share in ROUNDS:
+        least = chemistry + share * (1 - chemistry)
+        top = best(candidate_pairs(prepared, least, profile, still), least)
+        done = top.groupBy("record_id").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("record_id")
+        found.append(top.join(done, "record_id", "left_semi"))
+        still = written(still.join(done, "record_id", "left_anti"), "open")
+        if still.isEmpty():
+            break
+    else:
+        blocks = -(-still.count() // BLOCK)
+        a = still.select("record_id", F.pmod(F.xxhash64("record_id"), F.lit(blocks)).cast("int").alias("block"))
+        b = prepared.select(F.col("record_id").alias("other"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+        pairs = a.join(b, "block").where("record_id <> other")
+        found.append(best(pairs.select(F.least("record_id", "other").alias("source"), F.greatest("record_id", "other").alias("target")).distinct(), 0.0))
+    top = found[0]
+    for f in found[1:]:
+        top = top.unionByName(f)
+    return top.select(F.least("record_id", "other").alias("source"), F.greatest("record_id", "other").alias("target"), "score_total").distinct()
+
+
 def edge_filter(relation=None, analogy=None, confidence=None) -> Column:
     cond = F.lit(True)
     for name, value in (("relation_type", relation), ("analogy_class", analogy), ("confidence_class", confidence)):

@@ -83,8 +83,7 @@ eg AS (SELECT * FROM a2 WHERE score_total >= {THRESHOLD})
 def scored_pairs(spark, d):
     # read three times below, so it is written once
     p = written(X.prepare(records(spark, d)), "records")
-    keep = p.drop(*OXIDES, "minerals", "groups", "subjects", "uses", "environment", "rock", "formation", "result_text", "label", "n_oxides")
-    return X.analogy(X.dimension_scores(X.with_records(X.candidate_pairs(p, THRESHOLD), keep)))
+    return X.analogy(X.dimension_scores(X.with_records(X.candidate_pairs(p, THRESHOLD), slim(p))))
 
 
 def edges(spark, d):
@@ -115,6 +114,18 @@ def i5(spark, d):
     return X.nearest_edges(edges(spark, d), 2)
 
 
+def slim(prepared):
+    """What scores need of prepared records."""
+    return prepared.drop(*OXIDES, "minerals", "groups", "subjects", "uses", "environment", "rock", "formation", "result_text", "label", "n_oxides")
+
+
+@query("i5_nearest_partners", f"""
+WITH {REC}, bo AS (SELECT source AS node, target AS other, score_total FROM a2 UNION ALL SELECT target, source, score_total FROM a2), tk AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY score_total DESC, other) AS k FROM bo)
+SELECT DISTINCT least(node, other) AS source, greatest(node, other) AS target, score_total FROM tk WHERE k <= 3""")
+def i5b(spark, d):
+    return X.nearest_partners(slim(written(X.prepare(records(spark, d)), "records")), 3)
+
+
 def links(spark, d):
     """A sparse graph over customers: consecutive orders of a priority group point to their customers."""
     o = table(spark, d, "orders").select((c("o_custkey") * 2).alias("source"), (F.floor(c("o_orderkey") / 40) * 2 + 1).cast("long").alias("target"), "o_orderstatus", "o_totalprice")

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from xrdlake.operators import geochem as X
+from xrdlake.operators import geochem as X, hot as H
 
 
 def plain(nodes, edges):
@@ -46,7 +46,7 @@ def test_components(spark, monkeypatch, last, hot):
     plainly = X.contracted
     monkeypatch.setattr(X, "contracted", lambda e, turn: rounds.append(turn) or plainly(e, turn))
     monkeypatch.setattr(X, "LAST_EDGES", last)  # the small value asks for rounds, and for hot keys in them
-    monkeypatch.setattr(X, "HOT_ROWS", hot)
+    monkeypatch.setattr(H, "HOT_ROWS", hot)
     nodes, edges = graph()
     assert found(spark, nodes, edges) == plain(nodes, edges)
     assert len(rounds) == 0 if last > 40 else 1 <= len(rounds) <= 8
@@ -60,10 +60,10 @@ def test_rounds_to_the_end(spark, monkeypatch):
 
 
 def test_hot_keys_are_split(spark, monkeypatch):
-    monkeypatch.setattr(X, "HOT_ROWS", 100)
+    monkeypatch.setattr(H, "HOT_ROWS", 100)
     left = spark.createDataFrame([(1 if i % 3 else i, i) for i in range(1, 901)], "k long, v long")
     right = spark.createDataFrame([(1, "one"), (3, "three")], "k long, name string")
-    got = X.looked_up(left, right, "k")
+    got = H.looked_up(left, right, "k")
     assert {(r.k, r.v, r.name) for r in got.collect()} == {(k, v, {1: "one", 3: "three"}.get(k)) for k, v in ((1 if i % 3 else i, i) for i in range(1, 901))}
 
 

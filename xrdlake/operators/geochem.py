@@ -12,6 +12,7 @@ from xrdlake.functions import series as S
 from xrdlake.functions.geochem import MIN_OXIDES, OXIDES
 from xrdlake.functions.text import ascii_key, jaccard, tokens
 from xrdlake.functions.values import analogy_class, confidence_class, numeric_similarity
+from xrdlake.operators.hot import looked_up
 from xrdlake.session import written
 
 # Weights of the four dimensions under each profile.
@@ -239,8 +240,8 @@ def edge_filter(relation=None, analogy=None, confidence=None) -> Column:
     return cond
 
 
-#: Edges that one task may finish alone, edges that a task links at a time, and rows of one key that one task joins.
-LAST_EDGES, FOREST_EDGES, HOT_ROWS = 1_000_000, 1_000_000, 100_000
+#: Edges that one task may finish alone, and edges that a task links at a time.
+LAST_EDGES, FOREST_EDGES = 1_000_000, 1_000_000
 
 
 def linked(u: np.ndarray, v: np.ndarray):
@@ -281,22 +282,6 @@ def forest(edges: DataFrame) -> DataFrame:
     return edges.mapInArrow(link, edges.schema)
 
 
-def looked_up(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """``left`` with the row of ``right`` for its key (at most one), null where there is none.
-
-    Keys with more than ``HOT_ROWS`` left rows are split, and their row of ``right`` is repeated. The list of such keys has
-    at most a row per ``HOT_ROWS`` left rows, so it may be broadcast.
-    """
-    hot = left.groupBy(key).agg(F.ceil(F.count("*") / HOT_ROWS).cast("int").alias("_k")).where("_k > 1")
-    hot = written(hot, "hot-keys")
-    if hot.isEmpty():
-        return left.join(right, key, "left")
-    shares = F.coalesce("_k", F.lit(1))
-    a = left.join(F.broadcast(hot), key, "left").withColumn("_s", F.pmod(F.hash(*left.columns), shares)).drop("_k")
-    b = right.join(F.broadcast(hot), key, "left").withColumn("_s", F.explode(F.sequence(F.lit(0), shares - 1))).drop("_k")
-    return a.join(b, [key, "_s"], "left").drop("_s")
-
-
 def contracted(edges: DataFrame, turn: int) -> DataFrame:
     """``id, name``: every node joins the neighbour (or itself) whose hash of this turn is least; a class is named after its least node.
 

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from xrdlake.functions.minerals import mineral_class
 from xrdlake.functions.text import lookup_key
 from xrdlake.functions.values import stable_hash
+from xrdlake.operators.quantiles import percentiles
+from xrdlake.session import written
 
 NOT_INFORMED = "Não informado"
 TRIO = ("natural", "glicolado", "calcinado")
@@ -139,7 +141,8 @@ def empirical_windows(validated: DataFrame, min_samples: int = 5, strategy: str
     The strategy is the one asked for, whatever the number of samples; few samples show in ``confidence``.
     ``ignored`` counts the rows of a key that were not accepted or have no spacing. Spacings are first counted per value:
     measured spacings repeat, and exact percentiles then work on weighted values. The provenance hash covers every
-    accepted (source, spacing) row through a sum of row digests, so that it needs no gathered list.
+    accepted (source, spacing) row through a sum of row digests, so that it needs no gathered list. Percentiles of keys with many
+    different spacings are found by histograms (``quantiles``).
     """
     keys = ["mineral_id", "peak_id", "preparation"]
     good = F.coalesce((F.col("validation_status") == "accepted") & F.col("d_spacing").isNotNull(), F.lit(False))
@@ -147,9 +150,9 @@ def empirical_windows(validated: DataFrame, min_samples: int = 5, strategy: str
     ok = validated.where(good)
     digest = F.conv(F.substring(F.md5(F.concat_ws("|", F.col("source_record_id").cast("string"), F.format_string("%.4f", "d_spacing")).cast("binary")), 1, 12), 16, 10).cast("decimal(38,0)")
     rows = ok.groupBy(*keys).agg(F.sum(digest).cast("string").alias("rows_digest"), F.avg("d_spacing").alias("mean"), F.stddev_pop("d_spacing").alias("std"))
-    pct = lambda q: F.expr(f"percentile(d_spacing, {q}, w)")
-    g = ok.groupBy(*keys, "d_spacing").agg(F.count("*").alias("w")).groupBy(*keys).agg(
-        F.sum("w").alias("n"), F.min("d_spacing").alias("min"), F.max("d_spacing").alias("max"), pct(0.05).alias("p05"), pct(0.95).alias("p95"))
+    counted = written(ok.groupBy(*keys, "d_spacing").agg(F.count("*").alias("w")), "spacings")
+    g = counted.groupBy(*keys).agg(F.sum("w").alias("n"), F.min("d_spacing").alias("min"), F.max("d_spacing").alias("max"))
+    g = g.join(percentiles(counted, keys, "d_spacing", "w", {"p05": 0.05, "p95": 0.95}), keys)
     low, high = WINDOW_STRATEGIES[strategy]
     g = g.join(rows, keys).join(ignored, keys).withColumn("strategy", F.lit(strategy)).withColumn("d_min", F.col(low)).withColumn("d_max", F.col(high))
     g = g.withColumn("confidence", F.when(F.col("n") < min_samples, "low").otherwise("reference_empirical"))

@@ -66,19 +66,29 @@ def path_or_unique_name(items: DataFrame, results: DataFrame, payload: str) -> D
 
 
 def contains_join(items: DataFrame, text: str, patterns: DataFrame, pattern: str, gram: int = 3, least: int = 1) -> DataFrame:
-    """Items whose text contains a pattern, as an equi join on leading characters.
+    """Items whose text contains a pattern, as an equi join on the rarest piece of the pattern.
 
-    Each pattern is keyed by its first ``gram`` characters (all of them when it
-    is shorter), each text by all its pieces of those lengths; survivors are
-    verified, so the result is that of the plain ``contains`` join. Where no pattern has fewer
-    than ``least`` characters, shorter pieces need not be made.
+    Pieces have ``gram`` characters (a shorter pattern is its own piece). It is counted how many items hold each piece of a
+    pattern; the one that fewest hold is the key of the pattern, and a pattern with a piece that none holds is left out at once. So
+    beginnings that many patterns or texts share are no hot keys. Survivors are verified: the result is that of the plain ``contains``
+    join. Where no pattern has fewer than ``least`` characters, shorter pieces need not be made.
     """
     t = F.col(text)
     grams = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(least), F.lit(gram)), lambda n: F.filter(
         F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.substring(t, i, n)), lambda g: F.length(g) == n))))
-    a = items.withColumn("_g", F.explode(F.when(F.length(t) > 0, grams)))
-    b = patterns.where(F.length(pattern) > 0).withColumn("_g", F.substring(F.col(pattern), 1, gram))
-    return a.join(b, "_g").where(F.col(text).contains(F.col(pattern))).drop("_g")
+    exploded = F.explode(F.when(F.length(t) > 0, grams))
+    keys = rarest_pieces(items.select(exploded.alias("_g")), patterns, pattern, gram)
+    return items.withColumn("_g", exploded).join(patterns.join(keys, pattern), "_g").where(F.col(text).contains(F.col(pattern))).drop("_g")
+
+
+def rarest_pieces(pieces: DataFrame, patterns: DataFrame, pattern: str, gram: int) -> DataFrame:
+    """``pattern, _g``: of each pattern's pieces the one that ``pieces`` (``_g``) holds least often; patterns with a piece that is not there have none."""
+    p = F.col(pattern)
+    own = F.when(F.length(p) <= gram, F.array(p)).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(p) - gram + 1), lambda i: F.substring(p, i, gram))))
+    held = patterns.where(F.length(p) > 0).select(p).distinct().withColumn("_g", F.explode(own))
+    counts = pieces.join(held.select("_g").distinct(), "_g", "left_semi").groupBy("_g").agg(F.count("*").alias("_n"))
+    rarest = held.join(counts, "_g", "left").groupBy(pattern).agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_g")).alias("_k"))
+    return rarest.where("_k.n > 0").select(pattern, "_k._g")
 
 
 # Terms shorter than this must be equal to match.

@@ -9,6 +9,7 @@ from xrdlake.plans.match import r, values_sql
 from xrdlake.plans.registry import query
 from xrdlake.plans.source import write_curves
 from xrdlake.plans.sqlbits import PEAKS
+from xrdlake.plans.views import table
 from xrdlake.session import new_path
 from xrdlake.streaming import jobs as L
 
@@ -46,6 +47,24 @@ def l2(spark, d):
     return spark.read.parquet(out).select("user_id", "event_type", "props")
 
 
+@query("l2_keyed_dedup", """
+WITH s AS (SELECT user_id, event_type, ts, lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts) AS before FROM events)
+SELECT user_id, event_type, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS first_seen FROM s WHERE before IS NULL OR ts - before > INTERVAL 36 HOURS""")
+def l2b(spark, d):
+    """Events arrive in five deliveries, in order of time; a user's event counts again after a day and a half without one of its type."""
+    path, out = new_path(spark, "deliveries"), new_path(spark, "fresh")
+    e = table(spark, d, "events").withColumn("ts", c("ts").cast("timestamp")).select("user_id", "event_type", "ts")
+    lo, hi = e.agg(F.min(F.unix_seconds("ts")), F.max(F.unix_seconds("ts"))).first()
+    chk = new_path(spark, "chk")
+    for i in range(5 if lo is not None else 1):
+        part = e if lo is None else e.where(F.least(F.floor((F.unix_seconds("ts") - lo) * 5 / max(hi - lo, 1)), F.lit(4)) == i)
+        part.write.mode("append").parquet(path)
+        s = spark.readStream.schema(e.schema).parquet(path)
+        L.run_to_table(L.first_after_quiet(s, "ts", ["user_id", "event_type"], "36 hours", "1 hour"), out, chk).awaitTermination()
+    fresh = spark.read.parquet(out)
+    return fresh.select("user_id", "event_type", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("first_seen"))
+
+
 @query("l3_rolling_metrics", """
 SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS rows, count(*) FILTER (value >= 50) AS strong, round(sum(value), 4) AS total FROM events GROUP BY ALL""")
 def l3(spark, d):

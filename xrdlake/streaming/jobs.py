@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from xrdlake.sources.files import parse_text_curves
 
@@ -33,6 +37,34 @@ def import_dedup(stream: DataFrame, time: str, keys: list[str], delay: str) -> D
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
 
 
+def first_after_quiet(stream: DataFrame, time: str, keys: list[str], quiet: str, delay: str) -> DataFrame:
+    """Rows (keys and ``time``) whose key was not seen for more than ``quiet`` before; others are repeats and go.
+
+    The state of a key is the last time it was seen. It ends when the watermark has passed that time by ``quiet``: whatever may
+    still come is new then, so dropping it changes nothing. Of rows that come out of order, one that is older than the last sight of its key is a
+    repeat; rows that are later than ``delay`` are left out. A null time is left out, null keys are equal. A batch holds eight bytes per row of
+    a key; limit its size by the source's options. For many keys set RocksDB as the state store of the session.
+    """
+    gap = int(pd.Timedelta(quiet) // pd.Timedelta("1us"))
+    rows = stream.where(F.col(time).isNotNull()).withWatermark(time, delay).select(*keys, time, F.unix_micros(F.col(time).cast("timestamp")).alias("_seen"))
+    out = T.StructType([*(rows.schema[k] for k in keys), T.StructField("_seen", T.LongType())])
+
+    def look(key, frames, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        seen = np.sort(np.concatenate([f["_seen"].to_numpy(np.int64) for f in frames]))
+        before = state.get[0] if state.exists else seen[0] - gap - 1
+        last = np.maximum.accumulate(np.concatenate([[before], seen]))
+        fresh = seen[seen - last[:-1] > gap]
+        state.update((int(last[-1]),))
+        state.setTimeoutTimestamp(max(int(last[-1] + gap) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({**{k: [v] * len(fresh) for k, v in zip(keys, key, strict=True)}, "_seen": fresh})
+
+    kept = rows.groupBy(*keys).applyInPandasWithState(look, out, T.StructType([T.StructField("last", T.LongType())]), "append", GroupStateTimeout.EventTimeTimeout)
+    return kept.select(*keys, F.timestamp_micros("_seen").alias(time))
+
+
 def rolling_metrics(stream: DataFrame, time: str, by: str, width: str, delay: str, slide: str | None = None) -> DataFrame:
     """Counts per time window and treatment."""
     w = F.window(time, width, slide) if slide else F.window(time, width)

@@ -28,9 +28,10 @@ def curve_texts(spark, d):
 
 
 def write_curves(spark, d):
+    """The curves as text files in containers, named by their id."""
     path = new_path(spark, "curves")
-    # one file per curve: spread the curves over the tasks first
-    curve_texts(spark, d).repartition(spark.sparkContext.defaultParallelism, "curve_id").write.partitionBy("curve_id").text(path)
+    texts = curve_texts(spark, d)
+    Z.pack_files(texts.select(F.concat(F.lit("curve_id="), c("curve_id").cast("string")).alias("path"), F.concat("value", F.lit("\n")).alias("content")), path)
     return path
 
 
@@ -44,7 +45,7 @@ _CUT = PTS + ", cu AS (SELECT * FROM pts WHERE curve_id % 50 <> 7 OR idx < 6)"
 @query("a1_text_curves", f"""
 WITH {_CUT} SELECT curve_id, count(*) AS points, CAST(1 AS INTEGER) AS skipped_rows, round(min(tt), 1) AS two_theta_start, round(max(tt), 1) AS two_theta_end, 0.4e0 AS step, round(sum(round(y, 3)), 3) AS total, CASE WHEN count(*) < 10 THEN 'erro' ELSE 'importado' END AS status FROM cu GROUP BY 1""")
 def a1(spark, d):
-    p = A.read_text_curves(spark, write_curves(spark, d))
+    p = A.read_packed_curves(spark, write_curves(spark, d))
     return p.select(_id_of().alias("curve_id"), c("points").cast("long").alias("points"), "skipped_rows", "two_theta_start", "two_theta_end", r(c("step"), 4).alias("step"),
                     F.round(F.aggregate("intensity", F.lit(0.0), lambda a, v: a + v), 3).alias("total"), "status")
 
@@ -53,7 +54,7 @@ def a1(spark, d):
 WITH {_CUT}, t AS (SELECT curve_id, {LINES} || chr(10) AS txt FROM cu GROUP BY curve_id)
 SELECT curve_id, CAST(length(txt) AS BIGINT) AS length, sha256(txt) AS sha256, 'snapshot:' || left(sha256('curve_id=' || curve_id), 20) AS file_id FROM t""")
 def a2(spark, d):
-    f = A.file_inventory(spark, write_curves(spark, d))
+    f = A.inventory(A.packed_files(spark, write_curves(spark, d)))
     return f.select(_id_of().alias("curve_id"), "length", "sha256", A.snapshot_id(F.regexp_extract("path", r"(curve_id=\d+)", 1)).alias("file_id"))
 
 

@@ -35,7 +35,7 @@ def l1(spark, d):
         p = C.light_peaks(C.find_peaks(C.process(ok))).withColumn("preparation", F.lit(None).cast("string"))
         return M.diagnostic_matches(p).select("curve_id", "peak_index", "rule_id", r(c("d"), 5).alias("d"))
     out = new_path(spark, "triage")
-    L.triage(L.curve_stream(spark, write_curves(spark, d)), out, new_path(spark, "chk"), interpret).awaitTermination()
+    L.triage(L.packed_curve_stream(spark, write_curves(spark, d)), out, new_path(spark, "chk"), interpret).awaitTermination()
     return spark.read.parquet(out).select("curve_id", "peak_index", "rule_id", "d")
 
 

@@ -51,6 +51,27 @@ def read_text_curves(spark: SparkSession, path: str, glob: str | None = None) ->
     return parse_text_curves(r.text(path, wholetext=True, recursiveFileLookup=True).withColumn("path", F.col("_metadata.file_path")))
 
 
+#: Columns of a container of small files (``sinks.pack_files``).
+CONTAINER = T.StructType([T.StructField("path", T.StringType()), T.StructField("length", T.LongType()), T.StructField("content", T.BinaryType())])
+
+
+def raw_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """``path, length, content`` of single files below ``path``, to be packed."""
+    r = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    r = r.option("pathGlobFilter", glob) if glob else r
+    return r.load(path).select(*CONTAINER.fieldNames())
+
+
+def packed_files(spark: SparkSession, path: str) -> DataFrame:
+    """``path, length, content`` of all files in containers; a filter on ``path`` is pushed to their footers."""
+    return spark.read.schema(CONTAINER).parquet(path)
+
+
+def read_packed_curves(spark: SparkSession, path: str) -> DataFrame:
+    """As ``read_text_curves``, from containers."""
+    return parse_text_curves(packed_files(spark, path).select("path", F.col("content").cast("string").alias("value")))
+
+
 def snapshot_id(path: Column) -> Column:
     """Stable id of a path."""
     return F.concat(F.lit(SNAPSHOT_PREFIX), F.substring(F.sha2(path, 256), 1, 20))
@@ -58,9 +79,12 @@ def snapshot_id(path: Column) -> Column:
 
 def file_inventory(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """Path, size, hash, stable id, treatment and sample base of every file."""
-    r = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    r = r.option("pathGlobFilter", glob) if glob else r
-    f = r.load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    return inventory(raw_files(spark, path, glob))
+
+
+def inventory(files: DataFrame) -> DataFrame:
+    """The inventory of ``path, length, content`` rows, single files or packed ones."""
+    f = files.select("path", "length", F.sha2("content", 256).alias("sha256"))
     return f.withColumn("file_id", snapshot_id(F.col("path"))).withColumn("treatment", infer_treatment("path")["treatment"]).withColumn("sample_base", sample_base("path"))
 
 

@@ -1,4 +1,4 @@
-"""Writers: JSON lines, CSV, folders per mineral, versioned runs."""
+"""Writers: JSON lines, CSV, folders per mineral, versioned runs, containers of small files."""
 
 from __future__ import annotations
 
@@ -8,6 +8,20 @@ from pyspark.sql import functions as F
 from xrdlake.functions.values import payload_hash
 
 INCONCLUSIVE = "Inconclusivos"
+#: Bytes of small files that a container holds, on average.
+CONTAINER_BYTES = 128 << 20
+
+
+def pack_files(files: DataFrame, path: str, container_bytes: int = CONTAINER_BYTES, mode: str = "errorifexists") -> None:
+    """Many small files (``path, content``, binary or text) as few Parquet files: rows ``path, length, content``, as many containers as the bytes ask for.
+
+    Rows are sorted by path inside a container, so that its footer leads a reader that asks for some paths to their rows. Repeated paths are kept; a
+    null content is an empty file. Other columns go.
+    """
+    f = files.select(F.col("path").cast("string").alias("path"), F.coalesce(F.col("content").cast("binary"), F.lit(b"")).alias("content"))
+    f = f.select("path", F.octet_length("content").cast("long").alias("length"), "content")
+    total = f.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    f.repartition(max(1, -(-total // container_bytes)), F.xxhash64("path", "length")).sortWithinPartitions("path").write.mode(mode).parquet(path)
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from xrdlake.sources.files import parse_text_curves
+from xrdlake.sources.files import CONTAINER, parse_text_curves
 
 
 def curve_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
@@ -22,6 +22,13 @@ def curve_stream(spark: SparkSession, path: str, files_per_batch: int | None = N
     return parse_text_curves(r.text(path, wholetext=True, recursiveFileLookup=True).withColumn("path", F.col("_metadata.file_path")))
 
 
+def packed_curve_stream(spark: SparkSession, path: str, containers_per_batch: int | None = None) -> DataFrame:
+    """As ``curve_stream``, from new containers (``sinks.pack_files`` with mode ``append``): a batch lists containers, not curves."""
+    r = spark.readStream.schema(CONTAINER)
+    r = r.option("maxFilesPerTrigger", containers_per_batch) if containers_per_batch else r
+    return parse_text_curves(r.parquet(path).select("path", F.col("content").cast("string").alias("value")))
+
+
 def triage(stream: DataFrame, out: str, checkpoint: str, interpret: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
     """Interpret each batch of curves and write it under its batch number.
 

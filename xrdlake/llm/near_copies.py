@@ -28,6 +28,7 @@ SKETCH = 512
 #: Shingles that are known to be common, at most; a shorter list makes candidates more, not results fewer.
 MOST_COMMON = 1 << 19
 COMMON = 8
+SEEN = 1 << 17
 
 
 class Order:
@@ -80,14 +81,20 @@ def sketch(h: np.ndarray, size: int = SKETCH) -> bytes:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """``doc_id, row_key, fp, node, n, keys, bits, fine`` of every row; ``node`` is the hash of its shingle set, ``fine`` a sketch as large as the set."""
+    """``doc_id, row_key, fp, node, n, keys, bits, fine`` of every row; ``node`` is the hash of its shingle set, ``fine`` a sketch as large as the set.
+
+    ``keys`` are given with the first row of a set that a task reads; equal rows after it have none (the last ``SEEN`` sets are remembered).
+    """
     order = docs.sparkSession.sparkContext.broadcast(common(docs))
     rows = pick(docs, doc_id="long", text="string").select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("row_key"), "text")
 
     def look(batches):
+        seen = set()
         for b in batches:
             for a in range(0, b.num_rows, 1000):
                 part = b.slice(a, 1000)
+                if len(seen) > SEEN:
+                    seen.clear()
                 fps, nodes, sizes, keys, bits, fine = [], [], [], [], [], []
                 for t in part.column(2).to_pylist():
                     all_ = simhash.shingles(t, WORDS)
@@ -95,7 +102,8 @@ def sketches(docs: DataFrame) -> DataFrame:
                     fps.append(simhash.fingerprint_of(all_))
                     nodes.append(xxhash.xxh64_intdigest(own.tobytes(), 42))
                     sizes.append(len(own))
-                    keys.append(order.value.prefix(own).view(np.int64))
+                    keys.append(own[:0].view(np.int64) if nodes[-1] in seen else order.value.prefix(own).view(np.int64))
+                    seen.add(nodes[-1])
                     bits.append(sketch(own))
                     fine.append(sketch(own, max(SKETCH, 1 << len(own).bit_length())))
                 yield pa.RecordBatch.from_arrays(
@@ -236,7 +244,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """
     prints = written(sketches(docs), "sketches")
     nodes = written(prints.groupBy("node").agg(*(F.min(c).alias(c) for c in ("row_key", "fp", "n", "bits", "fine"))), "sets-seen")
-    keyed = prints.dropDuplicates(["node"]).select("node", F.posexplode("keys").alias("place", "key"))
+    # one shuffle by key serves what follows: equal sets of different tasks meet at their keys, and the copies of a key are counted
+    keyed = prints.select("node", F.posexplode("keys").alias("place", "key")).repartition("key").groupBy("key", "node").agg(F.min("place").alias("place"))
     keyed = keyed.withColumn("copies", F.count("*").over(Window.partitionBy("key")))
     met = written(keyed.where("copies > 1"), "keys-met")
     links = written(alike(written(proposed(nodes, met), "proposed"), docs, nodes), "links")

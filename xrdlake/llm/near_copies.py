@@ -197,9 +197,9 @@ def across(met: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
     Of a group's keys one is taken, another each ``turn``; so pairs are no more than groups.
     """
     named = met.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    sides = named.groupBy("key", "root").agg(F.count("*").alias("n"), F.min("node").alias("node"))
-    hubs = sides.groupBy("key").agg(F.max(F.struct("n", "root", "node")).alias("hub"), F.count("*").alias("sides")).where("sides > 1")
-    met_hubs = sides.join(hubs, "key").where("root <> hub.root").select("root", F.struct(F.xxhash64("key", F.lit(turn)), F.col("hub.node").alias("u"), F.col("node").alias("v")).alias("pair"))
+    sides = named.repartition("key").groupBy("key", "root").agg(F.count("*").alias("n"), F.min("node").alias("node"))
+    met_hubs = sides.withColumn("hub", F.max(F.struct("n", "root", "node")).over(Window.partitionBy("key"))).where("root <> hub.root").select(
+        "root", F.struct(F.xxhash64("key", F.lit(turn)), F.col("hub.node").alias("u"), F.col("node").alias("v")).alias("pair"))
     pairs = met_hubs.groupBy("root").agg(F.min("pair").alias("pair"))
     return pairs.select(F.least("pair.u", "pair.v").alias("u"), F.greatest("pair.u", "pair.v").alias("v")).distinct()
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -117,3 +120,23 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 def steps(a: np.ndarray) -> np.ndarray:
     """Differences of neighbours, which compress better; ``np.cumsum`` undoes them."""
     return np.diff(a, prepend=a.dtype.type(0))
+
+
+def give_back() -> None:
+    """Return memory that this worker has freed to the system: workers serve many stages and would keep what the largest one used."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
+def lean(step):
+    """A step of ``mapInArrow`` that starts and ends with no freed memory held."""
+
+    @functools.wraps(step)
+    def run(batches):
+        give_back()
+        yield from step(batches)
+        give_back()
+
+    return run

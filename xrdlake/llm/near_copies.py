@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from xrdlake.llm import simhash
-from xrdlake.llm.common import ids_back, ids_of, maybe_among, pick
+from xrdlake.llm.common import ids_back, ids_of, lean, maybe_among, pick
 from xrdlake.session import written
 
 WORDS = 5
@@ -63,7 +63,7 @@ def common(docs: DataFrame) -> Order:
                 met = counts > 1
                 yield pa.RecordBatch.from_arrays([pa.array(hashes[met].view(np.int64)), pa.array(counts[met], pa.int64())], names=["hash", "n"])
 
-    counts = rows.mapInArrow(count, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON)
+    counts = rows.mapInArrow(lean(count), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON)
     counts = written(counts.select("hash", F.floor(F.log2("n")).cast("int").alias("class")), "common")
     least, held = 0, 0
     for kind, n in sorted(counts.groupBy("class").count().collect(), reverse=True):
@@ -111,7 +111,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                      pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary()), pa.array(fine, pa.binary())],
                     names=["doc_id", "row_key", "fp", "node", "n", "keys", "bits", "fine"])
 
-    return rows.mapInArrow(look, "doc_id long, row_key long, fp long, node long, n long, keys array<long>, bits binary, fine binary")
+    return rows.mapInArrow(lean(look), "doc_id long, row_key long, fp long, node long, n long, keys array<long>, bits binary, fine binary")
 
 
 def possible(n: np.ndarray, root: np.ndarray, bits: np.ndarray):
@@ -148,7 +148,7 @@ def fitting(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
                 fits.append(9 * int(np.bitwise_count(x ^ y).sum(dtype=np.int64)) <= n)
             yield b.select(["u", "v"]).filter(pa.array(fits, pa.bool_()))
 
-    return near.mapInArrow(compare, "u long, v long")
+    return near.mapInArrow(lean(compare), "u long, v long")
 
 
 def alike(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -167,7 +167,7 @@ def alike(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
                 sets = [np.unique(simhash.shingles(t, WORDS)).view(np.int64) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "hashes"])
 
-    sets = written(met.mapInArrow(read, "node long, hashes array<long>"), "sets")
+    sets = written(met.mapInArrow(lean(read), "node long, hashes array<long>"), "sets")
     a, b = (sets.select(F.col("node").alias(x), F.col("hashes").alias(f"set_{x}")) for x in "uv")
     # similar at 0.8: common >= 4/9 of both sizes; compared where the rows are, so that no batch of pairs of sets is sent to a worker
     return pairs.join(b, "v").join(a, "u").where("9 * size(array_intersect(set_u, set_v)) >= 4 * (size(set_u) + size(set_v))").select("u", "v")
@@ -227,7 +227,7 @@ def remaining(met: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
             yield from close()
 
     dealt = rows.select("key", "node", "n", "root", "bits").repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(walk, "u long, v long").distinct()
+    return dealt.mapInArrow(lean(walk), "u long, v long").distinct()
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

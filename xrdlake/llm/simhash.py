@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from xrdlake.llm.common import by_place, ids_back, ids_of, maybe_among, mix, pick, place_of, renamed, text_key
+from xrdlake.llm.common import by_place, ids_back, ids_of, lean, maybe_among, mix, pick, place_of, renamed, text_key
 from xrdlake.session import cut_lineage, written
 
 MOST_BITS = 3
@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 fps = np.array([fingerprint(t) for t in part.column(2).to_pylist()], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([ids_back(ids_of(part.column(0))), part.column(1), pa.array(fps)], names=["doc_id", "row_key", "fp"])
 
-    return rows.mapInArrow(look, "doc_id long, row_key long, fp long")
+    return rows.mapInArrow(lean(look), "doc_id long, row_key long, fp long")
 
 
 def forest(fps: np.ndarray) -> list[tuple[int, int]]:
@@ -134,7 +134,7 @@ def links(distinct: DataFrame) -> DataFrame:
         u, v = np.array(rows, np.uint64).T
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(u).view(np.int64)), pa.array(np.ascontiguousarray(v).view(np.int64))], names=["u", "v"])
 
-    met = dealt.repartition("key").sortWithinPartitions("key").select("key", "fp").mapInArrow(walk, "u long, v long")
+    met = dealt.repartition("key").sortWithinPartitions("key").select("key", "fp").mapInArrow(lean(walk), "u long, v long")
     return met.distinct()
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from xrdlake.functions.text import three_digits
 from xrdlake.operators import ngc as N, rule_tables as R
 from xrdlake.plans.match import NAMED_VALUES, found, peaks, r, reference_lines, LINES_SQL
 from xrdlake.plans.registry import query
@@ -18,19 +19,24 @@ c = F.col
 LINES = "string_agg(CASE WHEN idx = 0 THEN '# curve ' || curve_id || chr(10) ELSE '' END || printf('%.1f', tt) || CASE WHEN curve_id % 2 = 0 THEN ';' ELSE chr(9) END || printf('%.3f', y), chr(10) ORDER BY idx)"
 
 
-def curve_texts(spark, d):
+def rounded_text(value):
+    """Three digits, halves of the decimal text up: what a reader sums is then the sum of the rounded numbers."""
+    return F.format_string("%.3f", value)
+
+
+def curve_texts(spark, d, number=rounded_text):
     """Text of every curve: a comment line, then points; every 50th curve is cut short."""
     cu = curves(spark, d)
     sep = F.when(c("curve_id") % 2 == 0, ";").otherwise("\t")
-    rows = F.transform(F.arrays_zip("two_theta", "intensity"), lambda p: F.concat(F.format_string("%.1f", p["two_theta"]), c("sep"), F.format_string("%.3f", p["intensity"])))
+    rows = F.transform(F.arrays_zip("two_theta", "intensity"), lambda p: F.concat(F.format_string("%.1f", p["two_theta"]), c("sep"), number(p["intensity"])))
     cu = cu.withColumn("sep", sep).withColumn("rows", F.when(c("curve_id") % 50 == 7, F.slice(rows, 1, 6)).otherwise(rows))
     return cu.select("curve_id", F.concat(F.concat(F.lit("# curve "), c("curve_id").cast("string"), F.lit("\n")), F.array_join("rows", "\n")).alias("value"))
 
 
-def write_curves(spark, d):
+def write_curves(spark, d, number=rounded_text):
     """The curves as text files in containers, named by their id."""
     path = new_path(spark, "curves")
-    texts = curve_texts(spark, d)
+    texts = curve_texts(spark, d, number)
     Z.pack_files(texts.select(F.concat(F.lit("curve_id="), c("curve_id").cast("string")).alias("path"), F.concat("value", F.lit("\n")).alias("content")), path)
     return path
 
@@ -54,7 +60,7 @@ def a1(spark, d):
 WITH {_CUT}, t AS (SELECT curve_id, {LINES} || chr(10) AS txt FROM cu GROUP BY curve_id)
 SELECT curve_id, CAST(length(txt) AS BIGINT) AS length, sha256(txt) AS sha256, 'snapshot:' || left(sha256('curve_id=' || curve_id), 20) AS file_id FROM t""")
 def a2(spark, d):
-    f = A.inventory(A.packed_files(spark, write_curves(spark, d)))
+    f = A.inventory(A.packed_files(spark, write_curves(spark, d, three_digits)))
     return f.select(_id_of().alias("curve_id"), "length", "sha256", A.snapshot_id(F.regexp_extract("path", r"(curve_id=\d+)", 1)).alias("file_id"))
 
 
@@ -232,7 +238,7 @@ def a17(spark, d):
 @query("a18_import_log", f"""
 WITH {_CUT}, t AS (SELECT curve_id, {LINES} AS txt, count(*) AS n FROM cu GROUP BY curve_id) SELECT curve_id, CASE WHEN n < 10 THEN 'erro' ELSE 'importado' END AS status, CASE WHEN n < 10 THEN 'too_few_points' END AS error, CASE WHEN n >= 10 THEN n END AS points, sha256(txt) AS sha256 FROM t""")
 def a18(spark, d):
-    t = curve_texts(spark, d).withColumn("path", c("curve_id").cast("string"))
+    t = curve_texts(spark, d, three_digits).withColumn("path", c("curve_id").cast("string"))
     g = A.import_log(A.parse_text_curves(t))
     return g.select(c("path").cast("long").alias("curve_id"), "status", "error", c("points").cast("long").alias("points"), "sha256")
 

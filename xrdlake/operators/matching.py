@@ -14,6 +14,7 @@ from xrdlake.functions.geometry import bragg_two_theta, cubic_d, tetragonal_d
 from xrdlake.functions.text import formula_compatible, mineral_name_key
 from xrdlake.functions.values import curation_status
 from xrdlake.operators import rule_tables as R
+from xrdlake.operators.hot import looked_up
 from xrdlake.session import written
 
 
@@ -173,14 +174,17 @@ def hkl_lines(cells: DataFrame, max_index: int = 6, wavelength: float = 1.5406)
 def index_peaks(peaks: DataFrame, cells: DataFrame, tolerance: float = 0.2, max_index: int = 6) -> DataFrame:
     """The nearest reflection within ``tolerance`` degrees of each peak, and how many there are.
 
-    Minima are taken before the shuffle, so the output grows with the peaks and not with the cells; of equally near
-    reflections the first by cell and indices stands.
+    Cells of equal parameters have equal reflections and peaks of one position have one answer, so cells count once per lattice, lines once per position, and
+    positions of peaks are joined once; the answers then go to the peaks. Of equally near reflections the first by cell and indices stands.
     """
-    lines = hkl_lines(cells, max_index).select("cell_id", "h", "k", "l", "line_two_theta")
-    j = near_join(peaks.select("curve_id", "peak_index", "two_theta"), lines, "two_theta", "line_two_theta", tolerance)
+    peaks = written(peaks.select("curve_id", "peak_index", "two_theta"), "indexed-peaks")
+    lattices = cells.groupBy("crystal_system", "a", "c").agg(F.count("*").alias("cells"), F.min("cell_id").alias("cell_id"))
+    lines = hkl_lines(lattices, max_index).groupBy("line_two_theta").agg(F.sum("cells").alias("lines"), F.min(F.struct("cell_id", "h", "k", "l")).alias("first"))
+    j = near_join(peaks.select("two_theta").distinct(), lines, "two_theta", "line_two_theta", tolerance, salt_by=("two_theta",))
     delta = F.round(F.abs(F.col("two_theta") - F.col("line_two_theta")), 9)
-    best = j.groupBy("curve_id", "peak_index").agg(F.count("*").alias("matches"), F.min(F.struct(delta.alias("delta"), "cell_id", "h", "k", "l")).alias("b"))
-    return best.select("curve_id", "peak_index", "matches", "b.*")
+    best = j.groupBy("two_theta").agg(F.sum("lines").alias("matches"), F.min(F.struct(delta.alias("delta"), "first")).alias("b"))
+    best = written(best.select("two_theta", "matches", "b.delta", "b.first.*"), "indexed-positions")
+    return looked_up(peaks, best, "two_theta").where("matches IS NOT NULL").select("curve_id", "peak_index", "matches", "delta", "cell_id", "h", "k", "l")
 
 
 def pattern_match_score(df: DataFrame) -> DataFrame:

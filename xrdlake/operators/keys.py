@@ -78,7 +78,8 @@ def contains_join(items: DataFrame, text: str, patterns: DataFrame, pattern: str
         F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.substring(t, i, n)), lambda g: F.length(g) == n))))
     exploded = F.explode(F.when(F.length(t) > 0, grams))
     keys = rarest_pieces(items.select(exploded.alias("_g")), patterns, pattern, gram)
-    return items.withColumn("_g", exploded).join(patterns.join(keys, pattern), "_g").where(F.col(text).contains(F.col(pattern))).drop("_g")
+    asked = written(patterns.join(keys, pattern), "patterns")  # its size is known then, so few patterns are sent to the items
+    return items.withColumn("_g", exploded).join(asked, "_g").where(F.col(text).contains(F.col(pattern))).drop("_g")
 
 
 def rarest_pieces(pieces: DataFrame, patterns: DataFrame, pattern: str, gram: int) -> DataFrame:
@@ -105,6 +106,11 @@ def matching_terms(left: DataFrame, right: DataFrame) -> DataFrame:
     return same.unionByName(inside).unionByName(around).distinct()
 
 
+def first_of_each(overrides: DataFrame, key: str) -> DataFrame:
+    """The least rank of every key and mineral: another rank of the same two can never come first in ``apply_overrides``."""
+    return overrides.groupBy(key, "mineral").agg(F.min("rank").alias("rank"))
+
+
 def apply_overrides(candidates: DataFrame, overrides: DataFrame, limit: int | None = None) -> DataFrame:
     """Curated candidates first, then the existing ones, one per mineral, with their position; all or the first ``limit``.
 

@@ -83,9 +83,9 @@ def d12(spark, d):
     ov = table(spark, d, "supplier").select(
         c("s_suppkey").alias("rank"), (c("s_suppkey") * 7).alias("key"), F.right("s_name", F.lit(3)).alias("pat"),
         F.when(c("s_nationkey") % 2 == 0, F.concat(F.lit("Brand "), _s("s_nationkey"))).otherwise("5-low").alias("mineral"))
-    by_text = K.contains_join(cust, "hay", ov, "pat").select("item", "rank", "mineral")
-    by_key = cust.join(ov, c("item") == c("key")).select("item", "rank", "mineral")
-    return K.apply_overrides(cand, by_text.unionByName(by_key).distinct())
+    by_text = K.contains_join(cust, "hay", K.first_of_each(ov, "pat"), "pat").select("item", "rank", "mineral")
+    by_key = cust.join(K.first_of_each(ov, "key"), c("item") == c("key")).select("item", "rank", "mineral")
+    return K.apply_overrides(cand, by_text.unionByName(by_key))
 
 
 @query("d13_treatment_enrichment", """

@@ -44,32 +44,60 @@ def import_dedup(stream: DataFrame, time: str, keys: list[str], delay: str) -> D
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
 
 
+#: States that the keys of a stream are dealt to, and the time of a key that was not seen.
+KEY_BUCKETS, NEVER = 1024, np.iinfo(np.int64).min
+
+
 def first_after_quiet(stream: DataFrame, time: str, keys: list[str], quiet: str, delay: str) -> DataFrame:
     """Rows (keys and ``time``) whose key was not seen for more than ``quiet`` before; others are repeats and go.
 
     The state of a key is the last time it was seen. It ends when the watermark has passed that time by ``quiet``: whatever may
     still come is new then, so dropping it changes nothing. Of rows that come out of order, one that is older than the last sight of its key is a
-    repeat; rows that are later than ``delay`` are left out. A null time is left out, null keys are equal. A batch holds eight bytes per row of
-    a key; limit its size by the source's options. For many keys set RocksDB as the state store of the session.
+    repeat; rows that are later than ``delay`` are left out. A null time is left out, null keys are equal; keys are numbers, texts, dates, times or truth values.
+    Keys are dealt to ``KEY_BUCKETS`` buckets, and a bucket is one state and one call: work per key is that of arrays. A batch holds the keys and times of a
+    bucket; limit its size by the source's options. For many keys set RocksDB as the state store of the session.
     """
     gap = int(pd.Timedelta(quiet) // pd.Timedelta("1us"))
-    rows = stream.where(F.col(time).isNotNull()).withWatermark(time, delay).select(*keys, time, F.unix_micros(F.col(time).cast("timestamp")).alias("_seen"))
-    out = T.StructType([*(rows.schema[k] for k in keys), T.StructField("_seen", T.LongType())])
-
-    def look(key, frames, state):
+    kinds = {k: stream.schema[k].dataType for k in keys}
+    if odd := [k for k, t in kinds.items() if isinstance(t, (T.ArrayType, T.MapType, T.StructType, T.BinaryType))]:
+        raise ValueError(f"keys of a type that has no exact text: {odd}")
+    moment = lambda k: isinstance(kinds[k], T.TimestampType)
+    text = [(F.unix_micros(k) if moment(k) else F.col(k)).cast("string") for k in keys]
+    rows = stream.where(F.col(time).isNotNull()).withWatermark(time, delay).select(
+        F.to_json(F.array(*text)).alias("_key"), time, F.unix_micros(F.col(time).cast("timestamp")).alias("_seen"))
+    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64("_key"), F.lit(KEY_BUCKETS)).cast("int"))
+
+    def look(bucket, frames, state):
         if state.hasTimedOut:
             state.remove()
             return
-        seen = np.sort(np.concatenate([f["_seen"].to_numpy(np.int64) for f in frames]))
-        before = state.get[0] if state.exists else seen[0] - gap - 1
-        last = np.maximum.accumulate(np.concatenate([[before], seen]))
-        fresh = seen[seen - last[:-1] > gap]
-        state.update((int(last[-1]),))
-        state.setTimeoutTimestamp(max(int(last[-1] + gap) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({**{k: [v] * len(fresh) for k, v in zip(keys, key, strict=True)}, "_seen": fresh})
-
-    kept = rows.groupBy(*keys).applyInPandasWithState(look, out, T.StructType([T.StructField("last", T.LongType())]), "append", GroupStateTimeout.EventTimeTimeout)
-    return kept.select(*keys, F.timestamp_micros("_seen").alias(time))
+        frames = list(frames)
+        old, sights = state.get if state.exists else ([], [])
+        code, names = pd.factorize(np.concatenate([np.array(old, object), *[f["_key"].to_numpy(object) for f in frames]]))
+        last = np.full(len(names), NEVER)
+        last[:len(old)] = sights
+        code, seen = code[len(old):], np.concatenate([f["_seen"].to_numpy(np.int64) for f in frames])
+        order = np.lexsort((seen, code))
+        code, seen = code[order], seen[order]
+        before = last[code]
+        again = code[1:] == code[:-1]
+        before[1:] = np.where(again, np.maximum(seen[:-1], before[1:]), before[1:])
+        fresh = (before == NEVER) | (seen - np.maximum(before, seen.min() - gap - 1) > gap)
+        np.maximum.at(last, code, seen)
+        mark = state.getCurrentWatermarkMs()
+        keep = last + gap >= mark * 1000
+        if keep.any():
+            state.update(([str(k) for k in names[keep]], [int(v) for v in last[keep]]))
+            state.setTimeoutTimestamp(max(int(last.max() + gap) // 1000 + 1, mark + 1))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame({"_key": names[code[fresh]], "_seen": seen[fresh]})
+
+    held = T.StructType([T.StructField("keys", T.ArrayType(T.StringType())), T.StructField("last", T.ArrayType(T.LongType()))])
+    kept = rows.groupBy("_bucket").applyInPandasWithState(look, "_key string, _seen long", held, "append", GroupStateTimeout.EventTimeTimeout)
+    own = F.from_json("_key", T.ArrayType(T.StringType()))
+    back = lambda n, k: F.timestamp_micros(F.get(own, F.lit(n)).cast("long")) if moment(k) else F.get(own, F.lit(n)).cast(kinds[k])
+    return kept.select(*[back(n, k).alias(k) for n, k in enumerate(keys)], F.timestamp_micros("_seen").alias(time))
 
 
 def rolling_metrics(stream: DataFrame, time: str, by: str, width: str, delay: str, slide: str | None = None) -> DataFrame:

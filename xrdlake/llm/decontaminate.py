@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from xrdlake.llm.common import by_place, ids_back, ids_of, mix, pick, ragged, renamed, text_key
+from xrdlake.llm.common import by_place, ids_back, ids_of, lean, mix, pick, ragged, renamed, text_key
 from xrdlake.session import written
 
 #: Word positions that a mask looks at.
@@ -165,7 +165,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                         d, i, start, matched, window = (np.array(c, np.int64) for c in zip(*found, strict=True))
                         yield pa.RecordBatch.from_arrays([ids_back(ids[d]), pa.array(keys[d]), pa.array(shared.value.ids[i]), pa.array(start - first[d]), pa.array(matched), pa.array(window)], names=names)
 
-        part = rows.mapInArrow(look, "doc_id long, row_key long, item_id long, start_word long, matched long, window long")
+        part = rows.mapInArrow(lean(look), "doc_id long, row_key long, item_id long, start_word long, matched long, window long")
         out = part if out is None else out.unionByName(part)
     return out
 

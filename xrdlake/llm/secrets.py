@@ -8,12 +8,11 @@ from bisect import bisect_right
 from collections import Counter
 from itertools import accumulate
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from xrdlake.llm.common import by_place, ids_back, ids_of, pick, place_of, renamed
+from xrdlake.llm.common import by_place, give_back, ids_back, ids_of, pick, place_of, renamed
 
 #: Kinds in the order that breaks ties of a start; the last is the lexer's.
 KINDS = ("assign", "access", "hex", "literal")
@@ -194,9 +193,11 @@ def redact(docs: DataFrame) -> DataFrame:
 
     Null and empty texts and repeated rows stay as they are; columns of any name pass through; an empty table stays empty.
     """
-    @F.pandas_udf("string")
-    def clean(texts: pd.Series) -> pd.Series:
-        return texts.map(hidden, na_action="ignore")
+    @F.arrow_udf("string")
+    def clean(texts: pa.Array) -> pa.Array:
+        give_back()
+        parts = [pa.array([hidden(t) for t in texts.slice(at, 500).to_pylist()], pa.string()) for at in range(0, len(texts), 500)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
     text, chars = (None if (i := place_of(docs, c)) is None else f"c{i}" for c in ("text", "n_chars"))
     out = by_place(docs).withColumn(text, clean(text))

@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -84,3 +85,22 @@ def test_common_passages_sort_last(spark, monkeypatch):
     assert [x["doc_id"] for x in corpus_pipeline.drop_near_copies(spark, df, "").orderBy("doc_id").collect()] == list(range(60))
     monkeypatch.setattr(near_copies, "MOST_COMMON", 10)  # a list that is too short loses nothing
     assert corpus_pipeline.drop_near_copies(spark, df, "").count() == 60
+
+
+def test_pairs_of_one_passage_are_made_once(spark):
+    """Sets that share many keys meet once; with ``nearest`` each set gives one pair at most."""
+    nodes = spark.createDataFrame([(i, 100, bytes(64)) for i in range(30)], "node long, n long, bits binary")
+    met = spark.createDataFrame([(k, i) for k in range(50) for i in range(20)] + [(99, i) for i in range(18, 30)], "key long, node long")
+    roots = spark.createDataFrame([(i, 0) for i in range(10)], "node long, root long")
+    few = near_copies.meetings(met)
+    assert few.groupBy("key").count().count() == 2
+    all_pairs = {(u, v) for a, z in ((0, 20), (18, 30)) for u, v in itertools.combinations(range(a, z), 2) if v >= 10}
+    assert {tuple(x) for x in near_copies.remaining(few, roots, nodes).collect()} == all_pairs
+    assert near_copies.remaining(few, roots, nodes, nearest=True).count() <= 30
+
+
+def test_rows_of_the_largest_root_are_not_compared_with_each_other():
+    root, n, bits = np.array([7] * 50 + [1, 2]), np.full(52, 100), np.zeros((52, 8), np.uint64)
+    found = list(near_copies.possible(n, root, bits))
+    assert sorted(int(i) for i, _, _ in found) == [50, 51]
+    assert sum(len(j) for _, j, _ in found) == 101

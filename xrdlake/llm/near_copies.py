@@ -20,7 +20,7 @@ from xrdlake.llm.common import ids_back, ids_of, lean, maybe_among, pick
 from xrdlake.session import written
 
 WORDS = 5
-#: Rounds of one pair per group, before all pairs of groups that are left are looked at.
+#: Rounds of one pair per set, before all pairs of groups that are left are looked at.
 TURNS = 2
 SKETCH = 512
 
@@ -115,12 +115,17 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def possible(n: np.ndarray, root: np.ndarray, bits: np.ndarray):
-    """Index pairs of different roots that size and sketch allow a similarity of 0.8; yields ``(i, others)``."""
+    """Index pairs of different roots that size and sketch allow a similarity of 0.8; yields ``(i, others, differing bits)``.
+
+    Rows of the largest root are no ``i``, so the work grows with the rows outside it times all rows.
+    """
     order = np.argsort(n, kind="stable")
     n, root, bits = n[order], root[order], bits[order]
-    ends = np.searchsorted(n, 5 * n // 4, "right")
-    for i in range(len(n)):
-        j = i + 1 + np.flatnonzero(root[i + 1:ends[i]] != root[i])
+    names, of, counts = np.unique(root, return_inverse=True, return_counts=True)
+    largest = of == counts.argmax()
+    starts, ends = np.searchsorted(5 * n // 4, n, "left"), np.searchsorted(n, 5 * n // 4, "right")
+    for i in np.flatnonzero(~largest):
+        j = starts[i] + np.flatnonzero((root[starts[i]:ends[i]] != root[i]) & (largest[starts[i]:ends[i]] | (np.arange(starts[i], ends[i]) > i)))
         differ = np.zeros(len(j), np.int64)
         for a, z in ((0, 2), (2, 8)):
             if len(j):
@@ -128,7 +133,7 @@ def possible(n: np.ndarray, root: np.ndarray, bits: np.ndarray):
                 fits = 9 * differ <= n[i] + n[j]  # the sets differ in a ninth of both sizes at most
                 j, differ = j[fits], differ[fits]
         if len(j):
-            yield order[i], order[j]
+            yield order[i], order[j], differ
 
 
 def fitting(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -184,21 +189,22 @@ def proposed(nodes: DataFrame, met: DataFrame) -> DataFrame:
     return same.unionByName(near.select(F.col("a").alias("u"), F.col("b").alias("v"))).unionByName(star).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct()
 
 
-def across(met: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
-    """``u, v``: one pair for each group that shares a key with another: with the group that most of the key's sets are in.
+def meetings(met: DataFrame) -> DataFrame:
+    """``key, node``: one of the keys that are shared by the same sets, for each such group.
 
-    Of a group's keys one is taken, another each ``turn``; so pairs are no more than groups.
+    The shingles of a passage that some texts share are keys of the same sets; these are compared once, not once for each shingle.
+    Groups are told apart by their size, ends and two parities of 64-bit hashes.
     """
-    named = met.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    sides = named.repartition("key").groupBy("key", "root").agg(F.count("*").alias("n"), F.min("node").alias("node"))
-    met_hubs = sides.withColumn("hub", F.max(F.struct("n", "root", "node")).over(Window.partitionBy("key"))).where("root <> hub.root").select(
-        "root", F.struct(F.xxhash64("key", F.lit(turn)), F.col("hub.node").alias("u"), F.col("node").alias("v")).alias("pair"))
-    pairs = met_hubs.groupBy("root").agg(F.min("pair").alias("pair"))
-    return pairs.select(F.least("pair.u", "pair.v").alias("u"), F.greatest("pair.u", "pair.v").alias("v")).distinct()
+    kinds = met.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least"), F.max("node").alias("most"), F.bit_xor("node").alias("a"), F.bit_xor(F.xxhash64("node")).alias("b"))
+    chosen = kinds.groupBy("n", "least", "most", "a", "b").agg(F.min("key").alias("key")).select("key")
+    return met.select("key", "node").join(chosen, "key")
 
 
-def remaining(met: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``u, v``: all pairs of sets with a common key that are in different groups and can be alike."""
+def remaining(met: DataFrame, roots: DataFrame, nodes: DataFrame, nearest: bool = False) -> DataFrame:
+    """``u, v``: all pairs of sets with a common key that are in different groups and can be alike.
+
+    With ``nearest``, of the pairs of each set only one with fewest differing bits, so pairs are no more than sets.
+    """
     named = met.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     mixed = named.groupBy("key").agg((F.min("root") != F.max("root")).alias("mixed")).where("mixed").select("key")
     rows = named.join(mixed, "key").join(nodes.select("node", "n", "bits"), "node")
@@ -209,8 +215,11 @@ def remaining(met: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
         def close():
             node, n, root = (np.concatenate([x[c].to_numpy() for x in held]) for c in (1, 2, 3))
             bits = np.frombuffer(b"".join(v for x in held for v in x[4].to_pylist()), np.uint64).reshape(len(node), -1)
-            for i, j in possible(n, root, bits):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], names=["u", "v"])
+            for i, j, differ in possible(n, root, bits):
+                if nearest:
+                    first = differ.argmin()
+                    j, differ = j[first:first + 1], differ[first:first + 1]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(j), node[i])), pa.array(node[j]), pa.array(differ)], names=["i", "j", "differ"])
 
         for b in batches:
             keys = b.column(0).to_numpy()
@@ -227,7 +236,10 @@ def remaining(met: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
             yield from close()
 
     dealt = rows.select("key", "node", "n", "root", "bits").repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(lean(walk), "u long, v long").distinct()
+    found = dealt.mapInArrow(lean(walk), "i long, j long, differ long")
+    if nearest:
+        found = found.groupBy("i").agg(F.min(F.struct("differ", "j")).alias("first")).select("i", "first.j")
+    return found.select(F.least("i", "j").alias("u"), F.greatest("i", "j").alias("v")).distinct()
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
@@ -243,8 +255,9 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     met = written(keyed.where("copies > 1"), "keys-met")
     links = written(alike(written(proposed(nodes, met), "proposed"), docs, nodes), "links")
     roots = written(simhash.components(links), "roots")
-    for turn in range(TURNS):
-        found = written(alike(written(across(met, roots, turn), "across"), docs, nodes), "links")
+    met = written(meetings(met), "meetings")
+    for _ in range(TURNS):
+        found = written(alike(written(remaining(met, roots, nodes, nearest=True), "nearest"), docs, nodes), "links")
         if found.isEmpty():
             break
         links = links.unionByName(found)

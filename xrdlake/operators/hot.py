@@ -11,6 +11,19 @@ from xrdlake.session import written
 HOT_ROWS = 100_000
 
 
+#: Rows of one task that groups them by a nearly unique key.
+TASK_ROWS = 500_000
+
+
+def dealt(rows: DataFrame, *keys: str, task_rows: int = TASK_ROWS) -> DataFrame:
+    """``rows`` dealt by hash of ``keys``, ``task_rows`` to a task on average, to be grouped by these keys (and others).
+
+    Where keys are nearly unique, partial groups before the shuffle save nothing and hold a table of all rows of a split; here a task's table
+    stays the same size however large the input is. The rows are counted first, so their plan should be cheap to run twice.
+    """
+    return rows.repartition(max(1, -(-rows.count() // task_rows)), *keys)
+
+
 def looked_up(left: DataFrame, right: DataFrame, key: str | list[str]) -> DataFrame:
     """``left`` with the row of ``right`` for its key (one column or several; at most one row each), null where there is none.
 

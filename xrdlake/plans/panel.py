@@ -8,6 +8,7 @@ from xrdlake.functions.geometry import D060_WINDOW, d060_distance
 from xrdlake.functions.text import lookup_key
 from xrdlake.functions.values import stable_hash
 from xrdlake.operators import curves as C, panels as P, sets as X
+from xrdlake.operators.hot import dealt
 from xrdlake.operators.matching import nearest_window
 from xrdlake.plans.match import NAMED_VALUES, peaks, r
 from xrdlake.plans.curve import TARGETED_SQL
@@ -145,7 +146,7 @@ def e10(spark, d):
 @query("e11_mineral_network_map", f"""
 WITH {GEO} SELECT mineral, array_to_string(list_sort(list(DISTINCT grp)), ',') AS groups, count(DISTINCT record_id) AS count_records FROM geo GROUP BY 1""")
 def e11(spark, d):
-    g = geo_rows(spark, d).groupBy("mineral", "record_id").agg(F.count("*").alias("n"))
+    g = dealt(geo_rows(spark, d).select("mineral", "record_id"), "record_id").groupBy("mineral", "record_id").agg(F.count("*").alias("n"))
     groups = geo_rows(spark, d).select("mineral", "group").distinct().groupBy("mineral").agg(F.array_join(F.array_sort(F.collect_list("group")), ",").alias("groups"))
     return g.groupBy("mineral").agg(F.count("*").alias("count_records")).join(groups, "mineral")
 

@@ -98,7 +98,8 @@ CONTAINED_LENGTH = 8
 
 def matching_terms(left: DataFrame, right: DataFrame) -> DataFrame:
     """Pairs of terms (``left_term, right_term``) that are equal, or long and one inside the other. Both frames: term."""
-    a, b = left.select(F.col("term").alias("left_term")).distinct(), right.select(F.col("term").alias("right_term")).distinct()
+    # each is read several times below: terms are worked out once
+    a, b = (written(side.select(F.col("term").alias(name)).distinct(), "terms") for side, name in ((left, "left_term"), (right, "right_term")))
     same = a.join(b, F.col("left_term") == F.col("right_term"))
     long_a, long_b = a.where(F.length("left_term") >= CONTAINED_LENGTH), b.where(F.length("right_term") >= CONTAINED_LENGTH)
     inside = contains_join(long_a, "left_term", long_b, "right_term", CONTAINED_LENGTH, CONTAINED_LENGTH)

@@ -55,6 +55,10 @@ def read_text_curves(spark: SparkSession, path: str, glob: str | None = None) ->
 CONTAINER = T.StructType([T.StructField("path", T.StringType()), T.StructField("length", T.LongType()), T.StructField("content", T.BinaryType())])
 
 
+#: Bytes of text that one task parses, on average.
+PARSED_BYTES = 16 << 20
+
+
 def raw_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """``path, length, content`` of single files below ``path``, to be packed."""
     r = spark.read.format("binaryFile").option("recursiveFileLookup", True)
@@ -69,7 +73,11 @@ def packed_files(spark: SparkSession, path: str) -> DataFrame:
 
 def read_packed_curves(spark: SparkSession, path: str) -> DataFrame:
     """As ``read_text_curves``, from containers."""
-    return parse_text_curves(packed_files(spark, path).select("path", F.col("content").cast("string").alias("value")))
+    files = packed_files(spark, path)
+    total = files.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    # a container is a split or two: its files are dealt out, so that parsing uses all cores
+    files = files.repartition(max(spark.sparkContext.defaultParallelism, -(-total // PARSED_BYTES)))
+    return parse_text_curves(files.select("path", F.col("content").cast("string").alias("value")))
 
 
 def snapshot_id(path: Column) -> Column:

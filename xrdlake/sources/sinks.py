@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from xrdlake.functions.values import payload_hash
+from xrdlake.session import written
 
 INCONCLUSIVE = "Inconclusivos"
 #: Bytes of small files that a container holds, on average.
@@ -20,6 +21,7 @@ def pack_files(files: DataFrame, path: str, container_bytes: int = CONTAINER_BYT
     """
     f = files.select(F.col("path").cast("string").alias("path"), F.coalesce(F.col("content").cast("binary"), F.lit(b"")).alias("content"))
     f = f.select("path", F.octet_length("content").cast("long").alias("length"), "content")
+    f = written(f, "files")  # contents are worked out once, not again after they are counted
     total = f.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
     f.repartition(max(1, -(-total // container_bytes)), F.xxhash64("path", "length")).sortWithinPartitions("path").write.mode(mode).parquet(path)
 

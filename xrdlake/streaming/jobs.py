@@ -26,7 +26,8 @@ def packed_curve_stream(spark: SparkSession, path: str, containers_per_batch: in
     """As ``curve_stream``, from new containers (``sinks.pack_files`` with mode ``append``): a batch lists containers, not curves."""
     r = spark.readStream.schema(CONTAINER)
     r = r.option("maxFilesPerTrigger", containers_per_batch) if containers_per_batch else r
-    return parse_text_curves(r.parquet(path).select("path", F.col("content").cast("string").alias("value")))
+    files = r.parquet(path).repartition(4 * spark.sparkContext.defaultParallelism)  # parsing uses all cores, however few containers there are
+    return parse_text_curves(files.select("path", F.col("content").cast("string").alias("value")))
 
 
 def triage(stream: DataFrame, out: str, checkpoint: str, interpret: Callable[[DataFrame], DataFrame]) -> StreamingQuery:

@@ -67,7 +67,8 @@ def a2(spark, d):
 def order_documents(spark, d):
     """One JSON document per order with its lines as items."""
     li = table(spark, d, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_returnflag").alias("i"))
-    g = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("i")).alias("items"))
+    # lists do not shrink before the shuffle: the plain rows move, each task then collects once
+    g = li.repartition("l_orderkey").groupBy("l_orderkey").agg(F.sort_array(F.collect_list("i")).alias("items"))
     return g.select(F.to_json(F.struct(c("l_orderkey").alias("record_id"), "items")).alias("value"))
 
 
@@ -78,7 +79,7 @@ ORDER_DOC = T.StructType([T.StructField("record_id", T.LongType()), T.StructFiel
 @query("a3_snapshot_rows", "SELECT l_orderkey AS record_id, l_linenumber, l_partkey, l_returnflag FROM lineitem")
 def a3(spark, d):
     path = new_path(spark, "snapshot")
-    order_documents(spark, d).write.text(path)
+    Z.write_documents(order_documents(spark, d), path)
     return A.read_documents(spark, path, ORDER_DOC, "items")
 
 
@@ -94,7 +95,7 @@ def a4(spark, d):
 @query("a5_package_manifests", "SELECT l_orderkey AS record_id, count(*) AS items, count(*) FILTER (l_returnflag = 'N') AS natural_items FROM lineitem GROUP BY 1")
 def a5(spark, d):
     path = new_path(spark, "manifests")
-    order_documents(spark, d).write.text(path)
+    Z.write_documents(order_documents(spark, d), path)
     m = A.read_documents(spark, path, ORDER_DOC, "items")
     return m.groupBy("record_id").agg(F.count("*").alias("items"), F.count_if(c("l_returnflag") == "N").alias("natural_items"))
 

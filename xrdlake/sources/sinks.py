@@ -11,6 +11,8 @@ from xrdlake.session import written
 INCONCLUSIVE = "Inconclusivos"
 #: Bytes of small files that a container holds, on average.
 CONTAINER_BYTES = 128 << 20
+#: Documents of a file; compressed text is read by one task.
+FILE_DOCUMENTS = 200_000
 
 
 def pack_files(files: DataFrame, path: str, container_bytes: int = CONTAINER_BYTES, mode: str = "errorifexists") -> None:
@@ -30,6 +32,11 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.json(path)
 
 
+def write_documents(documents: DataFrame, path: str) -> None:
+    """One text per line, compressed: the field names of JSON documents repeat in every item."""
+    documents.write.option("compression", "snappy").option("maxRecordsPerFile", FILE_DOCUMENTS).text(path)
+
+
 def write_csv(df: DataFrame, path: str, separator: str = ";") -> None:
     """CSV with a header; arrays become one text."""
     flat = [F.array_join(F.col(f.name), separator).alias(f.name) if f.dataType.typeName() == "array" else F.col(f.name) for f in df.schema.fields]

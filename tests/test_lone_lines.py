@@ -51,3 +51,13 @@ def test_rounded_is_round(spark):
     for digits in (4, 6, 8):
         got = df.select(rounded(F.col("v"), digits).alias("a"), F.round("v", digits).alias("b")).collect()
         assert [str(x.a) for x in got] == [str(x.b) for x in got]
+
+
+def test_rounded_as_the_sql_rounds(spark):
+    """Halves of the eighth digit that no double holds exactly: scores of ``d6_library_classifier`` on sf0.1."""
+    import duckdb
+
+    values = [0.129721875, 0.11429062499999999, 0.252534375, 0.09677812499999999, 0.17412187499999998]
+    want = [duckdb.sql(f"SELECT round({v!r}::DOUBLE, 8)").fetchall()[0][0] for v in values]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert [x.a for x in df.select(rounded("v", 8).alias("a")).collect()] == want
